@@ -60,3 +60,35 @@ def poisson(lam: Column, u: Column, u2: Column, small_limit: float = 50.0) -> Co
     )
     return F.when(lam <= F.lit(0.0), F.lit(0).cast("long")).when(
         lam <= F.lit(small_limit), search).otherwise(approx)
+
+
+def _poisson_quantile(lam, u, u2, small_limit: float = 50.0):
+    """Vectorised Poisson inverse CDF (numpy), same rule as :func:`poisson`."""
+    import numpy as np
+
+    lam = np.asarray(lam, dtype="float64")
+    u = np.asarray(u, dtype="float64")
+    u2 = np.asarray(u2, dtype="float64")
+    out = np.zeros(len(lam), dtype="int64")
+    small = (lam > 0) & (lam <= small_limit)
+    if small.any():
+        ls, us = lam[small], u[small]
+        p = np.exp(-ls)
+        c = p.copy()
+        k = np.zeros(len(ls), dtype="int64")
+        kmax = int(np.ceil(ls.max() + 10 * np.sqrt(ls.max()) + 10))
+        for j in range(1, kmax + 1):
+            go = c < us
+            if not go.any():
+                break
+            p = np.where(go, p * ls / j, p)
+            c = np.where(go, c + p, c)
+            k = np.where(go, k + 1, k)
+        out[small] = k
+    big = lam > small_limit
+    if big.any():
+        lb = lam[big]
+        z = np.sqrt(-2.0 * np.log(u[big])) * np.cos(6.283185307179586 * u2[big])
+        out[big] = np.maximum(0, np.floor(lb + np.sqrt(lb) * z + 0.5)).astype("int64")
+    return out
+

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.functions.hashrand import poisson, uniform
+from fraudlake.functions.hashrand import uniform
+from fraudlake.functions.vectorized import poisson_batch
 from fraudlake.operators.rank import prefix_sums
 
 EPS = 1e-7
@@ -181,7 +182,7 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
     key = [F.col("score").cast("string"), F.col("label").cast("string"), F.col("rep").cast("string")]
     u1 = uniform(*key, seed=seed)
     u2 = uniform(*key, seed=f"{seed}b")
-    drawn = reps.withColumn("w", poisson(F.col("c").cast("double"), u1, u2))
+    drawn = reps.withColumn("w", poisson_batch(F.col("c"), u1, u2))
     per = drawn.groupBy("rep", "score").agg(
         F.sum(F.col("w") * F.col("label")).alias("pos"),
         F.sum(F.col("w") * (F.lit(1) - F.col("label"))).alias("neg"))

@@ -174,6 +174,8 @@ def with_views(sql: str, *names: str) -> str:
     """
     ctes = ",\n".join(f"{n} as (\n{DUCK_VIEWS[n]}\n)" for n in names)
     body = sql.strip()
+    if not names and body.lower().startswith("with"):
+        return body
     if body.lower().startswith("select"):
         return f"with {ctes}\n{body}" if names else body
     return f"with {ctes},\n{body}" if names else f"with {body}"

@@ -189,3 +189,264 @@ def split_stats(df: DataFrame, group_col: str = "bank_id", label_col: str = LABE
         group_col, "split", "records",
         F.try_divide(F.col("records").cast("double"), F.sum("records").over(w)).alias("ratio_actual"),
         F.try_divide(F.col("fraud") * 100.0, F.col("records")).alias("fraud_rate"))
+
+
+# --- D1/D2: feature roles (driver-side, schema only) -----------------------------------
+
+def feature_roles(df: DataFrame, key: str = KEY, label: str = LABEL,
+                  extra_categorical: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """(categorical, numeric) columns. Categorical = known names, string
+    columns, or integer columns named with a categorical prefix."""
+    cat, num = [], []
+    for f in df.schema.fields:
+        if f.name in (key, label, "bank_id", "split"):
+            continue
+        is_int = isinstance(f.dataType, INTEGRAL_TYPES)
+        if (f.name in KNOWN_CATEGORICAL or f.name in extra_categorical
+                or isinstance(f.dataType, T.StringType)
+                or (is_int and any(f.name.startswith(p) for p in CATEGORICAL_PREFIXES))):
+            cat.append(f.name)
+        elif isinstance(f.dataType, NUMERIC_TYPES):
+            num.append(f.name)
+    return cat, num
+
+
+def scale_columns(df: DataFrame, key: str = KEY, label: str = LABEL) -> list[str]:
+    """Numeric columns to standardise (not key/label, no categorical prefix)."""
+    return [f.name for f in df.schema.fields
+            if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in (key, label)
+            and not any(f.name.startswith(p) for p in CATEGORICAL_PREFIXES)]
+
+
+# --- E: imputation ----------------------------------------------------------------------
+
+def normalise_nan(df: DataFrame) -> DataFrame:
+    """NaN -> null on every floating column (one rule for the whole engine)."""
+    return df.select(*[F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def null_fractions(df: DataFrame) -> dict[str, tuple[int, int]]:
+    """(null count, rows) per column in one aggregate (a bounded one-row result)."""
+    row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.count_if(F.col(c).isNull()).alias(f"_n{i}")
+                   for i, c in enumerate(df.columns)]).first()
+    return {c: (row[f"_n{i}"], row["_rows"]) for i, c in enumerate(df.columns)}
+
+
+def sparse_columns(df: DataFrame, threshold: float = 0.5,
+                   profile: dict | None = None) -> list[str]:
+    """Columns with null fraction strictly above ``threshold`` (never essentials)."""
+    prof = profile or null_fractions(df)
+    out = []
+    for c, (nulls, rows) in prof.items():
+        if rows > 0 and nulls / rows > threshold and c not in ESSENTIAL_COLUMNS:
+            out.append(c)
+    return out
+
+
+def drop_sparse(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Drop sparse columns."""
+    return df.drop(*sparse_columns(df, threshold))
+
+
+def fit_imputation(df: DataFrame, key: str = KEY, label: str = LABEL,
+                   impute_essential: bool = False, exact: bool = True,
+                   profile: dict | None = None) -> list[tuple[str, str, object]]:
+    """(column, method, value) for every column with nulls.
+
+    Numbers: exact median (``percentile``; ``exact=False`` uses
+    ``percentile_approx``). Text: mode, smallest value on ties, ``Unknown``
+    when the column has no values. One aggregate for all columns.
+    """
+    prof = profile or null_fractions(df)
+    skip = set() if impute_essential else {key, label}
+    todo = [f for f in df.schema.fields if prof[f.name][0] > 0 and f.name not in skip]
+    if not todo:
+        return []
+    aggs = []
+    for i, f in enumerate(todo):
+        if isinstance(f.dataType, NUMERIC_TYPES):
+            c = F.col(f.name).cast("double")
+            aggs.append((F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, 100000))
+                        .alias(f"_v{i}"))
+        else:
+            aggs.append(F.mode(F.col(f.name).cast("string"), deterministic=True).alias(f"_v{i}"))
+    row = df.agg(*aggs).first()
+    out = []
+    for i, f in enumerate(todo):
+        v = row[f"_v{i}"]
+        if isinstance(f.dataType, NUMERIC_TYPES):
+            out.append((f.name, "median", v))
+        else:
+            out.append((f.name, "mode", "Unknown" if v is None else v))
+    return out
+
+
+def apply_imputation(df: DataFrame, fills: list[tuple[str, str, object]]) -> DataFrame:
+    by = {c: v for c, _, v in fills}
+    return df.select(*[
+        F.coalesce(F.col(f.name), F.lit(by[f.name]).cast(f.dataType)).alias(f.name)
+        if f.name in by and by[f.name] is not None else F.col(f.name)
+        for f in df.schema.fields])
+
+
+def handle_missing(df: DataFrame, threshold: float = 0.5, fit_on: DataFrame | None = None,
+                   impute_essential: bool = False) -> tuple[DataFrame, list[str], list]:
+    """Drop sparse columns, impute the rest. Returns (df, dropped, fills)."""
+    df = normalise_nan(df)
+    prof = null_fractions(df)
+    dropped = sparse_columns(df, threshold, prof)
+    kept = df.drop(*dropped)
+    src = kept if fit_on is None else normalise_nan(fit_on).drop(*dropped)
+    fills = fit_imputation(src, impute_essential=impute_essential,
+                           profile=None if fit_on is not None else {c: prof[c] for c in kept.columns})
+    return apply_imputation(kept, fills), dropped, fills
+
+
+def imputation_stats(spark, dropped: list[str], fills: list) -> DataFrame:
+    """One row per dropped or imputed column."""
+    rows = [(c, "dropped", None, None) for c in dropped]
+    rows += [(c, m, float(v) if m == "median" and v is not None else None,
+              v if m == "mode" else None) for c, m, v in fills]
+    schema = "column_name string, method string, value_num double, value_str string"
+    return spark.createDataFrame(rows, schema)
+
+
+# --- E5-E7: dictionary encoding ------------------------------------------------------------
+
+def _long_values(df: DataFrame, cat_cols: list[str], group_col: str | None) -> DataFrame:
+    g = [group_col] if group_col else []
+    stacked = df.select(*g, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"),
+                 F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value"))
+        for c in cat_cols])).alias("_kv"))
+    return stacked.select(*g, "_kv.column_name", "_kv.value")
+
+
+def fit_dictionary(train: DataFrame, cat_cols: list[str],
+                   group_col: str | None = "bank_id") -> DataFrame:
+    """E5: (group, column_name, value, code); null -> 'Unknown' before fitting;
+    code = position in the sorted distinct values. Ranking runs over distinct
+    values, partitioned by (group, column)."""
+    g = [group_col] if group_col else []
+    distinct = _long_values(train, cat_cols, group_col).select(*g, "column_name", "value").distinct()
+    w = Window.partitionBy(*g, "column_name").orderBy("value")
+    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+
+
+BROADCAST_DICT_ROWS = 2_000_000
+
+
+def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
+                    group_col: str | None = "bank_id",
+                    broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:
+    """Replace categories by codes; unseen -> code of 'Unknown' if known,
+    else 0.
+
+    The dictionary is counted first: below ``broadcast_limit`` entries it is
+    folded into one map per (group, column) and broadcast (no shuffle of the
+    data); above it every column is joined with a regular shuffle join.
+    """
+    g = [group_col] if group_col else []
+    n_entries = dictionary.count()
+    if n_entries <= broadcast_limit:
+        maps = dictionary.groupBy(*g).agg(*[
+            F.map_from_entries(F.collect_list(F.when(
+                F.col("column_name") == c, F.struct("value", "code")))).alias(f"_m_{c}")
+            for c in cat_cols])
+        joined = df.join(F.broadcast(maps), g, "left") if g else df.crossJoin(F.broadcast(maps))
+        out = joined
+        for c in cat_cols:
+            m = F.col(f"_m_{c}")
+            v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+            code = F.coalesce(F.try_element_at(m, v), F.try_element_at(m, F.lit("Unknown")),
+                              F.lit(0).cast("long"))
+            out = out.withColumn(c, code)
+        return out.drop(*[f"_m_{c}" for c in cat_cols])
+    out = df
+    for c in cat_cols:
+        d = dictionary.where(F.col("column_name") == c)
+        unk = d.where(F.col("value") == "Unknown").select(*g, F.col("code").alias(f"_u_{c}"))
+        dc = d.select(*g, F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+        out = out.withColumn(f"_k_{c}", v)
+        out = out.join(dc, [*[out[x] == dc[x] for x in g], out[f"_k_{c}"] == dc[f"_v_{c}"]], "left")
+        for x in g:
+            out = out.drop(dc[x])
+        out = out.join(unk, g, "left") if g else out.crossJoin(unk)
+        out = out.withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.col(f"_u_{c}"), F.lit(0).cast("long")))
+        out = out.drop(f"_k_{c}", f"_v_{c}", f"_c_{c}", f"_u_{c}")
+    return out
+
+
+def encoding_stats(dictionary: DataFrame, group_col: str | None = "bank_id",
+                   first: int = 10) -> DataFrame:
+    """Number of classes and the first ``first`` classes per (group, column)."""
+    g = [group_col] if group_col else []
+    return dictionary.groupBy(*g, "column_name").agg(
+        F.count(F.lit(1)).alias("unique_values"),
+        F.array_join(F.slice(F.array_sort(F.collect_list("value")), 1, first), ",")
+        .alias("classes"))
+
+
+# --- E8/E9: scaling -------------------------------------------------------------------------
+
+def fit_scaler(train: DataFrame, cols: list[str], group_col: str | None = None) -> DataFrame:
+    """Mean and population sd per column (sd 0 or null -> 1), one aggregate."""
+    g = [group_col] if group_col else []
+    agg = train.groupBy(*g).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
+                                *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
+    return agg.select(*g, *[F.col(f"_m_{c}") for c in cols], *[
+        F.when((F.col(f"_s_{c}") == 0) | F.col(f"_s_{c}").isNull(), F.lit(1.0))
+        .otherwise(F.col(f"_s_{c}")).alias(f"_s_{c}") for c in cols])
+
+
+def standardize(df: DataFrame, scaler: DataFrame, cols: list[str],
+                group_col: str | None = None) -> DataFrame:
+    """(x - mean) / sd with the fitted values (one row per group, broadcast)."""
+    g = [group_col] if group_col else []
+    j = df.join(F.broadcast(scaler), g, "left") if g else df.crossJoin(F.broadcast(scaler))
+    return j.select(*[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) if c in cols
+                      else F.col(c) for c in df.columns])
+
+
+def range_report(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:
+    """min/max before scaling and mean/sd after, per column (long form)."""
+    b = before.agg(*[F.min(c).alias(f"_lo{i}") for i, c in enumerate(cols)],
+                   *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(cols)])
+    a = after.agg(*[F.avg(c).alias(f"_mu{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(cols)])
+    parts = ", ".join(f"'{c}', cast(_lo{i} as double), cast(_hi{i} as double), _mu{i}, _sd{i}"
+                      for i, c in enumerate(cols))
+    return b.crossJoin(a).selectExpr(
+        f"stack({len(cols)}, {parts}) as (column_name, min_before, max_before, mean_after, sd_after)")
+
+
+# --- E10: full preparation --------------------------------------------------------------------
+
+def preprocess_full(tx: DataFrame, ident: DataFrame, num_banks: int = 3,
+                    ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
+                    threshold: float = 0.5,
+                    cut_lineage: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+    """C1 -> E1..E3 -> D4 -> D6 -> E5/E6 per bank (fit on each bank's train).
+
+    Returns (prepared rows with bank_id and split, dictionary, stats). The only
+    actions are the null/median/mode profile, the split cuts and the
+    dictionary size check; everything else stays one lazy plan.
+    """
+    merged = merge_identity(tx, ident)
+    filled, dropped, fills = handle_missing(merged, threshold)
+    if cut_lineage:
+        # the join and fills feed several cut/profile jobs: write them once to
+        # the shared checkpoint folder instead of re-joining per job
+        filled = filled.checkpoint(eager=True)
+    banked = bank_partition(filled, num_banks=num_banks)
+    split = temporal_split(banked, *ratios)
+    cat, _ = feature_roles(split)
+    cat = [c for c in cat if c in KNOWN_CATEGORICAL or
+           isinstance(split.schema[c].dataType, T.StringType)]
+    dictionary = fit_dictionary(split.where(F.col("split") == "train"), cat, "bank_id")
+    encoded = transform_codes(split, dictionary, cat, "bank_id")
+    return encoded, dictionary, {"dropped": dropped, "fills": fills, "categorical": cat}

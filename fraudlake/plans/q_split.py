@@ -13,19 +13,24 @@ from fraudlake.sources import fixtures as fx
 
 TX = ("transactions",)
 
-BANKS_SQL = """
-codes as (select ProductCD, min(TransactionID) as first_seen from transactions
+def banks_sql(src: str = "transactions") -> str:
+    """D4 in SQL over view ``src`` -> CTE ``banked``."""
+    return f"""
+codes as (select ProductCD, min(TransactionID) as first_seen from {src}
           where ProductCD is not null group by ProductCD),
 code_bank as (select ProductCD,
    'bank_' || cast((row_number() over (order by first_seen, ProductCD) - 1) % 3 + 1 as varchar)
    as bank_id from codes),
 null_bank as (select TransactionID, 'bank_' || cast(ntile(3) over (order by TransactionID) as varchar)
-   as bank_id from transactions where ProductCD is null),
+   as bank_id from {src} where ProductCD is null),
 banked as (select t.*, coalesce(cb.bank_id, nb.bank_id) as bank_id
-   from transactions t left join code_bank cb on t.ProductCD = cb.ProductCD
+   from {src} t left join code_bank cb on t.ProductCD = cb.ProductCD
    left join null_bank nb on t.TransactionID = nb.TransactionID)"""
 
-SPLIT_SQL = BANKS_SQL + f""",
+
+def split_sql(src: str = "transactions") -> str:
+    """D4 + D6 in SQL over view ``src`` -> CTE ``splitted``."""
+    return banks_sql(src) + f""",
 ordered as (select *, row_number() over (partition by bank_id
      order by TransactionDT asc nulls last, TransactionID) - 1 as pos,
    count(*) over (partition by bank_id) as n from banked),
@@ -34,6 +39,10 @@ splitted as (select * exclude (pos, n), case
      when pos < floor(n * {dbl(0.8 + 0.1)}) then 'val' else 'test' end as split from ordered)"""
 
 
+BANKS_SQL = banks_sql()
+SPLIT_SQL = split_sql()
+
+
 def banked(spark, sf_dir):
     return P.bank_partition(fx.transactions(spark, sf_dir))
 

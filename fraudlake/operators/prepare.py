@@ -450,3 +450,145 @@ def preprocess_full(tx: DataFrame, ident: DataFrame, num_banks: int = 3,
     dictionary = fit_dictionary(split.where(F.col("split") == "train"), cat, "bank_id")
     encoded = transform_codes(split, dictionary, cat, "bank_id")
     return encoded, dictionary, {"dropped": dropped, "fills": fills, "categorical": cat}
+
+
+# --- D3, D8-D15: features, class weights, sampling ----------------------------------------
+
+def assemble(df: DataFrame, cat_cols: list[str], num_cols: list[str], key: str = KEY,
+             label: str = LABEL) -> DataFrame:
+    """D3: categorical codes and numeric features as two arrays, target (missing -> 0)."""
+    target = (F.coalesce(F.col(label).cast("double"), F.lit(0.0)) if label in df.columns
+              else F.lit(0.0))
+    return df.select(
+        key, *([c for c in ("bank_id", "split") if c in df.columns]),
+        F.array(*[F.col(c).cast("long") for c in cat_cols]).alias("categorical"),
+        F.array(*[F.col(c).cast("double") for c in num_cols]).alias("numerical"),
+        target.alias("target"))
+
+
+def class_weights(df: DataFrame, label: str = LABEL, group_col: str | None = "bank_id") -> DataFrame:
+    """w_c = N / (2 n_c) (1.0 when a class is absent) and pos_weight = w1/w0."""
+    g = [group_col] if group_col else []
+    agg = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
+                             F.count_if(F.col(label) == 0).alias("n_0"),
+                             F.count_if(F.col(label) == 1).alias("n_1"))
+    n = F.col("n").cast("double")
+    w0 = F.when(F.col("n_0") > 0, n / (F.lit(2.0) * F.col("n_0"))).otherwise(F.lit(1.0))
+    w1 = F.when(F.col("n_1") > 0, n / (F.lit(2.0) * F.col("n_1"))).otherwise(F.lit(1.0))
+    return agg.select(*g, "n", "n_0", "n_1", w0.alias("weight_0"), w1.alias("weight_1"),
+                      (w1 / w0).alias("pos_weight"))
+
+
+def row_weights(df: DataFrame, weights: DataFrame | None, label: str = LABEL,
+                group_col: str | None = "bank_id") -> DataFrame:
+    """Each row gets its class weight (all 1.0 without a label column).
+
+    ``weights`` has one row per group (bounded by the number of banks), so it
+    is broadcast.
+    """
+    if label not in df.columns or weights is None:
+        return df.withColumn("sample_weight", F.lit(1.0))
+    g = [group_col] if group_col else []
+    w = weights.select(*g, "weight_0", "weight_1")
+    j = df.join(F.broadcast(w), g, "left") if g else df.crossJoin(F.broadcast(w))
+    return j.withColumn("sample_weight", F.when(F.col(label) == 1, F.col("weight_1"))
+                        .otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
+
+
+def hash_key(key: str, seed) -> Column:
+    """60-bit portable hash order key from md5 (same in DuckDB)."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
+                              1, 15), 16, 10)
+    return bits.cast("long")
+
+
+def poisson_cdf(lam: float, tail: float = 1e-16) -> list[float]:
+    """Cumulative Poisson probabilities up to where the tail is negligible."""
+    import math
+    kmax = int(math.ceil(lam + 12.0 * math.sqrt(lam) + 12.0))
+    out, acc = [], 0.0
+    for k in range(kmax + 1):
+        acc += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1)) if lam > 0 else (
+            1.0 if k == 0 else 0.0)
+        out.append(acc)
+    return out
+
+
+def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None = "bank_id",
+                      key: str = KEY, seed: int = 42) -> DataFrame:
+    """Class-balanced draw with replacement, expected N rows per group.
+
+    Row i is repeated Poisson(w_i * N / sum(w)) times. The rate depends only on
+    (group, class), so the inverse CDF per rate is a short literal array; the
+    draw is ``size(filter(cdf, c -> c < u))`` with u from md5(key, seed).
+    Deterministic under any partitioning; the groups' counts are collected
+    (one row per group).
+    """
+    cw = class_weights(df, label, group_col).collect()
+    g = [group_col] if group_col else []
+    cdf_expr = F.lit(None).cast("array<double>")
+    for r in cw:
+        sw = r["n_0"] * r["weight_0"] + r["n_1"] * r["weight_1"]
+        for cls in (0, 1):
+            lam = r[f"weight_{cls}"] * r["n"] / sw if sw > 0 else 0.0
+            cond = F.col(label) == cls
+            if g:
+                cond = cond & (F.col(group_col) == F.lit(r[group_col]))
+            arr = F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
+            cdf_expr = F.when(cond, arr).otherwise(cdf_expr)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
+                            1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    draws = F.size(F.filter(cdf_expr, lambda c: c < u))
+    with_d = df.withColumn("_draws", draws)
+    return (with_d.where(F.col("_draws") > 0)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
+            .drop("_draws"))
+
+
+def minibatch_ids(df: DataFrame, batch_size: int, group_col: str = "bank_id", key: str = KEY,
+                  seed: int = 42) -> DataFrame:
+    """Shuffled batches of ``batch_size`` per group; the incomplete last
+    batch is dropped. The shuffle order is a hash of the key; ranks come from
+    exact bucketed prefix sums (no per-group window over all rows)."""
+    from fraudlake.operators.rank import prefix_sums
+
+    h = df.withColumn("_h", hash_key(key, seed))
+    per = h.groupBy(group_col, "_h").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(per, [group_col], "_h", ["_c"], descending=False)
+    tot = per.groupBy(group_col).agg(F.sum("_c").alias("_n"))
+    w_tie = Window.partitionBy(group_col, "_h").orderBy(key)
+    ranked = (h.join(cum.select(group_col, "_h", (F.col("cum__c") - F.col("_c")).alias("_before")),
+                     [group_col, "_h"])
+              .withColumn("_rank", F.col("_before") + F.row_number().over(w_tie) - 1)
+              .join(F.broadcast(tot), group_col))
+    batch = F.floor(F.col("_rank") / F.lit(batch_size)).cast("long")
+    full = F.floor(F.col("_n") / F.lit(batch_size))
+    return (ranked.withColumn("batch_id", batch).where(F.col("batch_id") < full)
+            .drop("_h", "_before", "_rank", "_n"))
+
+
+def background_sample(df: DataFrame, n: int = 100, key: str = KEY, seed: int = 42) -> DataFrame:
+    """``n`` rows in hash order (a top-n: TakeOrderedAndProject, no full sort)."""
+    return df.withColumn("_h", hash_key(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def embedding_dims(df: DataFrame, cat_cols: list[str], max_dim: int = 50) -> DataFrame:
+    """vocab = max(code) + 1; dim = min(max_dim, max(1, vocab div 2)); one aggregate."""
+    row = df.agg(*[F.max(F.col(c).cast("long")).alias(c) for c in cat_cols])
+    stack = ", ".join(f"'{c}', `{c}`" for c in cat_cols)
+    long = row.selectExpr(f"stack({len(cat_cols)}, {stack}) as (column_name, max_code)")
+    vocab = F.col("max_code") + 1
+    return long.select("column_name", vocab.alias("vocab"),
+                       F.least(F.lit(max_dim), F.greatest(F.lit(1), F.floor(vocab / 2)))
+                       .cast("long").alias("dim"))
+
+
+def dataset_info(df: DataFrame, cat_cols: list[str], num_cols: list[str], label: str = LABEL,
+                 group_col: str = "bank_id") -> DataFrame:
+    """Feature counts, samples, fraud rate, class distribution per group."""
+    return df.groupBy(group_col).agg(
+        F.lit(len(cat_cols)).alias("n_categorical"), F.lit(len(num_cols)).alias("n_numerical"),
+        F.count(F.lit(1)).alias("samples"),
+        F.avg(F.col(label).cast("double")).alias("fraud_rate"),
+        F.count_if(F.col(label) == 0).alias("class_0"),
+        F.count_if(F.col(label) == 1).alias("class_1"))

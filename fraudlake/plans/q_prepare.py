@@ -224,18 +224,24 @@ def q_range_report(spark, sf_dir):
     return P.range_report(before, after, SCALE)
 
 
-@register("preprocess_full", "E10", views=TXI, rounded={"card2": 6, "addr2": 6},
-          sql=FILLED_SQL + ",\n" + split_sql("filled") + """,
+PREP_SQL = FILLED_SQL + ",\n" + split_sql("filled") + """,
 tr as (select * from splitted where split = 'train'),
 dvals as (select distinct bank_id, 'ProductCD' as column_name, ProductCD as value from tr
    union select distinct bank_id, 'card4', card4 from tr),
 dict as (select bank_id, column_name, value, row_number() over (partition by bank_id,
      column_name order by value) - 1 as code from dvals),
-enc as (""" + _encode_sql("splitted") + """)
+enc as (""" + _encode_sql("splitted") + ")"
+
+
+def prepared(spark, sf_dir):
+    return P.preprocess_full(fx.transactions(spark, sf_dir), fx.identity(spark, sf_dir))[0]
+
+
+@register("preprocess_full", "E10", views=TXI, rounded={"card2": 6, "addr2": 6},
+          sql=PREP_SQL + """
 select TransactionID, bank_id, split, isFraud, TransactionDT, TransactionAmt, ProductCD,
   card1, card2, card4, addr2 from enc""")
 def q_preprocess_full(spark, sf_dir):
     """Merge -> drop sparse -> impute -> bank partition -> split -> encode per bank."""
-    out, _, _ = P.preprocess_full(fx.transactions(spark, sf_dir), fx.identity(spark, sf_dir))
-    return out.select("TransactionID", "bank_id", "split", "isFraud", "TransactionDT",
+    return prepared(spark, sf_dir).select("TransactionID", "bank_id", "split", "isFraud", "TransactionDT",
                       "TransactionAmt", "ProductCD", "card1", "card2", "card4", "addr2")

@@ -1,4 +1,4 @@
 """Registered queries (one per operator of SURVEY section 2) and their oracles."""
 
-from fraudlake.plans import q_ingest, q_metrics, q_prepare, q_sample, q_split  # noqa: F401
+from fraudlake.plans import q_ingest, q_metrics, q_prepare, q_rounds, q_sample, q_split  # noqa: F401
 from fraudlake.plans.registry import ORACLE, QUERIES, SURVEY_ID  # noqa: F401

@@ -2,5 +2,6 @@
 
 from fraudlake.plans import (  # noqa: F401
     q_explain, q_ingest, q_metrics, q_monitor, q_prepare, q_privacy, q_rounds, q_sample, q_split,
+    q_stream,
     q_trends)
 from fraudlake.plans.registry import ORACLE, QUERIES, SURVEY_ID  # noqa: F401

@@ -71,6 +71,24 @@ def q_read_typed(spark, sf_dir):
                      "TransactionAmt")
 
 
+@register("bad_rows", "A3", views=D, sql="""
+select line_no, 5 as n_fields, 'too_many_fields' as reason from dirty where line_no % 53 = 0""")
+def q_bad_rows(spark, sf_dir):
+    """A3: raw CSV lines with more fields than the header are found and reported
+    (every 53rd line gets an unquoted extra field when the file is written)."""
+    path = scratch_path(spark, "raw-csv")
+    d = fx.dirty(spark, sf_dir).drop("received_at")
+    amt = F.when(F.col("line_no") % 53 == 0,
+                 F.concat(F.coalesce(F.col("TransactionAmt"), F.lit("")), F.lit(",extra"))) \
+        .otherwise(F.col("TransactionAmt"))
+    d.withColumn("TransactionAmt", amt).write.mode("overwrite").option("header", "true") \
+        .option("quote", "").csv(path)
+    bad = I.bad_rows(spark, path)
+    first = F.split(F.col("line"), ",").getItem(0).cast("long")
+    return bad.select(first.alias("line_no"), F.col("n_fields").cast("int").alias("n_fields"),
+                      "reason")
+
+
 @register("coerce_types", "B1", views=D, sql=TYPED_SQL + """
 select line_no, TransactionID, isFraud, TransactionAmt, received_at from typed""")
 def q_coerce_types(spark, sf_dir):

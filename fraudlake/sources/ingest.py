@@ -60,15 +60,17 @@ def field_counts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A3 helper: raw lines with their field count (quote-aware split)."""
     split_re = sep + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
     return spark.read.text(path).select(
-        F.col("value").alias("line"), F.size(F.split("value", split_re)).alias("n_fields"))
+        F.col("value").alias("line"), F.size(F.split("value", split_re, -1)).alias("n_fields"))
 
 
 def bad_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A3: lines with more fields than the header (pandas skips them; shorter
-    lines are padded with nulls and kept)."""
-    lines = field_counts(spark, path, sep)
-    header_fields = len(spark.read.option("header", "true").csv(path).columns)
-    return lines.where(F.col("n_fields") > header_fields).withColumn(
+    lines are padded with nulls and kept). Header lines of every part file
+    are excluded."""
+    header = spark.read.option("header", "true").csv(path).columns
+    header_line = sep.join(header)
+    lines = field_counts(spark, path, sep).where(F.col("line") != F.lit(header_line))
+    return lines.where(F.col("n_fields") > len(header)).withColumn(
         "reason", F.lit("too_many_fields"))
 
 

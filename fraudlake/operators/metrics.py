@@ -45,7 +45,9 @@ def ranking_metrics(df: DataFrame, score_col: str = "score", label_col: str = "l
     AUROC counts tied pairs 1/2. Undefined (one class) -> null.
     """
     g = list(group_cols or [])
-    t = score_groups(df, score_col, label_col, g)
+    # the per-score table is read by the bucket-bound pass and the final pass;
+    # it is small (distinct scores), so it is written once to the checkpoint dir
+    t = score_groups(df, score_col, label_col, g).checkpoint(eager=True)
     c = prefix_sums(t, g, "score", ["pos", "neg"], descending=True)
     return _finish_ranking(c, g)
 

@@ -17,9 +17,10 @@ aggregates and only ever move small, bounded tables to the driver:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ class _Target:
     below: int = 0        # rows of the subset with value < lo
     count: int = 0        # rows of the subset with lo <= value <= hi
     value: int | None = None
-    keys: list = field(default_factory=list)
+    eq: int = 0           # rows of the subset equal to the resolved value
 
 
 def _subset_id(preds: list[Column]) -> Column:
@@ -46,31 +47,43 @@ def _subset_id(preds: list[Column]) -> Column:
     return expr
 
 
-def _select_values(df: DataFrame, col: str, subsets: list[Column],
-                   ranks: list[list[int]]) -> dict[tuple[int, int], tuple[int, int]]:
+LONG_MIN, LONG_MAX = -(2 ** 63), 2 ** 63 - 1
+
+
+def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[list[int]],
+                   stats: dict | None = None) -> dict[tuple[int, int], tuple[int, int, int]]:
     """Value of integer column ``col`` at each rank inside disjoint subsets.
 
-    Returns ``{(subset, rank): (value, rows_below_value)}``.
+    ``stats`` may give ``{subset: (n, lo, hi)}`` already known to the caller
+    (lo/hi may be None for small subsets), which saves the first pass.
+    Returns ``{(subset, rank): (value, rows_below_value, rows_equal_value)}``.
     """
     if not subsets:
         return {}
     base = df.select(_subset_id(subsets).alias("_sid"), F.col(col).cast("long").alias("_v")) \
         .where(F.col("_sid").isNotNull())
-    stats = {r["_sid"]: r for r in base.groupBy("_sid").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()}
+    known = stats is not None and all(
+        sid in stats and (stats[sid][1] is not None or stats[sid][0] <= FINAL_ROWS)
+        for sid in range(len(subsets)))
+    if known:
+        st_map = {sid: (n, LONG_MIN if lo is None else lo, LONG_MAX if hi is None else hi)
+                  for sid, (n, lo, hi) in stats.items()}
+    else:
+        st_map = {r["_sid"]: (r["n"], r["lo"], r["hi"]) for r in base.groupBy("_sid").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+            .collect()}
     targets = []
     for sid, rs in enumerate(ranks):
-        st = stats.get(sid)
+        st = st_map.get(sid)
         for r in rs:
-            if st is None or r >= st["n"]:
+            if st is None or r >= st[0]:
                 continue
-            targets.append(_Target(sid, r, st["lo"], st["hi"], 0, st["n"]))
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+            targets.append(_Target(sid, r, st[1], st[2], 0, st[0]))
     while True:
         active = [t for t in targets if t.value is None]
         for t in active:
             if t.lo == t.hi:
-                t.value = t.lo
+                t.value, t.eq = t.lo, t.count
         active = [t for t in active if t.value is None]
         if not active:
             break
@@ -80,9 +93,7 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column],
             _finish_small(base, small)
         if big:
             _narrow(base, big)
-    for t in targets:
-        out[(t.subset, t.rank)] = (t.value, t.below)
-    return out
+    return {(t.subset, t.rank): (t.value, t.below, t.eq) for t in targets}
 
 
 def _range_groups(targets: list[_Target]) -> dict[tuple, list[_Target]]:
@@ -111,13 +122,14 @@ def _finish_small(base: DataFrame, targets: list[_Target]) -> None:
     wanted = reduce(lambda a, b: a | b,
                     [(F.col("_g") == g) & (F.col("_p") == p) for g, p in picks])
     # count of rows strictly below the picked value inside the range
-    below = F.min("_p").over(Window.partitionBy("_g", "_v"))
-    cand = cand.withColumn("_below", below).where(wanted)
-    found = {(r["_g"], r["_p"]): (r["_v"], r["_below"]) for r in cand.collect()}
+    same = Window.partitionBy("_g", "_v")
+    cand = (cand.withColumn("_below", F.min("_p").over(same))
+            .withColumn("_eq", F.count(F.lit(1)).over(same)).where(wanted))
+    found = {(r["_g"], r["_p"]): (r["_v"], r["_below"], r["_eq"]) for r in cand.collect()}
     for g, k in enumerate(keys):
         for t in groups[k]:
-            v, b = found[(g, t.rank - t.below)]
-            t.value = v
+            v, b, eq = found[(g, t.rank - t.below)]
+            t.value, t.eq = v, eq
             t.below += b
 
 
@@ -152,7 +164,7 @@ def _narrow(base: DataFrame, targets: list[_Target]) -> None:
 
 
 def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
-               ranks: dict) -> dict:
+               ranks) -> dict:
     """Row at each 0-based rank of ``(key asc nulls last, tie asc)`` per group.
 
     ``ranks`` maps group value -> list of ranks (``group_col=None``: key ``None``),
@@ -160,54 +172,81 @@ def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
     ``tie`` must be unique within a group and non-null. Returns
     ``{(group, rank): (key_value_or_None, tie_value)}``; ranks beyond the group
     size are omitted (every row is before them).
+
+    Passes over the data: one profile (counts, key range per group), one or
+    more narrowing levels for the key, one bounded pick of the tie column
+    (skipped when key and tie are the same column).
     """
+    cols = ([group_col] if group_col else []) + list(dict.fromkeys([key_col, tie_col]))
+    # every pass reads only (group, key, tie): keep that narrow projection for
+    # the few passes (memory and disk; a lost block is recomputed from lineage)
+    narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _cut_tuples(narrow, group_col, key_col, tie_col, ranks)
+    finally:
+        narrow.unpersist()
+
+
+def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks) -> dict:
     gcol = F.col(group_col) if group_col else F.lit(None)
     counts = {}
-    agg = df.groupBy(gcol.alias("_grp")).agg(F.count(F.lit(1)).alias("n"),
-                                             F.count(key_col).alias("nn")).collect()
+    agg = df.groupBy(gcol.alias("_grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(key_col).alias("nn"),
+        F.min(F.col(key_col).cast("long")).alias("lo"),
+        F.max(F.col(key_col).cast("long")).alias("hi")).collect()
     for r in agg:
-        counts[r["_grp"]] = (r["n"], r["nn"])
+        counts[r["_grp"]] = (r["n"], r["nn"], r["lo"], r["hi"])
     if callable(ranks):
-        ranks = {g: ranks(g, n) for g, (n, _) in counts.items()}
+        ranks = {g: ranks(g, c[0]) for g, c in counts.items()}
     groups = list(ranks)
 
     def gpred(g):
         return gcol.isNull() if g is None else (gcol == F.lit(g))
 
     # phase A: key value at the rank among non-null keys
-    subs_a, ranks_a, idx_a = [], [], {}
+    subs_a, ranks_a, idx_a, stats_a = [], [], {}, {}
     for g in groups:
-        n, nn = counts.get(g, (0, 0))
+        n, nn, lo, hi = counts.get(g, (0, 0, None, None))
         rs = [r for r in ranks[g] if r < nn]
         if rs:
             idx_a[g] = len(subs_a)
+            stats_a[len(subs_a)] = (nn, lo, hi)
             subs_a.append(gpred(g) & F.col(key_col).isNotNull())
             ranks_a.append(rs)
-    found_a = _select_values(df, key_col, subs_a, ranks_a)
+    found_a = _select_values(df, key_col, subs_a, ranks_a, stats_a)
 
     # phase B: tie value inside (group, key == v) or (group, key is null)
+    same_col = key_col == tie_col
     subs_b: list[Column] = []
     ranks_b: list[list[int]] = []
+    stats_b: dict = {}
     sub_index: dict[tuple, int] = {}
     plan = {}
+    out = {}
     for g in groups:
-        n, nn = counts.get(g, (0, 0))
+        n, nn, _, _ = counts.get(g, (0, 0, None, None))
         for r in ranks[g]:
             if r >= n:
                 continue
             if r < nn:
-                v, below = found_a[(idx_a[g], r)]
-                skey, pred, rr = (g, v), gpred(g) & (F.col(key_col) == F.lit(v)), r - below
+                v, below, eq = found_a[(idx_a[g], r)]
+                if same_col:
+                    out[(g, r)] = (v, v)
+                    continue
+                skey, pred, rr, size = (g, v), gpred(g) & (F.col(key_col) == F.lit(v)), r - below, eq
             else:
-                v, skey, pred, rr = None, (g, None), gpred(g) & F.col(key_col).isNull(), r - nn
+                v, skey, rr, size = None, (g, None), r - nn, n - nn
+                pred = gpred(g) & F.col(key_col).isNull()
             if skey not in sub_index:
                 sub_index[skey] = len(subs_b)
+                stats_b[len(subs_b)] = (size, None, None)
                 subs_b.append(pred)
                 ranks_b.append([])
             ranks_b[sub_index[skey]].append(rr)
             plan[(g, r)] = (v, sub_index[skey], rr)
-    found_b = _select_values(df, tie_col, subs_b, ranks_b)
-    return {k: (v, found_b[(sid, rr)][0]) for k, (v, sid, rr) in plan.items()}
+    found_b = _select_values(df, tie_col, subs_b, ranks_b, stats_b)
+    out.update({k: (v, found_b[(sid, rr)][0]) for k, (v, sid, rr) in plan.items()})
+    return out
 
 
 def before_cut(key_col: str, tie_col: str, cut) -> Column:

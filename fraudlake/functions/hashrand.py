@@ -33,37 +33,13 @@ def normal_pair(u1: Column, u2: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def poisson(lam: Column, u: Column, u2: Column, small_limit: float = 50.0) -> Column:
-    """Poisson(lam) draw from uniforms.
+def _poisson_quantile(lam, u, u2, small_limit: float = 50.0):
+    """Vectorised Poisson draw from uniforms (numpy).
 
-    Exact inverse-CDF search for lam <= small_limit (the search length is
-    bounded by lam + 10 sqrt(lam) + 10); normal approximation above it.
+    Exact inverse-CDF search for lam <= small_limit (k = number of CDF values
+    below u); normal approximation (Box-Muller with u2, rounded, floored at 0)
+    above it.
     """
-    kmax = F.ceil(lam + F.lit(10.0) * F.sqrt(lam) + F.lit(10.0)).cast("int")
-    start = F.struct(F.lit(0).alias("k"), F.exp(-lam).alias("p"), F.exp(-lam).alias("c"))
-    search = F.aggregate(
-        F.sequence(F.lit(1), kmax),
-        start,
-        lambda acc, j: F.when(
-            acc["c"] < u,
-            F.struct(
-                (acc["k"] + 1).alias("k"),
-                (acc["p"] * lam / j.cast("double")).alias("p"),
-                (acc["c"] + acc["p"] * lam / j.cast("double")).alias("c"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["k"].cast("long"),
-    )
-    approx = F.greatest(
-        F.lit(0).cast("long"),
-        F.round(lam + F.sqrt(lam) * normal_pair(u, u2)).cast("long"),
-    )
-    return F.when(lam <= F.lit(0.0), F.lit(0).cast("long")).when(
-        lam <= F.lit(small_limit), search).otherwise(approx)
-
-
-def _poisson_quantile(lam, u, u2, small_limit: float = 50.0):
-    """Vectorised Poisson inverse CDF (numpy), same rule as :func:`poisson`."""
     import numpy as np
 
     lam = np.asarray(lam, dtype="float64")

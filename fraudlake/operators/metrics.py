@@ -181,7 +181,10 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
                                .cast("double"))
     groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c"))
     reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    key = [F.col("score").cast("string"), F.col("label").cast("string"), F.col("rep").cast("string")]
+    # score enters the hash as an integer (1e-12 units) so the key text is the
+    # same in every engine
+    score_key = F.round(F.col("score") * F.lit(1e12)).cast("long").cast("string")
+    key = [score_key, F.col("label").cast("string"), F.col("rep").cast("string")]
     u1 = uniform(*key, seed=seed)
     u2 = uniform(*key, seed=f"{seed}b")
     drawn = reps.withColumn("w", poisson_batch(F.col("c"), u1, u2))

@@ -105,7 +105,41 @@ def q_predictions_by_class(spark, sf_dir):
     return M.predictions_by_class(df)
 
 
-@register("bootstrap_ci", "G7")
+def _u(seed: str) -> str:
+    return ("((('0x' || substr(md5(cast(cast(round(score * 1e12) as bigint) as varchar) || ':' || "
+            "cast(label as varchar) || ':' || cast(rep as varchar) || ':' || '" + seed +
+            "'), 1, 8))::bigint + 0.5) / 4294967296.0)")
+
+
+BOOT_SQL = f"""
+g as (select score, label, count(*) as c from lineitem_scores group by score, label),
+lam as (select distinct cast(c as double) as lam from g where c <= 50),
+pk as (select lam, unnest(range(0, cast(ceil(lam + 10 * sqrt(lam) + 10) as bigint) + 1)) as k
+   from lam),
+pc as (select lam, k, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) over (partition by lam
+     order by k rows between unbounded preceding and current row) as cdf from pk),
+cdfs as (select lam, list(cdf order by k) as cdf from pc group by lam),
+reps as (select score, label, cast(c as double) as lam, unnest(range(0, 1000)) as rep from g),
+dr as (select r.score, r.label, r.rep, case
+     when r.lam <= 50 then len(list_filter(d.cdf, lambda x: x < {_u('42')}))
+     else greatest(0, floor(r.lam + sqrt(r.lam) * sqrt(-2.0 * ln({_u('42')}))
+       * cos(6.283185307179586 * {_u('42b')}) + 0.5)) end as w
+   from reps r left join cdfs d on r.lam = d.lam),
+per as (select rep, score, sum(w * label) as pos, sum(w * (1 - label)) as neg from dr
+   group by rep, score),
+cum as (select *, sum(pos) over w as cp, sum(neg) over w as cn from per
+   window w as (partition by rep order by score desc
+                rows between unbounded preceding and current row)),
+rm as (select rep, sum(case when pos > 0 then pos * cp / (cp + cn) else 0 end) / sum(pos) as ap,
+   sum(neg * (cp - 0.5 * pos)) / (cast(sum(pos) as double) * sum(neg)) as auc
+   from cum group by rep having sum(pos) > 0 and sum(neg) > 0)
+select count(*) as n_valid, quantile_cont(ap, 0.025) as ap_lower,
+  quantile_cont(ap, 0.975) as ap_upper, quantile_cont(auc, 0.025) as auroc_lower,
+  quantile_cont(auc, 0.975) as auroc_upper from rm"""
+
+
+@register("bootstrap_ci", "G7", views=LI, sql=BOOT_SQL,
+          rounded={c: 9 for c in ("ap_lower", "ap_upper", "auroc_lower", "auroc_upper")})
 def q_bootstrap_ci(spark, sf_dir):
     """1000-replicate Poisson bootstrap percentile intervals of AP and AUROC."""
     return M.bootstrap_ci(scores(spark, sf_dir), n_boot=1000, seed=42)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row of ``df``.
+def combine_one_row(*parts: DataFrame) -> DataFrame:
+    """Merge one-row aggregates with distinct column names into one row.
 
-    The single row is broadcast and matched on a constant key (a hash join of
-    one build row), so no cartesian product is planned.
+    The rows are stacked (missing columns null) and folded with one global
+    aggregate: no join at all.
     """
-    k = "_one_row_key"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-            .drop(k))
+    from functools import reduce
+
+    cols = [c for p in parts for c in p.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.functions.frames import attach_row
 from fraudlake.operators.metrics import sigmoid
 from fraudlake.operators.rounds import linear_logit
 
@@ -90,14 +89,17 @@ def global_top(importance: DataFrame, n: int = 10) -> DataFrame:
 def explain_summary(explained: DataFrame) -> DataFrame:
     """Number of explanations, fraud rate, mean prediction and, per feature,
     the sum of |contribution| over appearances in top lists / explanations."""
-    totals = explained.agg(F.count(F.lit(1)).alias("n_explanations"),
-                           F.avg(F.col("predicted_class").cast("double")).alias("fraud_rate"),
-                           F.avg("prediction").alias("mean_prediction"))
+    # the totals are one row: fetched once and used as literals
+    tot = explained.agg(F.count(F.lit(1)).alias("n"),
+                        F.avg(F.col("predicted_class").cast("double")).alias("fraud_rate"),
+                        F.avg("prediction").alias("mean_prediction")).first()
     feats = explained.select(F.explode("top_features").alias("t")).groupBy(
         F.col("t.feature").alias("feature")).agg(F.sum("t.abs_contribution").alias("_s"))
-    j = attach_row(feats, totals)
-    return j.select("feature", "n_explanations", "fraud_rate", "mean_prediction",
-                    (F.col("_s") / F.col("n_explanations")).alias("avg_importance"))
+    return feats.select(
+        "feature", F.lit(tot["n"]).cast("long").alias("n_explanations"),
+        F.lit(tot["fraud_rate"]).cast("double").alias("fraud_rate"),
+        F.lit(tot["mean_prediction"]).cast("double").alias("mean_prediction"),
+        (F.col("_s") / F.lit(tot["n"])).alias("avg_importance"))
 
 
 def audit_trail(explained: DataFrame, key: str, ts, user: str, model_type: str,

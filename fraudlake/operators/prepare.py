@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudlake.functions.frames import attach_row
+from fraudlake.functions.frames import combine_one_row
 from fraudlake.operators.rank import before_cut, cut_tuples
 
 KEY = "TransactionID"
@@ -63,7 +63,7 @@ def match_rate(tx: DataFrame, ident: DataFrame, key: str = KEY) -> DataFrame:
                    F.count_if(all_present).alias("_complete"),
                    F.count_if(F.col("_hit").isNotNull()).alias("_hits"))
     n_id = ident.agg(F.count(F.lit(1)).alias("initial_identities"))
-    out = attach_row(attach_row(n_tx, n_id), m)   # three one-row aggregates
+    out = combine_one_row(n_tx, n_id, m)   # three one-row aggregates
     n = F.col("initial_transactions").cast("double")
     return out.select(
         "initial_transactions", "initial_identities", "merged_records",
@@ -351,13 +351,13 @@ def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
     """
     g = [group_col] if group_col else []
     n_entries = dictionary.count()
-    if n_entries <= broadcast_limit:
+    small = n_entries <= broadcast_limit
+    if g and small:
         maps = dictionary.groupBy(*g).agg(*[
             F.map_from_entries(F.collect_list(F.when(
                 F.col("column_name") == c, F.struct("value", "code")))).alias(f"_m_{c}")
             for c in cat_cols])
-        joined = df.join(F.broadcast(maps), g, "left") if g else attach_row(df, maps)
-        out = joined
+        out = df.join(F.broadcast(maps), g, "left")
         for c in cat_cols:
             m = F.col(f"_m_{c}")
             v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
@@ -368,16 +368,24 @@ def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
     out = df
     for c in cat_cols:
         d = dictionary.where(F.col("column_name") == c)
-        unk = d.where(F.col("value") == "Unknown").select(*g, F.col("code").alias(f"_u_{c}"))
         dc = d.select(*g, F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        if small:
+            dc = F.broadcast(dc)
         v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
         out = out.withColumn(f"_k_{c}", v)
         out = out.join(dc, [*[out[x] == dc[x] for x in g], out[f"_k_{c}"] == dc[f"_v_{c}"]], "left")
         for x in g:
             out = out.drop(dc[x])
-        out = out.join(unk, g, "left") if g else attach_row(out, unk)
-        out = out.withColumn(c, F.coalesce(F.col(f"_c_{c}"), F.col(f"_u_{c}"), F.lit(0).cast("long")))
-        out = out.drop(f"_k_{c}", f"_v_{c}", f"_c_{c}", f"_u_{c}")
+        if g:
+            unk = d.where(F.col("value") == "Unknown").select(*g, F.col("code").alias(f"_u_{c}"))
+            out = out.join(F.broadcast(unk), g, "left")
+            unknown = F.col(f"_u_{c}")
+        else:
+            # without groups there is at most one 'Unknown' code per column
+            row = d.where(F.col("value") == "Unknown").select("code").first()
+            unknown = F.lit(row[0] if row else None).cast("long")
+        out = out.withColumn(c, F.coalesce(F.col(f"_c_{c}"), unknown, F.lit(0).cast("long")))
+        out = out.drop(*[x for x in (f"_k_{c}", f"_v_{c}", f"_c_{c}", f"_u_{c}") if x in out.columns])
     return out
 
 
@@ -407,7 +415,11 @@ def standardize(df: DataFrame, scaler: DataFrame, cols: list[str],
                 group_col: str | None = None) -> DataFrame:
     """(x - mean) / sd with the fitted values (one row per group, broadcast)."""
     g = [group_col] if group_col else []
-    j = df.join(F.broadcast(scaler), g, "left") if g else attach_row(df, scaler)
+    if g:
+        j = df.join(F.broadcast(scaler), g, "left")
+    else:   # one fitted row: use its values as literals
+        row = scaler.first()
+        j = df.select("*", *[F.lit(row[f"_{k}_{c}"]).alias(f"_{k}_{c}") for c in cols for k in "ms"])
     return j.select(*[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) if c in cols
                       else F.col(c) for c in df.columns])
 
@@ -420,7 +432,7 @@ def range_report(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFr
                   *[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(cols)])
     parts = ", ".join(f"'{c}', cast(_lo{i} as double), cast(_hi{i} as double), _mu{i}, _sd{i}"
                       for i, c in enumerate(cols))
-    return attach_row(b, a).selectExpr(
+    return combine_one_row(b, a).selectExpr(
         f"stack({len(cols)}, {parts}) as (column_name, min_before, max_before, mean_after, sd_after)")
 
 
@@ -490,7 +502,12 @@ def row_weights(df: DataFrame, weights: DataFrame | None, label: str = LABEL,
         return df.withColumn("sample_weight", F.lit(1.0))
     g = [group_col] if group_col else []
     w = weights.select(*g, "weight_0", "weight_1")
-    j = df.join(F.broadcast(w), g, "left") if g else attach_row(df, w)
+    if g:
+        j = df.join(F.broadcast(w), g, "left")
+    else:   # one row of weights: literals
+        row = w.first()
+        j = df.select("*", F.lit(row["weight_0"]).alias("weight_0"),
+                      F.lit(row["weight_1"]).alias("weight_1"))
     return j.withColumn("sample_weight", F.when(F.col(label) == 1, F.col("weight_1"))
                         .otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
 

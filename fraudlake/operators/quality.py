@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.functions.frames import attach_row
+from fraudlake.functions.frames import combine_one_row
 
 # fixed value: accepted number text (after trimming); no backslashes so the
 # same literal works in Spark and DuckDB
@@ -110,7 +110,7 @@ def cleaning_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows before/after, removed rows and percent (null when empty)."""
     b = before.agg(F.count(F.lit(1)).alias("initial_rows"))
     a = after.agg(F.count(F.lit(1)).alias("final_rows"))
-    return attach_row(b, a).select(
+    return combine_one_row(b, a).select(
         "initial_rows", "final_rows",
         (F.col("initial_rows") - F.col("final_rows")).alias("rows_removed"),
         F.try_divide((F.col("initial_rows") - F.col("final_rows")) * 100.0,

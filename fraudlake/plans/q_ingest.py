@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fraudlake.functions.frames import attach_row
+from fraudlake.functions.frames import combine_one_row
 from fraudlake.operators import prepare as P
 from fraudlake.operators import quality as Q
 from fraudlake.plans.q_split import SPLIT_SQL, TX, splitted
@@ -104,8 +104,8 @@ def q_drop_empty_rows(spark, sf_dir):
     """B2: rows where every data column is null are dropped (before typing)."""
     d = fx.dirty(spark, sf_dir)
     kept = Q.drop_empty_rows(d, ignore=("line_no",))
-    return attach_row(d.agg(F.count(F.lit(1)).alias("rows_in")),
-                      kept.agg(F.count(F.lit(1)).alias("rows_out")))
+    return combine_one_row(d.agg(F.count(F.lit(1)).alias("rows_in")),
+                           kept.agg(F.count(F.lit(1)).alias("rows_out")))
 
 
 @register("require_key", "B3", views=D, sql=TYPED_SQL + """

@@ -140,13 +140,31 @@ def predictions_by_class(df: DataFrame, prob_col: str = "score", client_col: str
 
 
 def per_bank_eval(df: DataFrame, prob_col: str = "score", label_col: str = "label",
-                  bank_col: str = "bank_id") -> DataFrame:
-    """G1-G4 per bank plus the unweighted mean over banks (bank ``mean``)."""
-    rk = ranking_metrics(df, prob_col, label_col, [bank_col])
-    cf = confusion(df, prob_col, label_col, [bank_col]).select(bank_col, "precision", "recall", "f1")
-    lg = df.withColumn("_x", logit(F.col(prob_col)))
-    loss = bce_loss(lg, "_x", label_col, [bank_col])
-    per = rk.join(cf, bank_col).join(loss, bank_col).select(
+                  bank_col: str = "bank_id", threshold: float = 0.5) -> DataFrame:
+    """G1-G4 per bank plus the unweighted mean over banks (bank ``mean``).
+
+    One pass over the rows: everything is derived from the per-(bank, score)
+    table of positive and negative counts (threshold metrics and the loss are
+    functions of the score), which is checkpointed once.
+    """
+    g = [bank_col]
+    t = score_groups(df, prob_col, label_col, g).checkpoint(eager=True)
+    rk = _finish_ranking(prefix_sums(t, g, "score", ["pos", "neg"], descending=True), g)
+    x = logit(F.col("score"))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    above = F.col("score") > F.lit(threshold)
+    th = t.groupBy(*g).agg(
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).cast("double").alias("_tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).cast("double").alias("_fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).cast("double").alias("_fn"),
+        (F.sum(pos * bce_terms(x, F.lit(1)) + neg * bce_terms(x, F.lit(0)))
+         / F.sum(pos + neg)).alias("bce_loss"))
+    prec = F.coalesce(F.try_divide(F.col("_tp"), F.col("_tp") + F.col("_fp")), F.lit(0.0))
+    rec = F.coalesce(F.try_divide(F.col("_tp"), F.col("_tp") + F.col("_fn")), F.lit(0.0))
+    th = th.withColumn("precision", prec).withColumn("recall", rec).withColumn(
+        "f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("precision") * F.col("recall"),
+                                      F.col("precision") + F.col("recall")), F.lit(0.0)))
+    per = rk.join(th, bank_col).select(
         bank_col, "n_pos", "n_neg", "average_precision", "auroc", "precision", "recall", "f1",
         "bce_loss")
     metrics = ["average_precision", "auroc", "precision", "recall", "f1", "bce_loss"]

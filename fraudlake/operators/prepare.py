@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudlake.functions.frames import combine_one_row
-from fraudlake.operators.rank import before_cut, cut_tuples
+from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes
 
 KEY = "TransactionID"
 LABEL = "isFraud"
@@ -329,11 +329,11 @@ def fit_dictionary(train: DataFrame, cat_cols: list[str],
                    group_col: str | None = "bank_id") -> DataFrame:
     """E5: (group, column_name, value, code); null -> 'Unknown' before fitting;
     code = position in the sorted distinct values. Ranking runs over distinct
-    values, partitioned by (group, column)."""
+    values only, per (group, column); a near-unique column is split into
+    sampled buckets (:func:`ordinal_codes`)."""
     g = [group_col] if group_col else []
     distinct = _long_values(train, cat_cols, group_col).select(*g, "column_name", "value").distinct()
-    w = Window.partitionBy(*g, "column_name").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("long"))
+    return ordinal_codes(distinct, [*g, "column_name"], "value")
 
 
 BROADCAST_DICT_ROWS = 2_000_000

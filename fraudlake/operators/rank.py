@@ -303,3 +303,49 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols
     return joined.select(
         *df.columns,
         *[(F.sum(v).over(w_in) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in value_cols])
+
+
+WINDOW_LIMIT = 1_000_000   # distinct values one task may rank with a plain window
+SAMPLE_PER_BUCKET = 20
+
+
+def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
+                  limit: int | None = None, bucket_rows: int = 200_000) -> DataFrame:
+    """0-based position of each value in the sorted distinct values of its
+    partition (``distinct`` must be unique on part_cols + value).
+
+    Partitions up to ``limit`` values are ranked with one window each. Larger
+    ones are cut into buckets at literal bounds taken from a sample (collected
+    once, so recomputation gives the same buckets); each bucket is ranked on
+    its own and shifted by the counts of the buckets before it.
+    """
+    limit = WINDOW_LIMIT if limit is None else limit
+    sizes = distinct.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > limit).collect()
+    w_plain = Window.partitionBy(*part_cols).orderBy(value_col)
+    if not sizes:
+        return distinct.withColumn("code", (F.row_number().over(w_plain) - 1).cast("long"))
+    cond_of = {}
+    bounds_expr = F.lit(None).cast("array<string>")
+    for r in sizes:
+        key = tuple(r[c] for c in part_cols)
+        cond = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(part_cols, key)])
+        n_buckets = max(2, -(-r["n"] // bucket_rows))
+        frac = min(1.0, n_buckets * SAMPLE_PER_BUCKET / r["n"])
+        sample = sorted(x[0] for x in distinct.where(cond).select(value_col)
+                        .sample(fraction=frac, seed=17).collect())
+        step = max(1, len(sample) // n_buckets)
+        bounds = sorted(set(sample[step::step]))
+        cond_of[key] = cond
+        bounds_expr = F.when(cond, F.array(*[F.lit(b) for b in bounds])).otherwise(bounds_expr)
+    b = distinct.withColumn("_bucket", F.coalesce(
+        F.size(F.filter(bounds_expr, lambda x: x <= F.col(value_col))), F.lit(0)))
+    totals = b.groupBy(*part_cols, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    w_off = Window.partitionBy(*part_cols).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.select(*part_cols, "_bucket",
+                            F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
+    w_in = Window.partitionBy(*part_cols, "_bucket").orderBy(value_col)
+    return (b.join(offsets, [*part_cols, "_bucket"])
+            .withColumn("code", (F.row_number().over(w_in) - 1 + F.col("_off")).cast("long"))
+            .drop("_bucket", "_off"))

@@ -127,3 +127,16 @@ def test_bootstrap_matches_numpy_and_partitioning(spark):
         cdf = sum(exp(-lm) * lm ** i / factorial(i) for i in range(kk + 1))
         below = sum(exp(-lm) * lm ** i / factorial(i) for i in range(kk))
         assert below < uu <= cdf + 1e-12
+
+
+def test_ordinal_codes_bucketed_equals_window(spark):
+    rnd = random.Random(9)
+    vals = {("a", "c1"): sorted({f"v{rnd.randint(0, 10**6):07d}" for _ in range(3000)}),
+            ("b", "c1"): sorted({f"w{rnd.randint(0, 99):02d}" for _ in range(500)})}
+    rows = [(g, c, v) for (g, c), vs in vals.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, column_name string, value string")
+    out = rank.ordinal_codes(df, ["g", "column_name"], "value", limit=200, bucket_rows=300)
+    got = {(r["g"], r["column_name"], r["value"]): r["code"] for r in out.collect()}
+    for (g, c), vs in vals.items():
+        for i, v in enumerate(vs):
+            assert got[(g, c, v)] == i

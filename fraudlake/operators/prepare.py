@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudlake.functions.frames import combine_one_row
-from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes
+from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes, values_at_ranks
 
 KEY = "TransactionID"
 LABEL = "isFraud"
@@ -256,34 +256,57 @@ def fit_imputation(df: DataFrame, key: str = KEY, label: str = LABEL,
                    profile: dict | None = None) -> list[tuple[str, str, object]]:
     """(column, method, value) for every column with nulls.
 
-    Numbers: exact median (``percentile``; ``exact=False`` uses
-    ``percentile_approx``). Text: mode, smallest value on ties, ``Unknown``
-    when the column has no values. One aggregate for all columns.
+    Numbers: exact median (mean of the two middle values) found by rank
+    selection over a stacked (column, value) projection, so no task holds a
+    column's distinct values; ``exact=False`` uses ``percentile_approx``.
+    Text: mode from a distributed (column, value) count, smallest value on
+    ties, ``Unknown`` when the column has no values. NaN counts as missing.
     """
     prof = profile or null_fractions(df)
     skip = set() if impute_essential else {key, label}
     todo = [f for f in df.schema.fields if prof[f.name][0] > 0 and f.name not in skip]
-    if not todo:
-        return []
-    aggs = []
-    for i, f in enumerate(todo):
-        if isinstance(f.dataType, NUMERIC_TYPES):
-            c = F.col(f.name).cast("double")
-            aggs.append((F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, 100000))
-                        .alias(f"_v{i}"))
-        else:
-            aggs.append(F.mode(F.col(f.name).cast("string"), deterministic=True).alias(f"_v{i}"))
-    row = df.agg(*aggs).first()
+    num = [f.name for f in todo if isinstance(f.dataType, NUMERIC_TYPES)]
+    txt = [f.name for f in todo if not isinstance(f.dataType, NUMERIC_TYPES)]
+    medians: dict = {}
+    if num and not exact:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c)
+                       for c in num]).first()
+        medians = {c: row[c] for c in num}
+    elif num:
+        stacked = _stack(df, num, "double")
+        stacked = stacked.where(~F.isnan("v"))
+        counts = {r["c"]: r["n"] for r in stacked.groupBy("c").agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        ranks = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n > 0}
+        found = values_at_ranks(stacked, "c", "v", ranks)
+        for c, n in counts.items():
+            if n == 0:
+                continue
+            a, b = found[(c, (n - 1) // 2)], found[(c, n // 2)]
+            medians[c] = a + (b - a) * 0.5
+    modes: dict = {}
+    if txt:
+        stacked = _stack(df, txt, "string")
+        best = (stacked.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k"))
+                .groupBy("c").agg(F.min(F.struct((-F.col("k")).alias("nk"), F.col("v"))).alias("b"))
+                .collect())
+        modes = {r["c"]: r["b"]["v"] for r in best}
     out = []
-    for i, f in enumerate(todo):
-        v = row[f"_v{i}"]
-        if isinstance(f.dataType, NUMERIC_TYPES):
-            out.append((f.name, "median", v))
+    for f in todo:
+        if f.name in num:
+            out.append((f.name, "median", medians.get(f.name)))
         else:
-            out.append((f.name, "mode", "Unknown" if v is None else v))
+            out.append((f.name, "mode", modes.get(f.name, "Unknown")))
     return out
 
 
+def _stack(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
+    """(c, v) rows for the non-null values of ``cols``."""
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast(kind).alias("v"))
+                             for c in cols])).alias("_kv")
+    return df.select(kv).select("_kv.c", "_kv.v").where(F.col("v").isNotNull())
+
+
 def apply_imputation(df: DataFrame, fills: list[tuple[str, str, object]]) -> DataFrame:
     by = {c: v for c, _, v in fills}
     return df.select(*[

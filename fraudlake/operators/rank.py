@@ -51,7 +51,8 @@ LONG_MIN, LONG_MAX = -(2 ** 63), 2 ** 63 - 1
 
 
 def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[list[int]],
-                   stats: dict | None = None) -> dict[tuple[int, int], tuple[int, int, int]]:
+                   stats: dict | None = None,
+                   kind: str = "long") -> dict[tuple[int, int], tuple[int, int, int]]:
     """Value of integer column ``col`` at each rank inside disjoint subsets.
 
     ``stats`` may give ``{subset: (n, lo, hi)}`` already known to the caller
@@ -60,13 +61,14 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[l
     """
     if not subsets:
         return {}
-    base = df.select(_subset_id(subsets).alias("_sid"), F.col(col).cast("long").alias("_v")) \
+    base = df.select(_subset_id(subsets).alias("_sid"), F.col(col).cast(kind).alias("_v")) \
         .where(F.col("_sid").isNotNull())
+    lo_all, hi_all = (LONG_MIN, LONG_MAX) if kind == "long" else (float("-inf"), float("inf"))
     known = stats is not None and all(
         sid in stats and (stats[sid][1] is not None or stats[sid][0] <= FINAL_ROWS)
         for sid in range(len(subsets)))
     if known:
-        st_map = {sid: (n, LONG_MIN if lo is None else lo, LONG_MAX if hi is None else hi)
+        st_map = {sid: (n, lo_all if lo is None else lo, hi_all if hi is None else hi)
                   for sid, (n, lo, hi) in stats.items()}
     else:
         st_map = {r["_sid"]: (r["n"], r["lo"], r["hi"]) for r in base.groupBy("_sid").agg(
@@ -92,7 +94,7 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[l
         if small:
             _finish_small(base, small)
         if big:
-            _narrow(base, big)
+            _narrow(base, big, kind)
     return {(t.subset, t.rank): (t.value, t.below, t.eq) for t in targets}
 
 
@@ -133,18 +135,27 @@ def _finish_small(base: DataFrame, targets: list[_Target]) -> None:
             t.below += b
 
 
-def _narrow(base: DataFrame, targets: list[_Target]) -> None:
-    """One histogram level: split each active range into N_BINS integer bins."""
+def _width(lo, hi, kind: str):
+    if kind == "long":
+        return max(1, -(-(hi - lo + 1) // N_BINS))
+    w = (hi - lo) / N_BINS
+    # too narrow a range for N_BINS distinct doubles: split at the ends
+    return w if w > 0 and lo + w > lo else float(hi - lo)
+
+
+def _narrow(base: DataFrame, targets: list[_Target], kind: str = "long") -> None:
+    """One histogram level: split each active range into N_BINS bins."""
     groups = _range_groups(targets)
     keys = list(groups)
-    widths = [max(1, -(-(hi - lo + 1) // N_BINS)) for (_, lo, hi) in keys]
+    widths = [_width(lo, hi, kind) for (_, lo, hi) in keys]
     gid = _range_id(keys)
     lo_expr = reduce(lambda acc, i: F.when(F.col("_g") == i, F.lit(keys[i][1])).otherwise(acc),
-                     range(len(keys)), F.lit(None).cast("long"))
+                     range(len(keys)), F.lit(None).cast(kind))
     w_expr = reduce(lambda acc, i: F.when(F.col("_g") == i, F.lit(widths[i])).otherwise(acc),
-                    range(len(keys)), F.lit(None).cast("long"))
+                    range(len(keys)), F.lit(None).cast(kind))
+    bin_no = F.least(F.floor((F.col("_v") - lo_expr) / w_expr), F.lit(N_BINS))
     hist = (base.select(gid.alias("_g"), "_v").where(F.col("_g").isNotNull())
-            .groupBy("_g", F.floor((F.col("_v") - lo_expr) / w_expr).alias("_b"))
+            .groupBy("_g", bin_no.alias("_b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
             .collect())
     per_group: dict[int, list] = {}
@@ -349,3 +360,21 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
     return (b.join(offsets, [*part_cols, "_bucket"])
             .withColumn("code", (F.row_number().over(w_in) - 1 + F.col("_off")).cast("long"))
             .drop("_bucket", "_off"))
+
+
+def values_at_ranks(df: DataFrame, part_col: str, value_col: str, ranks: dict,
+                    kind: str = "double") -> dict:
+    """Exact order statistics of a numeric column per part: ``{(part, rank): value}``.
+
+    Same narrowing as :func:`cut_tuples`; memory per task stays bounded no
+    matter how many distinct values a part holds (unlike an exact percentile
+    aggregate, which keeps every distinct value of a group in one buffer).
+    """
+    parts = list(ranks)
+    narrow = df.select(part_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        subsets = [F.col(part_col) == F.lit(p) for p in parts]
+        found = _select_values(narrow, value_col, subsets, [ranks[p] for p in parts], kind=kind)
+    finally:
+        narrow.unpersist()
+    return {(parts[sid], r): v[0] for (sid, r), v in found.items()}

@@ -140,3 +140,17 @@ def test_ordinal_codes_bucketed_equals_window(spark):
     for (g, c), vs in vals.items():
         for i, v in enumerate(vs):
             assert got[(g, c, v)] == i
+
+
+@pytest.mark.parametrize("final_rows,n_bins", [(100_000, 4096), (7, 3)])
+def test_exact_median_by_selection(spark, monkeypatch, final_rows, n_bins):
+    monkeypatch.setattr(rank, "FINAL_ROWS", final_rows)
+    monkeypatch.setattr(rank, "N_BINS", n_bins)
+    rnd = random.Random(11)
+    a = [rnd.choice([1.5, 1.5, 1.5, rnd.uniform(-1e6, 1e6)]) for _ in range(301)]
+    b = [rnd.uniform(0, 1) * 10 ** rnd.randint(-5, 5) for _ in range(200)]
+    rows = [(x, None) for x in a] + [(None, y) for y in b] + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "a double, b double")
+    fills = dict((c, v) for c, _, v in P.fit_imputation(df))
+    assert fills["a"] == float(np.median(a))
+    assert abs(fills["b"] - float(np.median(b))) <= 1e-15 * abs(float(np.median(b)))

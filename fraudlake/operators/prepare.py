@@ -227,12 +227,28 @@ def normalise_nan(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def null_fractions(df: DataFrame) -> dict[str, tuple[int, int]]:
-    """(null count, rows) per column in one aggregate (a bounded one-row result)."""
-    row = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(F.col(c).isNull()).alias(f"_n{i}")
-                   for i, c in enumerate(df.columns)]).first()
-    return {c: (row[f"_n{i}"], row["_rows"]) for i, c in enumerate(df.columns)}
+def null_fractions(df: DataFrame) -> dict[str, tuple]:
+    """Column profile in one aggregate (a bounded one-row result):
+    ``(null count, rows, valid numbers, min, max)``; the last three only for
+    numeric columns (NaN counts as missing)."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    numeric = set()
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f.name)
+        aggs.append(F.count_if(c.isNull()).alias(f"_n{i}"))
+        if isinstance(f.dataType, NUMERIC_TYPES):
+            numeric.add(f.name)
+            ok = F.when(~F.isnan(c.cast("double")), c.cast("double"))
+            aggs += [F.count(ok).alias(f"_v{i}"), F.min(ok).alias(f"_lo{i}"),
+                     F.max(ok).alias(f"_hi{i}")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(df.columns):
+        if c in numeric:
+            out[c] = (row[f"_n{i}"], row["_rows"], row[f"_v{i}"], row[f"_lo{i}"], row[f"_hi{i}"])
+        else:
+            out[c] = (row[f"_n{i}"], row["_rows"], None, None, None)
+    return out
 
 
 def sparse_columns(df: DataFrame, threshold: float = 0.5,
@@ -240,7 +256,8 @@ def sparse_columns(df: DataFrame, threshold: float = 0.5,
     """Columns with null fraction strictly above ``threshold`` (never essentials)."""
     prof = profile or null_fractions(df)
     out = []
-    for c, (nulls, rows) in prof.items():
+    for c, p in prof.items():
+        nulls, rows = p[0], p[1]
         if rows > 0 and nulls / rows > threshold and c not in ESSENTIAL_COLUMNS:
             out.append(c)
     return out
@@ -275,10 +292,12 @@ def fit_imputation(df: DataFrame, key: str = KEY, label: str = LABEL,
     elif num:
         stacked = _stack(df, num, "double")
         stacked = stacked.where(~F.isnan("v"))
-        counts = {r["c"]: r["n"] for r in stacked.groupBy("c").agg(
-            F.count(F.lit(1)).alias("n")).collect()}
+        # valid counts and ranges come from the column profile (no extra pass)
+        counts = {c: prof[c][2] for c in num}
+        ranges = {c: (prof[c][3], prof[c][4]) for c in num}
         ranks = {c: sorted({(n - 1) // 2, n // 2}) for c, n in counts.items() if n > 0}
-        found = values_at_ranks(stacked, "c", "v", ranks)
+        found = values_at_ranks(stacked, "c", "v", ranks,
+                                stats={c: (counts[c], *ranges[c]) for c in ranks})
         for c, n in counts.items():
             if n == 0:
                 continue
@@ -356,7 +375,8 @@ def fit_dictionary(train: DataFrame, cat_cols: list[str],
     sampled buckets (:func:`ordinal_codes`)."""
     g = [group_col] if group_col else []
     distinct = _long_values(train, cat_cols, group_col).select(*g, "column_name", "value").distinct()
-    return ordinal_codes(distinct, [*g, "column_name"], "value")
+    # small (distinct values only) and read by the size check and the encoder
+    return ordinal_codes(distinct, [*g, "column_name"], "value").checkpoint(eager=True)
 
 
 BROADCAST_DICT_ROWS = 2_000_000
@@ -472,11 +492,16 @@ def preprocess_full(tx: DataFrame, ident: DataFrame, num_banks: int = 3,
     dictionary size check; everything else stays one lazy plan.
     """
     merged = merge_identity(tx, ident)
-    filled, dropped, fills = handle_missing(merged, threshold)
     if cut_lineage:
-        # the join and fills feed several cut/profile jobs: write them once to
-        # the shared checkpoint folder instead of re-joining per job
-        filled = filled.checkpoint(eager=True)
+        # the join feeds the profile, median, mode, cut and dictionary passes:
+        # write it once as Parquet in the shared checkpoint folder, so every
+        # later pass reads only the columns it needs
+        from fraudlake.session import scratch_path
+        spark = merged.sparkSession
+        path = scratch_path(spark, "merged")
+        merged.write.mode("overwrite").parquet(path)
+        merged = spark.read.parquet(path)
+    filled, dropped, fills = handle_missing(merged, threshold)
     banked = bank_partition(filled, num_banks=num_banks)
     split = temporal_split(banked, *ratios)
     cat, _ = feature_roles(split)

@@ -57,6 +57,7 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[l
 
     ``stats`` may give ``{subset: (n, lo, hi)}`` already known to the caller
     (lo/hi may be None for small subsets), which saves the first pass.
+    ``kind`` is ``long`` (exact integer bins) or ``double``.
     Returns ``{(subset, rank): (value, rows_below_value, rows_equal_value)}``.
     """
     if not subsets:
@@ -363,7 +364,7 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
 
 
 def values_at_ranks(df: DataFrame, part_col: str, value_col: str, ranks: dict,
-                    kind: str = "double") -> dict:
+                    kind: str = "double", stats: dict | None = None) -> dict:
     """Exact order statistics of a numeric column per part: ``{(part, rank): value}``.
 
     Same narrowing as :func:`cut_tuples`; memory per task stays bounded no
@@ -374,7 +375,8 @@ def values_at_ranks(df: DataFrame, part_col: str, value_col: str, ranks: dict,
     narrow = df.select(part_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         subsets = [F.col(part_col) == F.lit(p) for p in parts]
-        found = _select_values(narrow, value_col, subsets, [ranks[p] for p in parts], kind=kind)
+        st = None if stats is None else {i: stats[p] for i, p in enumerate(parts)}
+        found = _select_values(narrow, value_col, subsets, [ranks[p] for p in parts], st, kind)
     finally:
         narrow.unpersist()
     return {(parts[sid], r): v[0] for (sid, r), v in found.items()}

@@ -56,3 +56,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster file system (any scheme)."""
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())

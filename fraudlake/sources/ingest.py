@@ -27,13 +27,16 @@ def detect_kind(path: str, columns: list[str]) -> str:
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None,
-               int_null: str = "null") -> DataFrame:
+               int_null: str = "null", fmt: str | None = None) -> DataFrame:
     """A1: read CSV (header, all text) or Parquet and apply the declared types.
 
     CSV is read with an all-string schema taken from the header line, so no
-    inference pass runs over the data.
+    inference pass runs over the data. ``fmt`` defaults to the file suffix,
+    or for a folder to whether it holds ``.csv`` files.
     """
-    if path.endswith(".parquet") or os.path.isdir(path) and not _has_csv(path):
+    fmt = fmt or ("parquet" if path.endswith(".parquet") else
+                  "csv" if path.endswith(".csv") or _has_csv(spark, path) else "parquet")
+    if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         header = spark.read.option("header", "true").csv(path).columns
@@ -44,11 +47,14 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None,
     return coerce_types(df, spec, int_null=int_null)
 
 
-def _has_csv(path: str) -> bool:
-    try:
-        return any(f.endswith(".csv") for f in os.listdir(path))
-    except OSError:
+def _has_csv(spark: SparkSession, path: str) -> bool:
+    """Does the folder hold CSV part files (checked on the cluster file system)?"""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
         return False
+    return any(st.getPath().getName().endswith(".csv") for st in fs.listStatus(p))
 
 
 def write_csv(df: DataFrame, path: str) -> str:

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fraudlake.operators import quality as Q
+from fraudlake.session import is_dir, path_exists
 from fraudlake.sources.fixtures import _DIRTY_COLUMNS, _METRIC_EVENT_COLUMNS, _cols
 
 
-def _watch_path(path: str) -> str:
+def _watch_path(spark: SparkSession, path: str) -> str:
     """A file stream watches a folder or a glob; a single file is watched
     through a one-file glob (its last character as a character class)."""
-    if os.path.isdir(path):
+    if is_dir(spark, path):
         return path
     head, name = os.path.split(path)
     return os.path.join(head, f"{name[:-1]}[{name[-1]}]")
@@ -32,7 +33,7 @@ def event_stream(spark: SparkSession, events_path: str, max_files: int | None =
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.parquet(_watch_path(events_path))
+    raw = reader.parquet(_watch_path(spark, events_path))
     return raw.selectExpr(*_cols(_METRIC_EVENT_COLUMNS, "spark")) \
         .withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -74,9 +75,13 @@ def batch_twin(ev: DataFrame, watermark_seconds: int = 600, width: str = "1 minu
 
 # --- M18: quarantine on arriving files -----------------------------------------------------------
 
-def record_stream(spark: SparkSession, orders_path: str) -> DataFrame:
+def record_stream(spark: SparkSession, orders_path: str,
+                  max_files: int | None = None) -> DataFrame:
     schema = spark.read.parquet(orders_path).schema
-    return spark.readStream.schema(schema).parquet(_watch_path(orders_path)).selectExpr(
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(_watch_path(spark, orders_path)).selectExpr(
         *_cols(_DIRTY_COLUMNS, "spark"))
 
 
@@ -94,7 +99,7 @@ def quarantine_batch(good_path: str, bad_path: str):
         typed = Q.coerce_types(batch)
         reasons = Q.reject_reasons(raw, typed)
         accepted = reasons.where(F.col("reject_reason").isNull())
-        if os.path.exists(good_path):
+        if path_exists(spark, good_path):
             seen = spark.read.parquet(good_path).select("TransactionID").distinct()
             repeat = accepted.join(seen, "TransactionID", "left_semi") \
                 .withColumn("reject_reason", F.lit("duplicate_key"))
@@ -110,10 +115,11 @@ def quarantine_batch(good_path: str, bad_path: str):
     return run
 
 
-def stream_quarantine(spark: SparkSession, orders_path: str, base: str) -> DataFrame:
+def stream_quarantine(spark: SparkSession, orders_path: str, base: str,
+                      max_files: int | None = None) -> DataFrame:
     """M18 end to end; returns record counts per (table, reason)."""
     good, bad = os.path.join(base, "good"), os.path.join(base, "bad")
-    q = (record_stream(spark, orders_path).writeStream
+    q = (record_stream(spark, orders_path, max_files).writeStream
          .foreachBatch(quarantine_batch(good, bad))
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
          .trigger(availableNow=True).start())

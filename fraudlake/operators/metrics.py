@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudlake.functions.buckets import fine_bins
 from fraudlake.functions.hashrand import uniform
 from fraudlake.functions.vectorized import poisson_batch
 from fraudlake.operators.rank import prefix_sums
@@ -191,11 +192,15 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
     base = df.select(s.alias("score"), F.col(label_col).cast("long").alias("label"))
     n_distinct = base.agg(F.approx_count_distinct("score").alias("d")).first()["d"]
     if n_distinct > max_bins:
-        fr = [i / max_bins for i in range(1, max_bins)]
-        bounds = sorted(set(base.agg(F.percentile_approx("score", fr, 10 * max_bins))
-                            .first()[0]))
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        base = base.withColumn("score", F.size(F.filter(arr, lambda b: b < F.col("score")))
+        # coarse quantile buckets (comparison tree) refined by equal-width
+        # sub-bins: O(log) + O(1) per row, monotone in the score
+        coarse = 127
+        per = -(-max_bins // (coarse + 1))
+        row = base.agg(F.percentile_approx("score", [i / (coarse + 1) for i in range(1, coarse + 1)],
+                                           10 * max_bins).alias("q"),
+                       F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+        bounds = sorted(set(float(b) for b in row["q"]))
+        base = base.withColumn("score", fine_bins(F.col("score"), bounds, row["lo"], row["hi"], per)
                                .cast("double"))
     groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c"))
     reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))

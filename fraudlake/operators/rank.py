@@ -24,6 +24,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudlake.functions.buckets import TREE_BUDGET, count_at_most, count_less, thin
+
 FINAL_ROWS = 100_000   # candidates at most this many: finish with a bounded sort
 N_BINS = 4096          # histogram width per narrowing level
 
@@ -273,7 +275,7 @@ def before_cut(key_col: str, tie_col: str, cut) -> Column:
 
 
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
-                descending: bool = True, n_buckets: int = 256) -> DataFrame:
+                descending: bool = True, n_buckets: int = 128) -> DataFrame:
     """Add ``cum_<v>`` running sums (inclusive) over ``order_col`` per group.
 
     ``df`` must be unique on ``group_cols + [order_col]`` (a grouped table).
@@ -284,26 +286,21 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols
     bounds_rows = (df.groupBy(*group_cols)
                    .agg(F.percentile_approx(order_col, fr, 10 * n_buckets).alias("_bounds"))
                    .collect())
-    gkeys = [tuple(r[c] for c in group_cols) for r in bounds_rows]
-    bound_expr = F.lit(None).cast("array<double>")
-    for key, r in zip(gkeys, bounds_rows):
-        bs = sorted(set(float(b) for b in r["_bounds"] if b is not None))
-        cond = reduce(lambda a, b: a & b,
-                      [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(group_cols, key)],
-                      F.lit(True))
-        bound_expr = F.when(cond, F.array(*[F.lit(b) for b in bs]).cast("array<double>")) \
-            .otherwise(bound_expr)
     x = F.col(order_col).cast("double")
-    if descending:
-        bucket = F.size(F.filter(F.coalesce(bound_expr, F.array().cast("array<double>")),
-                                 lambda b: b >= x))
-    else:
-        bucket = F.size(F.filter(F.coalesce(bound_expr, F.array().cast("array<double>")),
-                                 lambda b: b < x))
+    bucket = F.lit(0)
+    keep = max(8, TREE_BUDGET // max(1, len(bounds_rows)))
+    for r in bounds_rows:
+        bs = thin(sorted(set(float(b) for b in r["_bounds"] if b is not None)), keep)
+        cond = reduce(lambda a, b: a & b,
+                      [F.col(c).eqNullSafe(F.lit(r[c])) for c in group_cols], F.lit(True))
+        bucket = F.when(cond, count_less(x, bs)).otherwise(bucket)
+    n_groups = len(bounds_rows)
     with_b = df.withColumn("_bucket", bucket)
     totals = with_b.groupBy(*group_cols, "_bucket").agg(
         *[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    w_off = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
+    # buckets run in the order of the running sum
+    border = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    w_off = Window.partitionBy(*group_cols).orderBy(border).rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
@@ -311,7 +308,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols
     w_in = Window.partitionBy(*group_cols, "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     joined = with_b.join(F.broadcast(offsets), on=[*group_cols, "_bucket"], how="left") \
-        if len(gkeys) * n_buckets <= 1_000_000 else with_b.join(offsets, [*group_cols, "_bucket"])
+        if n_groups * n_buckets <= 1_000_000 else with_b.join(offsets, [*group_cols, "_bucket"])
     return joined.select(
         *df.columns,
         *[(F.sum(v).over(w_in) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in value_cols])
@@ -338,7 +335,7 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
     if not sizes:
         return distinct.withColumn("code", (F.row_number().over(w_plain) - 1).cast("long"))
     cond_of = {}
-    bounds_expr = F.lit(None).cast("array<string>")
+    bucket = F.lit(0)
     for r in sizes:
         key = tuple(r[c] for c in part_cols)
         cond = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(part_cols, key)])
@@ -347,11 +344,10 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
         sample = sorted(x[0] for x in distinct.where(cond).select(value_col)
                         .sample(fraction=frac, seed=17).collect())
         step = max(1, len(sample) // n_buckets)
-        bounds = sorted(set(sample[step::step]))
+        bounds = thin(sorted(set(sample[step::step])), max(8, TREE_BUDGET // len(sizes)))
         cond_of[key] = cond
-        bounds_expr = F.when(cond, F.array(*[F.lit(b) for b in bounds])).otherwise(bounds_expr)
-    b = distinct.withColumn("_bucket", F.coalesce(
-        F.size(F.filter(bounds_expr, lambda x: x <= F.col(value_col))), F.lit(0)))
+        bucket = F.when(cond, count_at_most(F.col(value_col), bounds)).otherwise(bucket)
+    b = distinct.withColumn("_bucket", bucket)
     totals = b.groupBy(*part_cols, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     w_off = Window.partitionBy(*part_cols).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)

@@ -154,3 +154,20 @@ def test_exact_median_by_selection(spark, monkeypatch, final_rows, n_bins):
     fills = dict((c, v) for c, _, v in P.fit_imputation(df))
     assert fills["a"] == float(np.median(a))
     assert abs(fills["b"] - float(np.median(b))) <= 1e-15 * abs(float(np.median(b)))
+
+
+def test_fine_bins_monotone_and_bounded(spark):
+    from fraudlake.functions.buckets import fine_bins
+    rnd = random.Random(2)
+    xs = sorted(rnd.random() ** 4 for _ in range(3000))
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    bounds = sorted({xs[i] for i in range(100, 3000, 100)})
+    out = [r[0] for r in df.select(fine_bins(F.col("x"), bounds, xs[0], xs[-1], 10).alias("b"))
+           .orderBy("x").collect()]
+    assert out == sorted(out) and min(out) >= 0 and max(out) < (len(bounds) + 1) * 10
+
+
+def test_bootstrap_binned_path_runs(spark):
+    sc = fx.lineitem_scores(spark, SF_SMALL)
+    r = M.bootstrap_ci(sc, n_boot=20, seed=1, max_bins=50).first()
+    assert r["n_valid"] > 0 and r["auroc_lower"] <= r["auroc_upper"]

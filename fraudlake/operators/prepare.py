@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlake.functions.buckets import count_less
 from fraudlake.functions.frames import combine_one_row
 from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes, values_at_ranks
 
@@ -584,14 +585,18 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
     """Class-balanced draw with replacement, expected N rows per group.
 
     Row i is repeated Poisson(w_i * N / sum(w)) times. The rate depends only on
-    (group, class), so the inverse CDF per rate is a short literal array; the
-    draw is ``size(filter(cdf, c -> c < u))`` with u from md5(key, seed).
+    (group, class), so the inverse CDF per rate is a short literal list; the
+    draw is the number of CDF values below u (u from md5(key, seed)), looked
+    up with a comparison tree.
     Deterministic under any partitioning; the groups' counts are collected
     (one row per group).
     """
     cw = class_weights(df, label, group_col).collect()
     g = [group_col] if group_col else []
-    cdf_expr = F.lit(None).cast("array<double>")
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
+                            1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    # draw = number of CDF values below u, as a code-generated comparison tree
+    draws = F.lit(0)
     for r in cw:
         sw = r["n_0"] * r["weight_0"] + r["n_1"] * r["weight_1"]
         for cls in (0, 1):
@@ -599,11 +604,7 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
             cond = F.col(label) == cls
             if g:
                 cond = cond & (F.col(group_col) == F.lit(r[group_col]))
-            arr = F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
-            cdf_expr = F.when(cond, arr).otherwise(cdf_expr)
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
-                            1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
-    draws = F.size(F.filter(cdf_expr, lambda c: c < u))
+            draws = F.when(cond, count_less(u, poisson_cdf(lam))).otherwise(draws)
     with_d = df.withColumn("_draws", draws)
     return (with_d.where(F.col("_draws") > 0)
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))

@@ -41,6 +41,22 @@ def to_long(d: Column) -> Column:
     return F.when(F.abs(d) < F.lit(LONG_LIMIT), d.cast("long"))
 
 
+def coerce_expr(name: str, kind: str | None, int_null: str = "null") -> Column:
+    """Typed value of column ``name`` for a declared kind (None: unchanged)."""
+    c = F.col(name)
+    if kind is None:
+        return c
+    if kind == "category":
+        return c.cast("string").alias(name)
+    d = parse_number(c)
+    if kind == "float64":
+        return d.alias(name)
+    v = to_long(d)
+    if int_null == "zero":
+        v = F.coalesce(v, F.lit(0).cast("long"))
+    return (v.cast("int") if kind == "int8" else v).alias(name)
+
+
 def coerce_types(df: DataFrame, spec: dict[str, str] | None = None,
                  int_null: str = "null") -> DataFrame:
     """B1: apply declared types to the columns present; keep the others.
@@ -49,25 +65,7 @@ def coerce_types(df: DataFrame, spec: dict[str, str] | None = None,
     ``int_null="zero"`` missing integers become 0 (reference behaviour).
     """
     spec = TRANSACTION_TYPES if spec is None else spec
-    out = []
-    for name in df.columns:
-        kind = spec.get(name)
-        c = F.col(name)
-        if kind is None:
-            out.append(c)
-            continue
-        if kind == "category":
-            out.append(c.cast("string").alias(name))
-            continue
-        d = parse_number(c)
-        if kind == "float64":
-            out.append(d.alias(name))
-            continue
-        v = to_long(d)
-        if int_null == "zero":
-            v = F.coalesce(v, F.lit(0).cast("long"))
-        out.append((v.cast("int") if kind == "int8" else v).alias(name))
-    return df.select(*out)
+    return df.select(*[coerce_expr(n, spec.get(n), int_null) for n in df.columns])
 
 
 def drop_empty_rows(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -165,18 +163,21 @@ def integrity_report(df: DataFrame, key: str = "TransactionID", label: str = "is
         F.try_divide(F.col("label_1") * 100.0, F.col("total_records")).alias("fraud_rate_percent"))
 
 
-def reject_reasons(raw: DataFrame, typed: DataFrame, key: str = "TransactionID",
-                   label: str = "isFraud", order_by: str = "line_no") -> DataFrame:
+def reject_reasons(records: DataFrame, spec: dict[str, str] | None = None,
+                   key: str = "TransactionID", label: str = "isFraud",
+                   order_by: str = "line_no", carry: tuple[str, ...] = ()) -> DataFrame:
     """Reason per record, in the order the reference filters act:
     empty_row, missing_key, bad_label, duplicate_key; null = accepted.
 
-    ``raw`` (text) and ``typed`` (after B1) share ``order_by``. The first line
-    per key is found with an aggregate (partial on the map side) and joined
-    back, so hot keys are pre-reduced.
+    ``records`` holds the raw text columns (plus ``order_by`` and ``carry``
+    columns passed through). Raw and typed values come from one projection
+    (no self-join). The first line per key is found with an aggregate
+    (partial on the map side, so a hot key is pre-reduced) and joined back.
     """
-    data_cols = [c for c in raw.columns if c != order_by]
-    r = raw.select(order_by, *[F.col(c).alias(f"raw_{c}") for c in data_cols])
-    t = typed.join(r, order_by)
+    spec = TRANSACTION_TYPES if spec is None else spec
+    data_cols = [c for c in records.columns if c != order_by and c not in carry]
+    t = records.select(order_by, *carry, *[F.col(c).alias(f"raw_{c}") for c in data_cols],
+                       *[coerce_expr(c, spec.get(c)) for c in data_cols])
     empty = reduce(lambda a, b: a & b, [F.col(f"raw_{c}").isNull() for c in data_cols])
     early = (F.when(empty, F.lit("empty_row"))
              .when(F.col(key).isNull(), F.lit("missing_key"))

@@ -57,7 +57,7 @@ def raw(spark, sf_dir):
 
 
 def reasons(spark, sf_dir):
-    return Q.reject_reasons(raw(spark, sf_dir), typed(spark, sf_dir))
+    return Q.reject_reasons(fx.dirty(spark, sf_dir), carry=("received_at",))
 
 
 @register("read_typed", "A1", views=D, sql=TYPED_SQL + """
@@ -240,7 +240,7 @@ def quarantined(spark, sf_dir):
     rows = I.quarantine_rows(reasons(spark, sf_dir), ["TransactionID", "isFraud", "TransactionAmt"])
     path = scratch_path(spark, "quarantine")
     I.write_quarantine(rows, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("month")
 
 
 @register("quarantine", "A4", views=D, sql=QUARANTINE_SQL + """

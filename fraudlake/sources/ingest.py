@@ -92,12 +92,14 @@ def quarantine_rows(reasons: DataFrame, raw_cols: list[str], identifier: str = "
 
 
 def write_quarantine(bad: DataFrame, path: str) -> None:
-    """Append to the quarantine table, one folder per date.
+    """Append to the quarantine table, one folder per month (the row keeps its
+    date; retention works on dates, deletion on month folders).
 
-    The REBALANCE hint lets AQE group rows by date (few files per folder) while
-    still splitting a date that holds a large share of the rows.
+    The REBALANCE hint lets AQE group rows by month (few files per folder)
+    while still splitting a month that holds a large share of the rows.
     """
-    bad.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
+    out = bad.withColumn("month", F.date_format("date", "yyyy-MM"))
+    out.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def quarantine_retention(q: DataFrame, cap_bytes: int) -> DataFrame:

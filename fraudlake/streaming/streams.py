@@ -95,9 +95,7 @@ def quarantine_batch(good_path: str, bad_path: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch.drop("received_at")
-        typed = Q.coerce_types(batch)
-        reasons = Q.reject_reasons(raw, typed)
+        reasons = Q.reject_reasons(batch, carry=("received_at",))
         accepted = reasons.where(F.col("reject_reason").isNull())
         if path_exists(spark, good_path):
             seen = spark.read.parquet(good_path).select("TransactionID").distinct()

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudlake.functions.buckets import count_less
 from fraudlake.functions.frames import combine_one_row
 from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes, values_at_ranks
 
@@ -568,14 +567,21 @@ def hash_key(key: str, seed) -> Column:
     return bits.cast("long")
 
 
-def poisson_cdf(lam: float, tail: float = 1e-16) -> list[float]:
-    """Cumulative Poisson probabilities up to where the tail is negligible."""
+# largest uniform the md5 draw can produce: (2^32 - 0.5) / 2^32
+U_MAX = (4294967296.0 - 0.5) / 4294967296.0
+
+
+def poisson_cdf(lam: float) -> list[float]:
+    """Cumulative Poisson probabilities that a uniform draw can still fall
+    above (values >= the largest possible uniform never count)."""
     import math
     kmax = int(math.ceil(lam + 12.0 * math.sqrt(lam) + 12.0))
     out, acc = [], 0.0
     for k in range(kmax + 1):
         acc += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1)) if lam > 0 else (
             1.0 if k == 0 else 0.0)
+        if acc >= U_MAX:
+            break
         out.append(acc)
     return out
 
@@ -586,8 +592,8 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
 
     Row i is repeated Poisson(w_i * N / sum(w)) times. The rate depends only on
     (group, class), so the inverse CDF per rate is a short literal list; the
-    draw is the number of CDF values below u (u from md5(key, seed)), looked
-    up with a comparison tree.
+    draw is the number of CDF values below u (u from md5(key, seed)); values no
+    uniform can exceed are dropped, so the list is short.
     Deterministic under any partitioning; the groups' counts are collected
     (one row per group).
     """
@@ -595,8 +601,9 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
     g = [group_col] if group_col else []
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
                             1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
-    # draw = number of CDF values below u, as a code-generated comparison tree
-    draws = F.lit(0)
+    # draw = number of reachable CDF values below u (a short literal list per
+    # (group, class); the lists stay data, so the generated code stays small)
+    cdf_expr = F.array().cast("array<double>")
     for r in cw:
         sw = r["n_0"] * r["weight_0"] + r["n_1"] * r["weight_1"]
         for cls in (0, 1):
@@ -604,8 +611,10 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
             cond = F.col(label) == cls
             if g:
                 cond = cond & (F.col(group_col) == F.lit(r[group_col]))
-            draws = F.when(cond, count_less(u, poisson_cdf(lam))).otherwise(draws)
-    with_d = df.withColumn("_draws", draws)
+            arr = F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)]).cast("array<double>")
+            cdf_expr = F.when(cond, arr).otherwise(cdf_expr)
+    draws = F.size(F.filter(cdf_expr, lambda c: c < F.col("_u")))
+    with_d = df.withColumn("_u", u).withColumn("_draws", draws).drop("_u")
     return (with_d.where(F.col("_draws") > 0)
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_draws"))))
             .drop("_draws"))

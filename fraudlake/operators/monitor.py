@@ -46,6 +46,22 @@ def running_max(df: DataFrame, series: list[str], order: list[str], value: Colum
     return j.withColumn(out, res).drop("_bkt", "_val", "_local", "_carry")
 
 
+def running_sum(df: DataFrame, series: list[str], order: list[str], value: str,
+                bucket: Column, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` along ``order`` within each series
+    (window inside (series, bucket) plus the totals of earlier buckets)."""
+    d = df.withColumn("_bkt", bucket)
+    w = Window.partitionBy(*series, "_bkt").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    local = d.withColumn("_local", F.sum(value).over(w))
+    summ = d.groupBy(*series, "_bkt").agg(F.sum(value).alias("_btot"))
+    ws = Window.partitionBy(*series).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*series, "_bkt", F.sum("_btot").over(ws).alias("_carry"))
+    j = local.join(carry, [*series, "_bkt"], "left")
+    return j.withColumn(out, F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0.0))) \
+        .drop("_bkt", "_local", "_carry")
+
+
 def previous_value(df: DataFrame, series: list[str], order: list[str], value: str,
                    bucket: Column, out: str) -> DataFrame:
     """Value of the previous sample of the series (null for the first)."""
@@ -94,7 +110,7 @@ def increments_from_cumulative(df: DataFrame, series: list[str], value: str = "v
                                order=("ts", "seq"), bucket: Column | None = None) -> DataFrame:
     """Counter samples -> increments; a drop means a reset (use the new value);
     the first sample counts from 0."""
-    bucket = F.date_trunc("day", F.col("ts")) if bucket is None else bucket
+    bucket = F.date_trunc("minute", F.col("ts")) if bucket is None else bucket
     p = previous_value(df, list(series), list(order), value, bucket, "_prev")
     inc = F.when(F.col("_prev").isNull(), F.col(value)).when(
         F.col(value) < F.col("_prev"), F.col(value)).otherwise(F.col(value) - F.col("_prev"))
@@ -154,7 +170,7 @@ def alert_for(ev: DataFrame, cond: Column, for_seconds: float, series=("client_i
     aggregate, so there is no per-series sort of all samples.
     """
     series = list(series)
-    bucket = F.date_trunc("hour", F.col("ts")) if bucket is None else bucket
+    bucket = F.date_trunc("minute", F.col("ts")) if bucket is None else bucket
     d = ev.withColumn("_cond", F.coalesce(cond, F.lit(False)))
     lf = running_max(d, series, ["ts", "seq"],
                      F.when(~F.col("_cond"), F.struct("ts", "seq")), bucket, "_last_false")

@@ -79,14 +79,18 @@ def code_banks(df: DataFrame, code_col: str = "ProductCD", num_banks: int = 3,
                order_col: str = KEY) -> DataFrame:
     """Distinct codes in first-seen order (min order key, tie by code) and their bank.
 
-    The window runs over the distinct-code table only (one row per code).
+    Ranking runs over the distinct-code table only; a very large code domain
+    is split into buckets (:func:`ordinal_codes`). Order keys must be >= 0.
     """
     codes = (df.where(F.col(code_col).isNotNull())
              .groupBy(code_col).agg(F.min(order_col).alias("first_seen")))
-    w = Window.orderBy("first_seen", code_col)
-    return codes.select(
-        code_col, "first_seen",
-        bank_name((F.row_number().over(w) - 1) % num_banks + 1).alias("bank_id"))
+    # order key as text: zero-padded first position, then the code
+    key = F.concat(F.lpad(F.col("first_seen").cast("string"), 20, "0"), F.lit("|"),
+                   F.col(code_col).cast("string"))
+    ranked = ordinal_codes(codes.select(code_col, "first_seen", F.lit(0).alias("_all"),
+                                        key.alias("_key")), ["_all"], "_key")
+    return ranked.select(code_col, "first_seen",
+                         bank_name(F.col("code") % num_banks + 1).alias("bank_id"))
 
 
 def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int = 3,

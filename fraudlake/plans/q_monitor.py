@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fraudlake.operators import monitor as M
@@ -59,10 +58,10 @@ def q_histogram(spark, sf_dir):
 
 def cumulative_series(spark, sf_dir):
     """A counter per client that restarts every day (sample = running total)."""
-    ev = events(spark, sf_dir)
-    w = Window.partitionBy("client_id", F.to_date("ts")).orderBy("ts", "seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return ev.withColumn("value", F.sum("value").over(w))
+    ev = events(spark, sf_dir).withColumn("_day", F.to_date("ts"))
+    out = M.running_sum(ev, ["client_id", "_day"], ["ts", "seq"], "value",
+                        F.date_trunc("hour", F.col("ts")), "_cum")
+    return out.withColumn("value", F.col("_cum")).drop("_cum", "_day")
 
 
 RATE_SQL = """

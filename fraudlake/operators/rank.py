@@ -212,11 +212,16 @@ def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks) ->
         counts[r["_grp"]] = (r["n"], r["nn"], r["lo"], r["hi"])
     if callable(ranks):
         ranks = {g: ranks(g, c[0]) for g, c in counts.items()}
-    groups = list(ranks)
 
     def gpred(g):
         return gcol.isNull() if g is None else (gcol == F.lit(g))
 
+    # groups of at most FINAL_ROWS rows: one bounded ordered pick for all of them
+    small = [g for g in ranks if 0 < counts.get(g, (0,))[0] <= FINAL_ROWS
+             and any(r < counts[g][0] for r in ranks[g])]
+    out_small = _direct_pick(df, gcol, gpred, small, ranks, key_col, tie_col) if small else {}
+    groups = [g for g in ranks if g not in small]
+
     # phase A: key value at the rank among non-null keys
     subs_a, ranks_a, idx_a, stats_a = [], [], {}, {}
     for g in groups:
@@ -260,9 +265,25 @@ def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks) ->
             plan[(g, r)] = (v, sub_index[skey], rr)
     found_b = _select_values(df, tie_col, subs_b, ranks_b, stats_b)
     out.update({k: (v, found_b[(sid, rr)][0]) for k, (v, sid, rr) in plan.items()})
+    out.update(out_small)
     return out
 
 
+def _direct_pick(df: DataFrame, gcol: Column, gpred, groups: list, ranks: dict,
+                 key_col: str, tie_col: str) -> dict:
+    """Rows at the wanted ranks of small groups (each at most FINAL_ROWS rows):
+    a window per group ordered by (key nulls last, tie), then the picks only."""
+    cond = reduce(lambda a, b: a | b, [gpred(g) for g in groups])
+    w = Window.partitionBy(gcol).orderBy(F.col(key_col).asc_nulls_last(), F.col(tie_col))
+    pos = df.where(cond).select(gcol.alias("_grp"), key_col, tie_col,
+                                (F.row_number().over(w) - 1).alias("_pos"))
+    wanted = reduce(lambda a, b: a | b, [
+        (F.col("_grp").isNull() if g is None else F.col("_grp") == F.lit(g))
+        & F.col("_pos").isin(*ranks[g]) for g in groups])
+    return {(r["_grp"], r["_pos"]): (r[key_col], r[tie_col])
+            for r in pos.where(wanted).collect()}
+
+
 def before_cut(key_col: str, tie_col: str, cut) -> Column:
     """Predicate: row sorts before the cut tuple under (key nulls last, tie)."""
     if cut is None:

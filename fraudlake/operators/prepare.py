@@ -76,7 +76,7 @@ def match_rate(tx: DataFrame, ident: DataFrame, key: str = KEY) -> DataFrame:
 # --- D: partitioning and splitting ---------------------------------------------------
 
 def code_banks(df: DataFrame, code_col: str = "ProductCD", num_banks: int = 3,
-               order_col: str = KEY) -> DataFrame:
+               order_col: str = KEY, n_codes: int | None = None) -> DataFrame:
     """Distinct codes in first-seen order (min order key, tie by code) and their bank.
 
     Ranking runs over the distinct-code table only; a very large code domain
@@ -88,7 +88,8 @@ def code_banks(df: DataFrame, code_col: str = "ProductCD", num_banks: int = 3,
     key = F.concat(F.lpad(F.col("first_seen").cast("string"), 20, "0"), F.lit("|"),
                    F.col(code_col).cast("string"))
     ranked = ordinal_codes(codes.select(code_col, "first_seen", F.lit(0).alias("_all"),
-                                        key.alias("_key")), ["_all"], "_key")
+                                        key.alias("_key")), ["_all"], "_key",
+                           max_part_size=n_codes)
     return ranked.select(code_col, "first_seen",
                          bank_name(F.col("code") % num_banks + 1).alias("bank_id"))
 
@@ -103,8 +104,16 @@ def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int =
     """
     if code_col not in df.columns:
         raise ValueError(f"Dataset missing {code_col} column for partitioning")
-    mapping = code_banks(df, code_col, num_banks, order_col).select(code_col, "bank_id")
+    # one small pass: number of distinct codes and rows without a code
+    per_code = df.groupBy(code_col).agg(F.count(F.lit(1)).alias("_n"))
+    summary = per_code.agg(F.count(F.col(code_col)).alias("codes"),
+                           F.sum(F.when(F.col(code_col).isNull(), F.col("_n"))).alias("nulls")).first()
+    n_null = summary["nulls"] or 0
+    mapping = code_banks(df, code_col, num_banks, order_col, summary["codes"]) \
+        .select(code_col, "bank_id")
     coded = df.join(mapping, code_col, "left")
+    if n_null == 0:
+        return coded
     nulls = df.where(F.col(code_col).isNull())
 
     wanted: list[int] = []
@@ -114,7 +123,8 @@ def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int =
         wanted[:] = [j * q + min(j, m) for j in range(1, num_banks)]
         return wanted
 
-    cuts = cut_tuples(nulls, None, order_col, tie_col, split_ranks)
+    known = {None: (n_null, n_null, None, None)} if order_col == tie_col else None
+    cuts = cut_tuples(nulls, None, order_col, tie_col, split_ranks, known)
     idx = reduce(lambda a, b: a + b,
                  [F.when(before_cut(order_col, tie_col, cuts.get((None, r))), 0).otherwise(1)
                   for r in wanted], F.lit(0))

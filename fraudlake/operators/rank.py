@@ -178,11 +178,13 @@ def _narrow(base: DataFrame, targets: list[_Target], kind: str = "long") -> None
 
 
 def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
-               ranks) -> dict:
+               ranks, known: dict | None = None) -> dict:
     """Row at each 0-based rank of ``(key asc nulls last, tie asc)`` per group.
 
     ``ranks`` maps group value -> list of ranks (``group_col=None``: key ``None``),
     or is a callable ``(group, n) -> list of ranks`` evaluated after counting.
+    ``known`` may give ``{group: (n, non-null keys, min key, max key)}``
+    when the caller has the sizes already (small groups need no profile).
     ``tie`` must be unique within a group and non-null. Returns
     ``{(group, rank): (key_value_or_None, tie_value)}``; ranks beyond the group
     size are omitted (every row is before them).
@@ -194,6 +196,9 @@ def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
     cols = ([group_col] if group_col else []) + list(dict.fromkeys([key_col, tie_col]))
     # every pass reads only (group, key, tie): keep that narrow projection for
     # the few passes (memory and disk; a lost block is recomputed from lineage)
+    if known is not None and all(n <= FINAL_ROWS for (n, *_rest) in known.values()):
+        # every group is small and its size is known: one ordered pick, no profile
+        return _cut_tuples(df.select(*cols), group_col, key_col, tie_col, ranks, known)
     narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _cut_tuples(narrow, group_col, key_col, tie_col, ranks)
@@ -201,15 +206,19 @@ def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
         narrow.unpersist()
 
 
-def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks) -> dict:
+def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks,
+                known: dict | None = None) -> dict:
     gcol = F.col(group_col) if group_col else F.lit(None)
     counts = {}
-    agg = df.groupBy(gcol.alias("_grp")).agg(
-        F.count(F.lit(1)).alias("n"), F.count(key_col).alias("nn"),
-        F.min(F.col(key_col).cast("long")).alias("lo"),
-        F.max(F.col(key_col).cast("long")).alias("hi")).collect()
-    for r in agg:
-        counts[r["_grp"]] = (r["n"], r["nn"], r["lo"], r["hi"])
+    if known is not None:
+        counts = dict(known)
+    else:
+        agg = df.groupBy(gcol.alias("_grp")).agg(
+            F.count(F.lit(1)).alias("n"), F.count(key_col).alias("nn"),
+            F.min(F.col(key_col).cast("long")).alias("lo"),
+            F.max(F.col(key_col).cast("long")).alias("hi")).collect()
+        for r in agg:
+            counts[r["_grp"]] = (r["n"], r["nn"], r["lo"], r["hi"])
     if callable(ranks):
         ranks = {g: ranks(g, c[0]) for g, c in counts.items()}
 
@@ -340,7 +349,8 @@ SAMPLE_PER_BUCKET = 20
 
 
 def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
-                  limit: int | None = None, bucket_rows: int = 200_000) -> DataFrame:
+                  limit: int | None = None, bucket_rows: int = 200_000,
+                  max_part_size: int | None = None) -> DataFrame:
     """0-based position of each value in the sorted distinct values of its
     partition (``distinct`` must be unique on part_cols + value).
 
@@ -348,10 +358,14 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
     ones are cut into buckets at literal bounds taken from a sample (collected
     once, so recomputation gives the same buckets); each bucket is ranked on
     its own and shifted by the counts of the buckets before it.
+    ``max_part_size`` (if the caller knows it) skips the size pass.
     """
     limit = WINDOW_LIMIT if limit is None else limit
-    sizes = distinct.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") > limit).collect()
+    if max_part_size is not None and max_part_size <= limit:
+        sizes = []    # the caller knows no part is large: no size pass
+    else:
+        sizes = distinct.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("n")).where(
+            F.col("n") > limit).collect()
     w_plain = Window.partitionBy(*part_cols).orderBy(value_col)
     if not sizes:
         return distinct.withColumn("code", (F.row_number().over(w_plain) - 1).cast("long"))

@@ -203,7 +203,12 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
         base = base.withColumn("score", fine_bins(F.col("score"), bounds, row["lo"], row["hi"], per)
                                .cast("double"))
     groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c"))
-    reps = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    # the group table is small, so AQE would give it one partition; spread the
+    # replicates explicitly (hash on rep also serves the later grouping and
+    # the per-replicate window, so no further shuffle of replicate rows)
+    n_parts = max(1, min(n_boot, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    reps = (groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+            .repartition(n_parts, "rep"))
     # score enters the hash as an integer (1e-12 units) so the key text is the
     # same in every engine
     score_key = F.round(F.col("score") * F.lit(1e12)).cast("long").cast("string")

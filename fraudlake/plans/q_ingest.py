@@ -295,7 +295,22 @@ def q_write_splits(spark, sf_dir):
         F.count(F.lit(1)).alias("records"), F.sum(F.col("isFraud").cast("long")).alias("fraud"))
 
 
-@register("json_report", "A9")
+def _json_sql() -> str:
+    from fraudlake.plans.q_split import PER_BANK_CTE, _METRIC_DIGITS
+    cols = ["n_pos", "n_neg", "average_precision", "auroc", "precision", "recall", "f1",
+            "bce_loss"]
+    fields = ", ".join(f"{c} := round({c}, {_METRIC_DIGITS[c]})" if c in _METRIC_DIGITS
+                       else f"{c} := {c}" for c in cols)
+    return PER_BANK_CTE + f""",
+report as (select bank_id, n_pos, n_neg, average_precision, auroc, precision, recall, f1,
+   bce_loss from per
+   union all select 'mean', cast(sum(n_pos) as bigint), cast(sum(n_neg) as bigint),
+   avg(average_precision), avg(auroc), avg(precision), avg(recall), avg(f1), avg(bce_loss)
+   from per)
+select bank_id, to_json(struct_pack({fields})) as report from report"""
+
+
+@register("json_report", "A9", views=TX, sql=_json_sql())
 def q_json_report(spark, sf_dir):
     """The per-bank evaluation as one JSON document per bank."""
     from fraudlake.plans.q_split import q_per_bank_eval

@@ -100,7 +100,7 @@ def q_split_stats(spark, sf_dir):
     return P.split_stats(splitted(spark, sf_dir))
 
 
-PER_BANK_SQL = SPLIT_SQL + """,
+PER_BANK_CTE = SPLIT_SQL + """,
 test as (select bank_id, score, isFraud as label,
    ln(least(greatest(score, 1e-7), 1 - 1e-7) / (1 - least(greatest(score, 1e-7), 1 - 1e-7))) as x
    from splitted where split = 'test'),
@@ -124,7 +124,9 @@ cf2 as (select bank_id, bce_loss,
    coalesce(tp / nullif(cast(tp + fn as double), 0), 0) as recall from cf),
 per as (select rk.*, cf2.precision, cf2.recall,
    coalesce(2 * cf2.precision * cf2.recall / nullif(cf2.precision + cf2.recall, 0), 0) as f1,
-   cf2.bce_loss from rk join cf2 on rk.bank_id = cf2.bank_id)
+   cf2.bce_loss from rk join cf2 on rk.bank_id = cf2.bank_id)"""
+
+PER_BANK_SQL = PER_BANK_CTE + """
 select bank_id, n_pos, n_neg, average_precision, auroc, precision, recall, f1, bce_loss from per
 union all
 select 'mean', cast(sum(n_pos) as bigint), cast(sum(n_neg) as bigint), avg(average_precision),

@@ -140,9 +140,11 @@ def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_report(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """One JSON document per key with every other column nested."""
+    """One JSON document per key with every other column nested (null
+    fields kept, so every document has the same keys)."""
     others = [c for c in df.columns if c not in key_cols]
-    return df.select(*key_cols, F.to_json(F.struct(*others)).alias("report"))
+    return df.select(*key_cols, F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
+                     .alias("report"))
 
 
 def save_round_state(state: DataFrame, path: str) -> None:

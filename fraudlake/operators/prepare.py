@@ -241,27 +241,38 @@ def normalise_nan(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def null_fractions(df: DataFrame) -> dict[str, tuple]:
-    """Column profile in one aggregate (a bounded one-row result):
-    ``(null count, rows, valid numbers, min, max)``; the last three only for
-    numeric columns (NaN counts as missing)."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    numeric = set()
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f.name)
-        aggs.append(F.count_if(c.isNull()).alias(f"_n{i}"))
-        if isinstance(f.dataType, NUMERIC_TYPES):
-            numeric.add(f.name)
-            ok = F.when(~F.isnan(c.cast("double")), c.cast("double"))
-            aggs += [F.count(ok).alias(f"_v{i}"), F.min(ok).alias(f"_lo{i}"),
-                     F.max(ok).alias(f"_hi{i}")]
-    row = df.agg(*aggs).first()
+PROFILE_CHUNK = 25   # columns per profile aggregate (about 100 aggregate expressions)
+
+
+def null_fractions(df: DataFrame, chunk: int = PROFILE_CHUNK) -> dict[str, tuple]:
+    """Column profile: ``(null count, rows, valid numbers, min, max)`` per
+    column; the last three only for numeric columns (NaN counts as missing).
+
+    One aggregate per chunk of columns keeps each generated method small on
+    wide tables; each chunk reads only its own Parquet columns, so the chunks
+    together read the table once.
+    """
     out = {}
-    for i, c in enumerate(df.columns):
-        if c in numeric:
-            out[c] = (row[f"_n{i}"], row["_rows"], row[f"_v{i}"], row[f"_lo{i}"], row[f"_hi{i}"])
-        else:
-            out[c] = (row[f"_n{i}"], row["_rows"], None, None, None)
+    fields = df.schema.fields
+    for start in range(0, max(1, len(fields)), chunk):
+        part = fields[start:start + chunk]
+        aggs = [F.count(F.lit(1)).alias("_rows")]
+        numeric = set()
+        for i, f in enumerate(part):
+            c = F.col(f.name)
+            aggs.append(F.count_if(c.isNull()).alias(f"_n{i}"))
+            if isinstance(f.dataType, NUMERIC_TYPES):
+                numeric.add(f.name)
+                ok = F.when(~F.isnan(c.cast("double")), c.cast("double"))
+                aggs += [F.count(ok).alias(f"_v{i}"), F.min(ok).alias(f"_lo{i}"),
+                         F.max(ok).alias(f"_hi{i}")]
+        row = df.agg(*aggs).first()
+        for i, f in enumerate(part):
+            if f.name in numeric:
+                out[f.name] = (row[f"_n{i}"], row["_rows"], row[f"_v{i}"], row[f"_lo{i}"],
+                               row[f"_hi{i}"])
+            else:
+                out[f.name] = (row[f"_n{i}"], row["_rows"], None, None, None)
     return out
 
 

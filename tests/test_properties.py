@@ -86,3 +86,52 @@ def test_counter_reset_rule(spark, evs):
     got = {r["seq"]: r["increment"] for r in out.collect()}
     for seq, _, _, _, _, v in rows:
         assert abs(got[seq] - v) < 1e-6
+
+
+@SETTINGS
+@given(vals=st.lists(st.tuples(st.sampled_from(["auprc", "failures", "duration"]),
+                               st.floats(min_value=0, max_value=1000, allow_nan=False)),
+                     min_size=1, max_size=20),
+       rules=st.lists(st.tuples(st.sampled_from(["auprc", "failures", "duration"]),
+                                st.floats(min_value=0, max_value=1000, allow_nan=False),
+                                st.sampled_from(["gt", "lt", "eq"])), min_size=1, max_size=5))
+def test_threshold_alerts_match_python(spark, vals, rules):
+    values = spark.createDataFrame([(f"c{i}", m, v) for i, (m, v) in enumerate(vals)],
+                                   "client_id string, metric string, value double")
+    rt = spark.createDataFrame([(m, t, o, "warning", "msg") for m, t, o in rules],
+                               "metric string, threshold double, op string, severity string, message string")
+    got = sorted((r["client_id"], r["metric"], r["threshold"], r["op"])
+                 for r in M.threshold_alerts(values, rt).collect())
+    ops = {"gt": lambda a, b: a > b, "lt": lambda a, b: a < b, "eq": lambda a, b: a == b}
+    exp = sorted((f"c{i}", m, t, o) for i, (m, v) in enumerate(vals) for (rm, t, o) in rules
+                 if rm == m and ops[o](v, t))
+    assert got == exp
+
+
+@SETTINGS
+@given(spent=st.lists(st.floats(min_value=0, max_value=20, allow_nan=False), min_size=1, max_size=20),
+       budget=st.floats(min_value=0.5, max_value=10))
+def test_budget_status_properties(spark, spent, budget):
+    from fraudlake.operators import privacy as PV
+    df = spark.createDataFrame([(f"c{i}", s, budget) for i, s in enumerate(spent)],
+                               "client_id string, epsilon_spent double, budget double")
+    for r in PV.budget_status(df).collect():
+        assert r["remaining"] >= 0
+        assert r["exhausted"] == (r["epsilon_spent"] >= r["budget"])
+        assert abs(r["remaining"] - max(0.0, r["budget"] - r["epsilon_spent"])) < 1e-12
+
+
+@SETTINGS
+@given(series=st.lists(st.floats(min_value=0, max_value=1, allow_nan=False), min_size=1, max_size=12))
+def test_convergence_rule(spark, series):
+    import numpy as np
+    from fraudlake.operators import trends as W
+    df = spark.createDataFrame([("c", i + 1, v) for i, v in enumerate(series)],
+                               "client_id string, round int, auprc double")
+    out = {r["round"]: (r["converged"], r["convergence_score"]) for r in W.convergence(df).collect()}
+    for i in range(len(series)):
+        if i + 1 < 3:
+            assert out[i + 1] == (False, 1.0)
+        else:
+            sd = float(np.std(series[i - 2:i + 1]))
+            assert abs(out[i + 1][1] - sd) < 1e-9 and out[i + 1][0] == (sd < 0.01)

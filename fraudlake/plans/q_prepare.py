@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fraudlake.operators import prepare as P
-from fraudlake.operators import quality as Q
 from fraudlake.plans.q_split import SPLIT_SQL, TX, split_sql, splitted
 from fraudlake.plans.registry import register
 from fraudlake.session import scratch_path

@@ -69,8 +69,7 @@ def test_counter_reset_recovers_increments(spark):
 def test_stream_quarantine_across_batches(spark):
     """Two arriving files (second holds later lines): keys first seen in the
     first batch are duplicates in the second; totals equal the batch rule."""
-    from fraudlake.operators import quality as Q
-    from fraudlake.plans.q_ingest import raw, reasons
+    from fraudlake.plans.q_ingest import reasons
     import tempfile
     base = tempfile.mkdtemp(prefix="fraudlake-m18-")
     src = os.path.join(base, "in")

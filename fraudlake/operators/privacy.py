@@ -14,6 +14,8 @@ It is an upper bound, not a numerical accountant's digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +92,7 @@ def epsilon_ledger(steps: DataFrame, delta: float = 1e-5, max_order: int = MAX_O
     cum = per.withColumn("cum_rdp", F.sum(F.col("steps") * F.col("rdp")).over(w))
     a = F.col("alpha").cast("double")
     eps = (F.col("cum_rdp") + F.log((a - 1) / a)
-           - (F.lit(float(__import__("math").log(delta))) + F.log(a)) / (a - 1))
+           - (F.lit(math.log(delta)) + F.log(a)) / (a - 1))
     return (cum.groupBy(*run_cols, order_col)
             .agg(F.min(eps).alias("epsilon_spent"), F.max("steps").alias("steps"))
             .withColumn("delta", F.lit(delta)))

@@ -185,24 +185,27 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
     ``distinct scores x replicates``, not ``rows x replicates``. Replicates with
     a single class are skipped. Draws come from md5 of (score, label,
     replicate, seed), so any partitioning gives the same result. When there
-    are more than ``max_bins`` distinct scores, scores are first replaced by
-    their quantile bin (approximate interval).
+    are more than ``max_bins`` distinct scores, the distinct scores are first
+    replaced by their bin (approximate interval).
     """
     s = F.col(score_col).cast("double")
     base = df.select(s.alias("score"), F.col(label_col).cast("long").alias("label"))
-    n_distinct = base.agg(F.approx_count_distinct("score").alias("d")).first()["d"]
+    # one pass over the rows: counts per (score, label), written once
+    groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c")) \
+        .checkpoint(eager=True)
+    n_distinct = groups.select("score").distinct().count()
     if n_distinct > max_bins:
-        # coarse quantile buckets (comparison tree) refined by equal-width
-        # sub-bins: O(log) + O(1) per row, monotone in the score
+        # bin the distinct scores: coarse quantile buckets (comparison tree)
+        # refined by equal-width sub-bins, monotone in the score; counts add up
         coarse = 127
         per = -(-max_bins // (coarse + 1))
-        row = base.agg(F.percentile_approx("score", [i / (coarse + 1) for i in range(1, coarse + 1)],
-                                           10 * max_bins).alias("q"),
-                       F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+        row = groups.agg(F.percentile_approx("score", [i / (coarse + 1) for i in range(1, coarse + 1)],
+                                             10 * max_bins).alias("q"),
+                         F.min("score").alias("lo"), F.max("score").alias("hi")).first()
         bounds = sorted(set(float(b) for b in row["q"]))
-        base = base.withColumn("score", fine_bins(F.col("score"), bounds, row["lo"], row["hi"], per)
-                               .cast("double"))
-    groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c"))
+        groups = (groups.withColumn("score", fine_bins(F.col("score"), bounds, row["lo"], row["hi"],
+                                                       per).cast("double"))
+                  .groupBy("score", "label").agg(F.sum("c").alias("c")))
     # the group table is small, so AQE would give it one partition; spread the
     # replicates explicitly (hash on rep also serves the later grouping and
     # the per-replicate window, so no further shuffle of replicate rows)

@@ -5,14 +5,19 @@ into one task. The helpers here keep all row-level work in partitioned
 aggregates and only ever move small, bounded tables to the driver:
 
 * :func:`cut_tuples` finds the rows at given ranks of a lexicographic order
-  ``(key nulls last, tie)`` inside each group by repeated histogram narrowing
-  (one aggregate per level, each level shrinks the candidate range by
-  ``n_bins``). A heavy key value is resolved on the tie column instead, so a
-  key holding a third of all rows costs nothing extra.
+  ``(key nulls last, tie)`` inside each group. Groups of at most FINAL_ROWS
+  rows are answered by one bounded ordered pick; larger ones by repeated
+  histogram narrowing (one aggregate per level, each level shrinks the
+  candidate range by ``N_BINS``). A heavy key value is resolved on the tie
+  column instead, so a key holding a third of all rows costs nothing extra.
 * :func:`before_cut` turns a cut tuple into a row predicate.
+* :func:`values_at_ranks` is the same selection for a numeric column per part
+  (exact medians without a per-column value buffer).
 * :func:`prefix_sums` computes running sums over an ordered, already grouped
   table with literal bucket bounds: bucket totals (tiny) give offsets, the
   window runs partitioned by ``(group, bucket)``.
+* :func:`ordinal_codes` numbers sorted distinct values per part; a part too
+  large for one task is cut at sampled literal bounds first.
 """
 
 from __future__ import annotations

@@ -280,7 +280,7 @@ def q_age_retention(spark, sf_dir):
         F.col("o_orderkey").alias("item_id"),
         F.expr("case o_orderkey % 3 when 0 then 'checkpoint' when 1 then 'model' else 'log' end")
         .alias("kind"), F.col("o_orderdate").alias("mtime"))
-    return I.age_retention(cat, NOW).where("keep").select("item_id", "kind", "mtime")
+    return I.retained(cat, NOW).select("item_id", "kind", "mtime")
 
 
 @register("write_splits", "A7", views=TX, sql=SPLIT_SQL + """

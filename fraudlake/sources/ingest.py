@@ -122,6 +122,17 @@ def age_retention(catalog: DataFrame, now, short_days: int = 7, long_days: int =
     return catalog.withColumn("keep", F.col("mtime") >= limit)
 
 
+def retained(catalog: DataFrame, now, short_days: int = 7, long_days: int = 30,
+             short_kinds: tuple[str, ...] = ("checkpoint", "model")) -> DataFrame:
+    """Only the items kept. The loosest limit is added as a plain range
+    condition on ``mtime`` so it reaches the Parquet scan as a pushed filter."""
+    floor = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(
+        F.lit(max(short_days, long_days)))
+    kept = age_retention(catalog.where(F.col("mtime") >= floor), now, short_days, long_days,
+                         short_kinds)
+    return kept.where("keep").drop("keep")
+
+
 def write_splits(df: DataFrame, path: str) -> str:
     """One folder per (bank_id, split)."""
     df.hint("rebalance", "bank_id", "split").write.mode("overwrite") \

@@ -223,13 +223,16 @@ def q_fed_rounds_train(spark, sf_dir):
 
 
 @register("score_rows", "H10", views=TX, rounded={"logit": 9, "probability": 9},
-          sql=SPLIT_SQL + f""",
-z as (select TransactionID, {logit_sql(SCORE_W, SCORE_B)} as logit from splitted)
+          sql=f"""
+z as (select TransactionID, {logit_sql(SCORE_W, SCORE_B)} as logit from transactions)
 select TransactionID, logit, 1.0 / (1.0 + exp(-logit)) as probability,
   cast(1.0 / (1.0 + exp(-logit)) > 0.5 as int) as predicted_class from z""")
 def q_score_rows(spark, sf_dir):
-    """Sigmoid of the linear score with fixed weights; class at > 0.5."""
-    return R.score_rows(features(spark, sf_dir, split=None), SCORE_W, SCORE_B).select(
+    """Sigmoid of the linear score with fixed weights; class at > 0.5
+    (a pure per-row projection of the transactions)."""
+    tx = fx.transactions(spark, sf_dir).select(
+        "TransactionID", F.array(*[F.expr(e).cast("double") for _, e in FEATURES]).alias("x"))
+    return R.score_rows(tx, SCORE_W, SCORE_B).select(
         "TransactionID", "logit", "probability", "predicted_class")
 
 

@@ -162,21 +162,33 @@ def local_gradients(df: DataFrame, weights: DataFrame, dim: int, x_col: str = "x
 def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
                      local_steps: int = 1, lr: float = 0.5, mu: float = 0.0,
                      client_col: str = "bank_id", x_col: str = "x", y_col: str = "label",
-                     state_path: str | None = None) -> DataFrame:
+                     state_path: str | None = None, checkpoint_every: int = 5) -> DataFrame:
     """H9: FedAvg/FedProx rounds of a logistic model.
 
     Each local step is one job (broadcast client weights, per-row gradient,
     grouped sums); only weight vectors reach the driver. The proximal term
     ``mu (w - w_global)`` is applied for real (``mu=0`` is plain FedAvg).
     Aggregation is example-weighted (H3). Returns one row per (round, client)
-    plus the global model; appended to ``state_path`` each round if given.
+    plus the global model. With ``state_path`` the rows are appended every
+    ``checkpoint_every`` rounds (A10) and a restarted run resumes after the
+    last saved round.
     """
+    from fraudlake.session import path_exists
+
     feats = features.select(client_col, x_col, y_col).checkpoint(eager=True)
     clients = [r[0] for r in feats.select(client_col).distinct().collect()]
     clients.sort()
     g_w, g_b = [0.0] * dim, 0.0
-    out = []
-    for rnd in range(1, rounds + 1):
+    out, start, saved = [], 1, 0
+    if state_path and path_exists(spark, state_path):
+        prev = spark.read.parquet(state_path).where(F.col("round") <= rounds)
+        out = [tuple(r) for r in prev.select(*[f.split()[0] for f in _FED_SCHEMA.split(", ")])
+               .orderBy("round", "client_id").collect()]
+        last = max((r for r in out if r[1] == "global"), key=lambda r: r[0], default=None)
+        if last is not None:
+            start, g_w, g_b = last[0] + 1, list(last[4]), last[5]
+        saved = len(out)
+    for rnd in range(start, rounds + 1):
         local = {c: (list(g_w), g_b) for c in clients}
         stats = {}
         for _ in range(local_steps):
@@ -203,9 +215,10 @@ def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
                 out.append((rnd, c, stats[c][0], stats[c][1], local[c][0], local[c][1]))
         out.append((rnd, "global", total, sum(stats[c][0] * stats[c][1] for c in stats) / total,
                     g_w, g_b))
-        if state_path:
-            spark.createDataFrame(out[-len(stats) - 1:], _FED_SCHEMA).write.mode("append") \
+        if state_path and (rnd % checkpoint_every == 0 or rnd == rounds):
+            spark.createDataFrame(out[saved:], _FED_SCHEMA).write.mode("append") \
                 .parquet(state_path)
+            saved = len(out)
     return spark.createDataFrame(out, _FED_SCHEMA)
 
 

@@ -133,3 +133,20 @@ def test_sampled_attributions_brute_force(spark):
         r = got[tid]
         assert np.allclose(r["contributions"], phi[i], atol=1e-12)
         assert abs(r["base_value"] - base[i]) < 1e-12 and abs(r["prediction"] - pred[i]) < 1e-12
+
+
+def test_federated_run_resumes_from_saved_rounds(spark):
+    """A run stopped after round 2 and restarted continues to the same model."""
+    import tempfile
+    from fraudlake.operators import rounds as R
+    feats = q_rounds.features(spark, SF_SMALL)
+    path = os.path.join(tempfile.mkdtemp(prefix="fraudlake-fed-"), "state")
+    R.federated_linear(spark, feats, q_rounds.DIM, rounds=2, local_steps=1, lr=2.0,
+                       state_path=path, checkpoint_every=1)
+    resumed = R.federated_linear(spark, feats, q_rounds.DIM, rounds=4, local_steps=1, lr=2.0,
+                                 state_path=path, checkpoint_every=1)
+    fresh = R.federated_linear(spark, feats, q_rounds.DIM, rounds=4, local_steps=1, lr=2.0)
+    a = resumed.where("client_id = 'global' and round = 4").first()
+    b = fresh.where("client_id = 'global' and round = 4").first()
+    assert np.allclose(a["w"], b["w"], atol=1e-12) and abs(a["b"] - b["b"]) < 1e-12
+    assert resumed.count() == fresh.count()

@@ -319,21 +319,26 @@ def q_json_report(spark, sf_dir):
 
 @register("round_state", "A10", views=("round_metrics",), rounded={"auprc": 9}, sql="""
 st as (select client_id, round as checkpoint_round,
-   count(*) over (partition by client_id order by round
-     rows between unbounded preceding and current row) as rounds_completed, auprc, round
-   from round_metrics)
+   count(*) over w as rounds_completed, auprc, round,
+   list(round(auprc, 9)) over w as history
+   from round_metrics
+   window w as (partition by client_id order by round
+     rows between unbounded preceding and current row))
 select client_id, arg_max(checkpoint_round, round) as checkpoint_round,
-  arg_max(rounds_completed, round) as rounds_completed, arg_max(auprc, round) as auprc
+  arg_max(rounds_completed, round) as rounds_completed, arg_max(auprc, round) as auprc,
+  arg_max(history, round) as history
 from st where round % 5 = 0 group by client_id""")
 def q_round_state(spark, sf_dir):
-    """A10: checkpoint every 5 rounds appended to a table; resume from the latest."""
+    """A10: checkpoint rows (round, completed, AUPRC history) every 5 rounds,
+    appended to a table; resume from the latest."""
     rm = fx.round_metrics(spark, sf_dir)
     w = Window.partitionBy("client_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
     st = (rm.withColumn("rounds_completed", F.count(F.lit(1)).over(w))
+          .withColumn("history", F.collect_list(F.round("auprc", 9)).over(w))
           .where(F.col("round") % 5 == 0)
           .select("client_id", F.col("round").alias("checkpoint_round"), "rounds_completed",
-                  "auprc"))
+                  "auprc", "history"))
     path = scratch_path(spark, "round-state")
     I.save_round_state(st, path)
     return I.resume_point(spark, path).select("client_id", "checkpoint_round",
-                                              "rounds_completed", "auprc")
+                                              "rounds_completed", "auprc", "history")

@@ -47,6 +47,26 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None,
     return coerce_types(df, spec, int_null=int_null)
 
 
+def read_folder(spark: SparkSession, folder: str, int_null: str = "null") -> dict:
+    """A1/A2 over a folder: every CSV or Parquet file is typed by its detected
+    kind; files of one kind are unioned by column name. Returns
+    ``{kind: DataFrame}``. Listing uses the cluster file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict = {}
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith((".", "_")) or not name.endswith((".csv", ".parquet")):
+            continue
+        path = st.getPath().toString()
+        df = read_table(spark, path, int_null=int_null,
+                        fmt="parquet" if name.endswith(".parquet") else "csv")
+        kind = detect_kind(path, df.columns)
+        out[kind] = df if kind not in out else out[kind].unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def _has_csv(spark: SparkSession, path: str) -> bool:
     """Does the folder hold CSV part files (checked on the cluster file system)?"""
     jvm = spark.sparkContext._jvm

@@ -58,3 +58,17 @@ def test_quarantine_retention_keeps_newest_under_cap(spark):
                               "payload string, date date")
     out = {r["date"].day: r["keep"] for r in I.quarantine_retention(q, 50).collect()}
     assert out == {3: True, 2: True, 1: False}
+
+
+def test_read_folder_groups_files_by_kind(spark):
+    d = tempfile.mkdtemp(prefix="fraudlake-folder-")
+    with open(os.path.join(d, "train_transaction.csv"), "w") as f:
+        f.write("TransactionID,isFraud,TransactionAmt\n1,0,5.0\n2,1,7.5\n")
+    with open(os.path.join(d, "more.csv"), "w") as f:
+        f.write("TransactionID,isFraud,TransactionAmt\n3,0,1.0\n")
+    with open(os.path.join(d, "train_identity.csv"), "w") as f:
+        f.write("TransactionID,DeviceType,id_01\n1,mobile,0.5\n")
+    got = I.read_folder(spark, d)
+    assert sorted(got) == ["identity", "transaction"]
+    assert got["transaction"].count() == 3
+    assert dict(got["identity"].dtypes)["id_01"] == "double"

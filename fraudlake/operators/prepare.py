@@ -134,14 +134,21 @@ def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int =
 
 
 def partition_stats(df: DataFrame, num_banks: int = 3, code_col: str = "ProductCD",
-                    label_col: str = LABEL) -> DataFrame:
-    """Rows, fraud rows, fraud % and assigned codes per bank; empty banks kept."""
+                    label_col: str = LABEL, order_col: str = KEY) -> DataFrame:
+    """Rows, fraud rows, fraud % and assigned codes (first-seen order) per
+    bank; empty banks kept. Aggregates per (bank, code) first, so the codes
+    list is built from a small table."""
     spark = df.sparkSession
     banks = spark.range(1, num_banks + 1).select(bank_name(F.col("id")).alias("bank_id"))
-    st = df.groupBy("bank_id").agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.sum(F.col(label_col).cast("long")).alias("fraud_records"),
-        F.array_join(F.array_sort(F.collect_set(code_col)), ",").alias("assigned_products"))
+    per_code = df.groupBy("bank_id", code_col).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("long")).alias("_f"),
+        F.min(order_col).alias("_first"))
+    # codes listed in first-seen order (the order they were assigned in)
+    st = per_code.groupBy("bank_id").agg(
+        F.sum("_n").alias("total_records"), F.sum("_f").alias("fraud_records"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+            F.col(code_col).isNotNull(), F.struct(F.col("_first"), F.col(code_col))))),
+            lambda x: x[code_col]), ",").alias("assigned_products"))
     out = banks.join(st, "bank_id", "left")
     return out.select(
         "bank_id",

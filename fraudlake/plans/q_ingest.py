@@ -254,10 +254,10 @@ CAP_BYTES = 20_000
 
 
 @register("quarantine_retention", "A5", views=D, sql=QUARANTINE_SQL + f"""
-, sizes as (select date, sum(length(payload)) as bytes, count(*) as records
+, sizes as (select date, cast(sum(length(payload)) as bigint) as bytes, count(*) as records
    from quarantine group by date)
-select date, bytes, records, sum(bytes) over (order by date desc
-   rows between unbounded preceding and current row) as running_bytes,
+select date, bytes, records, cast(sum(bytes) over (order by date desc
+   rows between unbounded preceding and current row) as bigint) as running_bytes,
   sum(bytes) over (order by date desc rows between unbounded preceding and current row)
    <= {CAP_BYTES} as keep from sizes""")
 def q_quarantine_retention(spark, sf_dir):
@@ -307,7 +307,7 @@ report as (select bank_id, n_pos, n_neg, average_precision, auroc, precision, re
    union all select 'mean', cast(sum(n_pos) as bigint), cast(sum(n_neg) as bigint),
    avg(average_precision), avg(auroc), avg(precision), avg(recall), avg(f1), avg(bce_loss)
    from per)
-select bank_id, to_json(struct_pack({fields})) as report from report"""
+select bank_id, cast(to_json(struct_pack({fields})) as varchar) as report from report"""
 
 
 @register("json_report", "A9", views=TX, sql=_json_sql())

@@ -107,7 +107,8 @@ noisy as (select *, clean_sum + {SIGMA * CLIP!r} * sqrt(-2.0 * ln({_U1}))
 
 
 @register("noisy_sum", "P2", views=UP, rounded={"clean_sum": 9, "noisy_sum": 9},
-          sql=NOISY_SQL + "\nselect round, tensor, pos, clean_sum, noisy_sum from noisy")
+          sql=NOISY_SQL + "\nselect round, tensor, cast(pos as integer) as pos, clean_sum, "
+                                   "noisy_sum from noisy")
 def q_noisy_sum(spark, sf_dir):
     """Clipped sum per round and position plus seeded Gaussian noise (sigma 1.1)."""
     return PV.noisy_sum(fx.updates(spark, sf_dir), CLIP, SIGMA, SEED).select(
@@ -166,7 +167,8 @@ def q_enforce_budget(spark, sf_dir):
 @register("privacy_summary", "P7", views=RM, rounded={**E6, "remaining": 6}, sql=BUDGET_SQL + """
 select client_id, arg_max(round, round) as round, arg_max(epsilon_spent, round) as epsilon_spent,
   arg_max(budget, round) as budget, arg_max(remaining, round) as remaining,
-  arg_max(exhausted, round) as exhausted, sum(steps) as total_steps, count(*) as rounds
+  arg_max(exhausted, round) as exhausted, cast(sum(steps) as bigint) as total_steps,
+  count(*) as rounds
 from status group by client_id""")
 def q_privacy_summary(spark, sf_dir):
     """One row per client with its latest ledger state and totals."""

@@ -97,7 +97,8 @@ ux as (select round, client_id, tensor, num_examples, unnest(w) as v,
 
 
 @register("fedavg", "H3", views=UP, rounded={"value": 9}, sql=EXPLODED_SQL + """
-select round, tensor, pos, sum(num_examples * v) / sum(num_examples) as value
+select round, tensor, cast(pos as integer) as pos,
+  sum(num_examples * v) / sum(num_examples) as value
 from ux group by round, tensor, pos""")
 def q_fedavg(spark, sf_dir):
     """H3: example-weighted element-wise mean of client weights per round."""
@@ -176,7 +177,8 @@ def q_weight_change(spark, sf_dir):
 
 
 @register("sample_counts", "H8", views=UP, sql="""
-select client_id, round, sum(num_examples) as samples from updates group by client_id, round""")
+select client_id, round, cast(sum(num_examples) as bigint) as samples from updates
+group by client_id, round""")
 def q_sample_counts(spark, sf_dir):
     """H8: training examples per client per round."""
     return R.sample_counts(fx.updates(spark, sf_dir))
@@ -199,7 +201,7 @@ f as (select bank_id, cast(isFraud as double) as y, {x_sql()} as x from splitted
    where split = 'train'),
 g as (select bank_id, count(*) as n, sum(0.5 - y) as gb, {g} from f group by bank_id),
 loc as ({loc} union all select bank_id, n, -1, -0.5 * (gb / n) from g),
-glb as (select 'global' as bank_id, sum(n) as n, pos, sum(n * value) / sum(n) as value
+glb as (select 'global' as bank_id, cast(sum(n) as bigint) as n, pos, sum(n * value) / sum(n) as value
    from loc group by pos)
 select 1 as round, bank_id as client_id, n, ln(2.0) as train_loss, pos, value from loc
 union all select 1, bank_id, n, ln(2.0), pos, value from glb"""

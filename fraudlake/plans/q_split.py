@@ -64,9 +64,11 @@ select b.bank_id, coalesce(s.total_records, 0) as total_records,
   coalesce(s.fraud_records * 100.0 / s.total_records, 0.0) as fraud_rate,
   coalesce(s.assigned_products, '') as assigned_products
 from (select 'bank_' || cast(i as varchar) as bank_id from range(1, 4) r(i)) b
-left join (select bank_id, count(*) as total_records, cast(sum(isFraud) as bigint) as fraud_records,
-     array_to_string(list_sort(list(distinct ProductCD)), ',') as assigned_products
-   from banked group by bank_id) s on b.bank_id = s.bank_id""")
+left join (select bank_id, cast(sum(n) as bigint) as total_records, cast(sum(f) as bigint) as fraud_records,
+     coalesce(string_agg(ProductCD, ',' order by first_id), '') as assigned_products
+   from (select bank_id, ProductCD, count(*) as n, sum(isFraud) as f,
+           min(TransactionID) as first_id from banked group by bank_id, ProductCD)
+   group by bank_id) s on b.bank_id = s.bank_id""")
 def q_partition_stats(spark, sf_dir):
     """Per-bank sizes, fraud counts and assigned codes (empty banks reported)."""
     return P.partition_stats(banked(spark, sf_dir))

@@ -43,15 +43,25 @@ def test_entry_runs(spark):
     assert df.count() >= 1
 
 
+# Spark type name -> DuckDB type name of the same values
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE",
+         "array<double>": "DOUBLE[]", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     cols = sdf.columns
+    stypes = dict(sdf.dtypes)
     srows = sdf.collect()
+    rel = duck.sql(ORACLE[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = duck.execute(ORACLE[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(cols) == sorted(dcols)
+    assert {c: TYPES.get(t, t) for c, t in stypes.items()} == dtypes
     key = sorted(cols)
     a = sorted((tuple(_norm(r[cols.index(c)]) for c in key) for r in srows), key=repr)
     b = sorted((tuple(_norm(r[dcols.index(c)]) for c in key) for r in drows), key=repr)

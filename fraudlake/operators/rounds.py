@@ -98,13 +98,23 @@ def l2(w: Column) -> Column:
 
 
 def norm_outliers(updates: DataFrame, k: float = 2.0, round_col: str = "round",
-                  w_col: str = "w") -> DataFrame:
+                  w_col: str = "w", method: str = "sd") -> DataFrame:
     """H6: norm per update; outlier when |norm - mean| > k * population sd
-    within (round, tensor). Needs >= 6 clients to ever fire with k = 2."""
+    within (round, tensor). Needs >= 6 clients to ever fire with k = 2.
+
+    ``method="mad"``: |norm - median| > k * median absolute deviation, which a
+    single extreme client cannot mask (groups hold one row per client)."""
     normed = updates.withColumn("norm", l2(F.col(w_col)))
-    stats = normed.groupBy(round_col, "tensor").agg(F.avg("norm").alias("_mu"),
-                                                    F.stddev_pop("norm").alias("_sd"))
-    j = normed.join(stats, [round_col, "tensor"])
+    keys = [round_col, "tensor"]
+    if method == "mad":
+        med = normed.groupBy(*keys).agg(F.percentile("norm", 0.5).alias("_mu"))
+        dev = normed.join(med, keys).withColumn("_d", F.abs(F.col("norm") - F.col("_mu")))
+        mad = dev.groupBy(*keys).agg(F.percentile("_d", 0.5).alias("_sd"))
+        j = dev.drop("_d").join(mad, keys)
+    else:
+        stats = normed.groupBy(*keys).agg(F.avg("norm").alias("_mu"),
+                                          F.stddev_pop("norm").alias("_sd"))
+        j = normed.join(stats, keys)
     return j.withColumn("outlier", F.abs(F.col("norm") - F.col("_mu")) > F.lit(k) * F.col("_sd")) \
         .drop("_mu", "_sd")
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudlake.session import ensure_checkpoint_dir
 from fraudlake.sources.fixtures import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,8 @@ def register(name: str, survey_id: str, sql: str | None = None,
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # checkpoint() needs a folder; the cluster's setting wins, tests get one
+            ensure_checkpoint_dir(spark)
             df = fn(spark, sf_dir)
             if rounded:
                 df = df.select(*[F.round(F.col(c), rounded[c]).alias(c) if c in rounded

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from fraudlake.plans.q_ingest import REASON_SQL
-from fraudlake.plans.q_monitor import ALERT_FOR_SECONDS, ALERT_VALUE, ME
+from fraudlake.plans.q_monitor import ALERT_FOR_SECONDS, ALERT_VALUE, ME, RATE_SQL
 from fraudlake.plans.registry import ORACLE, register
 from fraudlake.session import scratch_path
 from fraudlake.streaming import streams as S
@@ -34,6 +34,20 @@ def q_stream_window_metrics(spark, sf_dir):
         "window_start", "window_end", "round_type", "rounds", "failures", "value_sum")
 
 
+@register("stream_rate_5m", "M17", views=ME, rounded={"rate": 6}, sql=RATE_SQL + """
+, r as (select client_id, window_start, window_start + interval 5 minute as window_end,
+   sum(value) / 300.0 as rate from w group by client_id, window_start)
+select * from r
+where window_end <= (select max(ts) from metric_events) - interval 10 minute""")
+def q_stream_rate_5m(spark, sf_dir):
+    """Sliding 5-minute rates per client from a file stream; only
+    windows closed by the watermark are emitted (append mode)."""
+    out = S.stream_rates(spark, os.path.join(sf_dir, "events.parquet"),
+                         scratch_path(spark, "stream-rates"))
+    return _ntz(out, ("window_start", "window_end")).select(
+        "client_id", "window_start", "window_end", "rate")
+
+
 @register("stream_quarantine", "M18", views=("dirty",), sql=REASON_SQL + """
 select case when reject_reason is null then 'good' else 'quarantine' end as "table",
   reject_reason as reason, count(*) as records from reasons

@@ -148,6 +148,7 @@ def stream_quarantine(spark: SparkSession, orders_path: str, base: str,
 # --- M9 streaming: sustained-condition alerts with state -------------------------------------------
 
 def _alert_state_fn(threshold: float, for_us: int, idle_us: int):
+    import numpy as np
     import pandas as pd
 
     def fn(key, pdfs, state):
@@ -155,32 +156,31 @@ def _alert_state_fn(threshold: float, for_us: int, idle_us: int):
             state.remove()
             return
         pending = state.get[0] if state.exists else None
-        last_ts = None
-        out = []
         frames = [p for p in pdfs if len(p)]
-        if frames:
-            pdf = pd.concat(frames).sort_values(["ts", "seq"])
-            ts_us = (pdf["ts"].astype("int64") // 1000).to_numpy()
-            for t, s, v in zip(ts_us, pdf["seq"].to_numpy(), pdf["value"].to_numpy()):
-                if v > threshold:
-                    if pending is None:
-                        pending = int(t)
-                    if t - pending >= for_us:
-                        out.append((key[0], int(t), int(s), pending))
-                else:
-                    pending = None
-                last_ts = int(t)
-        if pending is None:
-            state.remove() if state.exists else None
-        else:
-            state.update((pending,))
-        if last_ts is not None:
-            state.setTimeoutTimestamp(last_ts // 1000 + idle_us // 1000)
-        if out:
-            res = pd.DataFrame(out, columns=["client_id", "ts_us", "seq", "pending_us"])
-            res["ts"] = pd.to_datetime(res["ts_us"], unit="us")
-            res["pending_since"] = pd.to_datetime(res["pending_us"], unit="us")
-            yield res[["client_id", "ts", "seq", "pending_since"]]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts", "seq"])
+        ts = (pdf["ts"].astype("int64") // 1000).to_numpy()
+        cond = (pdf["value"] > threshold).to_numpy()
+        # vectorised state machine: a false sample opens a new segment; a true
+        # sample's run started at the first true sample of its segment (or at
+        # the carried pending time for the segment before any false sample)
+        seg = np.cumsum(~cond)
+        first_true = pd.Series(np.where(cond, ts, np.iinfo("int64").max)).groupby(seg).transform("min")
+        start = first_true.to_numpy()
+        if pending is not None:
+            start = np.where(seg == 0, min(pending, int(start[0]) if cond[0] else pending), start)
+        fire = cond & (ts - start >= for_us)
+        if cond[-1]:
+            state.update((int(start[-1]),))
+        elif state.exists:
+            state.remove()
+        state.setTimeoutTimestamp(int(ts[-1]) // 1000 + idle_us // 1000)
+        if fire.any():
+            res = pd.DataFrame({"client_id": key[0], "ts": pd.to_datetime(ts[fire], unit="us"),
+                                "seq": pdf["seq"].to_numpy()[fire],
+                                "pending_since": pd.to_datetime(start[fire], unit="us")})
+            yield res
 
     return fn
 
@@ -199,8 +199,8 @@ def alert_for_stream(ev: DataFrame, threshold: float, for_seconds: int,
 
 
 def stream_alert_for(spark: SparkSession, events_path: str, base: str, threshold: float,
-                     for_seconds: int) -> DataFrame:
+                     for_seconds: int, max_files: int | None = None) -> DataFrame:
     sink, ckpt = os.path.join(base, "sink"), os.path.join(base, "checkpoint")
-    run_to_sink(alert_for_stream(event_stream(spark, events_path), threshold, for_seconds),
-                sink, ckpt)
+    run_to_sink(alert_for_stream(event_stream(spark, events_path, max_files), threshold,
+                                 for_seconds), sink, ckpt)
     return spark.read.parquet(sink)

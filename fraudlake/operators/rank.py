@@ -6,9 +6,9 @@ aggregates and only ever move small, bounded tables to the driver:
 
 * :func:`cut_tuples` finds the rows at given ranks of a lexicographic order
   ``(key nulls last, tie)`` inside each group. Groups of at most FINAL_ROWS
-  rows are answered by one bounded ordered pick; larger ones by repeated
-  histogram narrowing (one aggregate per level, each level shrinks the
-  candidate range by ``N_BINS``). A heavy key value is resolved on the tie
+  rows (a million) are answered by one bounded ordered pick; larger ones by
+  repeated histogram narrowing (one aggregate per level, each level shrinks
+  the candidate range by ``N_BINS``). A heavy key value is resolved on the tie
   column instead, so a key holding a third of all rows costs nothing extra.
 * :func:`before_cut` turns a cut tuple into a row predicate.
 * :func:`values_at_ranks` is the same selection for a numeric column per part
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fraudlake.functions.buckets import TREE_BUDGET, count_at_most, count_less, thin
 
-FINAL_ROWS = 100_000   # candidates at most this many: finish with a bounded sort
+FINAL_ROWS = 1_000_000  # candidates at most this many: finish with one bounded sort
 N_BINS = 4096          # histogram width per narrowing level
 
 

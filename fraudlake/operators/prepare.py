@@ -27,6 +27,9 @@ KNOWN_CATEGORICAL = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildom
 # fixed values: name prefixes that mark integer columns as categorical
 CATEGORICAL_PREFIXES = ["ProductCD", "card", "email", "Device", "id_"]
 
+# dictionary or mapping entries below which a lookup table is broadcast
+BROADCAST_DICT_ROWS = 2_000_000
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
 INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -111,6 +114,9 @@ def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int =
     n_null = summary["nulls"] or 0
     mapping = code_banks(df, code_col, num_banks, order_col, summary["codes"]) \
         .select(code_col, "bank_id")
+    # the code count is known: broadcast the mapping only when it is small
+    if summary["codes"] <= BROADCAST_DICT_ROWS:
+        mapping = F.broadcast(mapping)
     coded = df.join(mapping, code_col, "left")
     if n_null == 0:
         return coded
@@ -411,9 +417,6 @@ def fit_dictionary(train: DataFrame, cat_cols: list[str],
     return ordinal_codes(distinct, [*g, "column_name"], "value").checkpoint(eager=True)
 
 
-BROADCAST_DICT_ROWS = 2_000_000
-
-
 def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
                     group_col: str | None = "bank_id",
                     broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:

@@ -6,12 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fraudlake.plans import ORACLE, QUERIES
 from fraudlake.sources.fixtures import TABLES
 
 from conftest import SF_SMALL
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
 
 
 def _norm(v):
@@ -35,6 +34,7 @@ def duck():
 def test_every_query_is_registered_with_survey_id():
     from fraudlake.plans import SURVEY_ID
     assert set(SURVEY_ID) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert len(QUERIES) >= 100
 
 

@@ -6,12 +6,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from fraudlake.plans import QUERIES
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
-
 
 def _plan(spark, name):
     return QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import (fingerprints, line_dedup, quality, sharding)
+from fraudlake.llm import bpe, fingerprints, line_dedup, packing, quality, sharding
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -165,3 +165,15 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, carry_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query("op7_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length",
+                      F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query("op10_bpe")
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))

@@ -138,6 +138,21 @@ def packed(docs: DataFrame, path: str | None = None, room: int = ROOM, id_col: s
     return pack(pieces(docs, path, room, id_col, text_col), room, group_rows)
 
 
+def group_packer(room: int, level: int):
+    """Packs one group of pieces; sequence ids are unique over rounds and groups."""
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values([c for c in ("length", "id", "piece") if c in df.columns], ignore_index=True)
+        bins, offsets = pack_lengths(df["length"].to_numpy(np.int64), room)
+        used = np.bincount(bins, weights=df["length"]).astype(np.int64)
+        out = df.drop(columns="grp")
+        out["sequence_id"] = (level << 58) | (int(key[0]) << 28) | bins
+        out["offset"] = offsets
+        out["used"] = used[bins]
+        return out
+
+    return run
+
+
 def pack(rows: DataFrame, room: int = ROOM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Packs pieces (any columns with a ``length`` of at most ``room``)."""
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
@@ -147,19 +162,9 @@ def pack(rows: DataFrame, room: int = ROOM, group_rows: int = GROUP_ROWS) -> Dat
     for level in range(MAX_ROUNDS):
         groups = max(1, -(-n // group_rows))
 
-        def run(key: tuple, df: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            df = df.sort_values([c for c in ("length", "id", "piece") if c in df.columns], ignore_index=True)
-            bins, offsets = pack_lengths(df["length"].to_numpy(np.int64), room)
-            used = np.bincount(bins, weights=df["length"]).astype(np.int64)
-            out = df.drop(columns="grp")
-            out["sequence_id"] = (level << 58) | (int(key[0]) << 28) | bins
-            out["offset"] = offsets
-            out["used"] = used[bins]
-            return out
-
         deal = F.pmod(F.xxhash64(F.lit(level), *[F.col(c) for c in rows.columns]), F.lit(groups))
         placed = written(todo.withColumn("grp", deal).groupBy("grp").applyInPandas(
-            run, schema + ", sequence_id bigint, offset bigint, used bigint"), "packed")
+            group_packer(room, level), schema + ", sequence_id bigint, offset bigint, used bigint"), "packed")
         loose = F.col("used") < int((1 - SLACK) * room)
         left = placed.where(loose).count() if groups > 1 and level < MAX_ROUNDS - 1 else 0
         last = left == 0 or 2 * left > n

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bpe, fingerprints, line_dedup, packing, quality, sharding
+from fraudlake.llm import bpe, fingerprints, line_dedup, packing, quality, sharding, simhash
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -177,3 +177,11 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash")
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"),
+                      F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                      F.col("component").alias("component_id"))

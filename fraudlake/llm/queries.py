@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import bpe, fingerprints, line_dedup, packing, quality, sharding, simhash
+from fraudlake.llm import (bpe, fingerprints, langid, line_dedup, packing, quality, sharding, simhash,
+                           token_counts)
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -185,3 +186,15 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"),
                       F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                       F.col("component").alias("component_id"))
+
+
+@query("op4_token_counts")
+def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predicted(docs, langid.fit(docs)).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

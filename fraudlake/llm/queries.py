@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import (bpe, fingerprints, langid, line_dedup, packing, quality, sharding, simhash,
-                           token_counts)
+from fraudlake.llm import (bpe, fingerprints, html_extract, langid, line_dedup, packing, quality,
+                           sharding, simhash, token_counts)
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -198,3 +198,9 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.predicted(docs, langid.fit(docs)).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_html_extraction")
+def html_extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlake.llm import langid, line_dedup, packing, quality, simhash
-from fraudlake.llm.common import table, written
+from fraudlake.llm.common import set_aside, table, written
 from fraudlake.session import ensure_checkpoint_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but one; the documents stay, with the
     shorter text and its new length in ``n_chars``."""
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("n_dropped") > 0
-    return out.select(*[
-        F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text" else
-        F.when(changed, F.char_length("kept_text").cast(dict(docs.dtypes)[c])).otherwise(F.col(c)).alias(c)
-        if c == "n_chars" else F.col(c) for c in docs.columns])
+    plain, back = set_aside(docs, ["doc_id", "text"])
+    out = line_dedup.dedup_lines(plain)
+    shorter = F.col("n_dropped") > 0
+    out = out.withColumn("text", F.when(shorter, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        name = f"_extra{docs.columns.index('n_chars')}"
+        length = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn(name, F.when(shorter, length).otherwise(F.col(name)))
+    return back(out)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

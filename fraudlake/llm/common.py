@@ -4,7 +4,6 @@ word and line expressions, and range buckets over a sort key."""
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,5 +74,12 @@ def id_bounds(df: DataFrame, col: str, buckets: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def all_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds)
+def set_aside(docs: DataFrame, own: list[str]):
+    """``docs`` with every column outside ``own`` under a neutral name, and the function
+    that undoes it: columns an operator adds cannot clash with extra ones."""
+    names = {c: f"_extra{i}" for i, c in enumerate(docs.columns) if c not in own}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+    return docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]), back

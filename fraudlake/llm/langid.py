@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudlake.llm.common import set_aside, written
+
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -139,8 +141,6 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
                 [b.column(0), b.column(2), pa.array([grams(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))],
                 names=["lang", "k", "g"])
 
-    from fraudlake.llm.common import written
-
     sample = written(_sample(rows, per_lang).mapInArrow(spell, "lang string, k int, g array<bigint>")
                      .where(F.size("g") > 0), "langid-sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
@@ -179,14 +179,15 @@ def _slices(marks: Landmarks, j: int) -> np.ndarray:
 
 def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
               carry: bool = False) -> DataFrame:
-    """(id, lang_pred, score) of every row, or with ``carry`` all columns and these two.
+    """(id, lang_pred, score) of every row, or with ``carry`` all columns and these two
+    (in place of columns of the same names).
 
     Only the text is used. Null text or text without a letter is ``und`` with
     score 0, and so is every text if the model knows no language. The score is
     the best regression value moved from -1..1 to 0..1 and cut there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)   # size bounded by the landmarks
-    cols = docs.columns if carry else [id_col]
+    cols = [c for c in docs.columns if c not in ("lang_pred", "score")] if carry else [id_col]
     part = docs.select(*cols) if carry else docs.select(id_col, text_col)
     schema = ", ".join(f"`{c}` {t}" for c, t in part.select(*cols).dtypes) + ", lang_pred string, score double"
     at = part.columns.index(text_col)
@@ -210,5 +211,6 @@ MIN_SCORE = 0.25
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in a known language: prediction not ``und``, score of at
     least ``min_score`` (a best one-versus-rest value of -0.5)."""
-    found = predicted(docs, fit(docs, id_col=id_col), id_col, carry=True)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    plain, back = set_aside(docs, [id_col, "text", "lang"])
+    found = predicted(plain, fit(plain, id_col=id_col), id_col, carry=True)
+    return back(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))

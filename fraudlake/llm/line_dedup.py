@@ -27,6 +27,7 @@ from fraudlake.llm.common import (SPACE, at_most_count, id_bounds, let, lower_as
 from fraudlake.session import scratch_path
 
 HASH = ["h1", "h2"]
+RUN = "h1 long, h2 long, docs long, owner long"
 
 
 def line_key(line: Column) -> Column:
@@ -80,7 +81,7 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         # read by path: a union of bucketed scans must not pass for hash-partitioned
-        whole = self.spark.read.parquet(*[f"{self.root}/{n}" for n in names])
+        whole = self.spark.read.schema(RUN).parquet(*[f"{self.root}/{n}" for n in names])
         return whole.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("owner").alias("owner"))
 
     def add(self, batch: DataFrame) -> None:
@@ -128,7 +129,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     largest id. Lines are split at \\n only; other lines stay, joined by \\n.
     Null or empty text is one empty line. Every row counts as a document of its
     own; rows that share the largest id all keep the line, a null id is the
-    smallest. An empty table gives no rows; other columns pass through.
+    smallest. An empty table gives no rows; other columns pass through, except
+    ones named like an added column.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -153,8 +155,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     keep = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_drop"))
     kept = let(F.split(text, "\n"), lambda lines: F.array_join(
         F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    added = ("n_lines", "n_dropped", "kept_text")
     return joined.select(
-        *docs.columns, n_lines.cast("long").alias("n_lines"),
+        *[c for c in docs.columns if c not in added], n_lines.cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct("_drop")))
         .cast("long").alias("n_dropped"),
         F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("kept_text"))

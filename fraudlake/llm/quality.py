@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import let, words, written
+from fraudlake.llm.common import let, set_aside, words, written
 
 SYMBOLS = "#*$%&|<>"
 RATIOS = ("symbol", "word_len", "dup_line", "repeat")
@@ -174,8 +174,8 @@ BROADCAST_GROUPS = 20_000      # fences of this many groups are under 10 MB
 def judged(docs: DataFrame, rules: Rules = Rules(), carry_text: bool = True) -> DataFrame:
     """``docs`` (needs text, lang, source) plus the measures, base_failed and kept.
 
-    Null lang or source is a group of its own; other columns pass through, the
-    text only with ``carry_text``. ``kept`` is false where a base rule fails or
+    Null lang or source is a group of its own; other columns pass through (ones
+    named like a measure are replaced), the text only with ``carry_text``. ``kept`` is false where a base rule fails or
     a ratio lies outside the fences of the document's group. An empty table
     gives no rows. The measures are written once and read twice, so texts are
     scanned a single time.
@@ -192,3 +192,9 @@ def judged(docs: DataFrame, rules: Rules = Rules(), carry_text: bool = True) ->
     ok = inside[0] & inside[1] & inside[2] & inside[3]
     return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(False))) \
         .drop("_lang", "_source", "_f")
+
+
+def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they were."""
+    plain, back = set_aside(docs, ["text", "lang", "source"])
+    return back(judged(plain, rules).where("kept"))

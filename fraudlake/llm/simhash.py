@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import written
+from fraudlake.llm.common import set_aside, written
 from fraudlake.llm.graph import components
 
 SHINGLE, MAX_BITS = 3, 3
@@ -38,6 +38,7 @@ SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))     # offset, bits
 GOLAY = 0xC75                                # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 BLOCK = 65_536                               # hashes turned into bits at a time
+BROADCAST_KEYS = 1_000_000                   # bucket keys (8 bytes each) sent to all tasks at most
 
 
 # --- fingerprints ------------------------------------------------------------------
@@ -138,17 +139,16 @@ def golay_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """(key, side, fp, docs) of every distinct fingerprint."""
+    """(key, side, fp) of every distinct fingerprint."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay()
         for b in batches:
-            fp, docs = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = b.column(0).to_numpy()
             rows, keys, side = golay_keys(fp.view(np.uint64), golay)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(side), pa.array(fp[rows]), pa.array(docs[rows])],
-                names=["key", "side", "fp", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(side), pa.array(fp[rows])],
+                                             names=["key", "side", "fp"])
 
-    return classes.select("fp", "docs").mapInArrow(run, "key bigint, side tinyint, fp bigint, docs bigint")
+    return classes.select("fp").mapInArrow(run, "key bigint, side tinyint, fp bigint")
 
 
 def _apart(a: str | Column, b: str | Column) -> Column:
@@ -162,14 +162,18 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 3:
         raise ValueError("the keys cover up to 3 differing bits")
     keys = keyed(classes)
-    # buckets with at least two fingerprints and a left and a right one, with their pivots
-    buckets = keys.groupBy("key").agg(
+    # buckets with at least two fingerprints; most keys have one and end here
+    live = written(keys.groupBy("key").agg(F.min("fp").alias("p1"), F.max("fp").alias("p2"))
+                   .where("p1 <> p2").select("key"), "golay-live")
+    if live.count() <= BROADCAST_KEYS:
+        live = F.broadcast(live)
+    members = keys.join(live, "key").join(classes.select("fp", "docs"), "fp")
+    members = written(members.select("key", "side", "fp", "docs"), "golay-members")
+    buckets = members.groupBy("key").agg(
         F.min("fp").alias("p1"), F.max("fp").alias("p2"),
         F.max(F.struct("docs", "fp"))["fp"].alias("p3"),
-        F.min("side").alias("s1"), F.max("side").alias("s2")) \
-        .where("p1 <> p2 and s1 <> s2").drop("s1", "s2")
-    buckets = written(buckets, "golay-buckets")
-    members = written(keys.join(buckets, "key"), "golay-members")
+        F.min("side").alias("s1"), F.max("side").alias("s2")).where("s1 <> s2").drop("s1", "s2")
+    members = written(members.join(buckets, "key"), "golay-pivots")
     star = members.select("fp", F.explode(F.array("p1", "p2", "p3")).alias("p")) \
         .where((F.col("fp") != F.col("p")) & (_apart("fp", "p") <= max_bits))
     comps = components(star.select(F.col("fp").alias("u"), F.col("p").alias("v")))
@@ -224,6 +228,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, n: int = SHINGLE, id_col
              text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: the document with the smallest id of each group.
     Of rows that repeat that id one stays; where a whole group has null ids, one of them."""
+    docs, back = set_aside(docs, [id_col, text_col])
     found = near_duplicates(docs, max_bits, n, id_col, text_col)
     keep = written(found.where(F.col("id").eqNullSafe(F.col("component")))
                    .groupBy(F.col("id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n")),
@@ -232,4 +237,4 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, n: int = SHINGLE, id_col
     stats = keep.agg(F.count("*"), F.sum("_n"), F.countDistinct("_id")).first()
     if stats[0] != (stats[1] or 0) or stats[0] != stats[2]:
         kept = kept.dropDuplicates([id_col])
-    return kept.select(*docs.columns)
+    return back(kept)

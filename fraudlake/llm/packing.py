@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.bpe import CACHE_CHARS, CACHE_CHUNKS, WordBPE, default_path
+from fraudlake.llm.bpe import _PLAIN, _WORDS, CACHE_CHUNKS, WordBPE, default_path
 from fraudlake.llm.common import written
 
 ROOM, END_ID = 2048, 0
@@ -34,27 +34,56 @@ MAX_ROUNDS = 8
 
 
 class ChunkIds(WordBPE):
-    """Ids of texts by the tokenizers library, chunk by chunk with a memory."""
+    """Ids of texts by the tokenizers library, chunk by chunk with a memory.
+
+    New chunks of plain characters are cut into words, and the words not met
+    before are encoded together, joined by spaces: each word ends with the one
+    token that carries the end-of-word mark, so the ids fall apart again. Other
+    chunks go to the library as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, tuple[bytes]] = {}
         self.elder: dict[str, tuple[bytes]] = {}
+        self.spelled: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> None:
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            raise ValueError("a word must end with exactly one end-of-word token")
+        raw, at = ids.tobytes(), 0
+        for w, stop in zip(words, stops):
+            self.spelled[w] = raw[at:stop]
+            at = stop
 
     def learn(self, fresh: set[str]) -> None:
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.elder, self.known = self.known, {}
-        new = []
+        if len(self.spelled) > CACHE_CHUNKS:
+            self.spelled.clear()
+        known, spelled, cut, odd = self.known, self.spelled, {}, []
         for c in fresh:
             got = self.elder.get(c)
-            if got is None:
-                new.append(c)
+            if got is not None:
+                known[c] = got
+            elif _PLAIN.fullmatch(c) and "<|" not in c:
+                cut[c] = _WORDS.findall(c.lower())
             else:
-                self.known[c] = got
-        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = (np.array(e.ids, dtype="<u4").tobytes(),)
+                odd.append(c)
+        new = {w for ws in cut.values() for w in ws if w not in spelled}
+        if new:
+            self._encode_words(list(new))
+        for c, ws in cut.items():
+            known[c] = (b"".join([spelled[w] for w in ws]),)
+        for c, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            known[c] = (np.array(e.ids, dtype="<u4").tobytes(),)
 
 
 def tokenizer(path: str) -> ChunkIds:

@@ -113,8 +113,8 @@ def audit_trail(explained: DataFrame, key: str, ts, user: str, model_type: str,
 
 
 # fixed values: fields an explanation must carry
-REQUIRED_FIELDS = ["transaction_id", "prediction", "predicted_class", "confidence",
-                   "top_features", "base_value"]
+REQUIRED_FIELDS = ["prediction", "prediction_class", "confidence", "top_features",
+                   "all_shap_values"]
 
 
 def explanation_complete(expl: DataFrame, required: list[str] = REQUIRED_FIELDS) -> DataFrame:

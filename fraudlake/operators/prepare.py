@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from fraudlake.functions.frames import combine_one_row
 from fraudlake.operators.rank import before_cut, cut_tuples, ordinal_codes, values_at_ranks
+from fraudlake.session import scratch_path
 
 KEY = "TransactionID"
 LABEL = "isFraud"
@@ -83,16 +84,14 @@ def code_banks(df: DataFrame, code_col: str = "ProductCD", num_banks: int = 3,
     """Distinct codes in first-seen order (min order key, tie by code) and their bank.
 
     Ranking runs over the distinct-code table only; a very large code domain
-    is split into buckets (:func:`ordinal_codes`). Order keys must be >= 0.
+    is split into buckets (:func:`ordinal_codes`).
     """
     codes = (df.where(F.col(code_col).isNotNull())
              .groupBy(code_col).agg(F.min(order_col).alias("first_seen")))
-    # order key as text: zero-padded first position, then the code
-    key = F.concat(F.lpad(F.col("first_seen").cast("string"), 20, "0"), F.lit("|"),
-                   F.col(code_col).cast("string"))
+    # typed order: first position, then the code
     ranked = ordinal_codes(codes.select(code_col, "first_seen", F.lit(0).alias("_all"),
-                                        key.alias("_key")), ["_all"], "_key",
-                           max_part_size=n_codes)
+                                        F.struct("first_seen", code_col).alias("_key")),
+                           ["_all"], "_key", max_part_size=n_codes)
     return ranked.select(code_col, "first_seen",
                          bank_name(F.col("code") % num_banks + 1).alias("bank_id"))
 
@@ -206,6 +205,25 @@ def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: fl
     return df.withColumn("split", label)
 
 
+def sort_time(df: DataFrame, time_col: str = TIME, key_col: str = KEY) -> DataFrame:
+    """The rows in time order (nulls last, ties by key) with ``position`` from 0.
+
+    A range-partitioned sort; the position of a row is its place in its
+    partition plus the sizes of the partitions before it (one number per
+    partition). The sorted rows are written once, so places cannot change.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "time-order")
+    df.orderBy(F.col(time_col).asc_nulls_last(), F.col(key_col)) \
+        .withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    done = spark.read.parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = done.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_id").bitwiseAND(F.lit(2 ** 33 - 1)) + F.col("_off")
+    return done.join(F.broadcast(offsets), "_part").select(*df.columns, place.alias("position"))
+
+
 def split_stats(df: DataFrame, group_col: str = "bank_id", label_col: str = LABEL) -> DataFrame:
     """Sizes, actual ratio and fraud % per (group, split); empty splits -> null rates."""
     w = Window.partitionBy(group_col)
@@ -340,7 +358,7 @@ def fit_imputation(df: DataFrame, key: str = KEY, label: str = LABEL,
             if n == 0:
                 continue
             a, b = found[(c, (n - 1) // 2)], found[(c, n // 2)]
-            medians[c] = a + (b - a) * 0.5
+            medians[c] = a if a == b else a + (b - a) * 0.5
     modes: dict = {}
     if txt:
         stacked = _stack(df, txt, "string")
@@ -423,47 +441,35 @@ def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
     """Replace categories by codes; unseen -> code of 'Unknown' if known,
     else 0.
 
-    The dictionary is counted first: below ``broadcast_limit`` entries it is
-    folded into one map per (group, column) and broadcast (no shuffle of the
-    data); above it every column is joined with a regular shuffle join.
+    Every column is a hash join on (group, value): with at most
+    ``broadcast_limit`` dictionary entries the dictionary is broadcast (no
+    shuffle of the data), above it the join shuffles. Null counts as 'Unknown'.
     """
     g = [group_col] if group_col else []
-    n_entries = dictionary.count()
-    small = n_entries <= broadcast_limit
-    if g and small:
-        maps = dictionary.groupBy(*g).agg(*[
-            F.map_from_entries(F.collect_list(F.when(
-                F.col("column_name") == c, F.struct("value", "code")))).alias(f"_m_{c}")
-            for c in cat_cols])
-        out = df.join(F.broadcast(maps), g, "left")
-        for c in cat_cols:
-            m = F.col(f"_m_{c}")
-            v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-            code = F.coalesce(F.try_element_at(m, v), F.try_element_at(m, F.lit("Unknown")),
-                              F.lit(0).cast("long"))
-            out = out.withColumn(c, code)
-        return out.drop(*[f"_m_{c}" for c in cat_cols])
+    small = dictionary.count() <= broadcast_limit
     out = df
     for c in cat_cols:
         d = dictionary.where(F.col("column_name") == c)
-        dc = d.select(*g, F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        dc = d.select(*[F.col(x).alias(f"_g_{x}") for x in g], F.col("value").alias("_v"),
+                      F.col("code").alias("_c"))
+        unk = d.where(F.col("value") == "Unknown").select(
+            *[F.col(x).alias(f"_h_{x}") for x in g], F.col("code").alias("_u"))
         if small:
-            dc = F.broadcast(dc)
-        v = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-        out = out.withColumn(f"_k_{c}", v)
-        out = out.join(dc, [*[out[x] == dc[x] for x in g], out[f"_k_{c}"] == dc[f"_v_{c}"]], "left")
-        for x in g:
-            out = out.drop(dc[x])
+            dc, unk = F.broadcast(dc), F.broadcast(unk)
+        out = out.withColumn("_k", F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
+        on = reduce(lambda a, b: a & b, [F.col(x) == F.col(f"_g_{x}") for x in g],
+                    F.col("_k") == F.col("_v"))
+        out = out.join(dc, on, "left")
         if g:
-            unk = d.where(F.col("value") == "Unknown").select(*g, F.col("code").alias(f"_u_{c}"))
-            out = out.join(F.broadcast(unk), g, "left")
-            unknown = F.col(f"_u_{c}")
+            out = out.join(unk, reduce(lambda a, b: a & b,
+                                       [F.col(x) == F.col(f"_h_{x}") for x in g]), "left")
+            unknown = F.col("_u")
         else:
             # without groups there is at most one 'Unknown' code per column
             row = d.where(F.col("value") == "Unknown").select("code").first()
             unknown = F.lit(row[0] if row else None).cast("long")
-        out = out.withColumn(c, F.coalesce(F.col(f"_c_{c}"), unknown, F.lit(0).cast("long")))
-        out = out.drop(*[x for x in (f"_k_{c}", f"_v_{c}", f"_c_{c}", f"_u_{c}") if x in out.columns])
+        out = out.withColumn(c, F.coalesce("_c", unknown, F.lit(0).cast("long")))
+        out = out.drop("_k", "_v", "_c", "_u", *[f"_g_{x}" for x in g], *[f"_h_{x}" for x in g])
     return out
 
 
@@ -595,6 +601,9 @@ def row_weights(df: DataFrame, weights: DataFrame | None, label: str = LABEL,
                         .otherwise(F.col("weight_0"))).drop("weight_0", "weight_1")
 
 
+HASH_RANGE = 16 ** 15
+
+
 def hash_key(key: str, seed) -> Column:
     """60-bit portable hash order key from md5 (same in DuckDB)."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))),
@@ -658,23 +667,26 @@ def balanced_resample(df: DataFrame, label: str = LABEL, group_col: str | None =
 def minibatch_ids(df: DataFrame, batch_size: int, group_col: str = "bank_id", key: str = KEY,
                   seed: int = 42) -> DataFrame:
     """Shuffled batches of ``batch_size`` per group; the incomplete last
-    batch is dropped. The shuffle order is a hash of the key; ranks come from
-    exact bucketed prefix sums (no per-group window over all rows)."""
-    from fraudlake.operators.rank import prefix_sums
-
+    batch is dropped. The shuffle order is a hash of the key. The hash is
+    uniform, so its range is cut into equal buckets: bucket counts give offsets
+    and one window per (group, bucket) ranks the rows - a single shuffle of them."""
+    buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     h = df.withColumn("_h", hash_key(key, seed))
-    per = h.groupBy(group_col, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    cum = prefix_sums(per, [group_col], "_h", ["_c"], descending=False)
-    tot = per.groupBy(group_col).agg(F.sum("_c").alias("_n"))
-    w_tie = Window.partitionBy(group_col, "_h").orderBy(key)
-    ranked = (h.join(cum.select(group_col, "_h", (F.col("cum__c") - F.col("_c")).alias("_before")),
-                     [group_col, "_h"])
-              .withColumn("_rank", F.col("_before") + F.row_number().over(w_tie) - 1)
-              .join(F.broadcast(tot), group_col))
-    batch = F.floor(F.col("_rank") / F.lit(batch_size)).cast("long")
+    h = h.withColumn("_b", F.floor(F.col("_h") / F.lit(HASH_RANGE // buckets + 1)).cast("int"))
+    per = h.groupBy(group_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # groups x buckets rows
+    w_off = Window.partitionBy(group_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(
+        F.col(group_col).alias("_g"), F.col("_b").alias("_ob"),
+        F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_before"),
+        F.sum("_c").over(Window.partitionBy(group_col)).alias("_n"))
+    w_in = Window.partitionBy(group_col, "_b").orderBy("_h", key)
+    ranked = (h.withColumn("_r", F.row_number().over(w_in) - 1)
+              .join(offsets, F.col(group_col).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_ob"))))
+    batch = F.floor((F.col("_before") + F.col("_r")) / F.lit(batch_size)).cast("long")
     full = F.floor(F.col("_n") / F.lit(batch_size))
     return (ranked.withColumn("batch_id", batch).where(F.col("batch_id") < full)
-            .drop("_h", "_before", "_rank", "_n"))
+            .select(*df.columns, "batch_id"))
 
 
 def background_sample(df: DataFrame, n: int = 100, key: str = KEY, seed: int = 42) -> DataFrame:

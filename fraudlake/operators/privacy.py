@@ -56,12 +56,10 @@ def noise_check(noisy: DataFrame, keys: tuple[str, ...] = ("round", "tensor"),
 
 
 def rdp_orders(pairs: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
-    """RDP of one subsampled-Gaussian step per (q, sigma) and integer order.
-
-    Log-space sum over k with the log binomial built by recurrence; rows are
-    distinct (q, sigma) pairs x orders, independent of the data size.
-    """
-    a = pairs.select("q", "sigma", F.explode(F.sequence(F.lit(2), F.lit(max_order))).alias("alpha"))
+    """RDP of one subsampled-Gaussian step per row of ``pairs`` (q, sigma and any
+    other columns) and integer order: one row per input row and order, computed
+    in place. Log-space sum over k with the log binomial built by recurrence."""
+    a = pairs.select("*", F.explode(F.sequence(F.lit(2), F.lit(max_order))).alias("alpha"))
     logc = F.expr("aggregate(sequence(1, alpha), array(cast(0.0 as double)), "
                   "(acc, k) -> concat(acc, array(acc[k - 1] + ln(cast(alpha - k + 1 as double) / k))))")
     terms = F.expr(
@@ -73,7 +71,7 @@ def rdp_orders(pairs: DataFrame, max_order: int = MAX_ORDER) -> DataFrame:
     out = (a.withColumn("_logc", logc).withColumn("_terms", terms)
            .withColumn("rdp", F.when(F.col("q") >= 1.0, full)
                        .otherwise(lse / (F.col("alpha") - F.lit(1)))))
-    return out.select("q", "sigma", "alpha", "rdp")
+    return out.drop("_logc", "_terms")
 
 
 def epsilon_ledger(steps: DataFrame, delta: float = 1e-5, max_order: int = MAX_ORDER,
@@ -85,8 +83,7 @@ def epsilon_ledger(steps: DataFrame, delta: float = 1e-5, max_order: int = MAX_O
     RDP is composed by a running sum per (run, order) over rounds: the table
     is rounds x orders, never rows of the data.
     """
-    rdp = rdp_orders(steps.select("q", "sigma").distinct(), max_order)
-    per = steps.join(F.broadcast(rdp), ["q", "sigma"])
+    per = rdp_orders(steps, max_order)
     w = Window.partitionBy(*run_cols, "alpha").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cum = per.withColumn("cum_rdp", F.sum(F.col("steps") * F.col("rdp")).over(w))

@@ -6,10 +6,12 @@ aggregates and only ever move small, bounded tables to the driver:
 
 * :func:`cut_tuples` finds the rows at given ranks of a lexicographic order
   ``(key nulls last, tie)`` inside each group. Groups of at most FINAL_ROWS
-  rows (a million) are answered by one bounded ordered pick; larger ones by
-  repeated histogram narrowing (one aggregate per level, each level shrinks
-  the candidate range by ``N_BINS``). A heavy key value is resolved on the tie
-  column instead, so a key holding a third of all rows costs nothing extra.
+  rows (a million) are answered by one bounded ordered pick; larger ones are
+  first narrowed around about ``N_BINS`` quantile values per level. Values are
+  only ever compared, in the column's own type, so any ordered type - also
+  fractions, extremes and infinities - gives the same rows either way. A heavy
+  key value is resolved on the tie column instead, so a key holding a third of
+  all rows costs nothing extra.
 * :func:`before_cut` turns a cut tuple into a row predicate.
 * :func:`values_at_ranks` is the same selection for a numeric column per part
   (exact medians without a per-column value buffer).
@@ -25,14 +27,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.functions.buckets import TREE_BUDGET, count_at_most, count_less, thin
 
 FINAL_ROWS = 1_000_000  # candidates at most this many: finish with one bounded sort
-N_BINS = 4096          # histogram width per narrowing level
+N_BINS = 64            # quantile values per narrowing level
 
 
 @dataclass
@@ -54,30 +55,21 @@ def _subset_id(preds: list[Column]) -> Column:
     return expr
 
 
-LONG_MIN, LONG_MAX = -(2 ** 63), 2 ** 63 - 1
-
-
 def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[list[int]],
-                   stats: dict | None = None,
-                   kind: str = "long") -> dict[tuple[int, int], tuple[int, int, int]]:
-    """Value of integer column ``col`` at each rank inside disjoint subsets.
+                   stats: dict | None = None) -> dict[tuple[int, int], tuple]:
+    """Value of column ``col`` (any ordered type, no nulls) at each rank inside
+    disjoint subsets.
 
     ``stats`` may give ``{subset: (n, lo, hi)}`` already known to the caller
-    (lo/hi may be None for small subsets), which saves the first pass.
-    ``kind`` is ``long`` (exact integer bins) or ``double``.
+    (lo/hi None: not known), which saves the first pass.
     Returns ``{(subset, rank): (value, rows_below_value, rows_equal_value)}``.
     """
     if not subsets:
         return {}
-    base = df.select(_subset_id(subsets).alias("_sid"), F.col(col).cast(kind).alias("_v")) \
+    base = df.select(_subset_id(subsets).alias("_sid"), F.col(col).alias("_v")) \
         .where(F.col("_sid").isNotNull())
-    lo_all, hi_all = (LONG_MIN, LONG_MAX) if kind == "long" else (float("-inf"), float("inf"))
-    known = stats is not None and all(
-        sid in stats and (stats[sid][1] is not None or stats[sid][0] <= FINAL_ROWS)
-        for sid in range(len(subsets)))
-    if known:
-        st_map = {sid: (n, lo_all if lo is None else lo, hi_all if hi is None else hi)
-                  for sid, (n, lo, hi) in stats.items()}
+    if stats is not None and all(sid in stats for sid in range(len(subsets))):
+        st_map = stats
     else:
         st_map = {r["_sid"]: (r["n"], r["lo"], r["hi"]) for r in base.groupBy("_sid").agg(
             F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -92,7 +84,7 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[l
     while True:
         active = [t for t in targets if t.value is None]
         for t in active:
-            if t.lo == t.hi:
+            if t.lo is not None and t.lo == t.hi:
                 t.value, t.eq = t.lo, t.count
         active = [t for t in active if t.value is None]
         if not active:
@@ -102,7 +94,7 @@ def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[l
         if small:
             _finish_small(base, small)
         if big:
-            _narrow(base, big, kind)
+            _narrow(base, big)
     return {(t.subset, t.rank): (t.value, t.below, t.eq) for t in targets}
 
 
@@ -116,7 +108,9 @@ def _range_groups(targets: list[_Target]) -> dict[tuple, list[_Target]]:
 def _range_id(groups) -> Column:
     expr = F.lit(None).cast("int")
     for i, (sid, lo, hi) in reversed(list(enumerate(groups))):
-        cond = (F.col("_sid") == sid) & F.col("_v").between(lo, hi)
+        cond = F.col("_sid") == sid
+        if lo is not None:
+            cond = cond & F.col("_v").between(F.lit(lo), F.lit(hi))
         expr = F.when(cond, F.lit(i)).otherwise(expr)
     return expr
 
@@ -143,27 +137,21 @@ def _finish_small(base: DataFrame, targets: list[_Target]) -> None:
             t.below += b
 
 
-def _width(lo, hi, kind: str):
-    if kind == "long":
-        return max(1, -(-(hi - lo + 1) // N_BINS))
-    w = (hi - lo) / N_BINS
-    # too narrow a range for N_BINS distinct doubles: split at the ends
-    return w if w > 0 and lo + w > lo else float(hi - lo)
-
-
-def _narrow(base: DataFrame, targets: list[_Target], kind: str = "long") -> None:
-    """One histogram level: split each active range into N_BINS bins."""
+def _narrow(base: DataFrame, targets: list[_Target]) -> None:
+    """One level: every active range is cut at quantile values of its rows. The rows
+    equal to a cut value are a class of their own, so a class is either one value
+    or lies strictly between two cuts."""
     groups = _range_groups(targets)
     keys = list(groups)
-    widths = [_width(lo, hi, kind) for (_, lo, hi) in keys]
-    gid = _range_id(keys)
-    lo_expr = reduce(lambda acc, i: F.when(F.col("_g") == i, F.lit(keys[i][1])).otherwise(acc),
-                     range(len(keys)), F.lit(None).cast(kind))
-    w_expr = reduce(lambda acc, i: F.when(F.col("_g") == i, F.lit(widths[i])).otherwise(acc),
-                    range(len(keys)), F.lit(None).cast(kind))
-    bin_no = F.least(F.floor((F.col("_v") - lo_expr) / w_expr), F.lit(N_BINS))
-    hist = (base.select(gid.alias("_g"), "_v").where(F.col("_g").isNotNull())
-            .groupBy("_g", bin_no.alias("_b"))
+    cand = base.select(_range_id(keys).alias("_g"), "_v").where(F.col("_g").isNotNull())
+    marks = [i / N_BINS for i in range(1, N_BINS)]
+    cuts = {r["_g"]: sorted(set(r["q"])) for r in cand.groupBy("_g").agg(
+        F.percentile_approx("_v", marks, max(1000, 20 * N_BINS)).alias("q")).collect()}
+    bounds = reduce(lambda acc, g: F.when(F.col("_g") == g, F.lit(cuts[g])).otherwise(acc),
+                    cuts, F.lit(None))
+    v = F.col("_v")
+    place = 2 * F.size(F.filter("_cuts", lambda c: c < v)) + F.array_contains("_cuts", v).cast("int")
+    hist = (cand.withColumn("_cuts", bounds).groupBy("_g", place.alias("_b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
             .collect())
     per_group: dict[int, list] = {}
@@ -176,6 +164,8 @@ def _narrow(base: DataFrame, targets: list[_Target], kind: str = "long") -> None
             acc = 0
             for r in bins:
                 if acc + r["n"] > need:
+                    if r["n"] == t.count and r["mn"] != r["mx"]:
+                        raise RuntimeError(f"rank selection makes no progress in {k}")
                     t.below += acc
                     t.lo, t.hi, t.count = r["mn"], r["mx"], r["n"]
                     break
@@ -199,16 +189,11 @@ def cut_tuples(df: DataFrame, group_col: str | None, key_col: str, tie_col: str,
     (skipped when key and tie are the same column).
     """
     cols = ([group_col] if group_col else []) + list(dict.fromkeys([key_col, tie_col]))
-    # every pass reads only (group, key, tie): keep that narrow projection for
-    # the few passes (memory and disk; a lost block is recomputed from lineage)
+    # every pass reads only (group, key, tie) from the source again
     if known is not None and all(n <= FINAL_ROWS for (n, *_rest) in known.values()):
         # every group is small and its size is known: one ordered pick, no profile
         return _cut_tuples(df.select(*cols), group_col, key_col, tie_col, ranks, known)
-    narrow = df.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _cut_tuples(narrow, group_col, key_col, tie_col, ranks)
-    finally:
-        narrow.unpersist()
+    return _cut_tuples(df.select(*cols), group_col, key_col, tie_col, ranks)
 
 
 def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks,
@@ -220,8 +205,7 @@ def _cut_tuples(df: DataFrame, group_col, key_col: str, tie_col: str, ranks,
     else:
         agg = df.groupBy(gcol.alias("_grp")).agg(
             F.count(F.lit(1)).alias("n"), F.count(key_col).alias("nn"),
-            F.min(F.col(key_col).cast("long")).alias("lo"),
-            F.max(F.col(key_col).cast("long")).alias("hi")).collect()
+            F.min(key_col).alias("lo"), F.max(key_col).alias("hi")).collect()
         for r in agg:
             counts[r["_grp"]] = (r["n"], r["nn"], r["lo"], r["hi"])
     if callable(ranks):
@@ -400,19 +384,17 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
 
 
 def values_at_ranks(df: DataFrame, part_col: str, value_col: str, ranks: dict,
-                    kind: str = "double", stats: dict | None = None) -> dict:
+                    stats: dict | None = None) -> dict:
     """Exact order statistics of a numeric column per part: ``{(part, rank): value}``.
 
     Same narrowing as :func:`cut_tuples`; memory per task stays bounded no
     matter how many distinct values a part holds (unlike an exact percentile
     aggregate, which keeps every distinct value of a group in one buffer).
+    Every pass reads ``df`` anew: nothing table-sized is kept.
     """
     parts = list(ranks)
-    narrow = df.select(part_col, value_col).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        subsets = [F.col(part_col) == F.lit(p) for p in parts]
-        st = None if stats is None else {i: stats[p] for i, p in enumerate(parts)}
-        found = _select_values(narrow, value_col, subsets, [ranks[p] for p in parts], st, kind)
-    finally:
-        narrow.unpersist()
+    subsets = [F.col(part_col) == F.lit(p) for p in parts]
+    st = None if stats is None else {i: stats[p] for i, p in enumerate(parts)}
+    found = _select_values(df.select(part_col, value_col), value_col, subsets,
+                           [ranks[p] for p in parts], st)
     return {(parts[sid], r): v[0] for (sid, r), v in found.items()}

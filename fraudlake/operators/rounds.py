@@ -8,7 +8,7 @@ clients instead of being held in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.operators.metrics import bce_terms, sigmoid
@@ -123,14 +123,21 @@ def weight_change(updates: DataFrame, round_col: str = "round", client_col: str
                   w_col: str = "w") -> DataFrame:
     """H7: L2 norm of the change from the previous round, over all tensors.
 
-    An equi-join of round r with round r-1 on (client, tensor, pos) keeps the
-    work spread over parameters (no window per client)."""
+    The previous round is the last one the client took part in, so a missed
+    round costs no row. A full join on (client, tensor, pos) keeps the work
+    spread over parameters; a position that only one of the two vectors has
+    counts as 0 in the other. A client's first round has no row."""
     x = explode_weights(updates.select(round_col, client_col, "tensor", w_col), w_col)
-    prev = x.select((F.col(round_col) + 1).alias(round_col), client_col, "tensor", "pos",
-                    F.col("v").alias("_pv"))
-    j = x.join(prev, [round_col, client_col, "tensor", "pos"])
-    return j.groupBy(round_col, client_col).agg(
-        F.sqrt(F.sum((F.col("v") - F.col("_pv")) ** 2)).alias("weight_change"))
+    # one row per client and round
+    w = Window.partitionBy(client_col).orderBy(round_col)
+    rounds = updates.select(client_col, round_col).distinct() \
+        .withColumn("_next", F.lead(round_col).over(w)).where(F.col("_next").isNotNull())
+    later = x.join(rounds.select(client_col, F.col("_next").alias(round_col)), [client_col, round_col])
+    prev = x.join(rounds, [client_col, round_col]).select(
+        F.col("_next").alias(round_col), client_col, "tensor", "pos", F.col("v").alias("_pv"))
+    j = later.join(prev, [round_col, client_col, "tensor", "pos"], "full")
+    change = F.coalesce("v", F.lit(0.0)) - F.coalesce("_pv", F.lit(0.0))
+    return j.groupBy(round_col, client_col).agg(F.sqrt(F.sum(change ** 2)).alias("weight_change"))
 
 
 def sample_counts(updates: DataFrame, round_col: str = "round", client_col: str = "client_id",

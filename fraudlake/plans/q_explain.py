@@ -27,16 +27,13 @@ def feats(spark, sf_dir):
 
 def attributed(spark, sf_dir):
     f = feats(spark, sf_dir)
-    bg = P.background_sample(f.where(F.col("split") == "train"), 100)
-    mu = X.background_mean(bg, D)
+    # the mean over all train rows is one aggregate
+    mu = X.background_mean(f.where(F.col("split") == "train"), D)
     return X.attribute_linear(f, SCORE_W, SCORE_B, mu)
 
 
-def explained(spark, sf_dir, split="test"):
-    a = attributed(spark, sf_dir)
-    if split:
-        a = a.where(F.col("split") == split)
-    return X.explain_rows(a, FEATURE_NAMES, 10)
+def explained(spark, sf_dir):
+    return X.explain_rows(attributed(spark, sf_dir), FEATURE_NAMES, 10)
 
 
 def _h(key: str) -> str:
@@ -52,7 +49,7 @@ _NAMES = "(values " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FEATURE_NA
 ATTR_SQL = SPLIT_SQL + f""",
 feats as (select TransactionID, bank_id, split, isFraud as label, {x_sql()} as x,
    {logit_sql(SCORE_W, SCORE_B)} as logit, {_h('TransactionID')} as h from splitted),
-bg as (select x from feats where split = 'train' order by h, TransactionID limit 100),
+bg as (select x from feats where split = 'train'),
 mu as (select {', '.join(f'avg(x[{i + 1}]) as m{i}' for i in range(D))} from bg),
 attr as (select f.TransactionID, f.split, f.x, f.logit, {_CONTRIB} as contributions,
    {_BASE} as base_value from feats f, mu),
@@ -87,11 +84,11 @@ def q_attribute_sampled(spark, sf_dir):
     f = feats(spark, sf_dir)
     bg_rows = P.background_sample(f.where(F.col("split") == "train"), 100).select("x").collect()
     bg = [list(r["x"]) for r in bg_rows]
-    return attribute_sampled(f.where(F.col("split") == "test"), bg, SCORE_W, SCORE_B)
+    return attribute_sampled(f, bg, SCORE_W, SCORE_B)
 
 
 @register("topk_features", "T2", views=TX, sql=ATTR_SQL + """
-select TransactionID, top_features from expl where split = 'test'""")
+select TransactionID, top_features from expl""")
 def q_topk_features(spark, sf_dir):
     """Top 10 features by |contribution| per row (ties keep feature order)."""
     e = explained(spark, sf_dir)
@@ -99,7 +96,7 @@ def q_topk_features(spark, sf_dir):
 
 
 @register("audit_top5", "T3", views=TX, sql=ATTR_SQL + f"""
-select TransactionID, {_top5_sql()} as top5 from expl where split = 'test'""")
+select TransactionID, {_top5_sql()} as top5 from expl""")
 def q_audit_top5(spark, sf_dir):
     """First 5 of the top list."""
     e = explained(spark, sf_dir)
@@ -110,7 +107,7 @@ def q_audit_top5(spark, sf_dir):
 @register("explain_rows", "X3", views=TX,
           rounded={"prediction": 9, "confidence": 9, "base_value": 9}, sql=ATTR_SQL + """
 select TransactionID, prediction, predicted_class, confidence, top_features, base_value
-from expl where split = 'test'""")
+from expl""")
 def q_explain_rows(spark, sf_dir):
     """Prediction, class, confidence, top features, base value per test row."""
     e = explained(spark, sf_dir)
@@ -140,10 +137,10 @@ def q_global_top10(spark, sf_dir):
           rounded={"fraud_rate": 9, "mean_prediction": 9, "avg_importance": 9},
           sql=ATTR_SQL + """,
 tot as (select count(*) as n_explanations, avg(cast(predicted_class as double)) as fraud_rate,
-   avg(prediction) as mean_prediction from expl where split = 'test')
+   avg(prediction) as mean_prediction from expl)
 select r.feature, t.n_explanations, t.fraud_rate, t.mean_prediction,
   sum(abs(r.c)) / t.n_explanations as avg_importance
-from ranked r, tot t where r.split = 'test'
+from ranked r, tot t where true
 group by r.feature, t.n_explanations, t.fraud_rate, t.mean_prediction""")
 def q_explain_summary(spark, sf_dir):
     """Explanation counts, fraud rate, mean prediction, per-feature average."""
@@ -154,7 +151,7 @@ def q_explain_summary(spark, sf_dir):
           sql=ATTR_SQL + f"""
 select TransactionID as transaction_id, timestamp '{AUDIT_TS}' as ts, '{AUDIT_USER}' as user,
   prediction, predicted_class, confidence, {_top5_sql()} as top_features,
-  '{MODEL_TYPE}' as model_type from expl where split = 'test'""")
+  '{MODEL_TYPE}' as model_type from expl""")
 def q_audit_trail(spark, sf_dir):
     """Audit rows appended to a date-partitioned table and read back."""
     rows = X.audit_trail(explained(spark, sf_dir), "TransactionID", AUDIT_TS, AUDIT_USER,
@@ -165,13 +162,28 @@ def q_audit_trail(spark, sf_dir):
     return spark.read.parquet(path).drop("date")
 
 
-@register("explanation_complete", "B12", views=TX, sql=ATTR_SQL + """
-select TransactionID as transaction_id, '' as missing_fields, true as complete
-from expl where split = 'test' and prediction is not null and predicted_class is not null
-  and confidence is not null and top_features is not null and base_value is not null""")
+@register("explanation_complete", "B12", views=TX, sql=ATTR_SQL + """,
+damaged as (select TransactionID as transaction_id,
+  case when TransactionID % 7 = 0 then null else prediction end as prediction,
+  predicted_class as prediction_class,
+  case when TransactionID % 11 = 0 then null else confidence end as confidence,
+  top_features, case when TransactionID % 7 = 0 then null else base_value end as all_shap_values
+  from expl),
+missing as (select transaction_id, concat_ws(',',
+  case when prediction is null then 'prediction' end,
+  case when prediction_class is null then 'prediction_class' end,
+  case when confidence is null then 'confidence' end,
+  case when top_features is null then 'top_features' end,
+  case when all_shap_values is null then 'all_shap_values' end) as missing_fields from damaged)
+select transaction_id, missing_fields, missing_fields = '' as complete from missing""")
 def q_explanation_complete(spark, sf_dir):
-    """Every explanation carries its required fields."""
-    e = explained(spark, sf_dir).withColumnRenamed("TransactionID", "transaction_id")
+    """Which required fields explanations lack (some fields are blanked by id)."""
+    i = F.col("TransactionID")
+    e = explained(spark, sf_dir)
+    e = e.select(i.alias("transaction_id"), F.when(i % 7 != 0, F.col("prediction")).alias("prediction"),
+                 F.col("predicted_class").alias("prediction_class"),
+                 F.when(i % 11 != 0, F.col("confidence")).alias("confidence"), "top_features",
+                 F.when(i % 7 != 0, F.col("base_value")).alias("all_shap_values"))
     return X.explanation_complete(e).select("transaction_id", "missing_fields", "complete")
 
 

@@ -167,13 +167,23 @@ def q_norm_outliers(spark, sf_dir):
 
 
 @register("weight_change", "H7", views=UP, rounded={"weight_change": 9}, sql=EXPLODED_SQL + """
-select a.round, a.client_id, sqrt(sum((a.v - b.v) * (a.v - b.v))) as weight_change
-from ux a join ux b on a.client_id = b.client_id and a.tensor = b.tensor and a.pos = b.pos
-  and a.round = b.round + 1
-group by a.round, a.client_id""")
+,
+kept as (select * from ux where (3 * round + length(client_id) + ascii(right(client_id, 1))) % 5 <> 0),
+turns as (select client_id, round, lag(round) over (partition by client_id order by round) as before
+   from (select distinct client_id, round from kept)),
+a as (select k.*, t.before from kept k join turns t on k.client_id = t.client_id and k.round = t.round
+   where t.before is not null),
+b as (select k.client_id, k.tensor, k.pos, k.v, t.round as later from kept k
+   join turns t on k.client_id = t.client_id and k.round = t.before),
+pairs as (select coalesce(a.round, b.later) as round, coalesce(a.client_id, b.client_id) as client_id,
+   coalesce(a.v, 0) - coalesce(b.v, 0) as d
+   from a full join b on a.client_id = b.client_id and a.tensor = b.tensor and a.pos = b.pos
+    and a.round = b.later)
+select round, client_id, sqrt(sum(d * d)) as weight_change from pairs group by round, client_id""")
 def q_weight_change(spark, sf_dir):
-    """H7: L2 norm of the change between consecutive rounds per client."""
-    return R.weight_change(fx.updates(spark, sf_dir))
+    """H7: L2 norm of the change since the client's previous round (clients miss some rounds)."""
+    return R.weight_change(fx.updates(spark, sf_dir).where(
+        "(3 * round + length(client_id) + ascii(right(client_id, 1))) % 5 <> 0"))
 
 
 @register("sample_counts", "H8", views=UP, sql="""

@@ -81,14 +81,30 @@ def q_temporal_split(spark, sf_dir):
     return splitted(spark, sf_dir).select("TransactionID", "bank_id", "split")
 
 
-@register("sort_time", "T1", views=TX, sql=SPLIT_SQL + """
-select bank_id, split, min(TransactionDT) as min_dt, max(TransactionDT) as max_dt,
-  count(*) as records from splitted group by bank_id, split""")
+_ODD_TIME = ("case when TransactionID % 13 = 0 then null "
+             "else floor(TransactionDT / 86400) + (TransactionID % 4) / cast(8 as double) end")
+
+
+@register("sort_time", "T1", views=TX, sql=f"""
+odd as (select TransactionID, {_ODD_TIME} as t from transactions)
+select TransactionID, t, row_number() over (order by t asc nulls last, TransactionID) - 1 as position from odd""")
 def q_sort_time(spark, sf_dir):
-    """Time order per bank (nulls last, key ties) seen through the split bounds."""
-    return splitted(spark, sf_dir).groupBy("bank_id", "split").agg(
-        F.min("TransactionDT").alias("min_dt"), F.max("TransactionDT").alias("max_dt"),
-        F.count(F.lit(1)).alias("records"))
+    """Transactions in time order with their position; times have fractions, ties and nulls."""
+    odd = fx.transactions(spark, sf_dir).select("TransactionID", F.expr(_ODD_TIME).alias("t"))
+    return P.sort_time(odd, "t", "TransactionID")
+
+
+@register("temporal_split_odd_times", "D6", views=TX, sql=f"""
+odd as (select TransactionID, {_ODD_TIME} as t, TransactionID % 3 as g from transactions),
+r as (select *, row_number() over (partition by g order by t asc nulls last, TransactionID) - 1 as rk,
+   count(*) over (partition by g) as n from odd)
+select TransactionID, case when rk < floor(n * {dbl(0.8)}) then 'train'
+   when rk < floor(n * {dbl(0.8 + 0.1)}) then 'val' else 'test' end as split from r""")
+def q_temporal_split_odd_times(spark, sf_dir):
+    """D6 on times with fractions, ties and nulls."""
+    odd = fx.transactions(spark, sf_dir).select(
+        "TransactionID", F.expr(_ODD_TIME).alias("t"), (F.col("TransactionID") % 3).alias("g"))
+    return P.temporal_split(odd, time_col="t", group_col="g").select("TransactionID", "split")
 
 
 @register("split_stats", "D7", views=TX, rounded={"ratio_actual": 9, "fraud_rate": 9}, sql=SPLIT_SQL + """

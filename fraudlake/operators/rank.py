@@ -8,8 +8,8 @@ aggregates and only ever move small, bounded tables to the driver:
   ``(key nulls last, tie)`` inside each group. Groups of at most FINAL_ROWS
   rows (a million) are answered by one bounded ordered pick; larger ones are
   first narrowed around about ``N_BINS`` quantile values per level. Values are
-  only ever compared, in the column's own type, so any ordered type - also
-  fractions, extremes and infinities - gives the same rows either way. A heavy
+  only ever compared, in the column's own type, so fractions, extremes and
+  infinities give the same rows either way. A heavy
   key value is resolved on the tie column instead, so a key holding a third of
   all rows costs nothing extra.
 * :func:`before_cut` turns a cut tuple into a row predicate.
@@ -57,7 +57,7 @@ def _subset_id(preds: list[Column]) -> Column:
 
 def _select_values(df: DataFrame, col: str, subsets: list[Column], ranks: list[list[int]],
                    stats: dict | None = None) -> dict[tuple[int, int], tuple]:
-    """Value of column ``col`` (any ordered type, no nulls) at each rank inside
+    """Value of column ``col`` (numbers, dates or timestamps; no nulls) at each rank inside
     disjoint subsets.
 
     ``stats`` may give ``{subset: (n, lo, hi)}`` already known to the caller
@@ -137,6 +137,19 @@ def _finish_small(base: DataFrame, targets: list[_Target]) -> None:
             t.below += b
 
 
+def _cut_values(lo, hi, quantiles: list) -> list:
+    """Cuts of the range lo..hi (None: not known yet). Quantiles of integers and
+    decimals pass through a double; where that cannot tell the range apart, even
+    steps do. The ends are cuts too, so every level splits the range."""
+    if lo is None:
+        return sorted(set(quantiles))
+    inside = {q for q in quantiles if lo < q < hi}
+    if not inside and not isinstance(lo, float):
+        inside = {lo + (hi - lo) * i // N_BINS for i in range(1, N_BINS)} if isinstance(lo, int) \
+            else {lo + (hi - lo) / 2}
+    return sorted({lo, hi} | inside)
+
+
 def _narrow(base: DataFrame, targets: list[_Target]) -> None:
     """One level: every active range is cut at quantile values of its rows. The rows
     equal to a cut value are a class of their own, so a class is either one value
@@ -145,8 +158,9 @@ def _narrow(base: DataFrame, targets: list[_Target]) -> None:
     keys = list(groups)
     cand = base.select(_range_id(keys).alias("_g"), "_v").where(F.col("_g").isNotNull())
     marks = [i / N_BINS for i in range(1, N_BINS)]
-    cuts = {r["_g"]: sorted(set(r["q"])) for r in cand.groupBy("_g").agg(
-        F.percentile_approx("_v", marks, max(1000, 20 * N_BINS)).alias("q")).collect()}
+    cuts = {r["_g"]: _cut_values(keys[r["_g"]][1], keys[r["_g"]][2], r["q"])
+            for r in cand.groupBy("_g").agg(
+                F.percentile_approx("_v", marks, max(1000, 20 * N_BINS)).alias("q")).collect()}
     bounds = reduce(lambda acc, g: F.when(F.col("_g") == g, F.lit(cuts[g])).otherwise(acc),
                     cuts, F.lit(None))
     v = F.col("_v")
@@ -164,7 +178,7 @@ def _narrow(base: DataFrame, targets: list[_Target]) -> None:
             acc = 0
             for r in bins:
                 if acc + r["n"] > need:
-                    if r["n"] == t.count and r["mn"] != r["mx"]:
+                    if (r["n"], r["mn"], r["mx"]) == (t.count, t.lo, t.hi) and t.lo != t.hi:
                         raise RuntimeError(f"rank selection makes no progress in {k}")
                     t.below += acc
                     t.lo, t.hi, t.count = r["mn"], r["mx"], r["n"]

@@ -31,22 +31,50 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None,
     """A1: read CSV (header, all text) or Parquet and apply the declared types.
 
     CSV is read with an all-string schema taken from the header line, so no
-    inference pass runs over the data. ``fmt`` defaults to the file suffix,
-    or for a folder to whether it holds ``.csv`` files.
+    inference pass runs over the data. Lines with more fields than the header
+    are left out (:func:`bad_rows` reports them); shorter ones are padded with
+    nulls. Input that is not valid UTF-8 throughout is read as Latin-1.
+    ``fmt`` defaults to the file suffix, or for a folder to whether it holds
+    ``.csv`` files.
     """
     fmt = fmt or ("parquet" if path.endswith(".parquet") else
                   "csv" if path.endswith(".csv") or _has_csv(spark, path) else "parquet")
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        header = spark.read.option("header", "true").csv(path).columns
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        df = spark.read.option("header", "true").option("mode", "PERMISSIVE").schema(schema).csv(path)
+        df = _read_csv(spark, path)
     kind = kind or detect_kind(path, df.columns)
     spec = TRANSACTION_TYPES if kind == "transaction" else IDENTITY_TYPES
     return coerce_types(df, spec, int_null=int_null)
 
 
+_DAMAGED = "_damaged_line"
+
+
+def csv_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8, or ISO-8859-1 as soon as one line is not valid UTF-8."""
+    lines = spark.read.text(path)
+    odd = lines.where(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if odd else "UTF-8"
+
+
+def _read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    reader = spark.read.option("header", "true").option("sep", sep) \
+        .option("encoding", csv_encoding(spark, path))
+    header = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _DAMAGED]])
+    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _DAMAGED) \
+        .schema(schema).csv(path)
+    # a line is kept as damaged if it has too few or too many fields; only the latter go
+    fields = F.size(F.split(F.col(_DAMAGED), _field_split(sep), -1))
+    return df.where(F.col(_DAMAGED).isNull() | (fields <= len(header))).drop(_DAMAGED)
+
+
+def _field_split(sep: str) -> str:
+    """Separators outside double quotes."""
+    return sep + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_folder(spark: SparkSession, folder: str, int_null: str = "null") -> dict:
     """A1/A2 over a folder: every CSV or Parquet file is typed by its detected
     kind; files of one kind are unioned by column name. Returns
@@ -84,7 +112,7 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 def field_counts(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A3 helper: raw lines with their field count (quote-aware split)."""
-    split_re = sep + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    split_re = _field_split(sep)
     return spark.read.text(path).select(
         F.col("value").alias("line"), F.size(F.split("value", split_re, -1)).alias("n_fields"))
 

@@ -107,15 +107,18 @@ def quarantine_batch(good_path: str, bad_path: str):
 
     Output folders are named by batch id and overwritten, so a batch that is
     re-run after a failure replaces its own output instead of duplicating it.
-    Keys seen in earlier batches are found with an anti join on the good table.
+    Keys seen before are looked up in the folders of earlier batches only, never
+    in the batch's own; the lookup reads the key column alone.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         reasons = Q.reject_reasons(batch, carry=("received_at",))
         accepted = reasons.where(F.col("reject_reason").isNull())
-        if path_exists(spark, good_path):
-            seen = spark.read.parquet(good_path).select("TransactionID").distinct()
+        earlier = [p for b in range(batch_id)
+                   if path_exists(spark, p := os.path.join(good_path, f"batch={b}"))]
+        if earlier:
+            seen = spark.read.parquet(*earlier).select("TransactionID").distinct()
             repeat = accepted.join(seen, "TransactionID", "left_semi") \
                 .withColumn("reject_reason", F.lit("duplicate_key"))
             accepted = accepted.join(seen, "TransactionID", "left_anti")

@@ -48,9 +48,6 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None,
     return coerce_types(df, spec, int_null=int_null)
 
 
-_DAMAGED = "_damaged_line"
-
-
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8, or ISO-8859-1 as soon as one line is not valid UTF-8."""
     lines = spark.read.text(path)
@@ -59,15 +56,15 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 
 def _read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    reader = spark.read.option("header", "true").option("sep", sep) \
-        .option("encoding", csv_encoding(spark, path))
-    header = reader.csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, _DAMAGED]])
-    df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _DAMAGED) \
-        .schema(schema).csv(path)
-    # a line is kept as damaged if it has too few or too many fields; only the latter go
-    fields = F.size(F.split(F.col(_DAMAGED), _field_split(sep), -1))
-    return df.where(F.col(_DAMAGED).isNull() | (fields <= len(header))).drop(_DAMAGED)
+    """All fields as text, from the lines that have no more fields than the header."""
+    encoding = csv_encoding(spark, path)
+    header = spark.read.option("header", "true").option("encoding", encoding).csv(path).columns
+    line = F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.text(path).select(line.alias("line")).where(F.length(F.trim("line")) > 0) \
+        .where(F.col("line") != F.lit(sep.join(header)))
+    lines = lines.where(F.size(F.split("line", _field_split(sep), -1)) <= len(header))
+    schema = ", ".join(f"`{c}` string" for c in header)
+    return lines.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
 
 
 def _field_split(sep: str) -> str:

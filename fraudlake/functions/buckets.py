@@ -1,9 +1,4 @@
-"""Bucket assignment against literal bounds as a balanced comparison tree.
-
-``size(filter(bounds, ...))`` costs one interpreted lambda call per bound and
-row; the nested CASE WHEN built here is code-generated and needs only
-log2(len(bounds)) comparisons per row.
-"""
+"""Bucket numbers against literal bounds, for any number of bounds."""
 
 from __future__ import annotations
 
@@ -11,44 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def count_less(x: Column, bounds: list, offset: int = 0) -> Column:
-    """Number of ``bounds`` (sorted ascending) strictly below ``x``."""
+def count_less_array(x: Column, bounds: list, closed: bool = False) -> Column:
+    """Number of the sorted ``bounds`` below ``x`` (``closed``: at or below), for any
+    number of bounds: a block of about sqrt(n) of them is found first, then
+    searched, so a row costs 2 sqrt(n) comparisons and the expression stays small."""
     if not bounds:
-        return F.lit(offset)
-    mid = len(bounds) // 2
-    return F.when(x > F.lit(bounds[mid]), count_less(x, bounds[mid + 1:], offset + mid + 1)) \
-        .otherwise(count_less(x, bounds[:mid], offset))
+        return F.lit(0)
+    return count_less_arrays(x, F.lit(bounds), F.lit(block_ends(bounds)), block_size(bounds), closed)
 
 
-def count_at_most(x: Column, bounds: list, offset: int = 0) -> Column:
-    """Number of ``bounds`` (sorted ascending) at or below ``x``."""
-    if not bounds:
-        return F.lit(offset)
-    mid = len(bounds) // 2
-    return F.when(x >= F.lit(bounds[mid]), count_at_most(x, bounds[mid + 1:], offset + mid + 1)) \
-        .otherwise(count_at_most(x, bounds[:mid], offset))
-
-
-def fine_bins(x: Column, bounds: list, lo: float, hi: float, per_bucket: int) -> Column:
-    """Monotone bin number of ``x``: coarse bucket by the comparison tree, then
-    ``per_bucket`` equal-width sub-bins inside the bucket (array lookups, O(1)).
-    ``lo``/``hi`` are the smallest and largest values."""
-    edges = [float(lo)] + [float(b) for b in bounds] + [float(hi)]
-    starts = F.array(*[F.lit(e) for e in edges[:-1]])
-    ends = F.array(*[F.lit(e) for e in edges[1:]])
-    b = count_less(x, bounds)
-    a, e = F.element_at(starts, b + 1), F.element_at(ends, b + 1)
-    frac = F.when(e > a, (x - a) / (e - a)).otherwise(F.lit(0.0))
-    sub = F.least(F.greatest(F.floor(frac * per_bucket), F.lit(0)), F.lit(per_bucket - 1))
-    return b * per_bucket + sub
-
-
-TREE_BUDGET = 384   # comparison nodes per expression that still compile to one method
-
-
-def thin(bounds: list, keep: int) -> list:
-    """At most ``keep`` of the sorted bounds, evenly spaced."""
-    if len(bounds) <= keep:
-        return bounds
-    step = len(bounds) / keep
-    return sorted({bounds[int(i * step)] for i in range(keep)})
+def block_size(bounds: list) -> int:
+    return max(1, int(len(bounds) ** 0.5))
+
+
+def block_ends(bounds: list) -> list:
+    return bounds[block_size(bounds) - 1::block_size(bounds)]
+
+
+def count_less_arrays(x: Column, every: Column, ends: Column, size: int | Column,
+                      closed: bool = False) -> Column:
+    """As :func:`count_less_array` with the bounds, the last bound of every block and
+    the block size as columns."""
+    size = F.lit(size) if isinstance(size, int) else size
+    below = (lambda b: b <= x) if closed else (lambda b: b < x)
+    blocks = F.size(F.filter(ends, below))
+    rest = F.slice(every, blocks * size + 1, size)
+    return blocks * size + F.size(F.filter(rest, below))

@@ -33,38 +33,34 @@ def normal_pair(u1: Column, u2: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def _poisson_quantile(lam, u, u2, small_limit: float = 50.0):
-    """Vectorised Poisson draw from uniforms (numpy).
+def _poisson_quantile(lam, u):
+    """Vectorised Poisson draw from uniforms (numpy): the number of CDF values below u.
 
-    Exact inverse-CDF search for lam <= small_limit (k = number of CDF values
-    below u); normal approximation (Box-Muller with u2, rounded, floored at 0)
-    above it.
+    The search starts at 0, or for large means 14 standard deviations below the
+    mean (less probability than a double can add), with the first term from logs.
     """
+    import math
+
     import numpy as np
 
     lam = np.asarray(lam, dtype="float64")
     u = np.asarray(u, dtype="float64")
-    u2 = np.asarray(u2, dtype="float64")
     out = np.zeros(len(lam), dtype="int64")
-    small = (lam > 0) & (lam <= small_limit)
-    if small.any():
-        ls, us = lam[small], u[small]
-        p = np.exp(-ls)
-        c = p.copy()
-        k = np.zeros(len(ls), dtype="int64")
-        kmax = int(np.ceil(ls.max() + 10 * np.sqrt(ls.max()) + 10))
-        for j in range(1, kmax + 1):
-            go = c < us
-            if not go.any():
-                break
-            p = np.where(go, p * ls / j, p)
-            c = np.where(go, c + p, c)
-            k = np.where(go, k + 1, k)
-        out[small] = k
-    big = lam > small_limit
-    if big.any():
-        lb = lam[big]
-        z = np.sqrt(-2.0 * np.log(u[big])) * np.cos(6.283185307179586 * u2[big])
-        out[big] = np.maximum(0, np.floor(lb + np.sqrt(lb) * z + 0.5)).astype("int64")
+    some = np.flatnonzero(lam > 0)
+    if len(some) == 0:
+        return out
+    ls, us = lam[some], u[some]
+    k = np.where(ls > 600, np.floor(ls - 14 * np.sqrt(ls)), 0).astype("int64")
+    p = np.exp(-np.minimum(ls, 700))
+    for i in np.flatnonzero(k > 0):
+        p[i] = math.exp(k[i] * math.log(ls[i]) - ls[i] - math.lgamma(k[i] + 1))
+    c = p.copy()
+    last = ls + 14 * np.sqrt(ls) + 40
+    go = np.flatnonzero((c < us) & (k < last))
+    while len(go):
+        k[go] += 1
+        p[go] *= ls[go] / k[go]
+        c[go] += p[go]
+        go = go[(c[go] < us[go]) & (k[go] < last[go])]
+    out[some] = k
     return out
-

@@ -14,17 +14,17 @@ from fraudlake.functions.hashrand import _poisson_quantile
 @functools.cache
 def _poisson_udf():
     @F.pandas_udf("long")
-    def poisson_draw(lam: pd.Series, u: pd.Series, u2: pd.Series) -> pd.Series:
-        return pd.Series(_poisson_quantile(lam.to_numpy(), u.to_numpy(), u2.to_numpy()))
+    def poisson_draw(lam: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(_poisson_quantile(lam.to_numpy(), u.to_numpy()))
 
     return poisson_draw
 
 
-def poisson_batch(lam: Column, u: Column, u2: Column) -> Column:
+def poisson_batch(lam: Column, u: Column) -> Column:
     """Poisson draw per row, vectorised over Arrow batches. Used where the
     inverse-CDF search would otherwise run in the JVM interpreter
     (higher-order functions are not code-generated)."""
-    return _poisson_udf()(lam.cast("double"), u, u2)
+    return _poisson_udf()(lam.cast("double"), u)
 
 
 def _splitmix64(x):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.functions.buckets import fine_bins
+from fraudlake.functions.buckets import count_less_array
 from fraudlake.functions.hashrand import uniform
 from fraudlake.functions.vectorized import poisson_batch
 from fraudlake.operators.rank import prefix_sums
@@ -174,9 +174,12 @@ def per_bank_eval(df: DataFrame, prob_col: str = "score", label_col: str = "labe
     return per.unionByName(mean)
 
 
+SCORES_PER_TASK = 100_000     # distinct scores of a replicate that one window task adds up
+
+
 def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "label",
                  n_boot: int = 1000, seed: int = 42, level: float = 0.95,
-                 max_bins: int = 10_000) -> DataFrame:
+                 scores_per_task: int | None = None) -> DataFrame:
     """Poisson bootstrap of AP and AUROC with percentile intervals.
 
     A resample of n rows with replacement is approximated by independent
@@ -184,47 +187,49 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
     Poisson(c), so one draw per group and replicate suffices: the work is
     ``distinct scores x replicates``, not ``rows x replicates``. Replicates with
     a single class are skipped. Draws come from md5 of (score, label,
-    replicate, seed), so any partitioning gives the same result. When there
-    are more than ``max_bins`` distinct scores, the distinct scores are first
-    replaced by their bin (approximate interval).
+    replicate, seed), so any partitioning gives the same result. Scores are
+    never binned: the running sums of a replicate are cut into score ranges of
+    about ``scores_per_task`` scores, and the totals of the ranges above are added.
     """
+    scores_per_task = scores_per_task or SCORES_PER_TASK
     s = F.col(score_col).cast("double")
     base = df.select(s.alias("score"), F.col(label_col).cast("long").alias("label"))
     # one pass over the rows: counts per (score, label), written once
     groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c")) \
         .checkpoint(eager=True)
     n_distinct = groups.select("score").distinct().count()
-    if n_distinct > max_bins:
-        # bin the distinct scores: coarse quantile buckets (comparison tree)
-        # refined by equal-width sub-bins, monotone in the score; counts add up
-        coarse = 127
-        per = -(-max_bins // (coarse + 1))
-        row = groups.agg(F.percentile_approx("score", [i / (coarse + 1) for i in range(1, coarse + 1)],
-                                             10 * max_bins).alias("q"),
-                         F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-        bounds = sorted(set(float(b) for b in row["q"]))
-        groups = (groups.withColumn("score", fine_bins(F.col("score"), bounds, row["lo"], row["hi"],
-                                                       per).cast("double"))
-                  .groupBy("score", "label").agg(F.sum("c").alias("c")))
+    n_ranges = -(-n_distinct // scores_per_task)
+    bounds: list[float] = []
+    if n_ranges > 1:
+        bounds = sorted(set(groups.agg(F.percentile_approx(
+            "score", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0]))
+    groups = groups.withColumn("range", count_less_array(F.col("score"), bounds))
     # the group table is small, so AQE would give it one partition; spread the
     # replicates explicitly (hash on rep also serves the later grouping and
     # the per-replicate window, so no further shuffle of replicate rows)
-    n_parts = max(1, min(n_boot, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    n_parts = max(1, min(n_boot * max(1, n_ranges), 2 * df.sparkSession.sparkContext.defaultParallelism))
     reps = (groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-            .repartition(n_parts, "rep"))
+            .repartition(n_parts, "rep", "range"))
     # score enters the hash as an integer (1e-12 units) so the key text is the
     # same in every engine
     score_key = F.round(F.col("score") * F.lit(1e12)).cast("long").cast("string")
-    key = [score_key, F.col("label").cast("string"), F.col("rep").cast("string")]
-    u1 = uniform(*key, seed=seed)
-    u2 = uniform(*key, seed=f"{seed}b")
-    drawn = reps.withColumn("w", poisson_batch(F.col("c"), u1, u2))
-    per = drawn.groupBy("rep", "score").agg(
+    u = uniform(score_key, F.col("label").cast("string"), F.col("rep").cast("string"), seed=seed)
+    drawn = reps.withColumn("w", poisson_batch(F.col("c"), u))
+    per = drawn.groupBy("rep", "range", "score").agg(
         F.sum(F.col("w") * F.col("label")).alias("pos"),
         F.sum(F.col("w") * (F.lit(1) - F.col("label"))).alias("neg"))
-    w = Window.partitionBy("rep").orderBy(F.col("score").desc()).rowsBetween(
+    w = Window.partitionBy("rep", "range").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cum = per.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
+    if n_ranges > 1:
+        above = Window.partitionBy("rep").orderBy(F.col("range").desc()).rowsBetween(
+            Window.unboundedPreceding, -1)
+        totals = per.groupBy("rep", "range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+        offsets = totals.select("rep", "range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above")
+                                                  for c in ("_p", "_n")])
+        cum = cum.join(offsets, ["rep", "range"]) \
+            .withColumn("cum_pos", F.col("cum_pos") + F.col("_p_above")) \
+            .withColumn("cum_neg", F.col("cum_neg") + F.col("_n_above"))
     rep_metrics = _finish_ranking(cum, ["rep"]).where(
         F.col("average_precision").isNotNull() & F.col("auroc").isNotNull())
     lo, hi = (1.0 - level) / 2.0, 1.0 - (1.0 - level) / 2.0

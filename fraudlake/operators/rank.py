@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.functions.buckets import TREE_BUDGET, count_at_most, count_less, thin
+from fraudlake.functions.buckets import block_ends, block_size, count_less_array, count_less_arrays
 
 FINAL_ROWS = 1_000_000  # candidates at most this many: finish with one bounded sort
 N_BINS = 64            # quantile values per narrowing level
@@ -307,26 +307,41 @@ def before_cut(key_col: str, tie_col: str, cut) -> Column:
     return k.isNotNull() & ((k < F.lit(v)) | ((k == F.lit(v)) & (tie < F.lit(t))))
 
 
+BUCKET_ROWS = 500_000      # rows of a running-sum bucket, about
+
+
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str, value_cols: list[str],
                 descending: bool = True, n_buckets: int = 128) -> DataFrame:
     """Add ``cum_<v>`` running sums (inclusive) over ``order_col`` per group.
 
     ``df`` must be unique on ``group_cols + [order_col]`` (a grouped table).
-    Bucket bounds are quantiles collected once as literals (bounded:
-    groups x n_buckets), so recomputation gives the same buckets.
+    Bucket bounds are quantiles collected once as literals, so recomputation
+    gives the same buckets; their number follows the rows of the largest group
+    (at least ``n_buckets``, at most BUCKET_ROWS rows a bucket).
     """
-    fr = [i / n_buckets for i in range(1, n_buckets)]
-    bounds_rows = (df.groupBy(*group_cols)
-                   .agg(F.percentile_approx(order_col, fr, 10 * n_buckets).alias("_bounds"))
-                   .collect())
+    def quantiles(k: int) -> list:
+        fr = [i / k for i in range(1, k)]
+        return df.groupBy(*group_cols).agg(
+            F.percentile_approx(order_col, fr, 10 * k).alias("_bounds"),
+            F.count(F.lit(1)).alias("_rows")).collect()
+
+    bounds_rows = quantiles(n_buckets)
+    needed = -(-max((r["_rows"] for r in bounds_rows), default=0) // BUCKET_ROWS)
+    if needed > n_buckets:
+        n_buckets = needed
+        bounds_rows = quantiles(n_buckets)
     x = F.col(order_col).cast("double")
-    bucket = F.lit(0)
-    keep = max(8, TREE_BUDGET // max(1, len(bounds_rows)))
+    every, ends, size = (F.lit(None).cast(t) for t in ("array<double>", "array<double>", "int"))
     for r in bounds_rows:
-        bs = thin(sorted(set(float(b) for b in r["_bounds"] if b is not None)), keep)
+        bs = sorted(set(float(b) for b in r["_bounds"] if b is not None))
+        if not bs:
+            continue
         cond = reduce(lambda a, b: a & b,
                       [F.col(c).eqNullSafe(F.lit(r[c])) for c in group_cols], F.lit(True))
-        bucket = F.when(cond, count_less(x, bs)).otherwise(bucket)
+        every = F.when(cond, F.lit(bs)).otherwise(every)
+        ends = F.when(cond, F.lit(block_ends(bs))).otherwise(ends)
+        size = F.when(cond, F.lit(block_size(bs))).otherwise(size)
+    bucket = F.when(size.isNull(), F.lit(0)).otherwise(count_less_arrays(x, every, ends, size))
     n_groups = len(bounds_rows)
     with_b = df.withColumn("_bucket", bucket)
     totals = with_b.groupBy(*group_cols, "_bucket").agg(
@@ -382,9 +397,9 @@ def ordinal_codes(distinct: DataFrame, part_cols: list[str], value_col: str,
         sample = sorted(x[0] for x in distinct.where(cond).select(value_col)
                         .sample(fraction=frac, seed=17).collect())
         step = max(1, len(sample) // n_buckets)
-        bounds = thin(sorted(set(sample[step::step])), max(8, TREE_BUDGET // len(sizes)))
+        bounds = sorted(set(sample[step::step]))
         cond_of[key] = cond
-        bucket = F.when(cond, count_at_most(F.col(value_col), bounds)).otherwise(bucket)
+        bucket = F.when(cond, count_less_array(F.col(value_col), bounds, closed=True)).otherwise(bucket)
     b = distinct.withColumn("_bucket", bucket)
     totals = b.groupBy(*part_cols, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     w_off = Window.partitionBy(*part_cols).orderBy("_bucket").rowsBetween(

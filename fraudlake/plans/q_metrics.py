@@ -113,17 +113,14 @@ def _u(seed: str) -> str:
 
 BOOT_SQL = f"""
 g as (select score, label, count(*) as c from lineitem_scores group by score, label),
-lam as (select distinct cast(c as double) as lam from g where c <= 50),
+lam as (select distinct cast(c as double) as lam from g),
 pk as (select lam, unnest(range(0, cast(ceil(lam + 10 * sqrt(lam) + 10) as bigint) + 1)) as k
    from lam),
 pc as (select lam, k, sum(exp(k * ln(lam) - lam - lgamma(k + 1))) over (partition by lam
      order by k rows between unbounded preceding and current row) as cdf from pk),
 cdfs as (select lam, list(cdf order by k) as cdf from pc group by lam),
 reps as (select score, label, cast(c as double) as lam, unnest(range(0, 1000)) as rep from g),
-dr as (select r.score, r.label, r.rep, case
-     when r.lam <= 50 then len(list_filter(d.cdf, lambda x: x < {_u('42')}))
-     else greatest(0, floor(r.lam + sqrt(r.lam) * sqrt(-2.0 * ln({_u('42')}))
-       * cos(6.283185307179586 * {_u('42b')}) + 0.5)) end as w
+dr as (select r.score, r.label, r.rep, len(list_filter(d.cdf, lambda x: x < {_u('42')})) as w
    from reps r left join cdfs d on r.lam = d.lam),
 per as (select rep, score, sum(w * label) as pos, sum(w * (1 - label)) as neg from dr
    group by rep, score),

@@ -156,18 +156,30 @@ def test_exact_median_by_selection(spark, monkeypatch, final_rows, n_bins):
     assert abs(fills["b"] - float(np.median(b))) <= 1e-15 * abs(float(np.median(b)))
 
 
-def test_fine_bins_monotone_and_bounded(spark):
-    from fraudlake.functions.buckets import fine_bins
+def test_bucket_numbers_for_any_number_of_bounds(spark):
+    from fraudlake.functions.buckets import count_less_array
     rnd = random.Random(2)
-    xs = sorted(rnd.random() ** 4 for _ in range(3000))
+    xs = [rnd.randint(0, 300) / 3 for _ in range(400)]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    bounds = sorted({xs[i] for i in range(100, 3000, 100)})
-    out = [r[0] for r in df.select(fine_bins(F.col("x"), bounds, xs[0], xs[-1], 10).alias("b"))
-           .orderBy("x").collect()]
-    assert out == sorted(out) and min(out) >= 0 and max(out) < (len(bounds) + 1) * 10
+    for n in (0, 1, 2, 3, 10, 97):
+        bounds = sorted(rnd.sample([k / 3 for k in range(300)], n))
+        got = df.select("x", count_less_array(F.col("x"), bounds).alias("a"),
+                        count_less_array(F.col("x"), bounds, closed=True).alias("b")).collect()
+        assert all(r.a == sum(b < r.x for b in bounds) and r.b == sum(b <= r.x for b in bounds) for r in got)
 
 
-def test_bootstrap_binned_path_runs(spark):
+def test_bootstrap_in_score_ranges_is_the_same(spark):
     sc = fx.lineitem_scores(spark, SF_SMALL)
-    r = M.bootstrap_ci(sc, n_boot=20, seed=1, max_bins=50).first()
-    assert r["n_valid"] > 0 and r["auroc_lower"] <= r["auroc_upper"]
+    whole = M.bootstrap_ci(sc, n_boot=20, seed=1).first()
+    cut = M.bootstrap_ci(sc, n_boot=20, seed=1, scores_per_task=50).first()
+    assert whole["n_valid"] == cut["n_valid"] == 20
+    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, cut))
+
+
+def test_poisson_draws_follow_the_distribution():
+    from fraudlake.functions.hashrand import _poisson_quantile
+    for lam in (0.5, 49.0, 51.0, 599.0, 601.0, 1e5):
+        u = (np.arange(4001) + 0.5) / 4001
+        k = _poisson_quantile(np.full(len(u), lam), u)
+        assert (np.diff(k) >= 0).all()
+        assert abs(k.mean() - lam) < 0.02 * lam ** 0.5 + 0.01 and abs(k.var() / lam - 1) < 0.02

@@ -102,13 +102,18 @@ def q_coerce_types(spark, sf_dir):
     return typed(spark, sf_dir)
 
 
-@register("drop_empty_rows", "B2", views=D, sql="""
+_GAPS = [f"case when line_no % 59 = 0 then null else {c} end as {c}"
+         for c in ("TransactionID", "isFraud", "TransactionAmt", "received_at")]
+
+
+@register("drop_empty_rows", "B2", views=D, sql=f"""
+gaps as (select line_no, {', '.join(_GAPS)} from dirty)
 select count(*) as rows_in, count(*) filter (where TransactionID is not null
    or isFraud is not null or TransactionAmt is not null or received_at is not null) as rows_out
-from dirty""")
+from gaps""")
 def q_drop_empty_rows(spark, sf_dir):
-    """B2: rows where every data column is null are dropped (before typing)."""
-    d = fx.dirty(spark, sf_dir)
+    """B2: rows where every data column is null (every 59th line) are dropped before typing."""
+    d = fx.dirty(spark, sf_dir).selectExpr("line_no", *_GAPS)
     kept = Q.drop_empty_rows(d, ignore=("line_no",))
     return combine_one_row(d.agg(F.count(F.lit(1)).alias("rows_in")),
                            kept.agg(F.count(F.lit(1)).alias("rows_out")))
@@ -216,7 +221,11 @@ def q_nonfinite_to_num(spark, sf_dir):
 _FEATURES = ["TransactionAmt", "card2", "addr2", "dist1"]
 
 
-@register("dataset_checks", "B11", views=TX, rounded={"fraud_rate": 9}, sql=SPLIT_SQL + """
+@register("dataset_checks", "B11", views=TX, rounded={"fraud_rate": 9}, sql=SPLIT_SQL + """,
+damaged as (select * replace (
+   case when TransactionID % 400 = 1 then 'bank_tiny' else bank_id end as bank_id,
+   case when TransactionID % 997 = 3 then 'nan'::double else TransactionAmt end as TransactionAmt)
+   from splitted)
 select bank_id, count(*) as n_rows, count(*) filter (where """ + " or ".join(
     f"isnan({c}) or {c} in ('inf'::double, '-inf'::double)" for c in _FEATURES) + """)
   as nonfinite_rows, avg(cast(isFraud as double)) as fraud_rate, 4 as n_features,
@@ -227,11 +236,15 @@ select bank_id, count(*) as n_rows, count(*) filter (where """ + " or ".join(
     case when count(*) < 100 then 'too_few_rows' end,
     case when avg(cast(isFraud as double)) < 0.001 or avg(cast(isFraud as double)) > 0.999
       then 'fraud_rate_out_of_range' end], lambda x: x is not null), ',') as issues,
-  (count(*) >= 100 and avg(cast(isFraud as double)) between 0.001 and 0.999) as valid
-from splitted group by bank_id""")
+  (issues = '') as valid
+from damaged group by bank_id""")
 def q_dataset_checks(spark, sf_dir):
-    """Per-bank dataset checks with issue list."""
-    return Q.dataset_checks(splitted(spark, sf_dir), _FEATURES, group_cols=["bank_id"])
+    """Per-bank dataset checks with issue list, on rows with NaN amounts and a tiny bank."""
+    i = F.col("TransactionID")
+    damaged = splitted(spark, sf_dir).withColumns({
+        "bank_id": F.when(i % 400 == 1, F.lit("bank_tiny")).otherwise(F.col("bank_id")),
+        "TransactionAmt": F.when(i % 997 == 3, F.lit(float("nan"))).otherwise(F.col("TransactionAmt"))})
+    return Q.dataset_checks(damaged, _FEATURES, group_cols=["bank_id"])
 
 
 QUARANTINE_SQL = REASON_SQL + """,

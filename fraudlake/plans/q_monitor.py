@@ -198,14 +198,14 @@ def q_health_summary(spark, sf_dir):
 
 
 @register("low_auprc", "M14", views=ME, rounded={"auprc": 9}, sql="""
-d as (select client_id, cast(ts as date) as day, 1 - arg_max(value, ts) / 500 as auprc
+d as (select client_id, cast(ts as date) as day, 1 - arg_max(value, ts) / 100 as auprc
    from metric_events where round_type = 'evaluation' group by client_id, cast(ts as date))
 select client_id, day, auprc from d where auprc < 0.5""")
 def q_low_auprc(spark, sf_dir):
     """Days on which a client's latest local AUPRC was below 0.5."""
     ev = events(spark, sf_dir).where(F.col("round_type") == "evaluation")
     d = ev.groupBy("client_id", F.to_date("ts").alias("day")).agg(
-        (1 - F.max_by("value", F.struct("ts", "seq")) / 500).alias("auprc"))
+        (1 - F.max_by("value", F.struct("ts", "seq")) / 100).alias("auprc"))
     return d.where(F.col("auprc") < 0.5)
 
 

@@ -18,9 +18,10 @@ SIGMA = 1.1
 DELTA = 1e-5
 CLIP = 1.0
 SEED = 7
-# fixed values: per-bank budgets and the global fallback
-BUDGETS = {"bank_1": 50.0, "bank_3": 20.0}
-GLOBAL_BUDGET = 30.0
+# fixture: per-bank budgets and the global fallback; one bank stays inside its budget,
+# one leaves its own and one the global budget on the way
+BUDGETS = {"bank_1": 50.0, "bank_3": 8.0}
+GLOBAL_BUDGET = 11.0
 
 
 def steps_table(spark, sf_dir, run_every: int | None = None):

@@ -155,14 +155,24 @@ def q_weight_checks(spark, sf_dir):
 
 
 @register("norm_outliers", "H6", views=UP, rounded={"norm": 9}, sql="""
+nine as (select cast(floor(round / 3) as bigint) as round,
+   client_id || '_' || cast(round % 3 as varchar) as client_id, tensor,
+   list_transform(w, lambda x: x * case when (3 * round + ascii(right(client_id, 1))) % 14 = 0
+     then 40.0 else 1.0 end) as w from updates),
 n as (select round, client_id, tensor, sqrt(list_sum(list_transform(w, lambda x: x * x))) as norm
-   from updates),
+   from nine),
 s as (select round, tensor, avg(norm) as mu, stddev_pop(norm) as sd from n group by round, tensor)
 select n.round, n.client_id, n.tensor, n.norm, abs(n.norm - s.mu) > 2 * s.sd as outlier
 from n join s on n.round = s.round and n.tensor = s.tensor""")
 def q_norm_outliers(spark, sf_dir):
-    """H6: update norms and the 2-sd outlier rule per round."""
-    return R.norm_outliers(fx.updates(spark, sf_dir)).select(
+    """H6: update norms and the 2-sd outlier rule per round (nine clients, some with a
+    far too long update)."""
+    nine = fx.updates(spark, sf_dir).selectExpr(
+        "cast(floor(round / 3) as bigint) as round",
+        "concat(client_id, '_', cast(round % 3 as string)) as client_id", "tensor",
+        "transform(w, x -> x * case when (3 * round + ascii(right(client_id, 1))) % 14 = 0 "
+        "then 40.0D else 1.0D end) as w")
+    return R.norm_outliers(nine).select(
         "round", "client_id", "tensor", "norm", "outlier")
 
 

@@ -55,10 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    _scratch.append(os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}"))
+    return _scratch[-1]
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the folders this process got from :func:`scratch_path`; returns their
+    number. For after the results that read them have been written."""
+    n = 0
+    while _scratch:
+        p, fs = _fs_path(spark, _scratch.pop())
+        n += bool(fs.delete(p, True))
+    return n
 
 
 def _fs_path(spark: SparkSession, path: str):

@@ -12,8 +12,9 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from fraudlake.session import build_session
+    from fraudlake.session import build_session, release_scratch
 
     s = build_session(master="local[*]", shuffle_partitions=8, app_name="fraudlake-tests")
     yield s
+    release_scratch(s)
     s.stop()

@@ -113,6 +113,11 @@ class LineRuns:
             self.levels[depth + 1].append(merged)
             depth += 1
 
+    def forget(self) -> None:
+        """Drop the catalogue entries of the runs; their files stay in ``root``."""
+        for name in self.runs():
+            self.spark.sql(f"drop table if exists {name}")
+
     def frequent(self) -> DataFrame:
         """Hash and owner of every line held by at least ``min_docs`` documents."""
         if not self.runs():
@@ -142,6 +147,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     for b in range(len(bounds), -1, -1):
         runs.add(hashed.where(F.col("batch") == b))
     frequent = written(runs.frequent(), "frequent-lines")
+    runs.forget()
 
     each = hashed.select("id", "row_hash", F.explode("lines").alias("l")) \
         .select("id", "row_hash", "l.pos", "l.h1", "l.h2")

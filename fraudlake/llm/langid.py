@@ -112,25 +112,26 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def _sample(rows: DataFrame, per_lang: int) -> DataFrame:
-    """Up to ``per_lang`` rows of each language, the ones with the smallest text hash.
-    A first cut by the hash leaves about twice as many, so that ranking them is
+def _sample(rows: DataFrame, counts: list[tuple[str, int]], per_lang: int) -> DataFrame:
+    """Up to ``per_lang`` rows of each counted language, the ones with the smallest text
+    hash. A first cut by the hash leaves about twice as many, so that ranking them is
     bounded work whatever share of the corpus a language has."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = rows.sparkSession.createDataFrame(counts, "lang string, n long")
     spread = 2.0 ** 31
-    rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(counts), "lang") \
+    rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(sizes), "lang") \
         .where(F.pmod("h", F.lit(2 ** 31)) < F.lit(spread * (2 * per_lang + 50)) / F.col("n"))
     w = Window.partitionBy("lang").orderBy("h", "text")
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select("lang", "text", "k")
 
 
 def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float = 0.1,
-        id_col: str = "doc_id") -> LanguageModel:
+        id_col: str = "doc_id", max_langs: int = 250, max_rows: int = 20_000) -> LanguageModel:
     """Fit on rows that are not held out and have text with a letter and a lang.
 
-    ``per_lang`` bounds the sample rows of a language and ``landmarks`` the
-    landmark texts in all (at least 4 a language). Without any such row the
-    model knows no language.
+    ``per_lang`` bounds the sample rows of a language, ``max_rows`` those of all,
+    ``landmarks`` the landmark texts in all (at least 4 a language) and
+    ``max_langs`` the languages that are learned, the most frequent ones. Without
+    any such row the model knows no language.
     """
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col("lang").isNotNull()
                       & (F.length("text") > 0)).select("lang", "text")
@@ -141,7 +142,10 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
                 [b.column(0), b.column(2), pa.array([grams(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))],
                 names=["lang", "k", "g"])
 
-    sample = written(_sample(rows, per_lang).mapInArrow(spell, "lang string, k int, g array<bigint>")
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    per_lang = min(per_lang, max_rows // max(1, len(counts)))
+    sample = written(_sample(rows, counts, per_lang).mapInArrow(spell, "lang string, k int, g array<bigint>")
                      .where(F.size("g") > 0), "langid-sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:

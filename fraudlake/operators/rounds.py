@@ -8,10 +8,12 @@ clients instead of being held in one row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.operators.metrics import bce_terms, sigmoid
+from fraudlake.operators.metrics import bce_terms, ranking_metrics, sigmoid
 
 # fixed values: metric keys aggregated by maximum instead of weighted mean
 MAX_KEYS = ("epsilon", "delta")
@@ -159,29 +161,62 @@ def score_rows(df: DataFrame, weights: list[float], bias: float, x_col: str = "x
 
 
 def local_gradients(df: DataFrame, weights: DataFrame, dim: int, x_col: str = "x",
-                    y_col: str = "label", client_col: str = "bank_id") -> DataFrame:
-    """One distributed pass: per client, sums of (p - y) x_j and of the loss.
+                    y_col: str = "label", client_col: str = "bank_id",
+                    pos_weight: float | None = None) -> DataFrame:
+    """One distributed pass: per client, sums of the gradient and of the loss.
 
     ``weights`` has one row per client ``(client, w ARRAY, b)`` and is broadcast
-    (bounded by the number of clients)."""
+    (bounded by the number of clients). ``pos_weight`` weighs the positive rows
+    in both."""
     j = df.join(F.broadcast(weights), client_col)
     z = linear_logit(F.col(x_col), F.col("w"), F.col("b"))
     r = j.select(client_col, F.col(x_col).alias("_x"), F.col(y_col).cast("double").alias("_y"),
                  z.alias("_z"))
-    err = sigmoid(F.col("_z")) - F.col("_y")
+    p = sigmoid(F.col("_z"))
+    err = p - F.col("_y") if pos_weight is None else \
+        (1 - F.col("_y")) * p - float(pos_weight) * F.col("_y") * (1 - p)
     return r.groupBy(client_col).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(err).alias("g_b"),
         F.array(*[F.sum(err * F.col("_x")[i]) for i in range(dim)]).alias("g_w"),
-        F.sum(bce_terms(F.col("_z"), F.col("_y"))).alias("loss_sum"))
+        F.sum(bce_terms(F.col("_z"), F.col("_y"), pos_weight)).alias("loss_sum"))
+
+
+def evaluate_linear(df: DataFrame, weights: list[float], bias: float, x_col: str = "x",
+                    y_col: str = "label", client_col: str = "bank_id",
+                    pos_weight: float | None = None) -> DataFrame:
+    """Validation of one model per client: rows, loss, AP, AUROC (null with one class)."""
+    scored = score_rows(df.select(client_col, x_col, F.col(y_col).cast("double").alias("label")),
+                        weights, bias, x_col)
+    loss = scored.groupBy(client_col).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(bce_terms(F.col("logit"), F.col("label"), pos_weight)).alias("loss"))
+    rank = ranking_metrics(scored, "logit", "label", [client_col]).select(
+        client_col, "average_precision", "auroc")
+    return loss.join(rank, client_col)          # one row per client on either side
+
+
+MAX_ABS_WEIGHT = 100.0        # fixed value: larger weights make an update invalid (H5)
+
+
+def valid_update(w: list[float], b: float) -> bool:
+    """H5 on one update: finite and below the largest accepted weight."""
+    return all(math.isfinite(v) and abs(v) < MAX_ABS_WEIGHT for v in [*w, b])
 
 
 def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
                      local_steps: int = 1, lr: float = 0.5, mu: float = 0.0,
                      client_col: str = "bank_id", x_col: str = "x", y_col: str = "label",
-                     state_path: str | None = None, checkpoint_every: int = 5) -> DataFrame:
+                     state_path: str | None = None, checkpoint_every: int = 5,
+                     pos_weight: float | None = None, min_clients: int = 1,
+                     validation: DataFrame | None = None) -> DataFrame:
     """H9: FedAvg/FedProx rounds of a logistic model.
 
+    Positive rows count ``pos_weight`` times in gradient and loss. An update with
+    a weight that is not finite or too large (H5) is left out; with fewer than
+    ``min_clients`` valid updates (H4) the global model stays as it was and the
+    round has a global row with ``n`` = 0 only. With ``validation`` rows the new
+    global model is evaluated per client and, weighted by rows, as a whole (H2).
+
     Each local step is one job (broadcast client weights, per-row gradient,
     grouped sums); only weight vectors reach the driver. The proximal term
     ``mu (w - w_global)`` is applied for real (``mu=0`` is plain FedAvg).
@@ -213,7 +248,7 @@ def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
                 [(c, local[c][0], local[c][1]) for c in clients],
                 f"{client_col} string, w array<double>, b double")
             grads = {r[client_col]: r for r in local_gradients(
-                feats, wdf, dim, x_col, y_col, client_col).collect()}
+                feats, wdf, dim, x_col, y_col, client_col, pos_weight).collect()}
             for c in clients:
                 gr = grads.get(c)
                 if gr is None:
@@ -224,14 +259,21 @@ def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
                 nb = b - lr * (gr["g_b"] / n + mu * (b - g_b))
                 local[c] = (nw, nb)
                 stats[c] = (n, gr["loss_sum"] / n)
+        stats = {c: s for c, s in stats.items() if valid_update(*local[c])}
         total = sum(stats[c][0] for c in stats)
-        g_w = [sum(stats[c][0] * local[c][0][i] for c in stats) / total for i in range(dim)]
-        g_b = sum(stats[c][0] * local[c][1] for c in stats) / total
-        for c in clients:
-            if c in stats:
-                out.append((rnd, c, stats[c][0], stats[c][1], local[c][0], local[c][1]))
-        out.append((rnd, "global", total, sum(stats[c][0] * stats[c][1] for c in stats) / total,
-                    g_w, g_b))
+        if len(stats) < max(1, min_clients):
+            out.append((rnd, "global", 0, None, g_w, g_b, None, None, None))
+        else:
+            g_w = [sum(stats[c][0] * local[c][0][i] for c in stats) / total for i in range(dim)]
+            g_b = sum(stats[c][0] * local[c][1] for c in stats) / total
+            checks = {} if validation is None else {
+                r[client_col]: (r["n"], r["loss"], r["average_precision"], r["auroc"])
+                for r in evaluate_linear(validation, g_w, g_b, x_col, y_col, client_col, pos_weight).collect()}
+            for c in clients:
+                if c in stats:
+                    out.append((rnd, c, *stats[c], *local[c], *checks.get(c, (0, None, None, None))[1:]))
+            out.append((rnd, "global", total, sum(n * loss for n, loss in stats.values()) / total,
+                        g_w, g_b, *(_weighted(checks, k) for k in (1, 2, 3))))
         if state_path and (rnd % checkpoint_every == 0 or rnd == rounds):
             spark.createDataFrame(out[saved:], _FED_SCHEMA).write.mode("append") \
                 .parquet(state_path)
@@ -240,7 +282,13 @@ def federated_linear(spark, features: DataFrame, dim: int, rounds: int = 1,
 
 
 _FED_SCHEMA = ("round int, client_id string, n long, train_loss double, w array<double>, "
-               "b double")
+               "b double, val_loss double, val_ap double, val_auroc double")
+
+
+def _weighted(checks: dict, k: int) -> float | None:
+    """Row-weighted mean of one validation metric over the clients that have it."""
+    some = [(v[0], v[k]) for v in checks.values() if v[k] is not None]
+    return sum(n * v for n, v in some) / sum(n for n, _ in some) if some else None
 
 
 def best_run(metrics: DataFrame, run_col: str = "client_id", epoch_col: str = "round") -> DataFrame:

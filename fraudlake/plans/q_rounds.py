@@ -244,6 +244,47 @@ def q_fed_rounds_train(spark, sf_dir):
     return out.select("round", "client_id", "n", "train_loss")
 
 
+POS_WEIGHT, FED_LR, FED_ROUNDS = 5.0, 2.0, 3
+
+
+def _fed_rounds_sql() -> str:
+    """The rounds written out: each takes the global model of the one before."""
+    ctes, w = [], [f"w{i}" for i in range(DIM)] + ["b"]
+    ctes.append("f as (select bank_id, split, cast(isFraud as double) as y, "
+                f"{x_sql()} as x from splitted)")
+    ctes.append("m0 as (select " + ", ".join(f"cast(0 as double) as {v}" for v in w) + ")")
+    z = " + ".join(f"m.w{i} * f.x[{i + 1}]" for i in range(DIM)) + " + m.b"
+    loss = (f"((1 - y) * z + (1 + {POS_WEIGHT - 1} * y) * (ln(1 + exp(-abs(z))) + greatest(-z, 0)))")
+    out = []
+    for k in range(1, FED_ROUNDS + 1):
+        ctes.append(f"z{k} as (select bank_id, y, x, {z} as z from f, m{k - 1} m where split = 'train')")
+        ctes.append(f"e{k} as (select *, (1 - y) / (1 + exp(-z)) - {POS_WEIGHT} * y * (1 - 1 / (1 + exp(-z))) as e "
+                    f"from z{k})")
+        grads = ", ".join(f"m.w{i} - {FED_LR} * sum(e * x[{i + 1}]) / count(*) as w{i}" for i in range(DIM))
+        by = ", ".join(f"m.{v}" for v in w)
+        ctes.append(f"l{k} as (select bank_id, count(*) as n, avg({loss}) as loss, {grads}, "
+                    f"m.b - {FED_LR} * sum(e) / count(*) as b from e{k}, m{k - 1} m group by bank_id, {by})")
+        ctes.append(f"m{k} as (select " + ", ".join(f"sum(n * {v}) / sum(n) as {v}" for v in w) + f" from l{k})")
+        ctes.append(f"v{k} as (select bank_id, count(*) as n, avg({loss}) as val_loss from (select bank_id, y, "
+                    f"{z} as z from f, m{k} m where split = 'val') group by bank_id)")
+        out.append(f"select {k} as round, l.bank_id as client_id, cast(l.n as bigint) as n, loss as train_loss, "
+                   f"val_loss, l.b from l{k} l left join v{k} v on l.bank_id = v.bank_id")
+        out.append(f"select {k}, 'global', cast((select sum(n) from l{k}) as bigint), "
+                   f"(select sum(n * loss) / sum(n) from l{k}), (select sum(n * val_loss) / sum(n) from v{k}), "
+                   f"b from m{k}")
+    return SPLIT_SQL + ",\n" + ",\n".join(ctes) + "\n" + "\nunion all ".join(out)
+
+
+@register("fed_rounds_weighted", "H9", views=TX, rounded={"train_loss": 8, "val_loss": 8, "b": 8},
+          sql=_fed_rounds_sql())
+def q_fed_rounds_weighted(spark, sf_dir):
+    """H9: three rounds with weighted positives, each evaluated on the validation rows."""
+    s = features(spark, sf_dir, split=None)
+    out = R.federated_linear(spark, s.where(F.col("split") == "train"), DIM, rounds=FED_ROUNDS, lr=FED_LR,
+                             pos_weight=POS_WEIGHT, validation=s.where(F.col("split") == "val"))
+    return out.select("round", "client_id", "n", "train_loss", "val_loss", "b")
+
+
 @register("score_rows", "H10", views=TX, rounded={"logit": 9, "probability": 9},
           sql=f"""
 z as (select TransactionID, {logit_sql(SCORE_W, SCORE_B)} as logit from transactions)

@@ -74,6 +74,15 @@ def id_bounds(df: DataFrame, col: str, buckets: int) -> list[int]:
     return sorted(set(got or []))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` (written, narrow) marked for broadcast if it has at most a million rows;
+    a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def set_aside(docs: DataFrame, own: list[str]):
     """``docs`` with every column outside ``own`` under a neutral name, and the function
     that undoes it: columns an operator adds cannot clash with extra ones."""

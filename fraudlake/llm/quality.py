@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import let, set_aside, words, written
+from fraudlake.llm.common import let, set_aside, small_side, words, written
 
 SYMBOLS = "#*$%&|<>"
 RATIOS = ("symbol", "word_len", "dup_line", "repeat")
@@ -196,5 +196,11 @@ def judged(docs: DataFrame, rules: Rules = Rules(), carry_text: bool = True) ->
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
+    key = [F.xxhash64("text", "lang", "source"), F.xxhash64(F.lit(1), "text", "lang", "source")]
     plain, back = set_aside(docs, ["text", "lang", "source"])
-    return back(judged(plain, rules).where("kept"))
+    # rows of equal content have equal verdicts, so texts need not be carried along
+    slim = plain.select("text", "lang", "source", key[0].alias("_h1"), key[1].alias("_h2"))
+    rejected = judged(slim, rules, carry_text=False).where(~F.col("kept")).select("_h1", "_h2").distinct()
+    rejected = small_side(written(rejected, "quality-rejected"))
+    plain = plain.withColumn("_h1", key[0]).withColumn("_h2", key[1])
+    return back(plain.join(rejected, ["_h1", "_h2"], "left_anti"))

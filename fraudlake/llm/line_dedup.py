@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import (SPACE, at_most_count, id_bounds, let, lower_ascii,
+from fraudlake.llm.common import (BROADCAST_ROWS, SPACE, at_most_count, id_bounds, let, lower_ascii,
                                   shuffle_partitions, written)
 from fraudlake.session import scratch_path
 
@@ -154,6 +154,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     drops = each.join(frequent, HASH).where(F.col("owner") != F.coalesce("id", F.lit(-2 ** 63))) \
         .groupBy(F.col("id").alias("_id"), F.col("row_hash").alias("_row_hash")) \
         .agg(F.collect_list("pos").alias("_drop"))
+    drops = written(drops, "line-drops")
+    # the texts stay where they are if few lines go, else both sides are shuffled by document
+    lines = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
+    if lines <= BROADCAST_ROWS:
+        drops = F.broadcast(drops)
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn("_h", F.xxhash64(text)).join(
         drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row_hash")), "left")

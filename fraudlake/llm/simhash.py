@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import set_aside, written
+from fraudlake.llm.common import set_aside, small_side, written
 from fraudlake.llm.graph import components
 
 SHINGLE, MAX_BITS = 3, 3
@@ -229,12 +229,11 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, n: int = SHINGLE, id_col
     """The rows of ``docs`` that stay: the document with the smallest id of each group.
     Of rows that repeat that id one stays; where a whole group has null ids, one of them."""
     docs, back = set_aside(docs, [id_col, text_col])
-    found = near_duplicates(docs, max_bits, n, id_col, text_col)
-    keep = written(found.where(F.col("id").eqNullSafe(F.col("component")))
-                   .groupBy(F.col("id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n")),
-                   "simhash-kept")
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")))
-    stats = keep.agg(F.count("*"), F.sum("_n"), F.countDistinct("_id")).first()
-    if stats[0] != (stats[1] or 0) or stats[0] != stats[2]:
+    found = written(near_duplicates(docs, max_bits, n, id_col, text_col), "simhash-found")
+    stays = F.col("id").eqNullSafe(F.col("component"))
+    ids = found.groupBy("id").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    dropped = written(ids.where(~F.col("stays")).select(F.col("id").alias("_id")), "simhash-dropped")
+    kept = docs.join(small_side(dropped), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    if not ids.where("stays and n > 1").isEmpty():          # an id that stays has several rows
         kept = kept.dropDuplicates([id_col])
     return back(kept)

@@ -221,6 +221,16 @@ def test_pages_with_article_markup(spark):
     assert got[9] == got[4]                                          # a copy keeps its text
 
 
+def test_article_markup_decides_without_neighbours(monkeypatch):
+    """Passages quoted as first or last line of an article stay; no alignment is computed for nothing."""
+    page = lambda n: html_extract.page_lines(                                        # noqa: E731
+        f"<div>Site</div><article><p>Quoted head.</p><p>Own {n}</p><p>Quoted tail.</p></article>")
+    plain = [html_extract.page_lines(f"<div>Site</div><p>Own text of {n}</p>") for n in range(3)]
+    assert html_extract.main_text(plain[1], plain[0], plain[2]) == "Own text of 1"
+    monkeypatch.setattr(html_extract, "shared_lines", lambda a, b: pytest.fail("aligned"))
+    assert html_extract.main_text(page(1), page(0), page(2)) == "Quoted head. Own 1 Quoted tail."
+
+
 @pytest.mark.parametrize("html", ["<", "<![CDATA[x]]>", "<!doctype", "<p", "&", "<a b=c", "</p></div>", "<!--",
                                   "<svg><p>x", "\x00", "<article><nav>menu<article><p>ok</article>", "<p>" * 3000])
 def test_broken_html_does_not_fail(html):

@@ -231,6 +231,28 @@ def test_article_markup_decides_without_neighbours(monkeypatch):
     assert html_extract.main_text(page(1), page(0), page(2)) == "Quoted head. Own 1 Quoted tail."
 
 
+@pytest.mark.parametrize("around", ["<div class='layout has-sidebar'>", "<div class='main-content no-comments'>",
+                                    "<div class='page with-banner'>", "<div id='search-page'>", "<form action='/x'>",
+                                    "<div class='sidebar'>", "<div class='wrap'><form><div class='social widget'>"])
+@pytest.mark.parametrize("article", ["<article>", "<article class='post related'>", "<main><div class='x'>", "<div>"])
+def test_wrappers_with_listed_words_keep_the_article(around, article):
+    body = "<p>The first part of the text.</p><p>The second <span class='ad'>Buy</span> part.</p>"
+    page = f"<body><nav>Home</nav>{around}{article}<h1>Title</h1>{body}<div class='share-buttons'>Post it</div></body>"
+    got = html_extract.main_text(html_extract.page_lines(page), None, None)
+    assert got == "Title The first part of the text. The second part."
+
+
+def test_regions_with_listed_words_still_go():
+    long = "<p>" + "Much talk about it. " * 30 + "</p>"
+    for gone in ("<div class='comments'>%s</div>", "<section id='comment-list'><article>%s</article></section>",
+                 "<div class='cookie-banner'>%s</div>", "<div class='related-posts'><article>%s</article></div>",
+                 "<form>%s</form>", "<div><article class='comment'>%s</article></div>"):
+        page = f"<body><article><h1>Title</h1><p>Text.</p></article>{gone % long}</body>"
+        assert html_extract.main_text(html_extract.page_lines(page), None, None) == "Title Text.", gone
+    page = f"<body><div><p>Short article.</p></div><div class='comments'>{long}</div></body>"
+    assert html_extract.main_text(html_extract.page_lines(page), None, None) == "Short article."
+
+
 @pytest.mark.parametrize("html", ["<", "<![CDATA[x]]>", "<!doctype", "<p", "&", "<a b=c", "</p></div>", "<!--",
                                   "<svg><p>x", "\x00", "<article><nav>menu<article><p>ok</article>", "<p>" * 3000])
 def test_broken_html_does_not_fail(html):

@@ -11,6 +11,13 @@ Landmark kernels are one product of the texts' n-gram presence with the
 landmarks' presence, and scores one more with the regression weights; the two
 right-hand factors are multiplied once, so a batch of texts is scored by a
 single sparse product with a table of (n-gram, language) weights.
+
+One-versus-rest values say little of a text in none of the languages: they are
+near each other or, without known n-grams, all 0. What tells it is how clearly
+one language is ahead: the share of its n-grams that the landmarks know times the
+margin of the best value over the second. A text counts as known from a quarter
+of the lowest percentile that rows of the learned languages reach in folds of the
+fit that leave them out.
 """
 
 from __future__ import annotations
@@ -76,13 +83,18 @@ class LanguageModel:
     langs: list[str]
     grams: np.ndarray            # sorted
     weights: np.ndarray          # (n-gram, language)
+    least_clear: float = 0.0     # below: in none of the languages
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Regression values (text, language): one sparse product for the batch."""
-        out = np.zeros((len(texts), len(self.langs)))
+        return self._scores(texts)[0]
+
+    def _scores(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Regression values and the share of each text's n-grams that landmarks have."""
+        out, share = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         full = [i for i, t in enumerate(texts) if len(t)]
         if not full or not len(self.grams):
-            return out
+            return out, share
         size = np.array([len(texts[i]) for i in full])
         flat = np.concatenate([texts[i] for i in full])
         at = np.minimum(np.searchsorted(self.grams, flat), len(self.grams) - 1)
@@ -90,14 +102,16 @@ class LanguageModel:
         at[self.grams[at] != flat] = len(self.grams)
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
         out[full] = np.add.reduceat(self.weights[at], starts, axis=0) / np.sqrt(size)[:, None]
-        return out
+        share[full] = np.add.reduceat(at < len(self.grams), starts, dtype=np.int64) / size
+        return out, share
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         g = [grams(t or "") for t in texts]
-        s = self.scores(g)
+        s, share = self._scores(g)
+        clear = clearness(s, share)
         langs, conf = [], []
         for i, x in enumerate(g):
-            if not len(x) or not self.langs:
+            if not len(x) or not self.langs or not share[i] or clear[i] < self.least_clear:
                 langs.append(UNKNOWN)
                 conf.append(0.0)
             else:
@@ -107,6 +121,32 @@ class LanguageModel:
         return langs, conf
 
 
+def clearness(values: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Known share of a text's n-grams times the margin of its best value over the
+    second one (over 0 with a single language)."""
+    if not values.shape[1]:
+        return np.zeros(len(values))
+    top = np.sort(values, axis=1)
+    return share * (top[:, -1] - (top[:, -2] if values.shape[1] > 1 else 0.0))
+
+
+def _least_clear(phi: np.ndarray, y: np.ndarray, share: np.ndarray, unseen: np.ndarray, ridge: float,
+                 folds: int = 4) -> float:
+    """A quarter of the first percentile of the clearness of rows that the regression was
+    not solved on and gets right; landmark texts (not ``unseen``) count only if no others are there."""
+    values = np.zeros_like(y)
+    fold = np.arange(len(y)) % folds
+    for f in range(folds):
+        rest = phi[fold != f]
+        if len(rest):
+            values[fold == f] = phi[fold == f] @ np.linalg.solve(
+                rest.T @ rest + ridge * np.eye(phi.shape[1]), rest.T @ y[fold != f])
+    right = np.argmax(values, axis=1) == np.argmax(y, axis=1)
+    clear = clearness(values, share)
+    clear = clear[right & unseen] if (right & unseen).any() else clear[right]
+    return max(0.0, float(np.quantile(clear, 0.01)) / 4) if len(clear) else 0.0
+
+
 def held_out(id_col: Column) -> Column:
     """crc32 of the id as text, mod 3, is 1 (false for a null id)."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(3)) == 1, F.lit(False))
@@ -157,10 +197,13 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([marks.kernel(g.values.to_numpy()) for g in b.column(2)],
-                                       pa.list_(pa.float64()))], names=["lang", "row"])
+                [b.column(0), b.column(1),
+                 pa.array([marks.kernel(g.values.to_numpy()) for g in b.column(2)], pa.list_(pa.float64())),
+                 pa.array([len(marks.places(g.values.to_numpy())) / len(g) for g in b.column(2)], pa.float64())],
+                names=["lang", "k", "row", "share"])
 
-    got = sample.orderBy("lang", "k").mapInArrow(compare, "lang string, row array<double>").collect()
+    got = sample.orderBy("lang", "k").mapInArrow(
+        compare, "lang string, k int, row array<double>, share double").collect()
     k = np.array([r["row"] for r in got])                                   # (sample, landmarks)
     y = np.where(np.array([r["lang"] for r in got])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     parts = [marks.grams[_slices(marks, j)] for j in range(len(marks.sizes))]
@@ -172,7 +215,8 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
     w = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
     alpha = (root @ w) / np.sqrt(marks.sizes)[:, None]                      # (landmark, language)
     weights = np.add.reduceat(alpha[marks.owners], marks.first[:-1], axis=0)
-    return LanguageModel(langs, marks.grams, np.vstack([weights, np.zeros((1, len(langs)))]))
+    least = _least_clear(phi, y, np.array([r["share"] for r in got]), np.array([r["k"] > each for r in got]), ridge)
+    return LanguageModel(langs, marks.grams, np.vstack([weights, np.zeros((1, len(langs)))]), least)
 
 
 def _slices(marks: Landmarks, j: int) -> np.ndarray:
@@ -186,8 +230,9 @@ def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
     """(id, lang_pred, score) of every row, or with ``carry`` all columns and these two
     (in place of columns of the same names).
 
-    Only the text is used. Null text or text without a letter is ``und`` with
-    score 0, and so is every text if the model knows no language. The score is
+    Only the text is used. Null text, text without a letter and text that is not
+    clearly in one of the learned languages (foreign, random or mixed) is ``und``
+    with score 0, and so is every text if the model knows no language. The score is
     the best regression value moved from -1..1 to 0..1 and cut there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)   # size bounded by the landmarks
@@ -213,8 +258,8 @@ MIN_SCORE = 0.25
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` in a known language: prediction not ``und``, score of at
-    least ``min_score`` (a best one-versus-rest value of -0.5)."""
+    """The rows of ``docs`` in a known language: prediction not ``und`` (which sorts out
+    texts in none of the learned languages), score of at least ``min_score``."""
     plain, back = set_aside(docs, [id_col, "text", "lang"])
     found = predicted(plain, fit(plain, id_col=id_col), id_col, carry=True)
     return back(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))

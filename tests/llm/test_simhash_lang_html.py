@@ -172,6 +172,26 @@ def test_language_odd_rows(spark):
     assert langid.keep_known(df.where("false")).count() == 0
 
 
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(3)
+    part = {r.lang: " ".join(r.text.split()[:60]) for r in docs.where("length(text) > 1500").collect()}
+    assert len(part) == 4
+    odd = ["日本語の文章はここにあります。東京は大きな町です。" * 3,
+           "Это обычный русский текст о погоде и городах, который никто не учил. " * 3,
+           "Questa è una frase italiana che parla della città e del tempo, con molte parole comuni e nessuna novità. " * 2,
+           "To jest zwykły polski tekst o pogodzie i miastach, którego nikt się nie uczył, ale każdy może czytać. " * 2,
+           " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80)),
+           " ".join(f"{rng.getrandbits(128):032x}" for _ in range(30)), " ".join(part.values())]
+    odd_ids = {10 ** 9 + k for k in range(len(odd))}
+    # the odd texts are held out of the fit: no label to learn them from
+    more = spark.createDataFrame([(i, t, None, "odd") for i, t in zip(sorted(odd_ids), odd)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert not kept & odd_ids
+    real = {r.doc_id for r in docs.where("length(text) > 300").select("doc_id").collect()}
+    assert len(real - kept) <= 0.005 * len(real)
+
+
 # --- pages -----------------------------------------------------------------------------
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -153,14 +153,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def _sample(rows: DataFrame, counts: list[tuple[str, int]], per_lang: int) -> DataFrame:
-    """Up to ``per_lang`` rows of each counted language, the ones with the smallest text
-    hash. A first cut by the hash leaves about twice as many, so that ranking them is
-    bounded work whatever share of the corpus a language has."""
+    """Up to ``per_lang`` texts of each counted language, the ones with the smallest text
+    hash; copies of a text count once, in ``counts`` as well. A first cut by the hash
+    leaves about twice as many, so that ranking them is bounded work whatever share of
+    the corpus a language has."""
     sizes = rows.sparkSession.createDataFrame(counts, "lang string, n long")
     spread = 2.0 ** 31
     rows = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(sizes), "lang") \
-        .where(F.pmod("h", F.lit(2 ** 31)) < F.lit(spread * (2 * per_lang + 50)) / F.col("n"))
-    w = Window.partitionBy("lang").orderBy("h", "text")
+        .where(F.pmod("h", F.lit(2 ** 31)) < F.lit(spread * (2 * per_lang + 50)) / F.col("n")) \
+        .groupBy("lang", "h").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("lang").orderBy("h")
     return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select("lang", "text", "k")
 
 
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
         id_col: str = "doc_id", max_langs: int = 250, max_rows: int = 20_000) -> LanguageModel:
     """Fit on rows that are not held out and have text with a letter and a lang.
 
-    ``per_lang`` bounds the sample rows of a language, ``max_rows`` those of all,
+    ``per_lang`` bounds the sampled distinct texts of a language, ``max_rows`` those of all,
     ``landmarks`` the landmark texts in all (at least 4 a language) and
     ``max_langs`` the languages that are learned, the most frequent ones. Without
     any such row the model knows no language.
@@ -182,8 +184,9 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
                 [b.column(0), b.column(2), pa.array([grams(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))],
                 names=["lang", "k", "g"])
 
-    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
+    copies = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
+    counts = [(r["lang"], r["texts"]) for r in copies.groupBy("lang").agg(
+        F.sum("n").alias("n"), F.count("*").alias("texts")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
     per_lang = min(per_lang, max_rows // max(1, len(counts)))
     sample = written(_sample(rows, counts, per_lang).mapInArrow(spell, "lang string, k int, g array<bigint>")
                      .where(F.size("g") > 0), "langid-sample")

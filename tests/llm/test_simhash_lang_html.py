@@ -172,6 +172,18 @@ def test_language_odd_rows(spark):
     assert langid.keep_known(df.where("false")).count() == 0
 
 
+def test_language_sample_takes_copies_once(spark):
+    texts = [f"some text number {chr(97 + k % 26)} {chr(97 + k // 26)}" for k in range(60)]
+    first = min(texts, key=lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2 ** 63) % 2 ** 64)
+    df = spark.createDataFrame([(3 * k, t, "en", "a") for k, t in enumerate(texts)], SCHEMA)
+    many = spark.range(3000).selectExpr("id + 1000 as doc_id", f"'{first}' as text", "'en' as lang", "'a' as source")
+    rows = df.unionByName(many)
+    got = [r.text for r in langid._sample(rows.select("lang", "text"), [("en", 60)], 50).collect()]
+    assert len(got) == 50 and len(set(got)) == 50
+    model, plain = (langid.fit(x, per_lang=50, landmarks=50) for x in (rows, df.unionByName(many.limit(9))))
+    assert model.langs == ["en"] and len(model.grams) == len(plain.grams) > 60
+
+
 def test_unknown_languages_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     rng = random.Random(3)

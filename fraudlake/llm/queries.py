@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import (bpe, fingerprints, html_extract, langid, line_dedup, packing, quality,
-                           sharding, simhash, token_counts)
+from fraudlake.llm import (bpe, fingerprints, html_extract, langid, line_dedup, packing, pii,
+                           quality, sharding, simhash, token_counts)
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -204,3 +204,64 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_extraction_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extracted(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _pii_kind_sql(order: int, k: pii.Kind, check: str) -> str:
+    """Spans of one kind: matches of the plain pattern, placed by the lengths of the pieces
+    between them; ``check`` is a condition on ``d`` (digits and capitals of the match)."""
+    lead = "regexp_extract(m, '^[^A-Za-z0-9]')" if k.alone else "''"
+    keep = "A-Z0-9" if k.name == "iban" else "0-9"
+
+    def word(words: str) -> str:
+        hit = f"regexp_matches(translate(near, {_UPPER}), '(^|[^a-z])({words})([^a-z]|$)')"
+        return f"cast({hit} as int) * {pii.STEP}" if words else "0"
+
+    ok = "true" if order < len(pii.BASE) else (
+        f"not regexp_matches(next, '^[A-Za-z0-9]') and "
+        f"round(least(1.0, {k.score} + {word(k.words)} - {word(k.against)}), 2) >= {pii.ENOUGH}")
+    return f"""
+  select doc_id, {order} as ord, '{k.name}' as kind, pos + length(led) as s, pos + length(m) as e from (
+    select *, regexp_replace(own, '[^{keep}]', '', 'g') as d from (
+      select *, {lead} as led, m[length({lead}) + 1:] as own from (
+        select doc_id, f[i + 1] as m, right(g[i + 1], {pii.BEFORE}) || ' ' || left(g[i + 2], {pii.AFTER}) as near,
+               g[i + 2] as next,
+               list_sum(list_transform(g[:i + 1], lambda x: length(x)))
+                 + coalesce(list_sum(list_transform(f[:i], lambda x: length(x))), 0) as pos
+        from (select doc_id, f, g, unnest(range(len(f))) as i from (
+          select doc_id, regexp_extract_all(t, '{k.plain}') as f, string_split_regex(t, '{k.plain}') as g
+          from texts)))))
+  where {check} and {ok}"""
+
+
+_PII_CHECKS = {
+    "email": "true", "ip": rf"regexp_matches(own, '\A{pii._OCTET}(\.{pii._OCTET}){{3}}\z')",
+    "card": """case when length(d) between 13 and 19 then list_sum(list_transform(range(1, length(d) + 1), lambda i:
+      case when i % 2 = 1 then cast(d[length(d) - i + 1] as int)
+           else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(d[length(d) - i + 1] as int) + 1] end)) % 10 = 0 else false end""",
+    "phone": "length(d) between 9 and 15",
+    "iban": """list_reduce(list_concat([0], list_transform(string_split(d[5:] || d[:4], ''), lambda c:
+      case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)),
+      lambda r, v: (r * case when v > 9 then 100 else 10 end + v) % 97) = 1""",
+    "ssn": "not regexp_matches(d, '^(000|666|9)|^...00|0000$')",
+    "routing": """list_sum(list_transform(range(1, 10), lambda i: cast(d[i] as int) * [3, 7, 1][(i - 1) % 3 + 1])) % 10 = 0
+      and regexp_matches(d, '^(0[1-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)')""",
+}
+
+
+@query("op12_pii", f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+found as ({" union all".join(_pii_kind_sql(i, k, _PII_CHECKS[k.name]) for i, k in enumerate([*pii.BASE, *pii.ADDED]))}),
+named as (select *, concat_ws(':', kind, s, e) as span from found)
+select t.doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip,
+       count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+       sha256(coalesce(string_agg(span, ',' order by ord, s) filter (where ord < {len(pii.BASE)}), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by ord, s), '') as spans
+from texts t left join named n on n.doc_id = t.doc_id group by t.doc_id""")
+def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.BASE]
+    return out.select(
+        "doc_id", *[F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
+                    for name in base],
+        F.sha2(pii.joined(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm import (bpe, fingerprints, html_extract, langid, line_dedup, packing, pii,
-                           quality, sharding, simhash, token_counts)
+from fraudlake.llm import (bpe, fingerprints, hard_negatives, html_extract, langid, line_dedup, packing,
+                           pii, quality, sharding, simhash, token_counts)
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -265,3 +265,28 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                     for name in base],
         F.sha2(pii.joined(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"))
+
+
+@query("op13_hard_negatives", """
+with vectors as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.id as anchor, b.id, a.label = b.label as alike, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from vectors a join vectors b on a.id % 100 = 0 and a.id <> b.id),
+positives as (
+  select anchor, id as positive, score as positive_score from scored where alike
+  qualify row_number() over (partition by anchor order by score desc, id) <= 5)
+select anchor as anchor_id, positive as positive_id,
+       cast(row_number() over (partition by anchor, positive order by score desc, id) as integer) as rank,
+       id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor)
+where not alike and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5""")
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = hard_negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(points.withColumn("label", label), F.col("id") % 100 == 0)

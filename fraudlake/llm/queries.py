@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudlake.llm import (bpe, fingerprints, hard_negatives, html_extract, langid, line_dedup, packing,
-                           pii, quality, sharding, simhash, token_counts)
+                           pii, quality, sharding, simhash, token_align, token_counts)
 from fraudlake.llm.common import table
 from fraudlake.session import ensure_checkpoint_dir
 
@@ -290,3 +290,10 @@ def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = hard_negatives.whole_numbers(table(spark, sf_dir, "embeddings"))
     label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(points.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+@query("op11_token_alignment")
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_align.aligned(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      "groups_sha256")

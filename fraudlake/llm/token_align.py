@@ -18,27 +18,30 @@ import hashlib
 import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudlake.llm.bpe import byte_alphabet
 from fraudlake.llm.common import written
 
-CACHE_CHUNKS = 200_000      # chunks per generation (two are kept) and worker process
+CACHE_CHUNKS = 300_000      # chunks per generation (two are kept) and worker process
 CACHE_CHARS = 64            # longer chunks are aligned anew each time
-PART_CHARS = 1_000_000      # text cut into chunks at a time
+PART_CHARS = 1_000_000      # a longer text is cut into chunks part by part
+GROUP_CHARS = 200_000       # texts whose new chunks are learnt together
 BLOCK_CHARS = 8_000_000     # text of one block of documents
 
 # a space that is no cut: beside white space, or at an end of the text
 _AWKWARD = re.compile(r"\A |\s | \s| \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-Chunk = tuple[int, int, int, int, str, np.ndarray]      # A, B, groups, links, groups spelled out, pairs
+# numbers of A and B tokens, groups and links (int32), groups spelled out, pairs (int64)
+Chunk = tuple[bytes, bytes, bytes]
 
 
 def default_paths() -> tuple[str, str]:
@@ -46,6 +49,14 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def refined(ends: np.ndarray, exact: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``ends`` where they are exact; elsewhere the last exact one before and the bytes since."""
+    total, row = np.cumsum(length), np.arange(len(ends))
+    before = np.maximum.accumulate(np.where(exact, row, -1))
+    base = np.where(before >= 0, ends[before] - total[before], 0)
+    return np.where(exact, ends, base + total)
+
+
 class Aligner:
     """Both tokenizers, the bytes of their entries and the chunks met so far."""
 
@@ -58,78 +69,94 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         back = {c: b for b, c in byte_alphabet().items()}
-        self.a_bytes = {i: bytes(map(back.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in back for c in t)}
+        vocab = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            if all(c in back for c in t):
+                self.a_bytes[i] = bytes(map(back.__getitem__, t))
         self.b = SentencePieceProcessor(model_file=b_path)
         self.b_size = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b_size))]
+        self.a_length, self.b_length = (np.array([len(x) for x in t], dtype=np.int64)
+                                        for t in (self.a_bytes, self.b_bytes))
+        most = max(len(self.a_bytes), self.b_size)
+        self.within, self.last_a, self.last_b = (      # an id and what stands behind it
+            np.array([f"{i}{mark}".encode() for i in range(most)], dtype=object) for mark in (",", "|", ";"))
         self.known: dict[str, Chunk | None] = {}
         self.elder: dict[str, Chunk | None] = {}
 
-    def a_ends(self, text: str, enc) -> list[int]:
-        """Byte offset at which every A token ends in ``text``."""
-        ascii_, at = text.isascii(), None
-        if not ascii_:
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).tolist()
-        ends, offsets, end = [], enc.offsets, 0
-        last = len(offsets) - 1
-        for k, (i, (_, upto)) in enumerate(zip(enc.ids, offsets)):
-            if ascii_:
-                end = upto
-            elif k == last or offsets[k + 1][0] >= upto:
-                end = at[upto]
-            else:                          # the next token goes on within this character
-                end += len(self.a_bytes[i])
-            ends.append(end)
-        return ends
-
-    def b_ends(self, proto) -> tuple[list[int], list[int]]:
-        """B ids, and the byte offset in space+text at which each ends."""
-        ids, ends, end = [], [], 0
-        for p in proto.pieces:
-            # an empty span: the added space, or a byte of a character that ends later
-            end = p.end + 1 if p.end > p.begin else end + len(self.b_bytes[p.id])
-            ids.append(p.id)
-            ends.append(end)
-        return ids, ends
-
-    def align(self, chunk: str, enc, proto) -> Chunk | None:
-        """None if either side's bytes are not those of space+chunk."""
-        text = " " + chunk
-        raw, a_ids = text.encode(), enc.ids
-        b_ids, b_end = self.b_ends(proto)
-        if b"".join([self.a_bytes.get(i, b"") for i in a_ids]) != raw or \
-                b"".join([self.b_bytes[i] for i in b_ids]) != raw:
-            return None
-        a_end = self.a_ends(text, enc)
-        groups, pairs, size = [], [], self.b_size
-        i = j = i0 = j0 = 0
-        while i < len(a_ids):              # both lists end at the same byte
-            pairs.append(a_ids[i] * size + b_ids[j])
-            x, y = a_end[i], b_end[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(f"{','.join(map(str, a_ids[i0:i]))}|{','.join(map(str, b_ids[j0:j]))}")
-                i0, j0 = i, j
-        return len(a_ids), len(b_ids), len(groups), len(pairs), ";".join(groups), np.array(pairs, dtype=np.int64)
+    def a_ends(self, text: str, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Byte offset at which every A token ends in ``text``, from character offsets: exact
+        where the next token begins with another character, else by decoded bytes."""
+        ends = offsets[:, 1]
+        if not text.isascii():
+            points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+            width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+            ends = np.concatenate([[0], np.cumsum(width)])[ends]
+        exact = np.ones(len(ids), dtype=bool)
+        exact[:-1] = offsets[1:, 0] >= offsets[:-1, 1]
+        return refined(ends, exact, self.a_length[ids])
+
+    def b_ends(self, ids: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """The same for B from the byte spans of its text, in which the space added in front
+        and the bytes of a character but for its last have none."""
+        return refined(spans[:, 1] + 1, spans[:, 1] > spans[:, 0], self.b_length[ids])
+
+    def align(self, text: str, sizes: list[int]) -> list[Chunk | None]:
+        """Chunks of ``sizes`` bytes (their space included) of space+text; a single None if
+        either side's bytes are not those of space+text."""
+        whole = " " + text
+        raw, enc = whole.encode(), self.a.encode(whole, add_special_tokens=False)
+        got = self.b.encode(text, return_type="offset_mapping", return_bytes=True)
+        if b"".join([self.a_bytes[i] for i in enc.ids]) != raw or \
+                b"".join([self.b_bytes[i] for i in got["ids"]]) != raw:
+            return [None]
+        a_ids, b_ids = np.array(enc.ids, dtype=np.int64), np.array(got["ids"], dtype=np.int64)
+        a_end = self.a_ends(whole, a_ids, np.array(enc.offsets, dtype=np.int64))
+        b_end = self.b_ends(b_ids, np.array(got["offsets"], dtype=np.int64))
+        # between neighbouring ends of either side lies exactly one link
+        links, shared = np.union1d(a_end, b_end), np.intersect1d(a_end, b_end, assume_unique=True)
+        pairs = a_ids[np.searchsorted(a_end, links)] * self.b_size + b_ids[np.searchsorted(b_end, links)]
+        a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
+        spelled = np.concatenate([np.where(shared[a_group] == a_end, self.last_a[a_ids], self.within[a_ids]),
+                                  np.where(shared[b_group] == b_end, self.last_b[b_ids], self.within[b_ids])])
+        tokens = spelled[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")].tolist()
+        upto = np.cumsum(sizes)
+        stops = np.stack([np.searchsorted(x, upto, side="right") for x in (a_end, b_end, shared, links)], axis=1)
+        numbers = np.diff(stops, axis=0, prepend=0).astype(np.int32).tobytes()
+        pairs, out, at, link = pairs.tobytes(), [], 0, 0
+        for k, (a, b, _, n) in enumerate(stops.tolist()):
+            out.append((numbers[16 * k:16 * k + 16], b"".join(tokens[at:a + b]), pairs[8 * link:8 * n]))
+            at, link = a + b, n
+        return out
 
     def learn(self, fresh: set[str]) -> None:
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.elder, self.known = self.known, {}
-        new = []
+        together, alone = [], []
         for c in fresh:
             if c in self.elder:
                 self.known[c] = self.elder[c]
+            elif c and not c[0].isspace() and not c[-1].isspace():
+                together.append(c)
             else:
-                new.append(c)
-        encs = self.a.encode_batch([" " + c for c in new], add_special_tokens=False)
-        protos = self.b.encode(new, return_type="proto", num_threads=1) if new else []
-        for c, enc, proto in zip(new, encs, protos):
-            self.known[c] = self.align(c, enc, proto)
-
-    def chunks(self, text: str) -> Iterator[list[str]]:
-        """The text cut at single spaces between other characters, part by part."""
+                alone.append(c)
+        if together:
+            found = self.align(" ".join(together), [len(c.encode()) + 1 for c in together])
+            if found != [None]:
+                self.known.update(zip(together, found))
+            elif len(together) == 1:
+                self.known[together[0]] = None
+            else:                               # find the chunks that do not come back
+                half = len(together) // 2
+                self.learn(set(together[:half]))
+                self.learn(set(together[half:]))
+        for c in alone:
+            self.known.update(zip([c], self.align(c, [len(c.encode()) + 1])))
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text, cut at single spaces between other characters, part by part."""
         at = 0
         while at <= len(text):
             m = _CUT.search(text, at + PART_CHARS)
@@ -139,28 +166,45 @@ class Aligner:
                 return
             at = m.end()
 
-    def aligned(self, text: str) -> list[list[Chunk]] | None:
-        """The aligned chunks, part by part; None for a text without tokens."""
-        if not text:
-            return None
-        out = []
-        for chunks in self.chunks(text):
-            try:
-                found = [self.known[c] for c in chunks]
-            except KeyError:
-                distinct = set(chunks)
-                fresh = distinct.difference(self.known)
-                if len(self.known) + len(fresh) > CACHE_CHUNKS:
-                    fresh = distinct
-                self.learn(fresh)
-                found = [self.known[c] for c in chunks]
-                for c in fresh:
-                    if len(c) > CACHE_CHARS:
-                        del self.known[c]
-            if None in found:
-                return None
-            out.append(found)
-        return out
+    def look_up(self, parts: list[list[str]]) -> list[list[Chunk | None]]:
+        """What is known of every chunk of some parts; unknown chunks are learnt together."""
+        distinct = set().union(*parts)
+        fresh = distinct.difference(self.known)
+        if fresh:
+            if len(self.known) + len(fresh) > CACHE_CHUNKS:
+                fresh = distinct
+            self.learn(fresh)
+        known = self.known
+        found = [list(map(known.__getitem__, part)) for part in parts]
+        for c in fresh:
+            if len(c) > CACHE_CHARS:
+                del known[c]
+        return found
+
+    def aligned(self, texts: Iterable[str | None]) -> Iterator[list[list[Chunk]] | None]:
+        """For every text its aligned chunks, part by part; None for one without tokens.
+        Short texts are looked up in groups."""
+        held: list[list[str] | None] = []
+        size = 0
+
+        def close() -> Iterator[list[list[Chunk]] | None]:
+            found = iter(self.look_up([h for h in held if h is not None]))
+            for h in held:
+                part = None if h is None else next(found)
+                yield None if part is None or None in part else [part]
+
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > GROUP_CHARS:
+                yield from close()
+                held, size = [], 0
+            if len(text) > GROUP_CHARS:
+                out = [self.look_up([part])[0] for part in self.parts(text)]
+                yield None if any(None in part for part in out) else out
+            else:
+                held.append(next(self.parts(text)) if text else None)
+                size += len(text)
+        yield from close()
 
 
 def aligner(paths: tuple[str, str] | None) -> Aligner:
@@ -175,9 +219,9 @@ def aligner(paths: tuple[str, str] | None) -> Aligner:
 def spelled_out(text: str, paths: tuple[str, str] | None = None) -> list[tuple[int, int, list[int], list[int]]]:
     """The groups of one text: (start, end, A ids, B ids), byte offsets in space+text."""
     t, out, at = aligner(paths), [], 0
-    for part in t.aligned(text) or []:
+    for part in next(t.aligned([text])) or []:
         for chunk in part:
-            for group in chunk[4].split(";"):
+            for group in chunk[1][:-1].decode().split(";"):
                 a, b = ([int(i) for i in ids.split(",")] for ids in group.split("|"))
                 end = at + sum(len(t.a_bytes[i]) for i in a)
                 out.append((at, end, a, b))
@@ -247,24 +291,25 @@ def linked(docs: DataFrame, paths: tuple[str, str] | None, id_col: str, text_col
         for batch in batches:
             id_kind = batch.column(0).type
             done, blocks, numbers, pairs = 0, [], [], []
-            for n, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                found = t.aligned(text)
+            lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for n, found in enumerate(t.aligned(batch.column(1).to_pylist())):
                 blocks.append(block)
                 if found is None:
                     numbers.append((0, 0, 0, 0, ""))
                     pairs.append((none, none))
                 else:
-                    digest, sums, parts = hashlib.sha256(), [0, 0, 0, 0], []
+                    digest, sums, parts = hashlib.sha256(), 0, []
                     for k, part in enumerate(found):
-                        a, b, g, links, spelled, ids = zip(*part)
-                        sums = [x + sum(y) for x, y in zip(sums, (a, b, g, links))]
-                        digest.update(((";" if k else "") + ";".join(spelled)).encode())
-                        parts.append(np.unique(np.concatenate(ids), return_counts=True))
-                    numbers.append((*sums, digest.hexdigest()))
+                        counted, spelled, ids = zip(*part)
+                        sums = sums + np.frombuffer(b"".join(counted), dtype=np.int32).reshape(-1, 4).sum(
+                            axis=0, dtype=np.int64)
+                        joined = b"".join(spelled)
+                        digest.update(joined[:-1] if k + 1 == len(found) else joined)
+                        parts.append(np.unique(np.frombuffer(b"".join(ids), dtype=np.int64), return_counts=True))
+                    numbers.append((*sums.tolist(), digest.hexdigest()))
                     pairs.append(summed(parts) if len(parts) > 1 else parts[0])
                 held.append(pairs[-1])
-                chars += len(text)
+                chars += lengths[n]
                 if chars >= block_chars:
                     yield rows(batch.column(0).slice(done, n + 1 - done), blocks, numbers, pairs, False)
                     done, blocks, numbers, pairs = n + 1, [], [], []

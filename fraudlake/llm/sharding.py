@@ -9,7 +9,7 @@ place; every row-level step is distributed and carries ids and sizes, no text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.llm.common import at_most_count, id_bounds, shuffle_partitions, written
@@ -64,12 +64,46 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
         .select("id", "size", "crc", "start", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
 
 
+def shard_of(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The shard of every row of ``docs`` as an expression over its columns.
+
+    Shards are ranges of (id, size, crc), so the at most ``n_shards`` first rows of the
+    shards decide; nothing is joined. Rows that equal such a first row can belong to
+    several shards: they are interchangeable and dealt over these at random, in
+    proportion to the rows that each takes.
+    """
+    key = ["id", "size", "crc"]
+    placed = written(assign_shards(docs, n_shards, id_col, text_col), "shards")
+    first = placed.where(F.col("slot") == 0).select(*[F.col(c).alias(f"first_{c}") for c in key]).distinct()
+    same = F.col("id").eqNullSafe(F.col("first_id"))
+    for c in key[1:]:
+        same = same & (F.col(c) == F.col(f"first_{c}"))
+    ties: dict[tuple, list[tuple[int, int]]] = {}
+    for r in placed.join(F.broadcast(first), same).groupBy(*key, "shard").count().orderBy("shard").collect():
+        ties.setdefault((r["id"], r["size"], r["crc"]), []).append((r["shard"], r["count"]))
+
+    types = {c: t for c, t in placed.dtypes}
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+                   F.crc32(F.encode(text, "UTF-8")).alias("crc"))
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    out = F.lit(0)
+    for values, shares in sorted(ties.items(), key=lambda x: (x[1][0][0], x[1][-1][0])):
+        bound = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(key, values)])
+        rows, pick = sum(n for _, n in shares), F.lit(shares[-1][0])
+        for shard, _ in reversed(shares[:-1]):
+            upto = sum(n for s, n in shares if s <= shard)
+            pick = F.when(chance < upto / rows, shard).otherwise(pick)
+        out = F.when(own == bound, pick).when(own > bound, shares[-1][0]).otherwise(out)
+    return out.cast("int")
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
-    """Write ``docs`` as one folder per shard (``shard=k``), rows in id order."""
-    placed = assign_shards(docs, n_shards, id_col, text_col).select(
-        F.col("id").alias(id_col), "crc", "shard", "slot").dropDuplicates([id_col, "crc"])
-    crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    rows = docs.withColumn("crc", crc).join(placed, on=[id_col, "crc"])
-    rows.sortWithinPartitions("shard", "slot").drop("crc", "slot") \
+    """Write ``docs`` as one folder per shard (``shard=k``, in place of a column of that
+    name), every row once, files in id order. A shard is written by several tasks."""
+    tasks = max(n_shards, shuffle_partitions(docs.sparkSession))
+    order = [F.col("shard"), F.col(f"`{id_col}`"), F.monotonically_increasing_id()]
+    docs.withColumn("shard", shard_of(docs, n_shards, id_col, text_col)) \
+        .repartitionByRange(tasks, *order).sortWithinPartitions("shard", F.col(f"`{id_col}`")) \
         .write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -84,6 +84,7 @@ class LanguageModel:
     grams: np.ndarray            # sorted
     weights: np.ndarray          # (n-gram, language)
     least_clear: float = 0.0     # below: in none of the languages
+    common: int = 0              # number of the most frequent language
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Regression values (text, language): one sparse product for the batch."""
@@ -105,15 +106,21 @@ class LanguageModel:
         share[full] = np.add.reduceat(at < len(self.grams), starts, dtype=np.int64) / size
         return out, share
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str], reject: bool = False) -> tuple[list[str], list[float]]:
+        """The best language of every text and its score. Null, letterless texts are und, and
+        with ``reject`` those that are not clearly in one language; else a text without a
+        known n-gram gets the most frequent language."""
         g = [grams(t or "") for t in texts]
         s, share = self._scores(g)
         clear = clearness(s, share)
         langs, conf = [], []
         for i, x in enumerate(g):
-            if not len(x) or not self.langs or not share[i] or clear[i] < self.least_clear:
+            if not len(x) or not self.langs or reject and (not share[i] or clear[i] < self.least_clear):
                 langs.append(UNKNOWN)
                 conf.append(0.0)
+            elif not share[i]:
+                langs.append(self.langs[self.common])
+                conf.append(0.0)
             else:
                 best = int(np.argmax(s[i]))
                 langs.append(self.langs[best])
@@ -219,7 +226,8 @@ def fit(docs: DataFrame, per_lang: int = 400, landmarks: int = 160, ridge: float
     alpha = (root @ w) / np.sqrt(marks.sizes)[:, None]                      # (landmark, language)
     weights = np.add.reduceat(alpha[marks.owners], marks.first[:-1], axis=0)
     least = _least_clear(phi, y, np.array([r["share"] for r in got]), np.array([r["k"] > each for r in got]), ridge)
-    return LanguageModel(langs, marks.grams, np.vstack([weights, np.zeros((1, len(langs)))]), least)
+    return LanguageModel(langs, marks.grams, np.vstack([weights, np.zeros((1, len(langs)))]), least,
+                         next(langs.index(x) for x, _ in counts if x in langs))
 
 
 def _slices(marks: Landmarks, j: int) -> np.ndarray:
@@ -229,27 +237,30 @@ def _slices(marks: Landmarks, j: int) -> np.ndarray:
 
 
 def predicted(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
-              carry: bool = False) -> DataFrame:
+              carry: bool = False, reject: bool = False) -> DataFrame:
     """(id, lang_pred, score) of every row, or with ``carry`` all columns and these two
     (in place of columns of the same names).
 
-    Only the text is used. Null text, text without a letter and text that is not
-    clearly in one of the learned languages (foreign, random or mixed) is ``und``
-    with score 0, and so is every text if the model knows no language. The score is
+    Only the text is used. Null text and text without a letter is ``und`` with score 0,
+    and so is every text if the model knows no language; with ``reject`` also text that is
+    not clearly in one of the learned languages (foreign, random or mixed). Text without
+    a known n-gram is in the most frequent language, with score 0. The score is
     the best regression value moved from -1..1 to 0..1 and cut there.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # size bounded by the landmarks
+    # arrays only, of a size that the landmarks bound: executors need not know the class to load them
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (model.langs, model.grams, model.weights, model.least_clear, model.common))
     cols = [c for c in docs.columns if c not in ("lang_pred", "score")] if carry else [id_col]
     part = docs.select(*cols) if carry else docs.select(id_col, text_col)
     schema = ", ".join(f"`{c}` {t}" for c, t in part.select(*cols).dtypes) + ", lang_pred string, score double"
     at = part.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = LanguageModel(*shared.value)
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 s = b.slice(start, 256)
-                langs, conf = m.predict(s.column(at).to_pylist())
+                langs, conf = m.predict(s.column(at).to_pylist(), reject)
                 yield pa.RecordBatch.from_arrays(
                     [*(s.column(i) for i in range(len(cols))), pa.array(langs, pa.string()),
                      pa.array(conf, pa.float64())], names=[*cols, "lang_pred", "score"])
@@ -264,5 +275,5 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc
     """The rows of ``docs`` in a known language: prediction not ``und`` (which sorts out
     texts in none of the learned languages), score of at least ``min_score``."""
     plain, back = set_aside(docs, [id_col, "text", "lang"])
-    found = predicted(plain, fit(plain, id_col=id_col), id_col, carry=True)
+    found = predicted(plain, fit(plain, id_col=id_col), id_col, carry=True, reject=True)
     return back(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))

@@ -172,6 +172,22 @@ def test_language_odd_rows(spark):
     assert langid.keep_known(df.where("false")).count() == 0
 
 
+def test_a_letter_is_enough_for_a_language(spark):
+    """Only null and letterless texts are und in the query; the pipeline's stage still rejects."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang", "source")
+    strange = [(10 ** 6 + 3 * k, t, None, "x") for k, t in enumerate(
+        ["日本語のテキストです" * 20, "Это русский текст о погоде и о доме " * 9, "zq xjkw qpz wvx kjq zzx " * 20, "ﬂ", "x"])]
+    df = docs.unionByName(spark.createDataFrame(strange, docs.schema))
+    model = langid.fit(df)
+    assert model.langs[model.common] == max(model.langs, key=lambda x: docs.where(F.col("lang") == x).count())
+    got = {r.doc_id: r for r in langid.predicted(df, model).collect()}
+    for r in df.collect():
+        letter = any(map(str.isalpha, r.text or ""))
+        assert got[r.doc_id].lang_pred in (model.langs if letter else ["und"])
+    kept = {r.doc_id for r in langid.keep_known(df).collect()}
+    assert not kept & {r[0] for r in strange[:3]} and len(kept) > 0.9 * docs.count()
+
+
 def test_language_sample_takes_copies_once(spark):
     texts = [f"some text number {chr(97 + k % 26)} {chr(97 + k // 26)}" for k in range(60)]
     first = min(texts, key=lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2 ** 63) % 2 ** 64)
@@ -307,7 +323,7 @@ def brute_pipeline_until_packing(spark, rows):
     good = {r[0] for r in brute_quality(rows, quality.Rules()) if r[-1]}
     rows = [r for r in rows if r[0] in good]
     model = langid.fit(spark.createDataFrame(rows, SCHEMA))
-    langs, scores = model.predict([r[1] for r in rows])
+    langs, scores = model.predict([r[1] for r in rows], reject=True)
     rows = [r for r, lang, s in zip(rows, langs, scores) if lang != "und" and s >= langid.MIN_SCORE]
     dropped = {r[0]: r[2] for r in brute_lines([(i, t) for i, t, _, _ in rows])}
     holders = collections.defaultdict(list)

@@ -74,21 +74,14 @@ def id_bounds(df: DataFrame, col: str, buckets: int) -> list[int]:
     return sorted(set(got or []))
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` (written, narrow) marked for broadcast if it has at most a million rows;
-    a larger one is joined by shuffling."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def set_aside(docs: DataFrame, own: list[str]):
     """``docs`` with every column outside ``own`` under a neutral name, and the function
-    that undoes it: columns an operator adds cannot clash with extra ones."""
+    that undoes it, with added columns behind (in place of own ones of those names):
+    columns an operator adds cannot clash with extra ones."""
     names = {c: f"_extra{i}" for i, c in enumerate(docs.columns) if c not in own}
 
-    def back(out: DataFrame) -> DataFrame:
-        return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    def back(out: DataFrame, *added: str) -> DataFrame:
+        kept = [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns if c not in added]
+        return out.select(*kept, *added)
 
     return docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]), back

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import (BROADCAST_ROWS, SPACE, at_most_count, id_bounds, let, lower_ascii,
+from fraudlake.llm.common import (SPACE, at_most_count, id_bounds, let, lower_ascii, set_aside,
                                   shuffle_partitions, written)
 from fraudlake.session import scratch_path
 
@@ -155,20 +155,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .groupBy(F.col("id").alias("_id"), F.col("row_hash").alias("_row_hash")) \
         .agg(F.collect_list("pos").alias("_drop"))
     drops = written(drops, "line-drops")
-    # the texts stay where they are if few lines go, else both sides are shuffled by document
-    lines = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    if lines <= BROADCAST_ROWS:
-        drops = F.broadcast(drops)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row_hash")), "left")
+    own, back = set_aside(docs, [])
+    mine = {c: f"_extra{i}" for i, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col(mine[text_col]), F.lit(""))
+    # texts meet their dropped lines by a merge join at every size; adaptive execution splits hot keys
+    joined = own.withColumn("_h", F.xxhash64(text)).join(
+        drops.hint("merge"), F.col(mine[id_col]).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row_hash")), "left")
     n_lines = F.size(F.split(text, "\n"))
     keep = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_drop"))
     kept = let(F.split(text, "\n"), lambda lines: F.array_join(
         F.transform(keep, lambda i: F.get(lines, i)), "\n"))
-    added = ("n_lines", "n_dropped", "kept_text")
-    return joined.select(
-        *[c for c in docs.columns if c not in added], n_lines.cast("long").alias("n_lines"),
+    out = joined.select(
+        *mine.values(), n_lines.cast("long").alias("n_lines"),
         F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct("_drop")))
         .cast("long").alias("n_dropped"),
         F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("kept_text"))
+    return back(out, "n_lines", "n_dropped", "kept_text")

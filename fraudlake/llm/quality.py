@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import let, set_aside, small_side, words, written
+from fraudlake.llm.common import let, set_aside, words, written
 
 SYMBOLS = "#*$%&|<>"
 RATIOS = ("symbol", "word_len", "dup_line", "repeat")
@@ -171,6 +171,27 @@ def fences(sk: DataFrame, rules: Rules = Rules()) -> DataFrame:
 BROADCAST_GROUPS = 20_000      # fences of this many groups are under 10 MB
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def learned_fences(measures: DataFrame, rules: Rules) -> DataFrame:
+    """The fences of every (lang, source), under the names _lang, _source and _f;
+    marked for broadcast if their groups are few."""
+    f = written(fences(written(sketches(measures), "quality-sketches"), rules), "quality-fences")
+    f = f.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("f").alias("_f"))
+    return F.broadcast(f) if f.count() <= BROADCAST_GROUPS else f
+
+
+def with_verdict(measures: DataFrame, f: DataFrame) -> DataFrame:
+    """``measures`` with the column ``kept``."""
+    j = measures.join(f, F.col("lang").eqNullSafe(F.col("_lang"))
+                      & F.col("source").eqNullSafe(F.col("_source")), "left")
+    inside = [c.between(F.get(F.col("_f"), F.lit(k))["low"], F.get(F.col("_f"), F.lit(k))["high"])
+              for k, c in enumerate(_ratios())]
+    ok = inside[0] & inside[1] & inside[2] & inside[3]
+    return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(False)))
+
+
 def judged(docs: DataFrame, rules: Rules = Rules(), carry_text: bool = True) -> DataFrame:
     """``docs`` (needs text, lang, source) plus the measures, base_failed and kept.
 
@@ -180,27 +201,19 @@ def judged(docs: DataFrame, rules: Rules = Rules(), carry_text: bool = True) ->
     gives no rows. The measures are written once and read twice, so texts are
     scanned a single time.
     """
-    m = measured(docs, rules)
-    m = written(m if carry_text else m.drop("text"), "quality-measures")
-    f = written(fences(written(sketches(m), "quality-sketches"), rules), "quality-fences")
-    f = f.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("f").alias("_f"))
-    if f.count() <= BROADCAST_GROUPS:
-        f = F.broadcast(f)
-    j = m.join(f, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    inside = [c.between(F.get(F.col("_f"), F.lit(k))["low"], F.get(F.col("_f"), F.lit(k))["high"])
-              for k, c in enumerate(_ratios())]
-    ok = inside[0] & inside[1] & inside[2] & inside[3]
-    return j.withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(False))) \
-        .drop("_lang", "_source", "_f")
+    plain, back = set_aside(docs, ["text", "lang", "source"])
+    m = measured(plain, rules)
+    m = written(m if carry_text else m.withColumn("text", F.lit(None).cast("string")), "quality-measures")
+    out = back(with_verdict(m, learned_fences(m, rules)), *MEASURES, "kept")
+    return out if carry_text else out.drop("text")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they were."""
-    key = [F.xxhash64("text", "lang", "source"), F.xxhash64(F.lit(1), "text", "lang", "source")]
+    """The rows of ``docs`` that the rules keep, all columns as they were.
+
+    The fences are learned from written measures; a second scan measures each text again
+    and filters it in place, so that no text is written or shuffled at any size.
+    """
     plain, back = set_aside(docs, ["text", "lang", "source"])
-    # rows of equal content have equal verdicts, so texts need not be carried along
-    slim = plain.select("text", "lang", "source", key[0].alias("_h1"), key[1].alias("_h2"))
-    rejected = judged(slim, rules, carry_text=False).where(~F.col("kept")).select("_h1", "_h2").distinct()
-    rejected = small_side(written(rejected, "quality-rejected"))
-    plain = plain.withColumn("_h1", key[0]).withColumn("_h2", key[1])
-    return back(plain.join(rejected, ["_h1", "_h2"], "left_anti"))
+    m = written(measured(plain.select("text", "lang", "source"), rules).drop("text"), "quality-measures")
+    return back(with_verdict(measured(plain, rules), learned_fences(m, rules)).where("kept"))

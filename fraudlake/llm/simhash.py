@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.common import set_aside, small_side, written
+from fraudlake.llm.common import set_aside, written
 from fraudlake.llm.graph import components
 
 SHINGLE, MAX_BITS = 3, 3
@@ -233,7 +233,8 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, n: int = SHINGLE, id_col
     stays = F.col("id").eqNullSafe(F.col("component"))
     ids = found.groupBy("id").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
     dropped = written(ids.where(~F.col("stays")).select(F.col("id").alias("_id")), "simhash-dropped")
-    kept = docs.join(small_side(dropped), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    # a merge join at every size; adaptive execution splits an id that has very many rows
+    kept = docs.join(dropped.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
     if not ids.where("stays and n > 1").isEmpty():          # an id that stays has several rows
         kept = kept.dropDuplicates([id_col])
     return back(kept)

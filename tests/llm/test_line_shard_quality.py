@@ -105,8 +105,58 @@ def test_shards_on_odd_rows(spark, tmp_path):
     assert next(r.shard for r in got if r.id == 13) == 1 and {r.shard for r in got if r.id != 13} == {0}
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    sharding.write_shards(df.where("doc_id is not null"), str(tmp_path / "shards"), 3)
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(ODD) - 1
+    df = df.withColumn("crc", F.lit("mine")).withColumn("slot", F.lit(7)).withColumn("shard", F.lit("lost"))
+    sharding.write_shards(df, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(((r.doc_id, r.text, r.crc, r.slot) for r in back.collect()), key=repr) == \
+        sorted(((i, t, "mine", 7) for i, t in ODD), key=repr)
+    # away from the rows that equal the first of a shard, the shard is the assigned one
+    one = {k: v for k, v in collections.Counter(i for i, _ in ODD).items() if v == 1}
+    want = {r.id: r.shard for r in got}
+    assert all(r.shard == want[r.doc_id] for r in back.collect() if r.doc_id in one)
+
+
+def test_shards_of_repeated_rows(spark, tmp_path):
+    rows = [(None, "abc")] * 40 + [(5, "a hot text")] * 50 + [(i, "x" * (i % 7)) for i in range(30)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).collect()
+    total = sum(r.n for r in sizes)
+    assert len(sizes) == 4 and all(abs(r.n - total / 4) < total / 8 for r in sizes)
+    for r in back.groupBy("shard").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("shard").collect():
+        assert r.a is None or r.a <= r.b
+    sharding.write_shards(df.where("false"), str(tmp_path / "none"), 4)
+
+
+CLASHING = ["_h", "_id", "_row_hash", "_drop", "id", "row_hash", "lines", "batch", "_words", "_lang", "_source", "_f",
+            "_h1", "_extra0", "_extra3", "level", "h1", "pos"]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(*r, "en", "web") for r in ODD if r[0] != 13], SCHEMA)
+    for c in CLASHING:
+        df = df.withColumn(c, F.lit(f"my {c}"))
+    mine = {tuple(f"my {c}" for c in CLASHING)}
+    lines = line_dedup.dedup_lines(df)
+    assert lines.columns == [*df.columns, "n_lines", "n_dropped", "kept_text"]
+    assert {tuple(r[c] for c in CLASHING) for r in lines.collect()} == mine and lines.count() == df.count()
+    got = quality.judged(df)
+    assert got.columns == [*df.columns, *quality.MEASURES, "kept"] and got.count() == df.count()
+    assert {tuple(r[c] for c in CLASHING) for r in got.collect()} == mine
+    twice = quality.judged(got.withColumn("kept", F.lit("old")))
+    assert twice.columns == got.columns and dict(twice.dtypes)["kept"] == "boolean"
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+
+
+def test_texts_meet_their_verdicts_without_a_size_switch(spark):
+    """The plans that carry texts have the same joins whatever the number of dropped rows."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for rows in (docs, docs.where("doc_id < 5")):
+        plan = line_dedup.dedup_lines(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
 
 
 def brute_next(rows):

@@ -190,6 +190,58 @@ def compound_alert(conv: DataFrame, min_rounds: int = 20) -> DataFrame:
     return conv.where((F.col("round") > min_rounds) & ~F.col("converged"))
 
 
+def last_at(left: DataFrame, samples: DataFrame, series=("client_id",), lookback_seconds: float = 300.0,
+            out: str = "value", bucket_unit: str = "hour") -> DataFrame:
+    """As-of join: ``left`` (series columns, ts, any others) with the last sample (series,
+    ts, seq, value) of the same series at or before its ts and less than
+    ``lookback_seconds`` older; null where there is none.
+
+    Both sides are put on one time line and the last sample is a running maximum in two
+    levels, so a busy series is spread over its time buckets. Samples without ts or value
+    do not count; of samples at one ts the largest seq does; a left row without ts gets null.
+    """
+    series = list(series)
+    at = dict(left.dtypes)["ts"]
+    points = samples.where("ts is not null and value is not null").select(
+        *series, F.col("ts").cast(at).alias("ts"), F.lit(0).alias("_side"), "seq",
+        F.struct(F.col("ts").cast(at).alias("ts"), F.col("seq"), F.col("value")).alias("_sample"))
+    asked = left.select(*series, "ts", F.lit(1).alias("_side"),
+                        F.struct(*[c for c in left.columns if c not in (*series, "ts")] or [F.lit(0).alias("_")])
+                        .alias("_row"))
+    line = points.unionByName(asked, allowMissingColumns=True)
+    found = running_max(line, series, ["ts", "_side", "seq"], F.col("_sample"),
+                        F.date_trunc(bucket_unit, F.col("ts")), "_last").where("_side = 1")
+    fresh = micros(F.col("ts")) - micros(F.col("_last.ts")) < F.lit(int(lookback_seconds * 1e6))
+    return found.select(*series, "ts", *[F.col(f"_row.{c}").alias(c) for c in left.columns if c not in (*series, "ts")],
+                        F.when(fresh, F.col("_last.value")).alias(out))
+
+
+def evaluation_steps(samples: DataFrame, series=("client_id",), step_seconds: int = 60) -> DataFrame:
+    """The multiples of ``step_seconds`` between the first and the last sample of a series."""
+    step, us = step_seconds * 1_000_000, micros(F.col("ts"))
+    ends = samples.groupBy(*series).agg(F.min(us).alias("lo"), F.max(us).alias("hi")) \
+        .select(*series, ((F.floor(F.col("lo") / step) + 1) * step).alias("lo"), "hi").where("lo <= hi")
+    t = F.explode(F.sequence(F.col("lo"), F.col("hi"), F.lit(step))).alias("us")
+    return ends.select(*series, t).select(
+        *series, F.timestamp_micros("us").cast(dict(samples.dtypes)["ts"]).alias("ts"), F.col("us").alias("seq"))
+
+
+def ratio_alert(used: DataFrame, available: DataFrame, threshold: float = 0.9, for_seconds: float = 300.0,
+                step_seconds: int = 60, lookback_seconds: float = 300.0, series=("client_id",)) -> DataFrame:
+    """Two gauges (series, ts, seq, value), evaluated together at steps: their last values
+    there, the ratio, and since when used > threshold * available has held. Rows of the
+    steps at which it has held for ``for_seconds``; a step where either gauge has no recent
+    sample resets. The samples of the two need not coincide."""
+    series = list(series)
+    both = used.select(*series, "ts").unionByName(available.select(*series, "ts"))
+    at = evaluation_steps(both, series, step_seconds)
+    at = last_at(at, used, series, lookback_seconds, "used")
+    at = last_at(at, available, series, lookback_seconds, "available")
+    over = F.col("used") > threshold * F.col("available")
+    return alert_for(at, over, for_seconds, series, F.date_trunc("hour", F.col("ts"))).select(
+        *series, "ts", "used", "available", F.try_divide("used", "available").alias("ratio"), "pending_since")
+
+
 def failures_by_type(ev: DataFrame) -> DataFrame:
     """Failures per client and type."""
     return ev.where(F.col("status") == "failed").groupBy("client_id", "failure_type").agg(

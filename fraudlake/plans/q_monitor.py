@@ -177,6 +177,36 @@ def q_compound_alert(spark, sf_dir):
     return M.compound_alert(conv).select("client_id", "round")
 
 
+# fixture: round times of two kinds stand for the gauges; the events are minutes apart
+RATIO = {"threshold": 0.9, "for_seconds": 3600, "step_seconds": 600, "lookback_seconds": 7200}
+_STEP = RATIO["step_seconds"] * 1_000_000
+
+
+@register("ratio_alert", "M10", views=ME, rounded={"ratio": 9}, sql=f"""
+e as (select client_id, epoch_us(ts) as us, seq, round_type, value from metric_events
+   where ts is not null and round_type in ('training', 'evaluation')),
+st as (select client_id, unnest(range((min(us) // {_STEP} + 1) * {_STEP}, max(us) + 1, {_STEP})) as t
+   from e group by client_id),
+g as (select client_id, round_type, us, arg_max(value, seq) as value from e where value is not null
+   group by client_id, round_type, us),
+u as (select st.client_id, t, case when t - us < {RATIO["lookback_seconds"]}000000 then value end as used
+   from st asof left join (select * from g where round_type = 'training') x
+   on st.client_id = x.client_id and st.t >= x.us),
+a as (select u.client_id, t, used, case when t - us < {RATIO["lookback_seconds"]}000000 then value end as available
+   from u asof left join (select * from g where round_type = 'evaluation') x
+   on u.client_id = x.client_id and u.t >= x.us),
+c as (select *, coalesce(used > {RATIO["threshold"]} * available, false) as cond from a),
+l as (select *, max(case when not cond then t end) over (partition by client_id order by t) as lf from c),
+p as (select *, min(t) over (partition by client_id, lf) as since from l where cond)
+select client_id, make_timestamp(t) as ts, used, available, used / available as ratio,
+  make_timestamp(since) as pending_since from p where t - since >= {RATIO["for_seconds"]}000000""")
+def q_ratio_alert(spark, sf_dir):
+    """Last used value over 0.9 x last available value for an hour, at 10-minute steps."""
+    ev = events(spark, sf_dir)
+    used, available = (ev.where(F.col("round_type") == t) for t in ("training", "evaluation"))
+    return M.ratio_alert(used, available, **RATIO)
+
+
 @register("failures_by_type", "M12", views=ME, sql="""
 select client_id, failure_type, count(*) as failures from metric_events
 where status = 'failed' group by client_id, failure_type""")

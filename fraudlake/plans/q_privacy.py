@@ -46,11 +46,12 @@ def status(spark, sf_dir):
     return PV.budget_status(PV.budget_join(ledger(spark, sf_dir), budgets(spark), GLOBAL_BUDGET))
 
 
-def ledger_sql(run_expr: str = "'run_1'") -> str:
-    return f"""
-steps as (select client_id, {run_expr} as run_id, round,
+def ledger_sql(run_expr: str = "'run_1'", steps: str | None = None) -> str:
+    steps = steps or f"""steps as (select client_id, {run_expr} as run_id, round,
    cast(ceil(num_examples / {BATCH}) as bigint) as steps,
-   least(1.0, {float(BATCH)} / num_examples) as q, {SIGMA} as sigma from round_metrics),
+   least(1.0, {float(BATCH)} / num_examples) as q, {SIGMA} as sigma from round_metrics)"""
+    return f"""
+{steps},
 pairs as (select distinct q, sigma from steps),
 pa as (select q, sigma, unnest(range(2, {PV.MAX_ORDER + 1})) as a from pairs),
 ak as (select q, sigma, a, unnest(range(0, a + 1)) as k from pa),

@@ -7,6 +7,9 @@ identifier and a seed with md5, so Spark and DuckDB produce identical draws.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,34 +36,22 @@ def normal_pair(u1: Column, u2: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def _poisson_quantile(lam, u):
-    """Vectorised Poisson draw from uniforms (numpy): the number of CDF values below u.
-
-    The search starts at 0, or for large means 14 standard deviations below the
-    mean (less probability than a double can add), with the first term from logs.
-    """
-    import math
+def poisson_table(lam):
+    """(k0, CDF at k0, k0 + 1, ...) of a Poisson variable: a draw is k0 plus the number of CDF
+    values below the uniform. For large means the table starts 14 standard deviations below
+    the mean (less probability than a double can add), with the first term from logs."""
+    first = max(0, math.floor(lam - 14 * math.sqrt(lam))) if lam > 600 else 0
+    last = math.floor(lam + 14 * math.sqrt(lam) + 40)
+    start = math.exp(first * math.log(lam) - lam - math.lgamma(first + 1)) if first else math.exp(-lam)
+    steps = lam / np.arange(first + 1, last + 1)
+    return first, np.cumsum(np.concatenate([[start], start * np.cumprod(steps)]))[:-1]
 
-    import numpy as np
 
-    lam = np.asarray(lam, dtype="float64")
-    u = np.asarray(u, dtype="float64")
+def _poisson_quantile(lam, u):
+    """Poisson draws from uniforms, element by element."""
+    lam, u = np.asarray(lam, dtype="float64"), np.asarray(u, dtype="float64")
     out = np.zeros(len(lam), dtype="int64")
-    some = np.flatnonzero(lam > 0)
-    if len(some) == 0:
-        return out
-    ls, us = lam[some], u[some]
-    k = np.where(ls > 600, np.floor(ls - 14 * np.sqrt(ls)), 0).astype("int64")
-    p = np.exp(-np.minimum(ls, 700))
-    for i in np.flatnonzero(k > 0):
-        p[i] = math.exp(k[i] * math.log(ls[i]) - ls[i] - math.lgamma(k[i] + 1))
-    c = p.copy()
-    last = ls + 14 * np.sqrt(ls) + 40
-    go = np.flatnonzero((c < us) & (k < last))
-    while len(go):
-        k[go] += 1
-        p[go] *= ls[go] / k[go]
-        c[go] += p[go]
-        go = go[(c[go] < us[go]) & (k[go] < last[go])]
-    out[some] = k
+    for x in np.unique(lam[lam > 0]):
+        first, cdf = poisson_table(float(x))
+        out[lam == x] = first + np.searchsorted(cdf, u[lam == x], side="left")
     return out

@@ -1,30 +1,58 @@
-"""Arrow-batched pandas UDFs (kept free of postponed annotations so that
-PySpark can read the pandas type hints). UDFs are created on first use,
-when a session exists."""
-
-import functools
+"""Array work inside Arrow-batched tasks: bootstrap draws and sampled attributions."""
 
 import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from fraudlake.functions.hashrand import _poisson_quantile
+from fraudlake.functions.hashrand import poisson_table
+
+
+def poisson_draws(keys, label, counts, replicates, seed, tables):
+    """Matrix (key, replicate) of Poisson(count) draws from the uniforms that ``hashrand.uniform``
+    gives for (key, label, replicate). ``tables`` remembers the CDF of every count."""
+    import hashlib
+
+    import numpy as np
 
+    out = np.zeros((len(keys), len(replicates)), dtype=np.int64)
+    tails = [f":{label}:{r}:{seed}".encode() for r in replicates]
+    md5 = hashlib.md5
+    for i, (key, count) in enumerate(zip(keys, counts)):
+        if count > 0:
+            if count not in tables:
+                tables[count] = poisson_table(float(count))
+            first, cdf = tables[count]
+            head = str(key).encode()
+            bits = np.frombuffer(b"".join([md5(head + t).digest()[:4] for t in tails]), dtype=">u4")
+            out[i] = first + np.searchsorted(cdf, (bits + 0.5) / 4294967296.0, side="left")
+    return out
 
-@functools.cache
-def _poisson_udf():
-    @F.pandas_udf("long")
-    def poisson_draw(lam: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series(_poisson_quantile(lam.to_numpy(), u.to_numpy()))
 
-    return poisson_draw
+WALK = 512        # scores whose draws are held at a time
 
 
-def poisson_batch(lam: Column, u: Column) -> Column:
-    """Poisson draw per row, vectorised over Arrow batches. Used where the
-    inverse-CDF search would otherwise run in the JVM interpreter
-    (higher-order functions are not code-generated)."""
-    return _poisson_udf()(lam.cast("double"), u)
+def bootstrap_walk(groups, above, replicates, seed):
+    """Walk one score range downwards with a running sum per replicate.
+
+    ``groups``: key, score, n_pos, n_neg per distinct score; ``above``: weights (positive,
+    negative) of all higher ranges, a row per replicate, or None to add up totals only.
+    Returns per replicate positive and negative weight, precision steps and pairs won.
+    """
+    import numpy as np
+
+    g = groups.sort_values("score", ascending=False)
+    key, n_pos, n_neg = (g[c].to_numpy() for c in ("key", "n_pos", "n_neg"))
+    total, steps, pairs = np.zeros((2, len(replicates)), dtype=np.int64), np.zeros(len(replicates)), np.zeros(len(replicates))
+    tables = {}
+    for at in range(0, len(g), WALK):
+        part = slice(at, at + WALK)
+        pos = poisson_draws(key[part], 1, n_pos[part], replicates, seed, tables)
+        neg = poisson_draws(key[part], 0, n_neg[part], replicates, seed, tables)
+        if above is not None:
+            up = np.cumsum(pos, axis=0) + (total[0] + above[:, 0])
+            down = np.cumsum(neg, axis=0) + (total[1] + above[:, 1])
+            steps += np.where(pos > 0, pos * (up / np.maximum(up + down, 1)), 0.0).sum(axis=0)
+            pairs += (neg * (up - 0.5 * pos)).sum(axis=0)
+        total += np.stack([pos.sum(axis=0), neg.sum(axis=0)])
+    return total[0], total[1], steps, pairs
 
 
 def _splitmix64(x):

@@ -7,12 +7,13 @@ threshold metrics in one aggregate.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.functions.buckets import count_less_array
-from fraudlake.functions.hashrand import uniform
-from fraudlake.functions.vectorized import poisson_batch
+from fraudlake.functions.vectorized import bootstrap_walk
 from fraudlake.operators.rank import prefix_sums
 
 EPS = 1e-7
@@ -174,7 +175,8 @@ def per_bank_eval(df: DataFrame, prob_col: str = "score", label_col: str = "labe
     return per.unionByName(mean)
 
 
-SCORES_PER_TASK = 100_000     # distinct scores of a replicate that one window task adds up
+SCORES_PER_TASK = 20_000      # distinct scores that one task walks
+REPLICATES_PER_TASK = 32      # replicates of a task at least
 
 
 def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "label",
@@ -184,54 +186,71 @@ def bootstrap_ci(df: DataFrame, score_col: str = "score", label_col: str = "labe
 
     A resample of n rows with replacement is approximated by independent
     Poisson(1) row weights; the sum over a (score, label) group of size c is
-    Poisson(c), so one draw per group and replicate suffices: the work is
-    ``distinct scores x replicates``, not ``rows x replicates``. Replicates with
-    a single class are skipped. Draws come from md5 of (score, label,
-    replicate, seed), so any partitioning gives the same result. Scores are
-    never binned: the running sums of a replicate are cut into score ranges of
-    about ``scores_per_task`` scores, and the totals of the ranges above are added.
+    Poisson(c), so one draw per group and replicate suffices. Draws come from md5 of
+    (score, label, replicate, seed), so any partitioning gives the same result. Scores are
+    never binned. Replicates with a single class are skipped; rows with a null score or
+    label take no part.
+
+    Two passes over the distinct scores, cut into ranges: the first adds up every range's
+    weights per replicate, the second walks each range downwards with a running sum per
+    replicate, starting at the weights of the ranges above. Only totals are shuffled,
+    ranges x replicates; draws exist a few hundred scores at a time. A task takes one range
+    and one block of replicates, so few scores are spread over the cluster as well.
     """
     scores_per_task = scores_per_task or SCORES_PER_TASK
-    s = F.col(score_col).cast("double")
-    base = df.select(s.alias("score"), F.col(label_col).cast("long").alias("label"))
-    # one pass over the rows: counts per (score, label), written once
-    groups = base.groupBy("score", "label").agg(F.count(F.lit(1)).alias("c")) \
+    s, y = F.col(score_col).cast("double"), F.col(label_col).cast("long")
+    base = df.select(s.alias("score"), y.alias("label")).where("score is not null and label is not null")
+    # one pass over the rows: counts per distinct score, written once
+    groups = base.groupBy("score").agg(F.sum("label").alias("n_pos"), F.sum(1 - F.col("label")).alias("n_neg")) \
         .checkpoint(eager=True)
-    n_distinct = groups.select("score").distinct().count()
-    n_ranges = -(-n_distinct // scores_per_task)
+    n_ranges = -(-groups.count() // scores_per_task)
     bounds: list[float] = []
     if n_ranges > 1:
         bounds = sorted(set(groups.agg(F.percentile_approx(
             "score", [i / n_ranges for i in range(1, n_ranges)], 20 * n_ranges)).first()[0]))
-    groups = groups.withColumn("range", count_less_array(F.col("score"), bounds))
-    # the group table is small, so AQE would give it one partition; spread the
-    # replicates explicitly (hash on rep also serves the later grouping and
-    # the per-replicate window, so no further shuffle of replicate rows)
-    n_parts = max(1, min(n_boot * max(1, n_ranges), 2 * df.sparkSession.sparkContext.defaultParallelism))
-    reps = (groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-            .repartition(n_parts, "rep", "range"))
+    wanted = -(-2 * df.sparkSession.sparkContext.defaultParallelism // max(1, n_ranges))
+    block = -(-n_boot // max(1, min(wanted, n_boot // REPLICATES_PER_TASK)))        # replicates of a task
+    n_blocks = -(-n_boot // block)
     # score enters the hash as an integer (1e-12 units) so the key text is the
     # same in every engine
-    score_key = F.round(F.col("score") * F.lit(1e12)).cast("long").cast("string")
-    u = uniform(score_key, F.col("label").cast("string"), F.col("rep").cast("string"), seed=seed)
-    drawn = reps.withColumn("w", poisson_batch(F.col("c"), u))
-    per = drawn.groupBy("rep", "range", "score").agg(
-        F.sum(F.col("w") * F.col("label")).alias("pos"),
-        F.sum(F.col("w") * (F.lit(1) - F.col("label"))).alias("neg"))
-    w = Window.partitionBy("rep", "range").orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cum = per.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
-    if n_ranges > 1:
-        above = Window.partitionBy("rep").orderBy(F.col("range").desc()).rowsBetween(
+    groups = groups.withColumn("range", count_less_array(F.col("score"), bounds)) \
+        .withColumn("key", F.round(F.col("score") * F.lit(1e12)).cast("long")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) \
+        .repartition(max(1, n_ranges * n_blocks), "range", "block")
+
+    def replicates(of: int) -> list[int]:
+        return list(range(of * block, min(n_boot, (of + 1) * block)))
+
+    def totals(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        reps = replicates(key[1])
+        pos, neg, _, _ = bootstrap_walk(part, None, reps, seed)
+        return pd.DataFrame({"range": key[0], "block": key[1], "rep": reps, "pos": pos, "neg": neg})
+
+    def walk(key: tuple, part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        reps = replicates(key[1])
+        start = np.zeros((len(reps), 2), dtype=np.int64)
+        start[above["rep"].to_numpy() - reps[0]] = above[["pos", "neg"]].to_numpy()
+        pos, neg, steps, pairs = bootstrap_walk(part, start, reps, seed)
+        return pd.DataFrame({"rep": reps, "pos": pos, "neg": neg, "steps": steps, "pairs": pairs})
+
+    def walk_all(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return walk(key, part, pd.DataFrame({"rep": [], "pos": [], "neg": []}, dtype=np.int64))
+
+    out = "rep int, pos bigint, neg bigint, steps double, pairs double"
+    keys = ["range", "block"]
+    if n_ranges <= 1:
+        parts = groups.groupBy(*keys).applyInPandas(walk_all, out)
+    else:
+        higher = Window.partitionBy("rep").orderBy(F.col("range").desc()).rowsBetween(
             Window.unboundedPreceding, -1)
-        totals = per.groupBy("rep", "range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-        offsets = totals.select("rep", "range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above")
-                                                  for c in ("_p", "_n")])
-        cum = cum.join(offsets, ["rep", "range"]) \
-            .withColumn("cum_pos", F.col("cum_pos") + F.col("_p_above")) \
-            .withColumn("cum_neg", F.col("cum_neg") + F.col("_n_above"))
-    rep_metrics = _finish_ranking(cum, ["rep"]).where(
-        F.col("average_precision").isNotNull() & F.col("auroc").isNotNull())
+        above = groups.groupBy(*keys).applyInPandas(
+            totals, "range int, block int, rep int, pos bigint, neg bigint").select(
+            *keys, "rep", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(c) for c in ("pos", "neg")])
+        parts = groups.groupBy(*keys).cogroup(above.groupBy(*keys)).applyInPandas(walk, out)
+    P, N = F.col("pos").cast("double"), F.col("neg").cast("double")
+    rep_metrics = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "steps", "pairs")]) \
+        .where("pos > 0 and neg > 0").select((F.col("steps") / P).alias("average_precision"),
+                                             (F.col("pairs") / (P * N)).alias("auroc"))
     lo, hi = (1.0 - level) / 2.0, 1.0 - (1.0 - level) / 2.0
     return rep_metrics.agg(
         F.count(F.lit(1)).alias("n_valid"),

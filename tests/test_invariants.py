@@ -1,6 +1,7 @@
 """Invariants of the ordered and ranking operators, including brute-force
 checks of the distributed rank helpers with forced narrowing levels."""
 
+import collections
 import random
 
 import numpy as np
@@ -183,3 +184,55 @@ def test_poisson_draws_follow_the_distribution():
         k = _poisson_quantile(np.full(len(u), lam), u)
         assert (np.diff(k) >= 0).all()
         assert abs(k.mean() - lam) < 0.02 * lam ** 0.5 + 0.01 and abs(k.var() / lam - 1) < 0.02
+
+
+def brute_bootstrap(rows, n_boot, seed):
+    """Every replicate on its own: md5 uniforms, Poisson CDF from factorials, scores in turn."""
+    import hashlib
+    from math import exp, factorial
+
+    out = []
+    for rep in range(n_boot):
+        drawn = collections.defaultdict(lambda: [0, 0])
+        for (score, label), n in sorted(collections.Counter(rows).items()):
+            bits = int(hashlib.md5(f"{round(score * 1e12)}:{label}:{rep}:{seed}".encode()).hexdigest()[:8], 16)
+            u, k, cdf = (bits + 0.5) / 2 ** 32, 0, exp(-n)
+            while cdf < u:
+                k += 1
+                cdf += exp(-n) * n ** k / factorial(k)
+            drawn[score][1 - label] += k
+        cp = cn = ap = pairs = 0
+        for score in sorted(drawn, reverse=True):
+            pos, neg = drawn[score]
+            cp, cn = cp + pos, cn + neg
+            ap += pos * cp / (cp + cn) if pos else 0
+            pairs += neg * (cp - 0.5 * pos)
+        if cp and cn:
+            out.append((ap / cp, pairs / cp / cn))
+    return out
+
+
+@pytest.mark.parametrize("scores_per_task", [10_000, 7])
+def test_bootstrap_against_single_replicates(spark, scores_per_task):
+    rng = np.random.default_rng(4)
+    rows = [(float(round(s, 2)), int(rng.random() < s)) for s in rng.random(300)]
+    rows += [(0.5, 1)] * 40 + [(0.5, 0)] * 7                      # a hot score
+    df = spark.createDataFrame([*rows, (None, 1), (0.3, None)], "score double, label int")
+    got = M.bootstrap_ci(df, n_boot=70, seed=5, scores_per_task=scores_per_task).first()
+    want = brute_bootstrap(rows, 70, 5)
+    ap, auc = np.array(want).T
+    assert got.n_valid == len(want) == 70
+    assert np.allclose(list(got)[1:], [*np.quantile(ap, [0.025, 0.975]), *np.quantile(auc, [0.025, 0.975])])
+
+
+def test_bootstrap_of_one_class_or_nothing(spark):
+    df = spark.createDataFrame([(0.1, 1), (0.2, 1)], "score double, label int")
+    for d in (df, df.limit(0)):
+        assert tuple(M.bootstrap_ci(d, n_boot=10).first()) == (0, None, None, None, None)
+
+
+def test_bootstrap_rows_are_not_replicated(spark):
+    """Groups are copied once per block of replicates, not once per replicate."""
+    sc = fx.lineitem_scores(spark, SF_SMALL)
+    plan = M.bootstrap_ci(sc, n_boot=1000, scores_per_task=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and ",31]" not in plan and ",999]" not in plan

@@ -22,13 +22,15 @@ import json
 import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_CHARS = 1_000_000      # text cut into words at a time
-CACHE_CHUNKS = 300_000       # chunks per generation (two are kept) and worker process
+BLOCK_CHARS = 1_000_000      # a longer text is cut into words part by part
+GROUP_CHARS = 200_000        # texts whose new chunks are learnt together
+CACHE_CHUNKS = 250_000       # chunks per generation (two are kept) and worker process
+CACHE_WORDS = 300_000        # words, likewise
 CACHE_NODES = 600_000        # trie nodes kept between blocks
 CACHE_CHARS = 64             # longer chunks are encoded anew each time
 
@@ -58,6 +60,16 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+def plain_words(chunk: str) -> list[str]:
+    """The words of a chunk of plain characters; most are letters and at most one more."""
+    low = chunk.lower()
+    if low.isalpha():
+        return [low]
+    if low[:-1].isalpha():
+        return [low[:-1], low[-1]]
+    return _WORDS.findall(low)
+
+
 class WordBPE:
     """Encoder for one tokenizer file (BPE with an end-of-word suffix)."""
 
@@ -79,22 +91,27 @@ class WordBPE:
         self.alphabet = {chr(b): c for b, c in byte_alphabet().items()}
         self.to_alphabet = str.maketrans(self.alphabet)
         self.built: dict[str, tuple | None] = {}      # token -> its border parts over time
-        self.reach: dict[str, int] = {}               # last two characters -> longest token
+        self.reach: dict[str, int] = {}               # last three characters -> longest token
+        self.final_reach: dict[str, int] = {}         # the same for tokens that end a word
         for t in self.ids:
-            n, tail = (len(t) - len(self.end), self.end) if t.endswith(self.end) else (len(t), "")
-            key = t[max(0, n - 2):n] + tail
-            self.reach[key] = max(self.reach.get(key, 1), n)
+            final = t.endswith(self.end) and len(t) > len(self.end)
+            n, of = (len(t) - len(self.end), self.final_reach) if final else (len(t), self.reach)
+            if n >= 3:
+                of[t[n - 3:n]] = max(of.get(t[n - 3:n], 3), n)
         self.pairs: dict[tuple[str, str], bool] = {}  # tokens -> may stand next to each other
         self.nodes: dict[str, str] = {}               # path -> last token of its encoding
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.elder: dict[str, tuple[bytes, str]] = {}
-        self.spelled: dict[str, list[str]] = {t: [t] for t in self.special}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.elder: dict[str, tuple[bytes, bytes]] = {}
+        self.spelled: dict[str, tuple[bytes, bytes]] = {}
+        self.spelled_before: dict[str, tuple[bytes, bytes]] = {}
+        self.id_bytes = {t: i.to_bytes(4, "little") for t, i in self.all_ids.items()}
+        self.text_bytes = {t: t.encode() for t in self.all_ids}
 
     # --- words ---------------------------------------------------------------------
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens, in the byte alphabet."""
         if _PLAIN.fullmatch(text):
-            found = _WORDS.findall(text.lower())
+            found = plain_words(text)
             if text.isascii():
                 return found
             to = self.to_alphabet
@@ -165,12 +182,16 @@ class WordBPE:
         """Last token of the encoding of ``word[:upto] + suffix``; ``path[j]`` is the
         last token of ``word[:j]``."""
         ids, pairs = self.ids, self.pairs
-        reach = self.reach.get(word[max(0, upto - 2):upto] + suffix, 1)
-        for start in range(max(0, upto - reach), upto):
+        # without a token of three characters and more that ends like this, two at most
+        reach = (self.final_reach if suffix else self.reach).get(word[upto - 3:upto], 2) if upto > 2 else upto
+        for start in range(upto - reach if reach < upto else 0, upto):
             token = word[start:upto] + suffix
-            if token in ids and self.edges(token) and (
-                    start == 0 or pairs.get((path[start], token)) or self.may_follow(path[start], token)):
-                return token
+            if token in ids and self.edges(token):
+                if not start:
+                    return token
+                follows = pairs.get((path[start], token))
+                if follows or follows is None and self.may_follow(path[start], token):
+                    return token
         raise ValueError(f"no token ends {word[:upto]!r}")
 
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
@@ -223,52 +244,88 @@ class WordBPE:
             return [c for c in _SPACE.split(text) if c]
         return text.split()
 
+    def generation(self) -> dict:
+        """The words met lately; a full generation becomes the one before."""
+        if len(self.spelled) > CACHE_WORDS:
+            self.spelled_before, self.spelled = self.spelled, {}
+        return self.spelled
+
+    def new_words(self, cut: Iterable[list[str]]) -> list[str]:
+        """Words of neither generation; those of the one before are taken over."""
+        new, spelled, before = [], self.spelled, self.spelled_before
+        for w in {w for ws in cut for w in ws if w not in spelled}:
+            if w in before:
+                spelled[w] = before[w]
+            else:
+                new.append(w)
+        return new
+
     def learn(self, fresh: set[str]) -> None:
-        """Encode chunks that are not in ``known``."""
+        """Encode chunks that are not in ``known``: ids as little-endian bytes, and the tokens
+        in UTF-8 joined by a space."""
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.elder, self.known = self.known, {}
-        known, elder, special = self.known, self.elder, self.special
+        known, elder, special, words = self.known, self.elder, self.special, self.words
         cut = {}
         for c in fresh:
             if c in elder:
                 known[c] = elder[c]
+            elif "<|" in c and self.cut_special:
+                cut[c] = [w for p in self.cut_special.split(c) for w in ([p] if p in special else words(p))]
             else:
-                pieces = self.cut_special.split(c) if self.cut_special and "<|" in c else [c]
-                cut[c] = [w for p in pieces for w in ([p] if p in special else self.words(p))]
-        if len(self.spelled) > CACHE_CHUNKS:
-            self.spelled = {t: [t] for t in special}
-        tokens, ids = self.spelled, self.all_ids
-        tokens.update(self.encode_words(list({w for ws in cut.values() for w in ws if w not in tokens})))
+                cut[c] = words(c)
+        spelled, ids, texts = self.generation(), self.id_bytes, self.text_bytes
+        new = self.new_words(cut.values())
+        for t in special:
+            spelled[t] = ids[t], texts[t]
+        for w, tokens in self.encode_words([w for w in new if w not in special]).items():
+            spelled[w] = b"".join([ids[t] for t in tokens]), b" ".join([texts[t] for t in tokens])
         for c, ws in cut.items():
-            spelled = tokens[ws[0]] if len(ws) == 1 else [t for w in ws for t in tokens[w]]
-            known[c] = (b"".join([ids[t].to_bytes(4, "little") for t in spelled]), " ".join(spelled))
+            if len(ws) == 1:
+                known[c] = spelled[ws[0]]
+            else:
+                known[c] = b"".join([spelled[w][0] for w in ws]), b" ".join([spelled[w][1] for w in ws])
 
-    def encode_part(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian bytes, tokens joined by a space) chunk by chunk."""
-        chunks = self.chunks(text)
-        distinct = set(chunks)
+    def look_up(self, parts: list[list[str]]) -> list[list]:
+        """What is known of every chunk of some parts; unknown chunks are learnt together."""
+        distinct = set().union(*parts)
         fresh = distinct.difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > CACHE_CHUNKS:
                 fresh = distinct
             self.learn(fresh)
-        found = list(map(self.known.__getitem__, chunks))
+        known = self.known
+        found = [list(map(known.__getitem__, part)) for part in parts]
         for c in fresh:
             if len(c) > CACHE_CHARS:
-                del self.known[c]
+                del known[c]
         return found
 
-    def ids_bytes(self, text: str) -> bytes:
-        """All ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join([e[0] for part in self.parts(text) for e in self.encode_part(part)])
+    def encode_texts(self, texts: Iterable[str | None]) -> Iterator[Iterable[list]]:
+        """For every text, the parts of its encoding: a list of chunks each. Short texts
+        are looked up in groups; a long one goes part by part."""
+        held, size = [], 0
+        for text in texts:
+            text = text or ""
+            if size and size + len(text) > GROUP_CHARS:
+                yield from ([part] for part in self.look_up(held))
+                held, size = [], 0
+            if len(text) > GROUP_CHARS:
+                yield (self.look_up([self.chunks(part)])[0] for part in self.parts(text))
+            else:
+                held.append(self.chunks(text))
+                size += len(text) + 1
+        if held:
+            yield from ([part] for part in self.look_up(held))
 
 
-def encoder(path: str) -> WordBPE:
-    """The encoder of this worker process, kept between its tasks."""
+def encoder(path: str | None) -> WordBPE:
+    """The encoder of this worker process, kept between its tasks; the default file is
+    looked up there."""
     state = sys.modules.setdefault("_fraudlake_worker", types.ModuleType("_fraudlake_worker"))
     kept = state.__dict__.setdefault("word_bpe", {})
     if path not in kept:
-        kept[path] = WordBPE(path)
+        kept[path] = WordBPE(path or default_path())
     return kept[path]
 
 
@@ -281,7 +338,6 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     decoder. Null or empty text has no tokens. Repeated ids are separate rows;
     an empty table gives no rows.
     """
-    path = path or default_path()
     schema = docs.select(id_col).schema.simpleString()[len("struct<"):-1].replace(":", " ", 1)
     schema = f"{schema}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if ids:
@@ -294,20 +350,20 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [],
                                     "ids": [], "decoded": []}
-            for text in batch.column(1):
+            for parts in bpe.encode_texts(batch.column(1).to_pylist()):
                 a, b, n, raw, words = hashlib.sha256(), hashlib.sha256(), 0, [], []
-                for part in bpe.parts(text.as_py() or ""):
-                    found = bpe.encode_part(part)
+                for found in parts:
                     joined = b"".join([e[0] for e in found])
                     if not joined:
                         continue
-                    spelled = " ".join([e[1] for e in found if e[1]])
+                    # a chunk of characters that the normalizer drops has no tokens
+                    spelled = b" ".join([e[1] for e in found if e[1]])
                     a.update(joined)
-                    b.update(((" " if n else "") + spelled).encode())
+                    b.update(b" " + spelled if n else spelled)
                     n += len(joined) // 4
                     if ids:
                         raw.append(joined)
-                        words.append(spelled)
+                        words.append(spelled.decode())
                 out["n_tokens"].append(n)
                 out["ids_sha256"].append(a.hexdigest())
                 out["decoded_sha256"].append(b.hexdigest())

@@ -16,7 +16,7 @@ from __future__ import annotations
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudlake.llm.bpe import _PLAIN, _WORDS, CACHE_CHUNKS, WordBPE, default_path
+from fraudlake.llm.bpe import _PLAIN, CACHE_CHUNKS, WordBPE, default_path, plain_words
 from fraudlake.llm.common import written
 
 ROOM, END_ID = 2048, 0
@@ -49,12 +49,13 @@ class ChunkIds(WordBPE):
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, tuple[bytes]] = {}
-        self.elder: dict[str, tuple[bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.spelled: dict[str, bytes] = {}
+        self.spelled_before: dict[str, bytes] = {}
 
     def _encode_words(self, words: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(words):
             raise ValueError("a word must end with exactly one end-of-word token")
@@ -66,31 +67,34 @@ class ChunkIds(WordBPE):
     def learn(self, fresh: set[str]) -> None:
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.elder, self.known = self.known, {}
-        if len(self.spelled) > CACHE_CHUNKS:
-            self.spelled.clear()
-        known, spelled, cut, odd = self.known, self.spelled, {}, []
+        known, elder, spelled, cut, odd = self.known, self.elder, self.generation(), {}, []
+        plain = _PLAIN.fullmatch
         for c in fresh:
-            got = self.elder.get(c)
-            if got is not None:
-                known[c] = got
-            elif _PLAIN.fullmatch(c) and "<|" not in c:
-                cut[c] = _WORDS.findall(c.lower())
+            if c in elder:
+                known[c] = elder[c]
+            elif plain(c) and "<|" not in c:
+                cut[c] = plain_words(c)
             else:
                 odd.append(c)
-        new = {w for ws in cut.values() for w in ws if w not in spelled}
+        new = self.new_words(cut.values())
         if new:
-            self._encode_words(list(new))
+            self._encode_words(new)
         for c, ws in cut.items():
-            known[c] = (b"".join([spelled[w] for w in ws]),)
+            known[c] = spelled[ws[0]] if len(ws) == 1 else b"".join([spelled[w] for w in ws])
         for c, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-            known[c] = (np.array(e.ids, dtype="<u4").tobytes(),)
+            known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def ids_bytes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """All ids of every text as little-endian unsigned 32-bit integers."""
+        for parts in self.encode_texts(texts):
+            yield b"".join([b"".join(found) for found in parts])
 
-def tokenizer(path: str) -> ChunkIds:
+
+def tokenizer(path: str | None) -> ChunkIds:
     state = sys.modules.setdefault("_fraudlake_worker", types.ModuleType("_fraudlake_worker"))
     kept = state.__dict__.setdefault("chunk_ids", {})
     if path not in kept:
-        kept[path] = ChunkIds(path)
+        kept[path] = ChunkIds(path or default_path())
     return kept[path]
 
 
@@ -98,7 +102,6 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, id_col: s
            text_col: str = "text") -> DataFrame:
     """id, piece, start, length, crc: the ids of a text and an end id, cut into
     pieces of ``room`` ids only where there are more. Null text counts as empty."""
-    path = path or default_path()
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +112,8 @@ def pieces(docs: DataFrame, path: str | None = None, room: int = ROOM, id_col: s
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                raw = t.ids_bytes(text.as_py() or "") + end
+            for i, raw in enumerate(t.ids_bytes(batch.column(1).to_pylist())):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * room)):
                     part = raw[at:at + 4 * room]
                     row.append(i)

@@ -31,7 +31,7 @@ def encoder():
 
 
 def ids_of(encoder, text):
-    return np.frombuffer(encoder.ids_bytes(text), dtype="<u4").tolist()
+    return np.frombuffer(b"".join([e[0] for part in next(encoder.encode_texts([text])) for e in part]), dtype="<u4").tolist()
 
 
 def test_bpe_on_random_texts(encoder, library):
@@ -53,6 +53,8 @@ def test_bpe_on_every_plain_character(encoder, library):
 def test_bpe_blocks_and_memory_limits(encoder, library, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
     monkeypatch.setattr(bpe, "CACHE_CHUNKS", 8)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 60)
     monkeypatch.setattr(bpe, "CACHE_NODES", 20)
     monkeypatch.setattr(bpe, "CACHE_CHARS", 4)
     rng = random.Random(5)

@@ -104,8 +104,10 @@ def likeness(a: Column, b: Column) -> Column:
         .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both)
 
 
-def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """Adds ``next_<col>`` of the row with the next larger id (after the last: the first).
+def with_next(df: DataFrame, id_col: str, cols: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``next_<col>`` of the row with the next larger id (after the last: the first),
+    and the ``derived`` columns with their ``next_<name>``: they are computed once a row,
+    after the few copies are picked.
 
     Rows are dealt into id-range buckets, so the window is bounded; each bucket
     gets a copy of the first row of the next one. Ties of the id are ordered by
@@ -129,8 +131,10 @@ def with_next(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
         copies = placed.join(F.broadcast(moves), "_key") \
             .withColumn("_bucket", F.col("_to")).withColumn("_copy", F.lit(True)).drop("_to")
         placed = placed.unionByName(copies)
+    derived = derived or {}
+    placed = placed.withColumns(derived)
     w = Window.partitionBy("_bucket").orderBy("_copy", "_key", "_tie")
-    out = placed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
+    out = placed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [*cols, *derived]])
     return out.where(~F.col("_copy")).drop("_key", "_bucket", "_copy", "_tie")
 
 
@@ -138,8 +142,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_chars, edited text, and the packed fingerprints of the text, the
     edited text and the next document's text (null text: empty)."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("fp", fingerprint(F.col("text")))
-    pairs = with_next(base, "id", ["text", "fp"])
+    pairs = with_next(base, "id", ["text"], {"fp": fingerprint(F.col("text"))})
     pairs = pairs.withColumn("n_chars", F.char_length("text").cast("long"))
     edit = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), "
                   "substring(next_text, 1, cast(n_chars div 4 as int)))")

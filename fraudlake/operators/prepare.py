@@ -47,7 +47,7 @@ def merge_identity(tx: DataFrame, ident: DataFrame, key: str = KEY,
     """Left join, every transaction kept, duplicate identities fan out."""
     for name, d in (("Transaction", tx), ("Identity", ident)):
         if key not in d.columns:
-            raise ValueError(f"{name} dataset missing {key} column")
+            raise ValueError(f"{name}: the key column {key} is not there")
     if not null_safe:
         return tx.join(ident, key, "left")
     right = ident.withColumnRenamed(key, "_rkey")
@@ -105,7 +105,7 @@ def bank_partition(df: DataFrame, code_col: str = "ProductCD", num_banks: int =
     using exact cut rows, so no row-level window and no single task.
     """
     if code_col not in df.columns:
-        raise ValueError(f"Dataset missing {code_col} column for partitioning")
+        raise ValueError(f"no column {code_col} to deal the rows to banks by")
     # one small pass: number of distinct codes and rows without a code
     per_code = df.groupBy(code_col).agg(F.count(F.lit(1)).alias("_n"))
     summary = per_code.agg(F.count(F.col(code_col)).alias("codes"),
@@ -166,7 +166,7 @@ def partition_stats(df: DataFrame, num_banks: int = 3, code_col: str = "ProductC
 
 def check_ratios(train: float, val: float, test: float) -> None:
     if abs(train + val + test - 1.0) > 1e-6:
-        raise ValueError("Split ratios must sum to 1.0")
+        raise ValueError(f"the shares {train}, {val} and {test} do not sum to 1.0")
 
 
 def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1,
@@ -181,7 +181,7 @@ def temporal_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: fl
     """
     check_ratios(train, val, test)
     if time_col not in df.columns:
-        raise ValueError(f"Dataset missing {time_col} column for temporal splitting")
+        raise ValueError(f"no column {time_col} to order the rows by")
     tv = train + val
     wanted: dict = {}
 
@@ -435,6 +435,36 @@ def fit_dictionary(train: DataFrame, cat_cols: list[str],
     return ordinal_codes(distinct, [*g, "column_name"], "value").checkpoint(eager=True)
 
 
+def extend_dictionary(known: DataFrame, rows: DataFrame, cat_cols: list[str],
+                      group_col: str | None = "bank_id") -> DataFrame:
+    """``known`` (group, column_name, value, code, version) and, with the next version,
+    the values of ``rows`` that it does not hold. Existing codes stay; the new values of a
+    (group, column) take the codes after its largest, in sorted order.
+
+    New values are found by an anti join of distinct values, whatever the number of rows;
+    a dictionary without a version column counts as version 1. A value known to an
+    earlier version is never added again, so every version is part of the next.
+    """
+    g = [group_col] if group_col else []
+    by = [*g, "column_name"]
+    if "version" not in known.columns:
+        known = known.withColumn("version", F.lit(1))
+    distinct = _long_values(rows, cat_cols, group_col).select(*by, "value").distinct()
+    # null groups are groups like any other on both sides
+    held = known.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "value"])])
+    cond = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "value"])]
+    new = distinct.join(held, reduce(lambda a, b: a & b, cond), "left_anti").checkpoint(eager=True)
+    used = known.groupBy(*[F.col(c).alias(f"_u{i}") for i, c in enumerate(by)]).agg((F.max("code") + 1).alias("_next"))
+    version = known.agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+    same = [F.col(c).eqNullSafe(F.col(f"_u{i}")) for i, c in enumerate(by)]
+    added = ordinal_codes(new, by, "value").join(
+        F.broadcast(used), reduce(lambda a, b: a & b, same), "left").select(     # a row per (group, column)
+        *by, "value", (F.col("code") + F.coalesce("_next", F.lit(0))).cast("long").alias("code"),
+        F.lit(int(version)).alias("version"))
+    return known.select(*by, "value", F.col("code").cast("long").alias("code"),
+                        F.col("version").cast("int").alias("version")).unionByName(added)
+
+
 def transform_codes(df: DataFrame, dictionary: DataFrame, cat_cols: list[str],
                     group_col: str | None = "bank_id",
                     broadcast_limit: int = BROADCAST_DICT_ROWS) -> DataFrame:

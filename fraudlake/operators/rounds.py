@@ -38,12 +38,13 @@ def aggregate_metrics(long: DataFrame, round_col: str = "round", client_col: str
     clients = long.groupBy(round_col, client_col).agg(F.max(n_col).alias("_n"))
     totals = clients.groupBy(round_col).agg(F.sum("_n").alias("_total"),
                                             F.min(client_col).alias("_first"))
+    # the smallest client of a key is the round's first one if that has the key
     sums = long.groupBy(round_col, "key").agg(
         F.sum(F.col(n_col) * F.col("value")).alias("_nv"), F.max("value").alias("_max"),
-        F.collect_set(client_col).alias("_clients"))
+        F.min(client_col).alias("_smallest"))
     j = sums.join(totals, round_col)
     if keys == "first":
-        j = j.where(F.array_contains("_clients", F.col("_first")))
+        j = j.where(F.col("_smallest") == F.col("_first"))
     value = F.when(F.col("key").isin(*max_keys), F.col("_max")).otherwise(
         F.col("_nv") / F.col("_total"))
     return j.select(round_col, "key", value.alias("value"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from fraudlake.functions.vectorized import attribute_sampled
+from fraudlake.functions.vectorized import attribute_exact, attribute_sampled
 from fraudlake.operators import explain as X
 from fraudlake.operators import prepare as P
 from fraudlake.plans.q_rounds import FEATURE_NAMES, FEATURES, SCORE_B, SCORE_W, logit_sql, x_sql
@@ -17,6 +19,7 @@ AUDIT_TS = "2026-01-01 00:00:00"
 AUDIT_USER = "auditor"
 MODEL_TYPE = "logistic_regression"
 D = len(FEATURES)
+BACKGROUND = 50
 
 
 def feats(spark, sf_dir):
@@ -87,6 +90,35 @@ def q_attribute_sampled(spark, sf_dir):
     return attribute_sampled(f, bg, SCORE_W, SCORE_B)
 
 
+def _exact_sql() -> str:
+    """Values of all 64 subsets over 50 background rows, then the weighted differences."""
+    own = " + ".join(f"((m >> {i}) & 1) * {w!r} * x[{i + 1}]" for i, w in enumerate(SCORE_W))
+    rest = " + ".join(f"(1 - ((m >> {i}) & 1)) * {w!r} * x[{i + 1}]" for i, w in enumerate(SCORE_W))
+    phi = ", ".join(
+        f"round(sum(case when (m >> {j}) & 1 = 0 then -v else v end * case bit_count(m & {(1 << D) - 1 - (1 << j)}) "
+        + " ".join(f"when {k} then {math.factorial(k) * math.factorial(D - 1 - k) / math.factorial(D)!r}"
+                   for k in range(D)) + " end), 9)" for j in range(D))
+    return SPLIT_SQL + f""",
+f as (select TransactionID, split, {x_sql()} as x from splitted),
+bg as (select x from f where split = 'train' order by {_h('TransactionID')}, TransactionID limit {BACKGROUND}),
+masks as (select unnest(range(0, {1 << D})) as m),
+own as (select TransactionID, m, {own} as z from f, masks),
+rest as (select m, {rest} + {SCORE_B!r} as z from bg, masks),
+vals as (select TransactionID, o.m, avg(1.0 / (1.0 + exp(-(o.z + r.z)))) as v
+   from own o join rest r on o.m = r.m group by TransactionID, o.m)
+select TransactionID, max(v) filter (where m = {(1 << D) - 1}) as prediction,
+  max(v) filter (where m = 0) as base_value, [{phi}] as contributions from vals group by TransactionID"""
+
+
+@register("attribute_exact", "X2", views=TX, rounded={"prediction": 9, "base_value": 9}, sql=_exact_sql())
+def q_attribute_exact(spark, sf_dir):
+    """Enumerated Shapley values of the probability against 50 background rows."""
+    f = feats(spark, sf_dir)
+    bg = [list(r["x"]) for r in P.background_sample(f.where(F.col("split") == "train"), BACKGROUND).select("x").collect()]
+    a = attribute_exact(f, bg, SCORE_W, SCORE_B)
+    return a.withColumn("contributions", F.transform("contributions", lambda v: F.round(v, 9)))
+
+
 @register("topk_features", "T2", views=TX, sql=ATTR_SQL + """
 select TransactionID, top_features from expl""")
 def q_topk_features(spark, sf_dir):

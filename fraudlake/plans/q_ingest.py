@@ -284,6 +284,39 @@ def q_quarantine_retention(spark, sf_dir):
     return I.quarantine_retention(quarantined(spark, sf_dir), CAP_BYTES)
 
 
+@register("retention_applied", "A5", views=D, sql=QUARANTINE_SQL + f"""
+, sizes as (select strftime(date, '%Y-%m') as month, sum(length(payload)) as bytes
+   from quarantine group by strftime(date, '%Y-%m')),
+kept as (select month from (select month, sum(bytes) over (order by month desc
+   rows between unbounded preceding and current row) as upto from sizes) where upto <= {CAP_BYTES})
+select payload, reason, identifier, ts, date from quarantine
+where strftime(date, '%Y-%m') in (select month from kept)""")
+def q_retention_applied(spark, sf_dir):
+    """A5: month folders beyond the size cap deleted from a written quarantine, which is read back."""
+    rows = I.quarantine_rows(reasons(spark, sf_dir), ["TransactionID", "isFraud", "TransactionAmt"])
+    path = scratch_path(spark, "quarantine")
+    I.write_quarantine(rows, path)
+    q = spark.read.parquet(path)
+    sizes = q.withColumn("date", F.col("month").cast("string"))
+    keep = I.quarantine_retention(sizes, CAP_BYTES).where("keep").select(F.col("date").alias("month"))
+    I.apply_retention(spark, path, keep)
+    return spark.read.schema(q.schema).parquet(path).select("payload", "reason", "identifier", "ts", "date")
+
+
+@register("detect_kind", "A2", views=TX + ("identity",), sql="""
+select 'transaction' as kind, count(*) as rows from transactions
+union all select 'identity', count(*) from identity""")
+def q_detect_kind(spark, sf_dir):
+    """A2: the fixture tables written to folders whose names say nothing, told apart by their columns."""
+    found = []
+    for df in (fx.transactions(spark, sf_dir), fx.identity(spark, sf_dir)):
+        path = scratch_path(spark, "incoming")
+        df.write.parquet(path)
+        back = spark.read.parquet(path)
+        found.append(back.agg(F.lit(I.detect_kind(path, back.columns)).alias("kind"), F.count(F.lit(1)).alias("rows")))
+    return found[0].unionByName(found[1])
+
+
 NOW = "2001-08-01 00:00:00"
 
 

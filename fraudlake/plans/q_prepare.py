@@ -137,6 +137,25 @@ def q_fit_dictionary(spark, sf_dir):
     return dictionary(spark, sf_dir)[1]
 
 
+@register("extend_dictionary", "E5", views=TX, sql=DICT_SQL + """,
+more as (select distinct bank_id, 'ProductCD' as column_name, coalesce(ProductCD, 'Unknown') as value
+   from splitted where split <> 'train'
+   union select distinct bank_id, 'card4', coalesce(card4, 'Unknown') from splitted where split <> 'train'
+   union select distinct bank_id, 'card1', coalesce(cast(card1 as varchar), 'Unknown') from splitted
+   where split <> 'train'),
+new as (select m.* from more m left join dict d on m.bank_id = d.bank_id and m.column_name = d.column_name
+   and m.value = d.value where d.code is null),
+used as (select bank_id, column_name, max(code) + 1 as next from dict group by bank_id, column_name)
+select bank_id, column_name, value, code, 1 as version from dict
+union all select n.bank_id, n.column_name, n.value, coalesce(u.next, 0) + row_number() over (
+  partition by n.bank_id, n.column_name order by n.value) - 1, 2
+from new n left join used u on n.bank_id = u.bank_id and n.column_name = u.column_name""")
+def q_extend_dictionary(spark, sf_dir):
+    """The train dictionary, extended by the values of the later rows (and a new column)."""
+    s, d = dictionary(spark, sf_dir)
+    return P.extend_dictionary(d, s.where(F.col("split") != "train"), [*CAT, "card1"])
+
+
 @register("save_load_encoders", "A8", views=TX, sql=DICT_SQL + """
 select bank_id, column_name, value, code from dict""")
 def q_save_load_encoders(spark, sf_dir):

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from fraudlake.operators.monitor import LE_BOUNDS
 from fraudlake.plans.q_ingest import REASON_SQL
 from fraudlake.plans.q_monitor import ALERT_FOR_SECONDS, ALERT_VALUE, ME, RATE_SQL
 from fraudlake.plans.registry import ORACLE, register
@@ -48,6 +49,33 @@ def q_stream_rate_5m(spark, sf_dir):
         "client_id", "window_start", "window_end", "rate")
 
 
+def _all_windows(spark, sf_dir, name, plan):
+    """Closed windows of the stream and, flushed, the open ones."""
+    events = os.path.join(sf_dir, "events.parquet")
+    return S.with_open_windows(spark, S.run_windows(spark, events, scratch_path(spark, name), plan), events, plan)
+
+
+@register("stream_counters", "M17", views=ME, rounded={"value_total": 6}, sql="""
+select date_trunc('minute', ts) as window_start, date_trunc('minute', ts) + interval 1 minute as window_end,
+  client_id, round_type, status, count(*) as total, sum(value) as value_total
+from metric_events group by date_trunc('minute', ts), client_id, round_type, status""")
+def q_stream_counters(spark, sf_dir):
+    """Counters per window from a file stream, the open windows flushed at its end."""
+    return _ntz(_all_windows(spark, sf_dir, "stream-counters", S.counters), ("window_start", "window_end"))
+
+
+@register("stream_histogram", "M17", views=ME, rounded={"sum": 6}, sql=f"""
+b as (select unnest([{", ".join(f"cast('{'Infinity' if b == float('inf') else b}' as double)" for b in LE_BOUNDS)}]) as le),
+w as (select date_trunc('hour', ts) as window_start, round_type, value from metric_events)
+select window_start, window_start + interval 1 hour as window_end, round_type, le,
+  count(*) filter (where value <= le) as bucket_count, sum(value) as sum, count(*) as count
+from w, b group by window_start, round_type, le""")
+def q_stream_histogram(spark, sf_dir):
+    """Cumulative buckets per hour and round type from a file stream, flushed at its end."""
+    out = S.le_rows(_all_windows(spark, sf_dir, "stream-histogram", S.bucket_counts))
+    return _ntz(out, ("window_start", "window_end"))
+
+
 @register("stream_quarantine", "M18", views=("dirty",), sql=REASON_SQL + """
 select case when reject_reason is null then 'good' else 'quarantine' end as "table",
   reject_reason as reason, count(*) as records from reasons

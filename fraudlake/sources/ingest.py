@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlake.session import path_exists
 from fraudlake.operators.quality import IDENTITY_TYPES, TRANSACTION_TYPES, coerce_types
 
 
@@ -159,6 +160,44 @@ def quarantine_retention(q: DataFrame, cap_bytes: int) -> DataFrame:
     return ranked.withColumn("keep", F.col("running_bytes") <= F.lit(cap_bytes))
 
 
+def apply_retention(spark: SparkSession, path: str, keep: DataFrame, part_col: str = "month",
+                    manifest: str | None = None) -> list[str]:
+    """A5/A6 that act: delete the partition folders of the table at ``path`` that hold no
+    kept row. ``keep`` has a row per partition to keep (column ``part_col``).
+
+    Two steps, so that a crash leaves whole partitions only: first the doomed partitions
+    are written to a manifest beside the table, then each is moved out of the table's view
+    (a name with a leading underscore and no ``=``, which readers skip) and deleted. A call that finds a
+    manifest of an earlier one finishes that first; each step can be repeated. Returns
+    the partitions removed.
+    """
+    manifest = manifest or path.rstrip("/") + "-retention"
+    removed = _finish_retention(spark, path, part_col, manifest) if path_exists(spark, manifest) else []
+    there = spark.read.parquet(path).select(F.col(part_col).cast("string").alias("part")).distinct()
+    kept = keep.select(F.col(part_col).cast("string").alias("part")).distinct()
+    doomed = there.join(kept, "part", "left_anti")
+    doomed.coalesce(1).write.mode("overwrite").parquet(manifest)
+    return removed + _finish_retention(spark, path, part_col, manifest)
+
+
+def _finish_retention(spark: SparkSession, path: str, part_col: str, manifest: str) -> list[str]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")           # noqa: E731
+    fs = folder("x").getFileSystem(conf)
+    # a manifest without its success mark was never finished: nothing has been removed for it
+    if not path_exists(spark, f"{manifest}/_SUCCESS"):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(manifest), True)
+        return []
+    parts = sorted(r.part for r in spark.read.parquet(manifest).collect() if r.part is not None)
+    for part in parts:
+        live, gone = folder(f"{part_col}={part}"), folder(f"_gone-{part_col}-{part}")
+        if fs.exists(live):
+            fs.rename(live, gone)
+        fs.delete(gone, True)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(manifest), True)
+    return parts
+
+
 def age_retention(catalog: DataFrame, now, short_days: int = 7, long_days: int = 30,
                   short_kinds: tuple[str, ...] = ("checkpoint", "model")) -> DataFrame:
     """Items younger than their kind's limit are kept (``now`` is a parameter)."""

@@ -7,13 +7,16 @@ stopped. Tests run them with ``trigger(availableNow=True)``.
 
 from __future__ import annotations
 
+import datetime
 import os
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fraudlake.operators import quality as Q
+from fraudlake.operators.monitor import LE_BOUNDS
 from fraudlake.session import is_dir, path_exists
 from fraudlake.sources.fixtures import _DIRTY_COLUMNS, _METRIC_EVENT_COLUMNS, _cols
 
@@ -90,6 +93,77 @@ def batch_twin(ev: DataFrame, watermark_seconds: int = 600, width: str = "1 minu
     return agg.join(F.broadcast(wm), F.col("window_end") <= F.col("wm")).drop("wm")
 
 
+# --- M1, M3, M17: counters and histograms in windows, with late rows and a flush ---------------
+
+@dataclass
+class Windows:
+    """What a windowed stream has given: windows closed by the watermark, the watermark, and
+    the rows that came too late for their window."""
+
+    closed: DataFrame
+    watermark: datetime.datetime | None
+    late_rows: int
+
+
+def windowed(ev: DataFrame, keys: list[str], aggs: list[Column], width: str = "1 minute") -> DataFrame:
+    """Tumbling windows of events with the given aggregates; a batch as well as a stream."""
+    w = ev.groupBy(F.window("ts", width).alias("w"), *keys).agg(*aggs)
+    return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *w.columns[1:])
+
+
+def counters(ev: DataFrame, width: str = "1 minute") -> DataFrame:
+    """M1 in windows: events and value sum per label set."""
+    return windowed(ev, ["client_id", "round_type", "status"],
+                    [F.count(F.lit(1)).alias("total"), F.sum("value").alias("value_total")], width)
+
+
+def bucket_counts(ev: DataFrame, width: str = "1 hour") -> DataFrame:
+    """M3 in windows: cumulative ``le`` bucket counts, sum and count per round type, a column
+    per bucket (``le_rows`` turns them into rows)."""
+    return windowed(ev, ["round_type"], [
+        *[F.count_if(F.col("value") <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(LE_BOUNDS)],
+        F.sum("value").alias("sum"), F.count(F.lit(1)).alias("count")], width)
+
+
+def le_rows(windows: DataFrame) -> DataFrame:
+    stack = ", ".join(f"cast('{'Infinity' if b == float('inf') else b}' as double), le_{i}"
+                      for i, b in enumerate(LE_BOUNDS))
+    return windows.selectExpr("window_start", "window_end", "round_type",
+                              f"stack({len(LE_BOUNDS)}, {stack}) as (le, bucket_count)", "sum", "count")
+
+
+def run_windows(spark: SparkSession, events_path: str, base: str, plan, watermark: str = "10 minutes",
+                max_files: int | None = None) -> Windows:
+    """Stream the events through ``plan`` (one of the above) into a Parquet sink until all
+    files are read. Late rows are those the state operators report as dropped behind
+    the watermark, over all batches of this run."""
+    sink, ckpt = os.path.join(base, "sink"), os.path.join(base, "checkpoint")
+    ev = event_stream(spark, events_path, max_files).withWatermark("ts", watermark)
+    late: dict[int, int] = {}
+    last = None
+    q = (plan(ev).writeStream.format("parquet").outputMode("append").option("path", sink)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    while True:                     # progress of long runs is kept for the last batches only
+        ended = q.awaitTermination(5)
+        for p in q.recentProgress:
+            late[p["batchId"]] = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+            last = p["eventTime"].get("watermark", last)
+        if ended:
+            break
+    mark = None if last is None else datetime.datetime.fromisoformat(last.replace("Z", "+00:00"))
+    return Windows(spark.read.parquet(sink), mark, sum(late.values()))
+
+
+def with_open_windows(spark: SparkSession, got: Windows, events_path: str, plan) -> DataFrame:
+    """The closed windows and, on demand, those still open at the end of the stream: the same
+    aggregates over the rows at or behind the last watermark, which no late row has left."""
+    ev = spark.read.parquet(events_path).selectExpr(*_cols(_METRIC_EVENT_COLUMNS, "spark")) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+    # a window is open if it ends after the watermark; it can begin before it
+    open_ = plan(ev) if got.watermark is None else plan(ev).where(F.col("window_end") > F.lit(got.watermark))
+    return got.closed.unionByName(open_)
+
+
 # --- M18: quarantine on arriving files -----------------------------------------------------------
 
 def record_stream(spark: SparkSession, orders_path: str,

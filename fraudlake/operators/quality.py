@@ -167,6 +167,20 @@ def integrity_report(df: DataFrame, key: str = "TransactionID", label: str = "is
         F.try_divide(F.col("label_1") * 100.0, F.col("total_records")).alias("fraud_rate_percent"))
 
 
+def early_reasons(records: DataFrame, spec: dict[str, str] | None = None, key: str = "TransactionID",
+                  label: str = "isFraud", order_by: str = "line_no", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Raw and typed values and ``_early``, the reason that a record has by itself (all of
+    :func:`reject_reasons` but duplicate_key); one projection, so a stream can take it too."""
+    spec = TRANSACTION_TYPES if spec is None else spec
+    data_cols = [c for c in records.columns if c != order_by and c not in carry]
+    t = records.select(order_by, *carry, *[F.col(c).alias(f"raw_{c}") for c in data_cols],
+                       *[coerce_expr(c, spec.get(c)) for c in data_cols])
+    empty = reduce(lambda a, b: a & b, [F.col(f"raw_{c}").isNull() for c in data_cols])
+    return t.withColumn("_early", F.when(empty, F.lit("empty_row"))
+                        .when(F.col(key).isNull(), F.lit("missing_key"))
+                        .when(~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), F.lit("bad_label")))
+
+
 def reject_reasons(records: DataFrame, spec: dict[str, str] | None = None,
                    key: str = "TransactionID", label: str = "isFraud",
                    order_by: str = "line_no", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -178,15 +192,7 @@ def reject_reasons(records: DataFrame, spec: dict[str, str] | None = None,
     (no self-join). The first line per key is found with an aggregate
     (partial on the map side, so a hot key is pre-reduced) and joined back.
     """
-    spec = TRANSACTION_TYPES if spec is None else spec
-    data_cols = [c for c in records.columns if c != order_by and c not in carry]
-    t = records.select(order_by, *carry, *[F.col(c).alias(f"raw_{c}") for c in data_cols],
-                       *[coerce_expr(c, spec.get(c)) for c in data_cols])
-    empty = reduce(lambda a, b: a & b, [F.col(f"raw_{c}").isNull() for c in data_cols])
-    early = (F.when(empty, F.lit("empty_row"))
-             .when(F.col(key).isNull(), F.lit("missing_key"))
-             .when(~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), F.lit("bad_label")))
-    t = t.withColumn("_early", early)
+    t = early_reasons(records, spec, key, label, order_by, carry)
     firsts = (t.where(F.col("_early").isNull()).groupBy(key)
               .agg(F.min(order_by).alias("_first")))
     t = t.join(firsts, key, "left")

@@ -7,12 +7,14 @@ stopped. Tests run them with ``trigger(availableNow=True)``.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fraudlake.operators import quality as Q
@@ -207,15 +209,106 @@ def quarantine_batch(good_path: str, bad_path: str):
     return run
 
 
+_DECIDED = "line_no long, TransactionID long, isFraud int, TransactionAmt double, received_at timestamp, reason string"
+
+
+class FirstPerKey(StatefulProcessor):
+    """Accepts the first record of every key and marks later ones, over all micro-batches.
+
+    A group is a bucket of keys, its state a map from key to the line that was accepted:
+    a batch looks up and adds its own keys only, however many there were before. Within
+    a batch the smallest line is first; per bucket one candidate a key is held.
+    """
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "key long", "line long")
+
+    def handleInputRows(self, key, rows, timers):
+        import pandas as pd
+
+        names = [c.split(" ")[0] for c in _DECIDED.split(", ")]
+        first: dict[int, tuple] = {}
+        for part in rows:
+            decided = []
+            for row in part[names].itertuples(index=False, name=None):
+                if row[5] is not None:                       # rejected for its own sake
+                    decided.append(row)
+                    continue
+                k = int(row[1])                              # a column with nulls comes as floats
+                held = first.get(k)
+                if held is None or row[0] < held[0]:
+                    first[k], row = row, held
+                if row is not None:                          # the later one of two
+                    decided.append((*row[:5], "duplicate_key"))
+            yield pd.DataFrame(decided, columns=names)
+        out = []
+        for k, row in first.items():
+            if self.seen.containsKey((k,)):
+                row = (*row[:5], "duplicate_key")
+            else:
+                self.seen.updateValue((k,), (int(row[0]),))
+            out.append(row)
+        yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """State on disk (RocksDB) for the queries started inside, as keyed processors need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def split_batch(good_path: str, bad_path: str):
+    """foreachBatch body: accepted and rejected records into folders of the batch, so a batch
+    that runs again replaces its own output."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.where("reason is null").drop("reason").write.mode("overwrite") \
+            .parquet(os.path.join(good_path, f"batch={batch_id}"))
+        batch.where("reason is not null").select("line_no", "reason", "received_at").write.mode("overwrite") \
+            .parquet(os.path.join(bad_path, f"batch={batch_id}"))
+
+    return run
+
+
+def decided_records(records: DataFrame, buckets: int) -> DataFrame:
+    """The stream of records with their reason (null: accepted), first per key over the whole stream."""
+    t = Q.early_reasons(records, carry=("received_at",)).select(
+        F.col("line_no").cast("long").alias("line_no"), F.col("TransactionID").cast("long").alias("TransactionID"),
+        F.col("isFraud").cast("int").alias("isFraud"), F.col("TransactionAmt").cast("double").alias("TransactionAmt"),
+        F.col("received_at").cast("timestamp").alias("received_at"), F.col("_early").alias("reason"))
+    # records without a key are spread by line
+    bucket = F.pmod(F.xxhash64(F.coalesce("TransactionID", "line_no")), F.lit(buckets))
+    return t.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
+        FirstPerKey(), _DECIDED, "Append", "None")
+
+
 def stream_quarantine(spark: SparkSession, orders_path: str, base: str,
-                      max_files: int | None = None) -> DataFrame:
-    """M18 end to end; returns record counts per (table, reason)."""
+                      max_files: int | None = None, buckets: int | None = None) -> DataFrame:
+    """M18 end to end; returns record counts per (table, reason).
+
+    Keys of earlier batches live in keyed state, so a batch costs what its own records
+    cost; the state and the output folders are both tied to the batch id, so a restarted
+    query replays a batch to the same result.
+    """
     good, bad = os.path.join(base, "good"), os.path.join(base, "bad")
-    q = (record_stream(spark, orders_path, max_files).writeStream
-         .foreachBatch(quarantine_batch(good, bad))
-         .option("checkpointLocation", os.path.join(base, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with keyed_state(spark):
+        q = (decided_records(record_stream(spark, orders_path, max_files), buckets).writeStream
+             .foreachBatch(split_batch(good, bad))
+             .option("checkpointLocation", os.path.join(base, "checkpoint"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     g = spark.read.parquet(good).groupBy(F.lit("good").alias("table"),
                                          F.lit(None).cast("string").alias("reason")).count()
     b = spark.read.parquet(bad).groupBy(F.lit("quarantine").alias("table"), "reason").count()

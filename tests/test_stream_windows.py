@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
+from fraudlake.operators import quality as Q
 from fraudlake.streaming import streams as S
 
+from conftest import SF_SMALL
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 T0 = dt.datetime(2024, 5, 1, 10)
 
@@ -61,3 +63,49 @@ def test_buckets_are_cumulative(spark, tmp_path):
     by_le = rows.groupBy("le").agg(F.sum("bucket_count").alias("n")).orderBy("le").collect()
     assert [r.n for r in by_le] == [2, 2, 3, 3, 4, 4, 4, 4, 6]
     assert by_le[-1].le == float("inf")
+
+
+def orders(spark, path, rows):
+    """Order files whose keys and flags are given: (orderkey, custkey)."""
+    schema = spark.read.parquet(f"{SF_SMALL}/orders.parquet").schema
+    base = spark.read.parquet(f"{SF_SMALL}/orders.parquet").limit(1).collect()[0].asDict()
+    spark.createDataFrame([{**base, "o_orderkey": k} for k in rows], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_quarantine_state_is_independent_of_history(spark, tmp_path):
+    """Batches far apart: a key of the first is known in the last, and a batch adds to the state only its
+    own keys; nothing of the earlier output is read (it is gone)."""
+    import shutil
+
+    path, base = str(tmp_path / "in"), str(tmp_path / "run")
+    plain = spark.read.parquet(f"{SF_SMALL}/orders.parquet").selectExpr(*S._cols(S._DIRTY_COLUMNS, "spark"))
+    reasons = Q.reject_reasons(plain, carry=("received_at",))
+    good = [r.line_no for r in reasons.where("reject_reason is null").orderBy("line_no").limit(12).collect()]
+    counts = {}
+    for n, keys in enumerate([good[:4], good[4:8], good[:2] + good[8:10], good[:12]]):
+        orders(spark, path, keys)
+        out = S.stream_quarantine(spark, path, base, max_files=1, buckets=3)
+        rows = {(r.table, r.reason): r.records for r in out.collect()}
+        counts[n] = rows
+        if n == 2:                      # output of earlier batches moved away: only the state knows the keys
+            for k in range(3):
+                for t in ("good", "bad"):
+                    shutil.move(f"{base}/{t}/batch={k}", tmp_path / f"{t}-{k}")
+    assert counts[1] == {("good", None): 8}
+    assert counts[2] == {("good", None): 10, ("quarantine", "duplicate_key"): 2}
+    assert counts[3] == {("good", None): 2, ("quarantine", "duplicate_key"): 10}
+
+
+def test_a_hot_key_and_keyless_records(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "run")
+    records = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    records.unionByName(records.where("o_orderkey % 7 = 0")).unionByName(records.limit(5)).coalesce(1).write.parquet(path)
+    want = Q.reject_reasons(spark.read.parquet(path).selectExpr(*S._cols(S._DIRTY_COLUMNS, "spark")),
+                            carry=("received_at",))
+    out = S.stream_quarantine(spark, path, base, buckets=2)
+    rejected = want.where("reject_reason <> 'duplicate_key'").groupBy("reject_reason").count().collect()
+    got = {r.reason: r.records for r in out.where("table = 'quarantine'").collect()}
+    assert {r[0]: r[1] for r in rejected}.items() <= got.items()
+    keys = want.where("reject_reason is null or reject_reason = 'duplicate_key'").select("TransactionID").distinct().count()
+    assert out.where("table = 'good'").first().records == keys
+    assert sum(r.records for r in out.collect()) == spark.read.parquet(path).count()

@@ -137,6 +137,30 @@ def q_fit_dictionary(spark, sf_dir):
     return dictionary(spark, sf_dir)[1]
 
 
+# what each column of the transactions is to become (D1, D2); its values are counted
+ROLES = [("ProductCD", "categorical", False), ("card1", "categorical", False), ("card4", "categorical", False),
+         ("TransactionDT", "numeric", True), ("TransactionAmt", "numeric", True), ("card2", "numeric", False),
+         ("dist1", "numeric", True), ("addr2", "numeric", True), ("score", "numeric", True)]
+
+
+@register("column_roles", "D1", views=TX, sql="\nunion all\n".join(
+    f"select '{c}' as column_name, '{role}' as role, {str(scaled).lower()} as scaled, count({c}) as filled, "
+    f"count(distinct {c}) as distinct_values from transactions" for c, role, scaled in ROLES))
+def q_column_roles(spark, sf_dir):
+    """Role of every transaction column, whether it is scaled, its values in all and distinct."""
+    tx = fx.transactions(spark, sf_dir)
+    categorical, numeric = P.feature_roles(tx)
+    scaled = P.scale_columns(tx)
+    long = tx.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.lit("categorical" if c in categorical else "numeric").alias("role"),
+        F.lit(c in scaled).alias("scaled"), F.col(c).cast("string").alias("value"))
+        for c in [*categorical, *numeric]])).alias("v")).select("v.*")
+    # counted per value first: distinct values, not rows, meet in one task per column
+    each = long.groupBy("column_name", "role", "scaled", "value").agg(F.count("value").alias("n"))
+    return each.groupBy("column_name", "role", "scaled").agg(
+        F.sum("n").alias("filled"), F.count("value").alias("distinct_values"))
+
+
 @register("extend_dictionary", "E5", views=TX, sql=DICT_SQL + """,
 more as (select distinct bank_id, 'ProductCD' as column_name, coalesce(ProductCD, 'Unknown') as value
    from splitted where split <> 'train'

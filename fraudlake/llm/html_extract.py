@@ -6,30 +6,34 @@ per block element, with the kind of region it stands in), its lines are aligned
 with those of the page before and after it on the same host by a longest
 common subsequence, and shared lines are deleted as template text.
 
-This differencing decides only on pages whose markup does not name the article.
-Where it does (article or main element), the text is the lines inside it and no
-neighbour is compared: articles quote common passages, also as their first or
-last lines, and a line shared there cannot be told from template text. A pair
-that shares more than half of its text outside declared template regions is
-taken for two copies of one article and deletes nothing. Regions that the markup
+Where the markup names the article (article or main element) the lines outside it
+go and those inside it are differenced with the ten nearest URLs of the host.
+Articles quote common passages, so there a line is template text only if at least
+eight of these pages hold it at the same tag path and in the same order; it must
+stand once in each. Headings, list items and table cells belong to the text behind
+them and go only at the article's end. A page that shares more than half of the
+text with the page compared, or with one that has voted, is a copy of that article
+and does not vote; on other pages a copy deletes nothing. Regions that the markup
 itself declares to be something else (menus, sidebars, forms, scripts, notices,
 adverts, comments ...) never count as lines of the article. A form and an element
 judged by its class or id only are no such region if they are a wrapper: if the
 only article of the page or most of its text stands in them.
 
-The order is dealt into range buckets of the sort key; each bucket gets a copy
-of the row before and after it, so a host of any size is spread over tasks and
-no page depends on where a bucket ends.
+The order is dealt into range buckets of the sort key; each bucket gets copies
+of the rows of its hosts before and after it, as many as a page is compared with,
+so a host of any size is spread over tasks and no page depends on where a bucket
+ends.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlake.llm.common import at_most_count, shuffle_partitions
@@ -54,6 +58,9 @@ STATES = set("has no not with without is hide show category tag type format stat
 WHOLES = set("page pages layout view site open closed enabled disabled".split())
 COMMENTS = set("comment comments reply replies respond disqus".split())
 MOST = 0.75                                   # share of a text that makes its element a wrapper
+NEAREST, ENOUGH = 10, 8                       # pages compared inside an article, votes that make a line template
+# lines that belong to the text behind them
+LABELS = HEADINGS | set("li dt dd th td caption figcaption legend summary option".split())
 _PART = re.compile(r"[a-z]+")
 
 
@@ -69,7 +76,7 @@ def listed_words(names: str) -> set[str]:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, inside an article or main element, standing) per block.
+    """Collects (text, tag path inside an article or main element, standing) per block.
 
     Forms and elements with listed words are "soft": their lines are collected
     too, and ``kept`` decides at the end which of them are wrappers."""
@@ -82,7 +89,8 @@ class _Lines(HTMLParser):
         self.words: list[set[str]] = []           # per soft element
         self.mains: list[int] = []                # open main elements
         self.around: list[tuple[int, ...]] = []   # per main element: soft elements around it
-        self.found: list[tuple[str, tuple[int, ...], bool, tuple[int, ...]]] = []   # text, mains, in heading, softs
+        # text, mains, in heading, softs, path
+        self.found: list[tuple[str, tuple[int, ...], bool, tuple[int, ...], str]] = []
         self.buffer: list[str] = []
 
     def _kind(self, tag: str, attrs: dict) -> tuple[str, set[str]]:
@@ -109,14 +117,21 @@ class _Lines(HTMLParser):
         if text and not self.dropped:
             in_heading = any(t in HEADINGS for t, _ in self.open)
             if not self.header or (self.main and in_heading):
-                self.found.append((text, tuple(self.mains), in_heading, tuple(self.soft)))
+                self.found.append((text, tuple(self.mains), in_heading, tuple(self.soft), self._path()))
 
-    def kept(self) -> list[tuple[str, bool]]:
+    def _path(self) -> str:
+        """Tags from the outermost open main element to the innermost block."""
+        if not self.mains:
+            return ""
+        first = next(i for i, (_, kind) in enumerate(self.open) if kind == "main")
+        return "/".join([self.open[first][0], *(t for t, _ in self.open[first + 1:] if t in BLOCKS)])
+
+    def kept(self) -> list[tuple[str, str]]:
         if not self.words:
-            return [(t, bool(mains)) for t, mains, _, _ in self.found]
+            return [(t, path) for t, _, _, _, path in self.found]
         whole: set[int] = set()                   # soft elements that are wrappers
         size: dict[int, int] = {}                 # text of a main element outside soft elements in it
-        for text, mains, _, soft in self.found:
+        for text, mains, _, soft, _ in self.found:
             for m in mains:
                 if len(soft) == len(self.around[m]):
                     size[m] = size.get(m, 0) + len(text)
@@ -126,12 +141,12 @@ class _Lines(HTMLParser):
         clear = {m for m, soft in enumerate(self.around) if whole.issuperset(soft)}
         area = [x for x in self.found if clear.intersection(x[1])] or self.found
         held: dict[int, int] = {}
-        for text, _, _, soft in area:
+        for text, _, _, soft, _ in area:
             for e in soft:
                 held[e] = held.get(e, 0) + len(text)
         total = sum(len(x[0]) for x in area)
         whole.update(e for e, n in held.items() if n > MOST * total and not COMMENTS & self.words[e])
-        return [(t, bool(mains)) for t, mains, heading, soft in self.found if all(
+        return [(t, path) for t, mains, heading, soft, path in self.found if all(
             e in whole or "header" in self.words[e] and mains and heading for e in soft)]
 
     def _pop(self, count: int) -> None:
@@ -218,9 +233,9 @@ class _Lines(HTMLParser):
         self._flush()
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """(line, stands in an article or main element) in page order, without the
-    regions whose markup declares them as something else."""
+def page_lines(html: str | None) -> list[tuple[str, str]]:
+    """(line, its tag path from the article or main element on, empty outside) in page
+    order, without the regions whose markup declares them as something else."""
     parser = _Lines()
     parser.feed(re.sub(r"<!\[[^>]*>", "", html or ""))
     parser.close()
@@ -259,14 +274,49 @@ def shared_lines(a: list, b: list) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool]], before: list | None, after: list | None) -> str:
-    """The lines that stay, joined by a space: those inside the article where the markup
-    names it, else those not shared with a neighbour."""
-    if any(inside for _, inside in lines):
-        return " ".join(t for t, inside in lines if inside)
+def _single(lines: list) -> set:
+    return {x for x, n in Counter(lines).items() if n == 1}
+
+
+def _copied(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> bool:
+    """More than half of the text of ``a`` stands in ``b`` too."""
+    texts = {t for t, _ in b}
+    return 2 * sum(len(t) for t, _ in a if t in texts) > sum(len(t) for t, _ in a)
+
+
+def template_lines(lines: list[tuple[str, str]], nearest: list) -> set[int]:
+    """Places in an article's ``lines`` of those that the nearest pages show to be template text."""
+    mine, held = _single(lines), Counter()
+    for other in nearest:
+        held.update(mine.intersection(other))
+    if max(held.values(), default=0) < ENOUGH:
+        return set()
+    voters: list = []
+    for other in nearest:
+        theirs = [x for x in other if x[1]]
+        if theirs and not _copied(lines, theirs) and not any(_copied(theirs, v) for v in voters):
+            voters.append(theirs)
+    votes: Counter = Counter()
+    for theirs in voters:
+        both = mine & _single(theirs)
+        places = [i for i, x in enumerate(lines) if x in both]
+        votes.update(places[k] for k in shared_lines([lines[i] for i in places], [x for x in theirs if x in both]))
+    found = {i for i, n in votes.items() if n >= ENOUGH}
+    last = max((i for i in range(len(lines)) if i not in found), default=-1)
+    return {i for i in found if i > last or not LABELS.intersection(lines[i][1].split("/"))}
+
+
+def main_text(lines: list[tuple[str, str]], before: list | None, after: list | None, nearest: list = ()) -> str:
+    """The lines that stay, joined by a space: where the markup names the article, those
+    inside it that are no template text by the ``nearest`` pages; else those not shared
+    with the page before or after."""
+    inside = [x for x in lines if x[1]]
+    if inside:
+        deleted = template_lines(inside, nearest)
+        return " ".join(t for i, (t, _) in enumerate(inside) if i not in deleted)
     texts = [t for t, _ in lines]
     size = sum(map(len, texts))
-    deleted: set[int] = set()
+    deleted = set()
     for other in (before, after):
         if other is not None:
             same = shared_lines(texts, [t for t, _ in other])
@@ -283,6 +333,28 @@ def _ordered(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     return pages.withColumn("_host", host).withColumn("_key", F.concat(host, F.lit("\x01"), path, F.lit("\x01"), number))
 
 
+def _edges(rows: DataFrame, order: Column) -> dict[int, list[str]]:
+    """The first keys of every bucket in that order, as many as a page is compared with."""
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
+    found: dict[int, list[str]] = {}
+    for r in rows.select("_bucket", "_key", nth.alias("_nth")).where(F.col("_nth") <= NEAREST).orderBy("_nth").collect():
+        found.setdefault(r["_bucket"], []).append(r["_key"])
+    return found
+
+
+def _moves(firsts: dict[int, list[str]], lasts: dict[int, list[str]]) -> list[tuple[str, int]]:
+    """(key, bucket that gets a copy of its rows): the nearest keys on the same host
+    before and after each bucket, over as many buckets as hold them."""
+    order, moves = sorted(firsts), set()
+    for keys, edges, buckets in ((lasts, firsts, order), (firsts, lasts, order[::-1])):
+        passed: list[str] = []                  # nearest keys before the bucket, nearest first
+        for bucket in buckets:
+            host = edges[bucket][0].split("\x01")[0]
+            moves.update((key, bucket) for key in passed if key.split("\x01")[0] == host)
+            passed = (keys[bucket] + passed)[:NEAREST]
+    return sorted(moves)
+
+
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page. Null or empty html gives an empty text; a null or
@@ -296,24 +368,29 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     bounds = sorted(r["first"] for r in firsts.collect())[1:]
     bucket = at_most_count(F.col("_key"), bounds)
     rows = rows.withColumn("_bucket", bucket)
-    ends = rows.groupBy("_bucket").agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect()
-    ends = sorted((r["_bucket"], r["lo"], r["hi"]) for r in ends)
-    moves = [(here[1], before[0]) for before, here in zip(ends, ends[1:])] + \
-            [(before[2], here[0]) for before, here in zip(ends, ends[1:])]
+    moves = _moves(_edges(rows, F.col("_key")), _edges(rows, F.col("_key").desc()))
     rows = rows.withColumn("_copy", F.lit(False))
     if moves:
-        to = F.broadcast(spark.createDataFrame(moves, "_key string, _to int"))     # two rows per bucket
+        to = F.broadcast(spark.createDataFrame(moves, "_key string, _to int"))     # 2 * NEAREST rows per bucket
         copies = rows.join(to, "_key").withColumn("_bucket", F.col("_to")).withColumn("_copy", F.lit(True)).drop("_to")
         rows = rows.unionByName(copies)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["_key", "_copy"], kind="stable", ignore_index=True)
+        df = df.sort_values(["_key", html_col], kind="stable", ignore_index=True)
         lines = [page_lines(h) for h in df[html_col]]
         hosts, copy = df["_host"].tolist(), df["_copy"].tolist()
-        text = []
+        text, first, last = [], 0, -1                       # places of the host's pages
         for i in range(len(df)):
-            near = [lines[j] if 0 <= j < len(df) and hosts[j] == hosts[i] else None for j in (i - 1, i + 1)]
-            text.append("" if copy[i] else main_text(lines[i], *near))
+            if i > last:
+                first = last = i
+                while last + 1 < len(df) and hosts[last + 1] == hosts[i]:
+                    last += 1
+            if copy[i]:
+                text.append("")
+                continue
+            near = [lines[j] if first <= j <= last else None for j in (i - 1, i + 1)]
+            start = max(first, min(i - NEAREST // 2, last - NEAREST))
+            text.append(main_text(lines[i], *near, lines[start:i] + lines[i + 1:min(last, start + NEAREST) + 1]))
         out = df[[id_col, url_col]].assign(text=text)
         return out[~df["_copy"]]
 

@@ -279,6 +279,62 @@ def test_article_markup_decides_without_neighbours(monkeypatch):
     assert html_extract.main_text(page(1), page(0), page(2)) == "Quoted head. Own 1 Quoted tail."
 
 
+def test_template_lines_inside_the_article_go_by_the_nearest_urls(spark):
+    def page(n, more="", host="h"):
+        return (n, f"https://{host}/x/{n:02d}", f"<body><nav>Menu</nav><main><h1>T{n}</h1><div>Our own staff desk</div>{more}"
+                f"<table><tr><th>Born<td>{1900 + n}</table><p>Own text of page {n} and no other.</p><h2>Details</h2>"
+                f"<p>Further text {n} by itself.</p><ul><li>Tell friends</ul></main><div>loose {n}</div>")
+    quote, own = "<p>Quoted passage.</p>", "<p>Own text of page 3 and no other.</p>"
+    pages = [page(n, quote if 4 <= n < 12 else "") for n in range(30)]
+    copies = [(100 + k, f"https://k/x/{k:02d}", f"<article>{own}<p>Lines {k // 10 * 7}, a text of some length.</p><p>Same end.</p></article>")
+              for k in range(20)]                              # ten addresses each of two articles
+    few = [page(n, host="few") for n in range(200, 208)]       # seven others are not enough
+    got = extract(spark, pages + copies + few)
+    for n in range(30):
+        quoted = "Quoted passage. " if 4 <= n < 12 else ""     # by seven others: it stays
+        assert got[n] == (f"T{n} {quoted}Born {1900 + n} Own text of page {n} and no other. "
+                          f"Details Further text {n} by itself."), n
+    for k in range(20):
+        assert got[100 + k] == f"Own text of page 3 and no other. Lines {k // 10 * 7}, a text of some length. Same end."
+    assert all("Our own staff desk Born" in got[n] and got[n].endswith("Tell friends") for n in range(200, 208))
+
+
+def test_a_page_is_compared_with_its_nearest_urls_over_all_buckets():
+    keys = [f"{host}\x01/{n:02d}\x01" for host in "ab" for n in range(25)]
+    rng = random.Random(2)
+    for _ in range(50):
+        cuts = sorted(rng.sample(range(1, 50), rng.randint(0, 30)))
+        parts = [keys[a:b] for a, b in zip([0, *cuts], [*cuts, 50])]
+        most = html_extract.NEAREST
+        moves = html_extract._moves({b: p[:most] for b, p in enumerate(parts)},
+                                    {b: p[::-1][:most] for b, p in enumerate(parts)})
+        assert len(moves) == len(set(moves))
+        for b, p in enumerate(parts):
+            held = sorted(p + [k for k, to in moves if to == b])
+            for k in p:
+                i = keys.index(k)
+                near = [x for x in keys[max(0, i - most):i + most + 1] if x[0] == k[0]]
+                assert set(near) <= set(held)
+
+
+def test_votes_count_aligned_lines_of_distinct_articles():
+    """Against votes counted page by page: same tag path, same order, single lines, no copies."""
+    line = lambda t, tag="p": (t, f"article/{tag}")                                  # noqa: E731
+    own = lambda n: [line(f"The own text of page {n}, long enough to be an article.")]
+    for votes in range(11):
+        near = [([line("Template.")] if n < votes else []) + own(n) for n in range(10)]
+        gone = html_extract.template_lines([line("Template.")] + own(99), near)
+        assert gone == ({0} if votes >= 8 else set())
+    near = [[line("Template.", "div")] + own(n) for n in range(10)]                  # another path
+    assert html_extract.template_lines([line("Template.")] + own(99), near) == set()
+    near = [[line("x"), line("x")] + own(n) for n in range(10)]                      # repeated: data
+    assert html_extract.template_lines([line("x"), line("x")] + own(99), near) == set()
+    near = [[line("a")] + own(n) + [line("b")] for n in range(10)]                   # crossed: one of both
+    assert len(html_extract.template_lines([line("b")] + own(99) + [line("a")], near)) == 1
+    near = [[line("Template.")] + own(0) for _ in range(10)]                         # one article, ten addresses
+    assert html_extract.template_lines([line("Template.")] + own(99), near) == set()
+
+
 @pytest.mark.parametrize("around", ["<div class='layout has-sidebar'>", "<div class='main-content no-comments'>",
                                     "<div class='page with-banner'>", "<div id='search-page'>", "<form action='/x'>",
                                     "<div class='sidebar'>", "<div class='wrap'><form><div class='social widget'>"])
